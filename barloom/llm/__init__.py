@@ -2,9 +2,15 @@
 
 from barloom.llm.line_dedup import OP5_SQL, op5_line_dedup
 from barloom.llm.packing import op9_packing
+from barloom.llm.pii import op4_pii
+from barloom.llm.quality_rules import op6_quality_rules
+from barloom.llm.sharding import op2_sharding
 
 QUERIES = {
+    "op2_sharding": op2_sharding,
+    "op4_pii": op4_pii,
     "op5_line_dedup": op5_line_dedup,
+    "op6_quality_rules": op6_quality_rules,
     "op9_packing": op9_packing,
 }
 
