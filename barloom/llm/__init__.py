@@ -1,13 +1,17 @@
 """Operators of a training-data pipeline. Nothing else in the library imports this subpackage."""
 
+from barloom.llm.language_id import op3_language_id
 from barloom.llm.line_dedup import OP5_SQL, op5_line_dedup
+from barloom.llm.near_dedup import op1_minhash_near_dedup
 from barloom.llm.packing import op9_packing
 from barloom.llm.pii import op4_pii
 from barloom.llm.quality_rules import op6_quality_rules
 from barloom.llm.sharding import op2_sharding
 
 QUERIES = {
+    "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_sharding": op2_sharding,
+    "op3_language_id": op3_language_id,
     "op4_pii": op4_pii,
     "op5_line_dedup": op5_line_dedup,
     "op6_quality_rules": op6_quality_rules,
