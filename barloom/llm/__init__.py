@@ -1,6 +1,9 @@
 """Operators of a training-data pipeline. Nothing else in the library imports this subpackage."""
 
+from barloom.llm.decontaminate import op7_decontaminate
+from barloom.llm.html_extract import op10_html_extract
 from barloom.llm.language_id import op3_language_id
+from barloom.llm.lattice_lm import op8_lattice_lm
 from barloom.llm.line_dedup import OP5_SQL, op5_line_dedup
 from barloom.llm.near_dedup import op1_minhash_near_dedup
 from barloom.llm.packing import op9_packing
@@ -15,7 +18,10 @@ QUERIES = {
     "op4_pii": op4_pii,
     "op5_line_dedup": op5_line_dedup,
     "op6_quality_rules": op6_quality_rules,
+    "op7_decontaminate": op7_decontaminate,
+    "op8_lattice_lm": op8_lattice_lm,
     "op9_packing": op9_packing,
+    "op10_html_extract": op10_html_extract,
 }
 
 ORACLE_SQL = {"op5_line_dedup": OP5_SQL}

@@ -153,9 +153,14 @@ def suspected_repeats(docs: DataFrame, bits: int = BLOOM_BITS) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(by_batch(make), "doc_id bigint, line_no int, key binary")
 
 
-def _strip_lines(docs: DataFrame, out_schema: str, drops) -> DataFrame:
+ADDED = ["n_lines", "n_dropped", "kept_sha256"]
+
+
+def _strip_lines(docs: DataFrame, drops) -> DataFrame:
     """Cut lines out of text; drops() gives, in a task, (batch) -> for each row a function of (line number, key)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_lines", pa.int64()), ("n_dropped", pa.int64()), ("kept_sha256", pa.string())])
+    kept = [f for f in docs.schema if f.name != _DROPS]
+    schema = ", ".join([f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in kept] + ["n_lines bigint, n_dropped bigint, kept_sha256 string"])
+    names = [f.name for f in kept]
 
     def make():
         tests = drops()
@@ -164,63 +169,69 @@ def _strip_lines(docs: DataFrame, out_schema: str, drops) -> DataFrame:
             texts, total, cut, digests = [], [], [], []
             for text, test in zip(as_bytes(batch.column("text")), tests(batch)):
                 lines = text.split(b"\n")
-                kept = [x for n, x in enumerate(lines) if not ((k := line_key(x)) and test(n, k))]
-                out = b"\n".join(kept)
+                left = [x for n, x in enumerate(lines) if not ((k := line_key(x)) and test(n, k))]
+                out = b"\n".join(left)
                 texts.append(out)
                 total.append(len(lines))
-                cut.append(len(lines) - len(kept))
+                cut.append(len(lines) - len(left))
                 digests.append(hashlib.sha256(out).hexdigest())
-            columns = [batch.column("doc_id"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(total, pa.int64()), pa.array(cut, pa.int64()), pa.array(digests, pa.string())]
-            return pa.RecordBatch.from_arrays(columns, schema=schema)
+            new = {"text": pa.array(texts, pa.binary()).cast(pa.string())}
+            columns = [new[n] if n in new else batch.column(n) for n in names]
+            columns += [pa.array(total, pa.int64()), pa.array(cut, pa.int64()), pa.array(digests, pa.string())]
+            return pa.RecordBatch.from_arrays(columns, names=names + ADDED)
 
         return one
 
-    return docs.mapInArrow(by_batch(make), out_schema)
+    return docs.mapInArrow(by_batch(make), schema)
+
+
+_DROPS = "_dropped_lines"
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, bits: int = BLOOM_BITS, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """Drop the lines whose key stands in at least min_docs documents (rows of docs: doc_id long, text string).
 
-    Returns doc_id, text (the kept lines joined by a newline), n_lines, n_dropped, kept_sha256. With keep_first the
-    first occurrence of a dropped key stays: lowest doc_id, then lowest line (null doc_id last; of rows that repeat a
-    doc_id, each keeps it). Null or empty text is one empty line, and empty keys are never dropped. Rows that repeat a
-    doc_id count as documents of their own. Other columns are ignored. An empty table gives an empty table.
+    Returns the columns of docs, text being the kept lines joined by a newline, and n_lines, n_dropped, kept_sha256 (in
+    place of columns of these names). With keep_first the first occurrence of a dropped key stays: lowest doc_id, then
+    lowest line (null doc_id last; of rows that repeat a doc_id, each keeps it). Null or empty text is one empty line,
+    and empty keys are never dropped. Rows that repeat a doc_id count as documents of their own. An empty table gives an
+    empty table.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    spark, schema = docs.sparkSession, "doc_id bigint, text string, n_lines bigint, n_dropped bigint, kept_sha256 string"
+    docs = docs.drop(*ADDED, _DROPS).withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
+    spark = docs.sparkSession
     suspects = materialize(suspected_repeats(docs, bits), "suspects")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "line_no")).alias("first")
     repeated = materialize(suspects.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), first).where(F.col("docs") >= min_docs), "repeated")
     if repeated.count() <= broadcast_keys:
-        held = spark.sparkContext.broadcast({r.key: (r.first.doc_id, r.first.line_no) for r in repeated.select(F.col("key"), "first").collect()})
+        held = spark.sparkContext.broadcast({bytes(r.key): (r.first.doc_id, r.first.line_no) for r in repeated.select("key", "first").collect()})
 
         def by_key():
-            known, digest = {bytes(k): v for k, v in held.value.items()}, xxhash.xxh3_128_digest
+            known, digest = held.value, xxhash.xxh3_128_digest
             if keep_first:
                 return lambda batch: [lambda n, k, d=d: known.get(digest(k), (d, n)) != (d, n) for d in batch.column("doc_id").to_pylist()]
             return lambda batch: [lambda n, k: digest(k) in known] * batch.num_rows
 
-        return _strip_lines(docs, schema, by_key)
+        return _strip_lines(docs, by_key)
 
-    kept = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) if keep_first else F.lit(False)
-    entry = F.struct("key", F.when(kept, F.col("first.line_no")).alias("stays"))
-    own = suspects.select("doc_id", "key").join(repeated, "key").groupBy("doc_id").agg(F.collect_set(entry).alias("drops")).withColumnRenamed("doc_id", "of")
-    joined = docs.join(own, docs.doc_id.eqNullSafe(own.of), "left").select("doc_id", "text", "drops")
+    stays = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) if keep_first else F.lit(False)
+    entry = F.struct("key", F.when(stays, F.col("first.line_no")).alias("stays"))
+    own = suspects.select("doc_id", "key").join(repeated, "key").groupBy(F.col("doc_id").alias("_of")).agg(F.collect_set(entry).alias(_DROPS))
+    joined = docs.join(own, docs.doc_id.eqNullSafe(own["_of"]), "left").drop("_of")
 
     def by_row():
         def tests(batch):
-            for drops in batch.column("drops").to_pylist():
+            for drops in batch.column(_DROPS).to_pylist():
                 known = {bytes(x["key"]): x["stays"] for x in drops or ()}
                 yield lambda n, k, known=known: (h := xxhash.xxh3_128_digest(k)) in known and known[h] != n
 
         return tests
 
-    return _strip_lines(joined, schema, by_row)
+    return _strip_lines(joined, by_row)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines found in ten documents or more go from every document."""
-    return dedup_lines(table(spark, sf_dir, "documents"), min_docs=10).drop("text")
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10).drop("text")
 
 
 OP5_SQL = """
