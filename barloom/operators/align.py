@@ -44,14 +44,14 @@ def completed_context(m15: DataFrame, bars: DataFrame, prefix: str, by: Sequence
     availability "label" takes the bar whose label lies before the row's label, though it may still be forming (the
     customary rule, which leaks); "close" takes the last bar that has ended when the row's own bar ends.
     """
+    if availability not in ("label", "close"):
+        raise ValueError(f"availability is label or close, not {availability}")
     context = bars.select(*by, "timestamp", *BAR)
     if availability == "label":
         joined = asof_backward(m15, context, by=by)
-    elif availability == "close":
+    else:
         ends = F.col("timestamp") + F.expr(f"INTERVAL {bar_seconds} SECONDS")
         joined = asof_backward(m15, context, F.col("timestamp") + F.expr(f"INTERVAL {decision_seconds} SECONDS"), ends, by, ties=True)
-    else:
-        raise ValueError(f"availability is label or close, not {availability}")
     return joined.select(*m15.columns, *[F.col(f"ctx.{c}").alias(f"{prefix}{c}") for c in ["timestamp", *BAR]])
 
 

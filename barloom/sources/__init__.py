@@ -6,6 +6,7 @@ import json
 from collections.abc import Iterable
 from pathlib import PurePosixPath
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,9 +55,10 @@ def read_raw_bars(spark: SparkSession, path: str, pattern: str = "*.csv") -> Dat
 
     Raises if no file matches the pattern. Header names lose their angle brackets and are lower-cased.
     """
-    raw = spark.read.option("sep", "\t").option("header", True).option("pathGlobFilter", pattern).csv(path)
-    if not raw.columns:
-        raise FileNotFoundError(f"no {pattern} in {path}")
+    try:
+        raw = spark.read.option("sep", "\t").option("header", True).option("pathGlobFilter", pattern).csv(path)
+    except AnalysisException as e:
+        raise FileNotFoundError(f"no {pattern} in {path}") from e
     names = [n.strip().replace("<", "").replace(">", "").lower() for n in raw.columns]
     meta = raw.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_size").alias("_size"))
     return meta.toDF(*names, "file_path", "file_size").withColumn("ordinal", F.monotonically_increasing_id())
