@@ -111,18 +111,24 @@ def disclosive_terms(docs: DataFrame, threshold: float = 0.75, removal: float =
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("of"))
     entity_docs = docs.select("of", "text", *[base_spans(F.col("text"), k).alias(k) for k in KINDS]).where(" or ".join(f"size({k}) > 0" for k in KINDS))
     near = materialize(_entities(entity_docs), "entity-terms")
+    total = F.lit(float(docs.select("of").distinct().count()))
+    information = F.log2(total / F.col("with_entity"))
+
+    def share(with_term: str) -> Column:
+        return F.try_divide(F.log2(F.col("both") * total / (F.col(with_term) * F.col("with_entity"))), information)
+
     pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= min_texts)
     of_entity = near.select("entity", "of").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
-    pairs = materialize(pairs.join(of_entity, "entity"), "entity-pairs")
+    # a term stands in at least the texts in which it stands near an entity: pairs that miss the threshold even so are out
+    near_terms = near.select("term", "of").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("near_entities"))
+    pairs = pairs.join(of_entity, "entity").join(near_terms, "term").where(share("near_entities") >= threshold)
+    pairs = materialize(pairs.drop("near_entities"), "entity-pairs")
     candidates = pairs.select("term").distinct()
     small = candidates.count() <= broadcast_terms
     each = docs.select("doc_id", "of", F.explode(F.array_distinct(_words(F.col("text")))).alias("term"))
     held = materialize(each.join(F.broadcast(candidates) if small else candidates, "term", "left_semi"), "term-hits")
     of_term = held.select("term", "of").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
-    total = F.lit(float(docs.select("of").distinct().count()))
-    information = F.log2(total / F.col("with_entity"))
-    share = F.try_divide(F.log2(F.col("both") * total / (F.col("with_term") * F.col("with_entity"))), information)
-    told = pairs.join(of_term, "term").withColumn("share", share).groupBy("term").agg(F.max("share").alias("share")).where(F.col("share") >= threshold)
+    told = pairs.join(of_term, "term").withColumn("share", share("with_term")).groupBy("term").agg(F.max("share").alias("share")).where(F.col("share") >= threshold)
     terms = materialize(told.withColumn("removed", F.col("share") >= removal), "disclosive-terms")
     return terms, held.select("doc_id", "term").distinct().join(terms, "term")
 
