@@ -3,8 +3,9 @@
 Each permutation of the shingle hashes gives two signature values, the least and the greatest, so a signature of 2k
 values takes k evaluations. Bands of the signature make buckets; documents of one bucket are candidates, and links are
 confirmed on full shingle sets. Equal sets are one class from the start. A bucket is first linked as a star to its
-smallest member; then only members of different components of one bucket are still compared, so a group of copies
-costs as many comparisons as it has members and yet no link that a bucket shows is lost.
+smallest member. Members of buckets that still hold several components are then matched exactly by their rarest
+shingles (prefix filter), so a group of copies costs about as many comparisons as it has members, and no link that a
+bucket shows is lost.
 """
 
 from __future__ import annotations
@@ -113,6 +114,43 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(by_batch(make), "a bigint, b bigint").distinct()
 
 
+def _prefix_pairs(apart: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of apart (class, rep, n, c: component) in different components that may meet the similarity.
+
+    A pair that does shares a shingle among the rarest of both, so near the front of both lists of shingles by rising
+    frequency: the places say how many shingles the two can still share. A document that differs from its group by many
+    rare shingles meets few others there, whatever the size of the group. Of the components that meet at a shingle, the
+    largest is compared with the others only.
+    """
+    texts = docs.join(apart.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    schema = pa.schema([("doc_id", pa.int64()), ("class", pa.binary()), ("shingles", pa.list_(pa.int64()))])
+
+    def make():
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            sets = [shingle_set(t, words) for t in as_bytes(batch.column("text"))]
+            columns = [batch.column("doc_id"), pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in sets], pa.binary()), pa.array([x.view(np.int64) for x in sets], schema.field("shingles").type)]
+            return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+        return one
+
+    found = texts.mapInArrow(by_batch(make), "doc_id bigint, class binary, shingles array<bigint>").dropDuplicates(["class"])
+    rows = materialize(found.join(apart.select("class"), "class", "left_semi").select("class", "shingles"), "apart-shingles")
+    rows = rows.select("class", F.explode("shingles").alias("shingle"))
+    shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    lists = rows.join(shared, "shingle").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("list"))
+    alone = F.col("n") - F.size("list")  # shingles that no other has come first
+    length = F.col("n") - F.floor((percent * F.col("n") + 99) / 100).cast("long") + 1
+    front = lists.join(apart, "class").select("rep", "n", "c", F.posexplode(F.slice("list", F.lit(1), F.greatest(length - alone, F.lit(0)).cast("int"))).alias("at", "s"), alone.alias("alone"))
+    front = materialize(front.select("rep", "n", "c", F.col("s.shingle").alias("shingle"), (F.col("alone") + F.col("at") + 1).alias("place")), "prefixes")
+    largest = front.groupBy("shingle", "c").count().groupBy("shingle").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count(F.lit(1)).alias("met")).where("met > 1").drop("met")
+    front = front.join(largest, "shingle")
+    one = front.where("c <> main").drop("main")
+    two = front.select("shingle", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("place").alias("place2"), (F.col("c") == F.col("main")).alias("in_main"))
+    most = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) + 1
+    meets = (F.col("c") != F.col("c2")) & (F.col("in_main") | (F.col("rep") < F.col("rep2"))) & ((100 + percent) * most >= percent * (F.col("n") + F.col("n2")))
+    return one.join(two, "shingle").where(meets).select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Components of docs (doc_id long, text string) under Jaccard similarity of word shingles, percent / 100 or more.
 
@@ -127,25 +165,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     signed = materialize(_signed(docs, words), "signatures")
     reps = signed.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     reps = materialize(reps.where("rep is not null"), "classes")
-    member = reps.select(F.explode("bands").alias("key"), F.col("rep"), "n")
+    member = reps.select(F.explode("bands").alias("key"), "class", "rep", "n")
     hubs = member.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1").select("key", "hub")
-    star = member.join(hubs, "key").where(F.col("hub.rep") != F.col("rep")).where(_near(F.col("hub.n"), F.col("n"), percent))
+    buckets = materialize(member.join(hubs, "key"), "buckets")
+    star = buckets.where((F.col("hub.rep") != F.col("rep")) & _near(F.col("hub.n"), F.col("n"), percent))
     pairs = materialize(star.select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct(), "star-pairs")
     links = materialize(_confirmed(pairs, docs, words, percent), "star-links")
     found = connected_components(links)
 
-    # what the stars left apart: in each bucket, members outside its largest component against those of other components
-    placed = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
-        F.explode("bands").alias("key"), "rep", "n", F.coalesce("component", "rep").alias("c")
-    )
+    # what the stars left apart: members of buckets that still hold several components
+    placed = buckets.drop("hub").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
     split = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-    open_members = materialize(placed.join(split, "key", "left_semi"), "open-buckets")
-    largest = open_members.groupBy("key", "c").count().groupBy("key").agg(F.max_by("c", F.struct("count", "c")).alias("main"))
-    one = open_members.join(largest, "key").where("c <> main").drop("main")
-    two = open_members.join(largest, "key").select("key", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("c").alias("c2"), (F.col("c") == F.col("main")).alias("in_main"))
-    apart = (F.col("c") != F.col("c2")) & _near(F.col("n"), F.col("n2"), percent) & (F.col("in_main") | (F.col("rep") < F.col("rep2")))
-    rest = one.join(two, "key").where(apart).select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
-    rest = materialize(rest.join(pairs, ["a", "b"], "left_anti"), "rest-pairs")
+    apart = materialize(placed.join(split, "key", "left_semi").select("class", "rep", "n", "c").distinct(), "apart")
+    rest = materialize(_prefix_pairs(apart, docs, words, percent), "rest-pairs")
     more = _confirmed(rest, docs, words, percent)
     found = connected_components(links.unionByName(more))
 
