@@ -26,6 +26,8 @@ _RANDOM = np.random.Generator(np.random.PCG64(20240501))
 _MASKS = _RANDOM.integers(0, 1 << 64, PERMUTATIONS, np.uint64)
 _FACTORS = _RANDOM.integers(0, 1 << 64, PERMUTATIONS, np.uint64) | np.uint64(1)
 _WEIGHTS = _RANDOM.integers(0, 1 << 64, 64, np.uint64) | np.uint64(1)
+#: Bits of the bitmap of wanted ids that goes to every task (4 MB), and of one row of it.
+ID_BITS, ID_ROW_BITS = 1 << 25, 1 << 15
 
 
 def shingle_set(text: bytes, words: int) -> np.ndarray:
@@ -86,10 +88,21 @@ def _near(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
+def _of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id is in ids (doc_id, distinct). Most others are left out before texts are shuffled, by a bitmap of
+    hashed ids of a fixed size; a full bitmap would only let more rows through to the join."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(ID_BITS))
+    row, at = F.floor(bit / ID_ROW_BITS).alias("_row"), bit % ID_ROW_BITS
+    wanted = ids.select(row, at.alias("_at")).repartition("_row").groupBy("_row").agg(F.bitmap_construct_agg("_at").alias("_bits"))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    likely = docs.withColumn("_row", row).join(F.broadcast(wanted), "_row").where(F.getbit(byte, (at % 8).cast("int")) == 1)
+    return likely.drop("_row", "_bits").join(ids, "doc_id")  # a semi-join would be pushed below the bitmap's join
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Of pairs (a, b), those whose full shingle sets meet the similarity."""
     ends = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = materialize(docs.join(ends, "doc_id", "left_semi"), "pair-texts")
+    texts = materialize(_of_ids(docs, ends), "pair-texts")
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     joined = pairs.join(right, "b").join(left, "a")
@@ -115,14 +128,14 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
 
 
 def _prefix_pairs(apart: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of apart (class, rep, n, c: component) in different components that may meet the similarity.
+    """Pairs (a, b) of apart (node, class, rep, n, c: component) in different components that may meet the similarity.
 
     A pair that does shares a shingle among the rarest of both, so near the front of both lists of shingles by rising
     frequency: the places say how many shingles the two can still share. A document that differs from its group by many
     rare shingles meets few others there, whatever the size of the group. Of the components that meet at a shingle, the
     largest is compared with the others only.
     """
-    texts = docs.join(apart.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    texts = _of_ids(docs, apart.select(F.col("rep").alias("doc_id")).distinct())
     schema = pa.schema([("doc_id", pa.int64()), ("class", pa.binary()), ("shingles", pa.list_(pa.int64()))])
 
     def make():
@@ -134,13 +147,13 @@ def _prefix_pairs(apart: DataFrame, docs: DataFrame, words: int, percent: int) -
         return one
 
     found = texts.mapInArrow(by_batch(make), "doc_id bigint, class binary, shingles array<bigint>").dropDuplicates(["class"])
-    rows = materialize(found.join(apart.select("class"), "class", "left_semi").select("class", "shingles"), "apart-shingles")
-    rows = rows.select("class", F.explode("shingles").alias("shingle"))
+    rows = materialize(found.join(apart.select("class", "node"), "class").select("node", "shingles"), "apart-shingles")
+    rows = rows.select("node", F.explode("shingles").alias("shingle"))
     shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    lists = rows.join(shared, "shingle").groupBy("class").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("list"))
+    lists = rows.join(shared, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("list"))
     alone = F.col("n") - F.size("list")  # shingles that no other has come first
     length = F.col("n") - F.floor((percent * F.col("n") + 99) / 100).cast("long") + 1
-    front = lists.join(apart, "class").select("rep", "n", "c", F.posexplode(F.slice("list", F.lit(1), F.greatest(length - alone, F.lit(0)).cast("int"))).alias("at", "s"), alone.alias("alone"))
+    front = lists.join(apart, "node").select("rep", "n", "c", F.posexplode(F.slice("list", F.lit(1), F.greatest(length - alone, F.lit(0)).cast("int"))).alias("at", "s"), alone.alias("alone"))
     front = materialize(front.select("rep", "n", "c", F.col("s.shingle").alias("shingle"), (F.col("alone") + F.col("at") + 1).alias("place")), "prefixes")
     largest = front.groupBy("shingle", "c").count().groupBy("shingle").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count(F.lit(1)).alias("met")).where("met > 1").drop("met")
     front = front.join(largest, "shingle")
@@ -164,8 +177,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = materialize(_signed(docs, words), "signatures")
     reps = signed.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    reps = materialize(reps.where("rep is not null"), "classes")
-    member = reps.select(F.explode("bands").alias("key"), "class", "rep", "n")
+    reps = materialize(reps.where("rep is not null").withColumn("node", F.monotonically_increasing_id()), "classes")
+    member = reps.select(F.explode("bands").alias("key"), "node", "rep", "n")
     hubs = member.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count(F.lit(1)).alias("members")).where("members > 1").select("key", "hub")
     buckets = materialize(member.join(hubs, "key"), "buckets")
     star = buckets.where((F.col("hub.rep") != F.col("rep")) & _near(F.col("hub.n"), F.col("n"), percent))
@@ -173,10 +186,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     links = materialize(_confirmed(pairs, docs, words, percent), "star-links")
     found = connected_components(links)
 
-    # what the stars left apart: members of buckets that still hold several components
-    placed = buckets.drop("hub").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
+    # what the stars left apart: members of buckets that still hold several components, besides the hub, which has met them all
+    placed = buckets.where((F.col("hub.rep") != F.col("rep")) | (F.col("hub.n") != F.col("n"))).drop("hub").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
     split = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-    apart = materialize(placed.join(split, "key", "left_semi").select("class", "rep", "n", "c").distinct(), "apart")
+    apart = placed.join(split, "key", "left_semi").select("node", "rep", "n", "c").distinct()
+    apart = materialize(apart.join(reps.select("node", "class"), "node"), "apart")
     rest = materialize(_prefix_pairs(apart, docs, words, percent), "rest-pairs")
     more = _confirmed(rest, docs, words, percent)
     found = connected_components(links.unionByName(more))
