@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Text is stripped and split at these characters only, as the contracts say.
 SPACE = r"\x20\x09-\x0D"
+SLICE_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,13 +41,14 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
 
 
 def by_batch(make):
-    """For mapInArrow: make() is called once a task and gives the function of one batch."""
+    """For mapInArrow: make() is called once a task and gives the function of one batch. Batches come in slices of at
+    most SLICE_ROWS rows, so that what a function makes of long texts stays small."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one = make()
         for batch in batches:
-            if batch.num_rows:
-                out = one(batch)
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                out = one(batch.slice(at, SLICE_ROWS))
                 if out is not None:
                     yield out
 

@@ -14,7 +14,7 @@ from barloom.llm.common import materialize, table
 from barloom.llm.decontaminate import decontaminate
 from barloom.llm.language_id import fit_dictionaries, identify_language, training_rows
 from barloom.llm.line_dedup import dedup_lines
-from barloom.llm.near_dedup import near_duplicates
+from barloom.llm.near_dedup import near_duplicates, without_ids
 from barloom.llm.packing import pack_power_of_two
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -36,7 +36,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (shingles of five words, similarity 0.8)."""
     gone = near_duplicates(docs, words=5, percent=80).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
+    return without_ids(docs, gone).select(COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
