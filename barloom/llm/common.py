@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -40,6 +42,13 @@ def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
+def give_back() -> None:
+    """Hand freed memory back to the system: a Python worker lives on for the tasks of later stages."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def by_batch(make):
     """For mapInArrow: make() is called once a task and gives the function of one batch. Batches come in slices of at
     most SLICE_ROWS rows, so that what a function makes of long texts stays small."""
@@ -51,5 +60,6 @@ def by_batch(make):
                 out = one(batch.slice(at, SLICE_ROWS))
                 if out is not None:
                     yield out
+        give_back()
 
     return run

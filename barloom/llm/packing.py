@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 from barloom.llm.common import by_batch, table
 
 #: Distinct chunks that a worker keeps the ids of, and the longest chunk that it keeps.
-CACHED, CACHED_CHARS = 500_000, 40
+CACHED, CACHED_CHARS = 100_000, 40
 #: Marks the end of a word; a private character that no chunk of the fast way holds.
 _END = "\U0010fffd"
 _PLAIN = re.compile(r"[\x21-\x7e\xa1-\xff]+")
