@@ -24,7 +24,7 @@ CACHED, CACHED_CHARS = 100_000, 40
 #: Marks the end of a word; a private character that no chunk of the fast way holds.
 _END = "\U0010fffd"
 _PLAIN = re.compile(r"[\x21-\x7e\xa1-\xff]+")
-_ENCODERS: dict[str, "ChunkEncoder"] = {}
+_ENCODERS: dict[tuple[str, int], "ChunkEncoder"] = {}
 
 
 def pieces_of(n: int, longest: int) -> list[tuple[int, int]]:
@@ -54,12 +54,12 @@ class ChunkEncoder:
     with separators that only Python takes for white space, go through tokenizers whole.
     """
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, cached: int = CACHED):
         import regex
         import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(vocabulary), {}
+        self.tokenizer, self.known, self.cached = Tokenizer.from_file(vocabulary), {}, cached
         with open(vocabulary, encoding="utf-8") as file:
             spec = json.load(file)
         letters, end = _byte_of_letter(), _END.encode()
@@ -106,20 +106,20 @@ class ChunkEncoder:
                 pass
             new = self._encode(list({c for c in chunks if c not in self.known}))
             out.append(b"".join([new[c] if c in new else self.known[c] for c in chunks]))
-            if len(self.known) + len(new) > CACHED:
+            if len(self.known) + len(new) > self.cached:
                 self.known.clear()
             self.known.update((c, x) for c, x in new.items() if len(c) <= CACHED_CHARS)
         return out
 
 
-def encoder(vocabulary: str) -> ChunkEncoder:
+def encoder(vocabulary: str, cached: int = CACHED) -> ChunkEncoder:
     """One for each vocabulary and Python worker."""
-    if vocabulary not in _ENCODERS:
-        _ENCODERS[vocabulary] = ChunkEncoder(vocabulary)
-    return _ENCODERS[vocabulary]
+    if (vocabulary, cached) not in _ENCODERS:
+        _ENCODERS[vocabulary, cached] = ChunkEncoder(vocabulary, cached)
+    return _ENCODERS[vocabulary, cached]
 
 
-def pack_power_of_two(docs: DataFrame, vocabulary: str, end_id: int = 2, longest: int = 4096, blocks: int = 1024, with_ids: bool = True) -> DataFrame:
+def pack_power_of_two(docs: DataFrame, vocabulary: str, end_id: int = 2, longest: int = 4096, blocks: int = 1024, with_ids: bool = True, cached: int = CACHED) -> DataFrame:
     """Pack docs (doc_id long, text string) into sequences of at most longest tokens, a power of two.
 
     vocabulary: a file of the tokenizers library that every machine has; its path is a parameter. A document's ids are
@@ -127,7 +127,7 @@ def pack_power_of_two(docs: DataFrame, vocabulary: str, end_id: int = 2, longest
     start, length, ids_crc32 (little-endian unsigned 32-bit ids), doc_tokens, sequence_id, offset (0: a piece is a
     sequence), bucket (length of the sequence) and, with_ids, ids (array of int). sequence_id is unique and depends on
     the rows only: the row's number in one of `blocks` hash blocks of its bucket; rows that repeat a doc_id get ids of
-    their own. Other columns are ignored. An empty table gives an empty table.
+    their own. A worker keeps the ids of `cached` chunks, about 400 bytes each. Other columns are ignored. An empty table gives an empty table.
     """
     if longest & (longest - 1) or longest < 1:
         raise ValueError("longest must be a power of two")
@@ -136,7 +136,7 @@ def pack_power_of_two(docs: DataFrame, vocabulary: str, end_id: int = 2, longest
     end = np.array([end_id], "<u4").tobytes()
 
     def make():
-        encode = encoder(vocabulary)
+        encode = encoder(vocabulary, cached)
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             rows, ids = [], []
@@ -167,4 +167,4 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 4096 ids of the word BPE vocabulary."""
     import public_tokenizers
 
-    return pack_power_of_two(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+    return pack_power_of_two(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False, cached=500_000)
