@@ -146,6 +146,25 @@ def test_language_edges(spark, sf, edge, empty):
     assert language_id.fit_dictionaries(empty.select("text", "lang")) == []
 
 
+def test_language_whole_text_decides():
+    """Every part of a long text counts, whatever stands at its start."""
+    rng = random.Random(5)
+    words = {k: ["".join(rng.choices(letters, k=rng.randint(3, 9))) for _ in range(800)] for k, letters in (("aa", "abcdefghijklm"), ("bb", "nopqrstuvwxyz"))}
+    write = lambda k, n: " ".join(rng.choices(words[k], k=n))
+    model = [(k, write(k, 30_000).encode()[:200_000]) for k in words]
+    compressors = language_id._compressors(model)
+    digits = " ".join(str(rng.randrange(10**9)) for _ in range(80_000))
+    for k in words:
+        text = digits + " " + write(k, 20_000)
+        assert language_id.classify(text, model, compressors)[0] == k
+        assert language_id.classify(text, model, compressors)[2] * len(text) > 5_000
+    other = write("aa", 15_000) + " " + write("bb", 250_000)
+    assert language_id.classify(other, model, compressors)[0] == "bb"
+    for text in (digits, "é日😀" * 20_000, "x" * 16_384, ""):
+        pieces = language_id.slices(text.encode())
+        assert b"".join(pieces) == text.encode() and max(map(len, pieces)) <= language_id.SLICE and all(p.decode() is not None for p in pieces)
+
+
 # ---- 4 PII ----
 CONTRACT = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
