@@ -1,8 +1,8 @@
 """Personal data: exact patterns, and terms whose corpus co-occurrence gives a protected entity away.
 
-Entities are found by pattern. For each entity e and each term t near it, the pointwise mutual information of t and e
-over the distinct texts of the corpus is held against the information content of e: a share of 1 means that the term
-stands only beside that entity and reveals it fully. Terms above a disclosure threshold are generalised, above a higher
+Entities are found by pattern. For each entity e and each word t of its texts, the pointwise mutual information of t and
+e over the distinct texts of the corpus is held against the information content of e: a share of 1 means that the term
+stands only in that entity's texts and reveals it fully. Terms above a disclosure threshold are generalised, above a higher
 one removed. Everything is built-in DataFrame work.
 """
 
@@ -25,8 +25,8 @@ PATTERNS = {
 #: What a text must hold for the pattern to be tried at all.
 NEEDS = {"email": "@", "phone": "+"}
 KINDS = list(PATTERNS)
-#: Characters of context on each side of an entity whose words may give it away.
-CONTEXT = 80
+#: Stands for a base span while a text is split into words: a word that touches one is no term.
+HOLE = "\uffff"
 EDGE = ".,;:!?()\"'|"
 NO_SPANS = "array<struct<start:int,end:int,value:string>>"
 
@@ -81,18 +81,23 @@ def _words(text: Column) -> Column:
     return F.transform(F.split(text, f"[{SPACE}]+"), lambda w: F.lower(F.btrim(w, F.lit(EDGE))))
 
 
-def _entities(texts: DataFrame) -> DataFrame:
-    """(of: hash of the text, entity, term): distinct words of letters within CONTEXT characters of a base span."""
-    named = F.concat(*[F.transform(F.col(k), _named(k)) for k in KINDS])
-    each = texts.select("of", "text", F.explode(named).alias("s"))
-    start, end = F.col("s.start"), F.col("s.end")
-    left = F.substring("text", F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT)))
-    right = F.substring("text", end + 1, F.lit(CONTEXT))
-    # a word that the context's edge may cut is left out
-    before = F.when(start > CONTEXT, _let(_words(left), lambda w: F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))))).otherwise(_words(left))
-    after = F.when(F.length(right) == CONTEXT, _let(_words(right), lambda w: F.slice(w, 1, F.size(w) - 1))).otherwise(_words(right))
-    near = each.select("of", F.xxhash64("s.value").alias("entity"), F.explode(F.array_distinct(F.concat(before, after))).alias("term"))
-    return near.where(F.col("term").rlike(r"^\p{L}{3,}$")).distinct()
+def _marked(text: Column, spans: Column) -> Column:
+    """text with each run of overlapping spans replaced by HOLE."""
+    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def step(acc: Column, s: Column) -> Column:
+        out = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(HOLE))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], out).otherwise(acc["out"]).alias("out"))
+
+    cut = F.aggregate(F.sort_array(spans), first, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, cut).otherwise(text)
+
+
+def _terms(docs: DataFrame, *keep: str) -> DataFrame:
+    """keep and term: the distinct words of each text in lower case, edge punctuation stripped, base spans left out."""
+    # outer: an inner explode makes Spark compute the words a second time, for a filter
+    words = _let(F.concat(*[base_spans(F.col("text"), k) for k in KINDS]), lambda spans: _words(_marked(F.col("text"), spans)))
+    return docs.select(*keep, F.explode_outer(F.array_distinct(words)).alias("term")).where((F.col("term") != "") & ~F.contains("term", F.lit(HOLE)))
 
 
 def _named(kind: str):
@@ -109,26 +114,37 @@ def disclosive_terms(docs: DataFrame, threshold: float = 0.75, removal: float =
     of one text count once; a pair counts from min_texts texts on. Sets of up to broadcast_terms candidate terms are
     broadcast, larger ones are joined by a shuffle."""
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("of"))
-    entity_docs = docs.select("of", "text", *[base_spans(F.col("text"), k).alias(k) for k in KINDS]).where(" or ".join(f"size({k}) > 0" for k in KINDS))
-    near = materialize(_entities(entity_docs), "entity-terms")
     total = F.lit(float(docs.select("of").distinct().count()))
     information = F.log2(total / F.col("with_entity"))
 
-    def share(with_term: str) -> Column:
-        return F.try_divide(F.log2(F.col("both") * total / (F.col(with_term) * F.col("with_entity"))), information)
-
-    pairs = near.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= min_texts)
-    of_entity = near.select("entity", "of").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity"))
-    # a term stands in at least the texts in which it stands near an entity: pairs that miss the threshold even so are out
-    near_terms = near.select("term", "of").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("near_entities"))
-    pairs = pairs.join(of_entity, "entity").join(near_terms, "term").where(share("near_entities") >= threshold)
+    def share(with_term: Column, both: Column = F.col("both")) -> Column:
+        return F.try_divide(F.log2(both * total / (with_term * F.col("with_entity"))), information)
+
+    def small(terms: DataFrame) -> DataFrame:
+        return F.broadcast(terms) if terms.count() <= broadcast_terms else terms
+
+    # bounds below are exact, but for rounding: a pair stands in no more texts than its entity or its term
+    least = threshold - 1e-9
+    named = F.concat(*[F.transform(base_spans(F.col("text"), k), _named(k)) for k in KINDS])
+    near = docs.select("of", F.explode_outer(F.transform(named, lambda s: F.xxhash64(s["value"]))).alias("entity")).where("entity is not null").distinct()
+    near = materialize(near, "entity-texts")
+    of_entity = near.groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity")).where(F.col("with_entity") >= min_texts)
+    near = materialize(near.join(of_entity, "entity"), "known-entity-texts")
+    # the most frequent entity admits the most frequent terms
+    most = near.agg(F.coalesce(F.max("with_entity"), F.lit(1)).alias("with_entity")).first()[0]
+    words = materialize(_terms(docs.join(near.select("of").distinct(), "of", "left_semi"), "of").distinct(), "entity-terms")
+    # a term stands in at least the texts in which it stands with an entity: what misses the threshold even so is out
+    at_best = share(F.col("near_entities"), F.least("with_entity", "near_entities"))
+    near_terms = words.groupBy("term").agg(F.count(F.lit(1)).alias("near_entities")).where(F.col("near_entities") >= min_texts)
+    near_terms = near_terms.withColumn("with_entity", F.lit(most)).where(F.coalesce(at_best >= least, F.lit(most) >= total)).drop("with_entity")
+    words = words.join(small(materialize(near_terms, "near-terms")), "term")
+    pairs = near.join(words, "of").where(at_best >= least).groupBy("entity", "with_entity", "term", "near_entities").agg(F.count(F.lit(1)).alias("both"))
+    pairs = pairs.where((F.col("both") >= min_texts) & (share(F.col("near_entities")) >= least))
     pairs = materialize(pairs.drop("near_entities"), "entity-pairs")
     candidates = pairs.select("term").distinct()
-    small = candidates.count() <= broadcast_terms
-    each = docs.select("doc_id", "of", F.explode(F.array_distinct(_words(F.col("text")))).alias("term"))
-    held = materialize(each.join(F.broadcast(candidates) if small else candidates, "term", "left_semi"), "term-hits")
+    held = materialize(_terms(docs, "doc_id", "of").join(small(candidates), "term", "left_semi"), "term-hits")
     of_term = held.select("term", "of").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
-    told = pairs.join(of_term, "term").withColumn("share", share("with_term")).groupBy("term").agg(F.max("share").alias("share")).where(F.col("share") >= threshold)
+    told = pairs.join(of_term, "term").withColumn("share", share(F.col("with_term"))).groupBy("term").agg(F.max("share").alias("share")).where(F.col("share") >= threshold)
     terms = materialize(told.withColumn("removed", F.col("share") >= removal), "disclosive-terms")
     return terms, held.select("doc_id", "term").distinct().join(terms, "term")
 
@@ -162,10 +178,14 @@ def sanitise(docs: DataFrame, threshold: float = 0.75, removal: float = 0.95, mi
     own = hits.groupBy(F.col("doc_id").alias("of_doc")).agg(F.collect_set("term").alias("terms"), F.collect_set(F.when(F.col("removed"), F.col("term"))).alias("gone"))
     own = materialize(own, "document-terms")
     joined = docs.join(own, F.col("doc_id").eqNullSafe(F.col("of_doc")), "left")
-    edge = SPACE + r".,;:!?()\x22'|"
-    pattern = F.concat(F.lit(f"(?iu)(?<![^{edge}])(?:"), F.array_join("terms", "|"), F.lit(f")(?![^{edge}])"))
-    term = F.when(F.col("terms").isNotNull(), _located(F.col("text"), pattern)).otherwise(F.array().cast(NO_SPANS))
+    # whole words only: the match begins where a word does, with its edge, and ends at the word's end but for its edge
+    edge = r"[.,;:!?()\x22'|]*+"
+    quoted = F.transform("terms", lambda t: F.concat(F.lit("\\Q"), F.replace(t, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
+    pattern = F.concat(F.lit(f"(?iu)(?<![^{SPACE}]){edge}(?:"), F.array_join(quoted, "|"), F.lit(f"){edge}(?![^{SPACE}])"))
+    term = F.when(F.col("terms").isNotNull(), F.transform(_located(F.col("text"), pattern), _bare)).otherwise(F.array().cast(NO_SPANS))
     spans = joined.select("doc_id", "text", "gone", *[base_spans(F.col("text"), k).alias(k) for k in KINDS], term.alias("term"))
+    free = lambda t: ~F.exists(F.concat(*KINDS), lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
+    spans = spans.withColumn("term", F.filter("term", free))
     base = F.concat(*[_joined(k, F.col(k)) for k in KINDS])
     labelled = [F.transform(F.col(k), _tagged(k)) for k in KINDS] + [F.transform("term", _tagged("term"))]
     return spans.select(
@@ -177,6 +197,13 @@ def sanitise(docs: DataFrame, threshold: float = 0.75, removal: float = 0.95, mi
     )
 
 
+def _bare(s: Column) -> Column:
+    """The span without edge punctuation."""
+    start = s["start"] + F.length(s["value"]) - F.length(F.ltrim(s["value"], F.lit(EDGE)))
+    value = F.btrim(s["value"], F.lit(EDGE))
+    return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"))
+
+
 def _tagged(kind: str):
     def tag(s: Column) -> Column:
         if kind != "term":

@@ -213,6 +213,24 @@ def test_pii_disclosive_terms(spark):
     assert all(r.n_terms == 0 for r in pii.sanitise(copies).collect())  # copies of one text are one text
 
 
+def test_pii_every_word_is_a_candidate(spark):
+    """Terms with digits, hyphens, apostrophes or regex signs, of one letter, with combining marks, and far from the entity."""
+    rng = random.Random(4)
+    noise = lambda n=12: " ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega", "sigma"]) for _ in range(n))
+    terms = ["jdoe42", "AB-1234", "Smith-Jones", "O'Neil", "李", "हिन्दी", "Rene\u0301", "c++(x", "a\\Eb"]
+    rows = [(i, f"{' '.join(terms)} {noise(40)} mail zb@corp.example.com {noise(40)} ({terms[0]}), faraway.") for i in range(6)]
+    rows += [(100 + i, f"{noise()} mail user{i}@x.example.org {noise()}") for i in range(60)]
+    rows += [(200, "alpha jdoe42.x AB-1234, call 10.0.0.7 42"), (201, "x@jdoe42.de beta")]
+    got = {r.doc_id: r for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in range(6):
+        left = set(got[i].text.lower().split())
+        assert got[i].n_terms == len(terms) + 2 and not {t.lower() for t in [*terms, "faraway."]} & left and "<email>" in left
+        term = [tuple(map(int, x.split(":")[1:])) for x in got[i].spans.split(",") if x.startswith("term:")]
+        assert [rows[i][1][a:b] for a, b in term] == [*terms, terms[0], "faraway"]
+    assert got[200].n_terms == 1 and "jdoe42.x" in got[200].text and got[201].n_terms == 0
+    assert all(got[100 + i].n_terms == 0 for i in range(60))
+
+
 def test_pii_edges(edge, empty):
     got = pii.sanitise(edge).collect()
     assert len(got) == edge.count()
