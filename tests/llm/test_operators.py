@@ -528,6 +528,48 @@ def test_html_query(spark, sf):
         assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
 
 
+def test_html_missing_end_tags():
+    lines = lambda page: [t for _, t in html_extract.blocks_of(page)]
+    assert lines('<article><h1>T</h1><p class="ad">Buy<p>Real one<p>Real two</article>') == ["T", "Real one", "Real two"]
+    assert lines('<article><ul><li class="ad">Buy<li>one</ul>two</article>three') == ["one", "two", "three"]
+    assert lines('<div><div class="sponsor"><p>x<b>y</div>kept</div><table><tr><td class="ad">a<td>b<tr><td>c</table>end') == ["kept", "b", "c", "end"]
+    assert lines('<head><title>T</title><p>body text</p>') == ["body text"] and lines("<select><option>a<option>b</select>c") == ["c"]
+    assert lines('<span class="ad">x<span>y</span>z</span>w <i>v</i>') == ["w v"]
+    assert lines('<div class="related-work">a</div><div class="related-posts">b</div><p id="notice-period">c</p><div class="siteFooter">d</div>') == ["a", "c"]
+    assert lines("1 < 2 <3 & a </> b <p title='>'>q</p> <unclosed x=") == ["1 < 2 <3 & a b", "q"]
+    assert lines("a<!-- > <p>b -->c<? x ?>d<script>'<p>'</script>e<style>never ends <p>f") == ["acde"]
+
+
+@pytest.mark.parametrize("part", ["<a ", '<a b="', "</", "<!--", "<b class=ad><i class=ad>", "<div>", "<p><li><td>", "<", "</section><section>", "&#"])
+def test_html_broken_markup_takes_linear_time(part):
+    import time
+
+    started = time.process_time()
+    html_extract.blocks_of(part * (1_200_000 // len(part)))
+    assert time.process_time() - started < 8
+
+
+def test_html_main_keeps_what_stands_between_its_own_lines(spark):
+    page = lambda own: f"<p>Out</p><main><p>Crumbs</p><p>{own} a</p><p>Shared inside</p><p>{own} b</p><p>Tell friends</p></main>"
+    rows = [(1, "http://h/a/1", page("one")), (2, "http://h/a/2", page("two")), (3, "http://g/1", page("x")), (4, "http://g/2", page("x"))]
+    got = {r.page_id: r.text.split("\n") for r in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == ["one a", "Shared inside", "one b"] and got[2] == ["two a", "Shared inside", "two b"]
+    assert got[3] == got[4] == ["Crumbs", "x a", "Shared inside", "x b", "Tell friends"]  # copies tell nothing apart
+
+
+def test_html_edges(spark):
+    layout = "page_id long, url string, html string, text int, n_chars string, near string, zone string, lines int, host int, path int, part int, run int, own int, at int"
+    long = "<article><p>" + "<p>".join(f"paragraph {i} &amp; more" for i in range(60_000)) + "</article>"
+    rows = [(1, "http://a/x", long), (1, "http://a/x", long), (None, None, None), (2, None, ""), (3, "::bad::", "<article>é😀</article>"), (4, "http://a/x", "<p>plain</p>"), (4, "http://a/x", "<p>plain</p>")]
+    frame = spark.createDataFrame([(*r, 1, "n", "x", "z", 1, 1, 1, 1, 1, 1, 1) for r in rows], layout).repartition(3)
+    out = html_extract.extract_main_text(frame)
+    got = out.collect()
+    assert out.columns == ["page_id", "url", "text", "n_chars"] and len(got) == len(rows)
+    assert [r.text.count("\n") for r in got if r.page_id == 1] == [59_999] * 2 and {r.text for r in got if r.page_id in (None, 2)} == {""}
+    assert [(r.text, r.n_chars) for r in got if r.page_id == 3] == [("é😀", 2)] and [r.text for r in got if r.page_id == 4] == ["plain"] * 2
+    assert html_extract.extract_main_text(frame.limit(0)).count() == 0
+
+
 # ---- pipeline ----
 def test_pipeline_stages(spark, sf, texts):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
