@@ -29,12 +29,14 @@ ODDS_PER_BYTE = 0.5
 _MODELS: dict[int, list] = {}
 
 
-def fit_dictionaries(labelled: DataFrame, max_docs: int = 200, max_chars: int = 1500, languages: int = 500) -> list[tuple[str, bytes]]:
+def fit_dictionaries(labelled: DataFrame, max_docs: int = 200, max_chars: int = 1500, languages: int = 500, rare: float = 0.5) -> list[tuple[str, bytes]]:
     """(language, dictionary) from labelled (text, lang), the languages in order.
 
     Bounds: at most `languages` languages (the most frequent), about max_docs documents for each, and max_chars
     characters from the middle of each of those. Documents are chosen by a hash of their text, so at one rate over the
-    whole table, whatever its order and size.
+    whole table, whatever its order and size. Dictionaries have one length, or the longest would win by its length: that
+    of the shortest language's sample. A language whose sample is shorter than `rare` of the median one shortens no other
+    language's dictionary: it keeps its own, shorter one, and so wins only where that is clearly the better match.
     """
     labelled = labelled.where("lang is not null and text is not null and text <> ''")
     counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
@@ -49,10 +51,9 @@ def fit_dictionaries(labelled: DataFrame, max_docs: int = 200, max_chars: int =
     out = []
     for lang in sorted({r[0] for r in rows}):
         texts = [text for _, text, _ in [r for r in rows if r[0] == lang][:max_docs]]
-        # one amount of text for each language, or the longest dictionary would win by its length
         out.append((lang, "\n".join(texts).lower().encode()))
-    size = min(len(d) for _, d in out)
-    shortest = max(size, 1 << 14)
+    sizes = sorted(len(d) for _, d in out)
+    shortest = min(n for n in sizes if n >= rare * sizes[len(sizes) // 2])
     return [(lang, data[-shortest:]) for lang, data in out]
 
 
@@ -93,7 +94,7 @@ def classify(text: str, model: list[tuple[str, bytes]], compressors: list) -> tu
         return UNKNOWN, 0.0, 0.0
     pieces = slices(text.lower().encode())
     sizes = [sum(len(c.compress(p)) for p in pieces) for c in compressors]
-    best = min(range(len(sizes)), key=sizes.__getitem__)
+    best = min(range(len(sizes)), key=lambda i: (sizes[i], -len(model[i][1])))
     others = sizes[:best] + sizes[best + 1 :]
     odds = sum(math.exp(max(-700.0, -ODDS_PER_BYTE * (s - sizes[best]) / len(pieces))) for s in others)
     margin = (min(others) - sizes[best]) / len(text) if others else 1.0
@@ -105,8 +106,8 @@ def identify_language(docs: DataFrame, model: list[tuple[str, bytes]], min_score
 
     Adds lang_pred (a language of the model; `und` if text is null or has no letter, or the model is empty), score (0 to
     1: the smallest encoding's share of the odds, by the mean over the slices; 0 for `und`), margin (bytes saved a character) and rejected (score
-    below min_score: the margin is narrow). Columns of these names in docs are replaced. Ties go to the first language
-    in order. Repeated rows are treated alike; an empty table gives an empty table.
+    below min_score: the margin is narrow). Columns of these names in docs are replaced. Ties go to the language with the longer
+    dictionary, then to the first in order. Repeated rows are treated alike; an empty table gives an empty table.
     """
     docs = docs.drop("lang_pred", "score", "margin", "rejected")
     held = docs.sparkSession.sparkContext.broadcast(model)

@@ -146,6 +146,37 @@ def test_language_edges(spark, sf, edge, empty):
     assert language_id.fit_dictionaries(empty.select("text", "lang")) == []
 
 
+def test_language_rare_language_changes_no_other(spark, sf):
+    """A language with a line of text, one with a few, and the others' predictions with and without them."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = language_id.training_rows(docs)
+    rare = spark.createDataFrame([("salve mundi quid agis hic", "aa")] + [(f"habari ya asubuhi rafiki yangu namba {i} karibu sana nyumbani", "sw") for i in range(30)], "text string, lang string")
+    one, two = language_id.fit_dictionaries(rows), language_id.fit_dictionaries(rows.unionByName(rare))
+    assert [m for m in two if m[0] not in ("aa", "sw")] == one and {m[0] for m in two} == {"aa", "de", "en", "es", "fr", "sw"}
+    found = [{r.doc_id: (r.lang_pred, r.rejected) for r in language_id.identify_language(docs, m).collect()} for m in (one, two)]
+    assert sum(found[0][d] != found[1][d] for d in found[0]) <= 0.01 * len(found[0])
+    assert language_id.classify("karibu sana rafiki yangu, habari ya asubuhi nyumbani", two, language_id._compressors(two))[0] == "sw"
+
+
+def test_language_classify_matches_brute_force(spark, sf, texts):
+    import zstandard
+
+    model = language_id.fit_dictionaries(language_id.training_rows(spark.read.parquet(f"{sf}/documents.parquet")))
+    compressors = language_id._compressors(model)
+
+    def size(data, dictionary):
+        params = zstandard.ZstdCompressionParameters.from_level(3, window_log=19, min_match=3, search_log=2, strategy=zstandard.STRATEGY_LAZY, write_content_size=False, write_checksum=False, write_dict_id=False)
+        return len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params).compress(data))
+
+    for text in [t for t in list(texts.values())[:60] if any(map(str.isalpha, t))] + ["x", "Ünï 123"]:
+        pieces = language_id.slices(text.lower().encode())
+        sizes = {lang: sum(size(p, d) for p in pieces) for lang, d in model}
+        lang, score, margin = language_id.classify(text, model, compressors)
+        least, second = sorted(sizes.values())[:2]
+        assert sizes[lang] == least and margin == (second - least) / len(text)
+        assert score == pytest.approx(1 / sum(math.exp(-0.5 * (s - least) / len(pieces)) for s in sizes.values()))
+
+
 def test_language_whole_text_decides():
     """Every part of a long text counts, whatever stands at its start."""
     rng = random.Random(5)
