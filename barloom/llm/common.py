@@ -11,10 +11,13 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text is stripped and split at these characters only, as the contracts say.
 SPACE = r"\x20\x09-\x0D"
 SLICE_ROWS = 1000
+#: Bits of the bitmap of wanted keys that goes to every task (4 MB), and of one row of it.
+KEY_BITS, KEY_ROW_BITS = 1 << 25, 1 << 15
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,3 +66,20 @@ def by_batch(make):
         give_back()
 
     return run
+
+
+def likely_in(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """df with _likely: false if its column `key` is surely not in keys (key), by a bitmap of hashed keys of a fixed size.
+    It spares most rows the shuffle of a join; a full bitmap would only let more rows through to the join."""
+    bit = F.pmod(F.xxhash64(key), F.lit(KEY_BITS))
+    row, at = F.floor(bit / KEY_ROW_BITS).alias("_row"), bit % KEY_ROW_BITS
+    wanted = keys.select(row, at.alias("_at")).repartition("_row").groupBy("_row").agg(F.bitmap_construct_agg("_at").alias("_bits"))
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    likely = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    return df.withColumn("_row", row).join(F.broadcast(wanted), "_row", "left").withColumn("_likely", likely).drop("_row", "_bits")
+
+
+def rows_of(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of df whose column `key` is in keys (key, distinct)."""
+    # an inner join: a semi-join would be pushed below the bitmap's join
+    return likely_in(df, keys, key).where("_likely").drop("_likely").join(keys, key)

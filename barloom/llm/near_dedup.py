@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import as_bytes, by_batch, materialize, table
+from barloom.llm.common import as_bytes, by_batch, likely_in, materialize, rows_of, table
 from barloom.llm.components import connected_components
 
 #: 80 permutations give 160 values: 32 bands of 5. A pair of similarity 0.8 is missed with probability 3e-6.
@@ -26,8 +26,6 @@ _RANDOM = np.random.Generator(np.random.PCG64(20240501))
 _MASKS = _RANDOM.integers(0, 1 << 64, PERMUTATIONS, np.uint64)
 _FACTORS = _RANDOM.integers(0, 1 << 64, PERMUTATIONS, np.uint64) | np.uint64(1)
 _WEIGHTS = _RANDOM.integers(0, 1 << 64, 64, np.uint64) | np.uint64(1)
-#: Bits of the bitmap of wanted ids that goes to every task (4 MB), and of one row of it.
-ID_BITS, ID_ROW_BITS = 1 << 25, 1 << 15
 
 
 def shingle_set(text: bytes, words: int) -> np.ndarray:
@@ -88,27 +86,15 @@ def _near(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs with _likely: false if doc_id is surely not in ids (doc_id), by a bitmap of hashed ids of a fixed size. It
-    spares most rows the shuffle of a join; a full bitmap would only let more rows through to the join."""
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(ID_BITS))
-    row, at = F.floor(bit / ID_ROW_BITS).alias("_row"), bit % ID_ROW_BITS
-    wanted = ids.select(row, at.alias("_at")).repartition("_row").groupBy("_row").agg(F.bitmap_construct_agg("_at").alias("_bits"))
-    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    likely = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
-    return docs.withColumn("_row", row).join(F.broadcast(wanted), "_row", "left").withColumn("_likely", likely).drop("_row", "_bits")
-
-
 def _of_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of docs whose doc_id is in ids (doc_id, distinct)."""
-    # an inner join: a semi-join would be pushed below the bitmap's join
-    return _marked(docs, ids).where("_likely").drop("_likely").join(ids, "doc_id")
+    return rows_of(docs, ids, "doc_id")
 
 
 def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of docs whose doc_id is not in ids (doc_id); null is in no set."""
     ids = materialize(ids.select("doc_id").where("doc_id is not null").distinct(), "left-out")
-    marked = _marked(docs, ids)
+    marked = likely_in(docs, ids, "doc_id")
     gone = ids.withColumn("_gone", F.lit(True))  # an anti-join would be pushed below the bitmap's join
     left = marked.where("_likely").join(gone, "doc_id", "left").where("_gone is null")
     return marked.where("not _likely").select(docs.columns).unionByName(left.select(docs.columns))

@@ -360,11 +360,9 @@ def test_quality_edges(spark, edge, empty):
 # ---- 7 decontamination ----
 def test_tiling_marks_longest_first():
     item, doc = list(range(20)), list(range(10, 20)) + [99] + list(range(10))
-    seeds = [(i, doc.index(i)) for i in range(20) if doc[doc.index(i) : doc.index(i) + 5] == item[i : i + 5] and i + 5 <= 20]
-    assert sorted(decontaminate.tile(item, doc, seeds)) == [(0, 11, 10), (10, 0, 10)]
+    assert sorted(decontaminate.tile(item, doc)) == [(0, 11, 10), (10, 0, 10)]
     doc = list(range(8)) + [50] + list(range(4, 16))
-    seeds = [(i, j) for i in range(16) for j in range(len(doc) - 4) if doc[j : j + 5] == item[i : i + 5]]
-    assert sorted(decontaminate.tile(item, doc, seeds)) == [(4, 9, 12)]  # 0..3 are too few
+    assert sorted(decontaminate.tile(list(range(16)), doc)) == [(4, 9, 12)]  # 0..3 are too few
 
 
 def _greedy(item, doc, least=5):
@@ -403,8 +401,8 @@ def test_decontamination_matches_brute_force(spark):
         rows.append((d, " ".join(x.upper() if rng.random() < 0.1 else x + rng.choice(["", ",", "."]) for x in own)))
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items] + [(77, None), (None, "a b c d e f")], "item_id long, text string")
-    for block in (1 << 20, 60):
-        for r in decontaminate.decontaminate(docs, bench, 0.5, block).collect():
+    for limit in (1 << 20, 60):  # by broadcast, by a join
+        for r in decontaminate.decontaminate(docs, bench, 0.5, limit).collect():
             own = decontaminate.tokens(dict(rows)[r.doc_id])
             share = {i: _greedy(w, own) / len(w) for i, w in items if len(w) >= 5}
             hit = {i: s for i, s in share.items() if s >= 0.5}
@@ -413,14 +411,46 @@ def test_decontamination_matches_brute_force(spark):
             assert r.item_id == min((i for i, s in hit.items() if s == best), default=None)
 
 
+def test_tiling_matches_definition_with_repeats():
+    """Few different tokens: many equal seeds, ties and overlaps."""
+    rng = random.Random(4)
+    for n in range(300):
+        item, doc = ([rng.randrange(1 + n % 3) for _ in range(rng.randrange(5, 30))] for _ in range(2))
+        ids = [np.array([decontaminate.token_ids(f"t{x}")[0] for x in side], np.uint64) for side in (item, doc)]
+        tiles = decontaminate.tile(*ids)
+        assert sum(t[2] for t in tiles) == _greedy(item, doc) == round(decontaminate.coverage(*ids, 0.0) * len(item))
+        assert all(item[i : i + k] == doc[j : j + k] for i, j, k in tiles)
+        assert all(len({x for t in tiles for x in range(t[s], t[s] + t[2])}) == sum(t[2] for t in tiles) for s in (0, 1))
+
+
+def test_tiling_time_is_bounded_by_lengths():
+    import time
+
+    started = time.process_time()
+    same = " ".join(["aa"] * 20_000)
+    assert decontaminate.ItemIndex([(1, same)]).coverages(same + " b " + same, 0.5) == [(1.0, 1)]
+    rng = random.Random(3)
+    two = " ".join(rng.choice(["aa", "bb"]) for _ in range(20_000))
+    assert decontaminate.ItemIndex([(1, two)]).coverages(" ".join(rng.choice(["aa", "bb"]) for _ in range(20_000)), 0.5)[0][0] > 0.9
+    assert time.process_time() - started < 20
+
+
 def test_decontamination_edges(spark, edge, empty):
     bench = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog")], "item_id long, text string")
-    got = decontaminate.decontaminate(edge, bench)
-    rows = {r.doc_id: r for r in got.collect()}
-    assert got.columns[: len(edge.columns)] == edge.columns and got.count() == edge.count()
-    assert rows[1].contaminated and rows[3].contaminated and not rows[5].contaminated and not rows[8].contaminated
-    assert decontaminate.decontaminate(empty, bench).count() == 0
-    assert not any(r.contaminated for r in decontaminate.decontaminate(edge, bench.limit(0)).collect())
+    for limit in (1 << 20, 0):  # by broadcast, by a join
+        got = decontaminate.decontaminate(edge.withColumn("item_id", F.lit("mine")), bench.union(bench), broadcast_bytes=limit)
+        rows = {r.doc_id: r for r in got.collect()}
+        assert got.columns[: len(edge.columns)] == edge.columns and got.count() == edge.count()
+        assert rows[1].contaminated and rows[3].contaminated and not rows[5].contaminated and not rows[8].contaminated
+        assert rows[1].n_items == 1 and rows[1].item_id == 1
+        assert decontaminate.decontaminate(empty, bench, broadcast_bytes=limit).count() == 0
+        assert not any(r.contaminated for r in decontaminate.decontaminate(edge, bench.limit(0), broadcast_bytes=limit).collect())
+
+
+def test_decontamination_join_equals_broadcast(spark, sf):
+    docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    rows = [sorted(map(tuple, decontaminate.decontaminate(docs.select("doc_id", "text"), bench, broadcast_bytes=n).drop("text").collect())) for n in (1 << 24, 0)]
+    assert rows[0] == rows[1] and any(r[-1] for r in rows[0])
 
 
 # ---- 8 lattice LM ----
