@@ -83,3 +83,11 @@ def rows_of(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     """Rows of df whose column `key` is in keys (key, distinct)."""
     # an inner join: a semi-join would be pushed below the bitmap's join
     return likely_in(df, keys, key).where("_likely").drop("_likely").join(keys, key)
+
+
+def join_few(df: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """df left-joined with few (at most a row a key, keys of few rows of df): what surely has no match isn't shuffled."""
+    marked = likely_in(df, few.select(key), key)
+    hit = marked.where("_likely").drop("_likely").join(few, key, "left")
+    added = {f.name: F.lit(None).cast(f.dataType) for f in few.schema if f.name != key}
+    return hit.unionByName(marked.where("not _likely").drop("_likely").withColumns(added))

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import by_batch, likely_in, materialize, rows_of, table
+from barloom.llm.common import by_batch, join_few, materialize, rows_of, table
 
 #: Least tokens of a seed and so of a tile.
 SEED = 5
@@ -258,14 +258,10 @@ def _by_join(docs: DataFrame, items: DataFrame, least: float) -> DataFrame:
         return one
 
     covered = met.select("key", "item_id", "item_text", "doc_text").mapInArrow(by_batch(make), "_key string, item_id bigint, coverage double")
-    best = covered.groupBy("_key").agg(F.max(F.struct("coverage", (-F.col("item_id")).alias("minus"))).alias("_best"), F.count(F.lit(1)).alias("n_items"))
-    best = materialize(best.select("_key", F.col("_best.coverage").alias("coverage"), (-F.col("_best.minus")).alias("item_id"), "n_items"), "covered")
-    marked = likely_in(keyed, best.select("_key"), "_key")
-    hit = marked.where("_likely").join(best, "_key", "left")
-    added = [F.coalesce("coverage", F.lit(0.0)).alias("coverage"), F.col("item_id"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items")]
-    none = [F.lit(0.0).alias("coverage"), F.lit(None).cast("long").alias("item_id"), F.lit(0).cast("long").alias("n_items")]
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    return hit.select(*columns, *added).unionByName(marked.where("not _likely").select(*columns, *none))
+    best = covered.groupBy("_key").agg(F.max(F.struct("coverage", (-F.col("item_id")).alias("minus"))).alias("_best"), F.count(F.lit(1)).alias("_n"))
+    best = materialize(best.select("_key", F.col("_best.coverage").alias("_coverage"), (-F.col("_best.minus")).alias("_item"), "_n"), "covered")
+    added = [F.coalesce("_coverage", F.lit(0.0)).alias("coverage"), F.col("_item").alias("item_id"), F.coalesce("_n", F.lit(0)).cast("long").alias("n_items")]
+    return join_few(keyed, best, "_key").select(*[F.col(f"`{c}`") for c in docs.columns], *added)
 
 
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,9 +1,11 @@
 """Personal data: exact patterns, and terms whose corpus co-occurrence gives a protected entity away.
 
-Entities are found by pattern. For each entity e and each word t of its texts, the pointwise mutual information of t and
-e over the distinct texts of the corpus is held against the information content of e: a share of 1 means that the term
-stands only in that entity's texts and reveals it fully. Terms above a disclosure threshold are generalised, above a higher
-one removed. Everything is built-in DataFrame work.
+Entities are found by pattern: the contract's four kinds, and credentials (long random tokens). For each entity e and
+each word or pair of words t of its texts, the pointwise mutual information of t and e over the distinct texts of the
+corpus is held against the information content of e: a share of 1 means that the term stands only in that entity's texts
+and reveals it fully. The same is estimated for each kind of entity as a whole, from the words that stand close to its
+spans: they tell that such an entity follows. Terms above a disclosure threshold are generalised to the kind that they
+reveal, those above a higher one that reveal a single entity are removed. Everything is built-in DataFrame work.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import SPACE, materialize, table
+from barloom.llm.common import SPACE, join_few, likely_in, materialize, table
 
 _LOCAL = "A-Za-z0-9._%+-"
 #: Possessive forms of the contract's patterns: they match the same spans, in linear time and without recursion. A
@@ -22,11 +24,17 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+#: Kinds of the contract, and those with credentials: long runs of letters and digits mixed.
+KINDS = list(PATTERNS)
+PATTERNS["secret"] = r"(?<![A-Za-z0-9])[A-Za-z0-9]{20,}+"
+ENTITIES = list(PATTERNS)
 #: What a text must hold for the pattern to be tried at all.
 NEEDS = {"email": "@", "phone": "+"}
-KINDS = list(PATTERNS)
-#: Stands for a base span while a text is split into words: a word that touches one is no term.
-HOLE = "\uffff"
+#: Stand for the entities of each kind while a text is split into words: a word that touches one is no term.
+HOLES = dict(zip(ENTITIES, "\ufdd0\ufdd1\ufdd2\ufdd3\ufdd4"))
+HOLE = f"[{''.join(HOLES.values())}]"
+#: Words on each side of a span that may tell its kind.
+CLOSE = 5
 EDGE = ".,;:!?()\"'|"
 NO_SPANS = "array<struct<start:int,end:int,value:string>>"
 
@@ -68,6 +76,8 @@ def _valid(kind: str, value: Column) -> Column:
         return F.length(_digits(value)).between(13, 19) & F.call_function("luhn_check", _digits(value))
     if kind == "phone":
         return F.length(_digits(value)).between(9, 15)
+    if kind == "secret":
+        return (F.length(_digits(value)) >= 4) & (F.length(value) - F.length(_digits(value)) >= 4)
     return F.lit(True)
 
 
@@ -81,72 +91,129 @@ def _words(text: Column) -> Column:
     return F.transform(F.split(text, f"[{SPACE}]+"), lambda w: F.lower(F.btrim(w, F.lit(EDGE))))
 
 
+def _spans(text: Column) -> Column:
+    """Spans of all kinds of entities, value: the kind's hole."""
+
+    def holes(kind: str):
+        return lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(HOLES[kind]).alias("value"))
+
+    return F.concat(*[F.transform(base_spans(text, k), holes(k)) for k in ENTITIES])
+
+
 def _marked(text: Column, spans: Column) -> Column:
-    """text with each run of overlapping spans replaced by HOLE."""
+    """text with each run of overlapping spans replaced by the hole of the first."""
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
-        out = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(HOLE))
+        out = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), s["value"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], out).otherwise(acc["out"]).alias("out"))
 
     cut = F.aggregate(F.sort_array(spans), first, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
     return F.when(F.size(spans) > 0, cut).otherwise(text)
 
 
-def _terms(docs: DataFrame, *keep: str) -> DataFrame:
-    """keep and term: the distinct words of each text in lower case, edge punctuation stripped, base spans left out."""
+def _with_pairs(words: Column) -> Column:
+    """Words, and pairs of words that follow each other."""
+    pairs = F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: F.when((a != "") & (b != ""), F.concat(a, F.lit(" "), b)))
+    return F.array_distinct(F.concat(words, pairs))
+
+
+def _is_term(term: Column) -> Column:
+    return term.rlike(r"[\p{L}\p{N}]") & ~term.rlike(HOLE)
+
+
+def _holed_words(text: Column) -> Column:
+    """The words of text, with holes in place of its entities."""
+    return _let(_spans(text), lambda spans: _words(_marked(text, spans)))
+
+
+def _terms(docs: DataFrame, *keep: str, pairs: bool = True) -> DataFrame:
+    """keep and term: the distinct words, and pairs of words, of each text of docs (text, _likely: may hold an entity) in
+    lower case, edge punctuation stripped. Entities stand among them as holes."""
     # outer: an inner explode makes Spark compute the words a second time, for a filter
-    words = _let(F.concat(*[base_spans(F.col("text"), k) for k in KINDS]), lambda spans: _words(_marked(F.col("text"), spans)))
-    return docs.select(*keep, F.explode_outer(F.array_distinct(words)).alias("term")).where((F.col("term") != "") & ~F.contains("term", F.lit(HOLE)))
+    words = F.when(F.col("_likely"), _holed_words(F.col("text"))).otherwise(_words(F.col("text")))
+    return docs.select(*keep, F.explode_outer(_let(words, _with_pairs if pairs else F.array_distinct)).alias("term")).where("term is not null")
 
 
 def _named(kind: str):
     def name(s: Column) -> Column:
-        value = F.lower(s["value"]) if kind in ("email", "ip") else _digits(s["value"])
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.concat(F.lit(kind + ":"), value).alias("value"))
+        value = F.lower(s["value"]) if kind in ("email", "ip") else s["value"] if kind == "secret" else _digits(s["value"])
+        return F.struct(F.lit(kind).alias("kind"), F.xxhash64(F.lit(kind), value).alias("entity"))
 
     return name
 
 
-def disclosive_terms(docs: DataFrame, threshold: float = 0.75, removal: float = 0.95, min_texts: int = 3, broadcast_terms: int = 50_000) -> tuple[DataFrame, DataFrame]:
-    """(terms, hits) for docs (doc_id, text). terms: term, share (the greatest PMI / information content over the
-    entities), removed. hits: doc_id, term for each document with such a term. Counts are of distinct texts, so copies
-    of one text count once; a pair counts from min_texts texts on. Sets of up to broadcast_terms candidate terms are
-    broadcast, larger ones are joined by a shuffle."""
-    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("of"))
+def _close_words(words: Column) -> Column:
+    """(kind, term) of the words at most CLOSE words from a hole."""
+
+    def around(w: Column, i: Column) -> Column:
+        kind = F.coalesce(*[F.when(F.contains(w, F.lit(h)), F.lit(k)) for k, h in HOLES.items()])
+        start = F.greatest(i + 1 - CLOSE, F.lit(1))
+        close = F.filter(F.slice(words, start, i + 2 + CLOSE - start), lambda t: (t != "") & _is_term(t))
+        none = F.array().cast("array<struct<kind:string,term:string>>")
+        return F.when(kind.isNotNull(), F.transform(close, lambda t: F.struct(kind.alias("kind"), t.alias("term")))).otherwise(none)
+
+    return F.flatten(F.transform(words, around))
+
+
+def entity_texts(docs: DataFrame) -> DataFrame:
+    """(of, kind, entity) for docs (of: hash of the text, text), distinct."""
+    named = F.concat(*[F.transform(base_spans(F.col("text"), k), _named(k)) for k in ENTITIES])
+    return docs.select("of", F.explode_outer(F.array_distinct(named)).alias("s")).where("s is not null").select("of", "s.kind", "s.entity").distinct()
+
+
+def disclosive_terms(docs: DataFrame, seen: DataFrame, threshold: float = 0.75, removal: float = 0.95, min_texts: int = 3, min_bits: float = 4.0, broadcast_terms: int = 50_000) -> tuple[DataFrame, DataFrame]:
+    """(terms, hits) for docs (of, text) and their entity_texts. terms: term, share (the greatest PMI / information content over the
+    entities and kinds), kind (that entity's), removed. hits: of, term for each text with such a term. Counts
+    are of distinct texts, so copies of one text count once; a pair of entity and term counts from min_texts texts on. A
+    kind counts as an entity that stands in the texts where the term is close to such a span, if the term tells min_bits
+    about it or more: a kind that stands in most texts is no secret. A pair of words counts only if neither of them is a
+    term by itself. Sets of up to broadcast_terms candidate terms are broadcast, larger ones are joined by a shuffle."""
     total = F.lit(float(docs.select("of").distinct().count()))
     information = F.log2(total / F.col("with_entity"))
 
+    def bits(with_term: Column, both: Column = F.col("both")) -> Column:
+        return F.log2(both * total / (with_term * F.col("with_entity")))
+
     def share(with_term: Column, both: Column = F.col("both")) -> Column:
-        return F.try_divide(F.log2(both * total / (with_term * F.col("with_entity"))), information)
+        return F.try_divide(bits(with_term, both), information)
 
     def small(terms: DataFrame) -> DataFrame:
         return F.broadcast(terms) if terms.count() <= broadcast_terms else terms
 
     # bounds below are exact, but for rounding: a pair stands in no more texts than its entity or its term
     least = threshold - 1e-9
-    named = F.concat(*[F.transform(base_spans(F.col("text"), k), _named(k)) for k in KINDS])
-    near = docs.select("of", F.explode_outer(F.transform(named, lambda s: F.xxhash64(s["value"]))).alias("entity")).where("entity is not null").distinct()
-    near = materialize(near, "entity-texts")
-    of_entity = near.groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity")).where(F.col("with_entity") >= min_texts)
-    near = materialize(near.join(of_entity, "entity"), "known-entity-texts")
+    docs = likely_in(docs.select("of", "text"), seen.select("of").distinct(), "of")
+    around = _let(_holed_words(F.col("text")), _close_words)
+    beside = docs.where("_likely").select("of", F.explode_outer(F.array_distinct(around)).alias("s")).where("s is not null")
+    of_entity = seen.groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity")).where(F.col("with_entity") >= min_texts)
+    known = materialize(seen.join(of_entity, "entity"), "known-entity-texts")
     # the most frequent entity admits the most frequent terms
-    most = near.agg(F.coalesce(F.max("with_entity"), F.lit(1)).alias("with_entity")).first()[0]
-    words = materialize(_terms(docs.join(near.select("of").distinct(), "of", "left_semi"), "of").distinct(), "entity-terms")
+    most = known.agg(F.coalesce(F.max("with_entity"), F.lit(1)).alias("with_entity")).first()[0]
+    words = materialize(_terms(docs.where("_likely").join(known.select("of").distinct(), "of"), "of").where(_is_term(F.col("term"))).distinct(), "entity-terms")
     # a term stands in at least the texts in which it stands with an entity: what misses the threshold even so is out
     at_best = share(F.col("near_entities"), F.least("with_entity", "near_entities"))
     near_terms = words.groupBy("term").agg(F.count(F.lit(1)).alias("near_entities")).where(F.col("near_entities") >= min_texts)
     near_terms = near_terms.withColumn("with_entity", F.lit(most)).where(F.coalesce(at_best >= least, F.lit(most) >= total)).drop("with_entity")
     words = words.join(small(materialize(near_terms, "near-terms")), "term")
-    pairs = near.join(words, "of").where(at_best >= least).groupBy("entity", "with_entity", "term", "near_entities").agg(F.count(F.lit(1)).alias("both"))
-    pairs = pairs.where((F.col("both") >= min_texts) & (share(F.col("near_entities")) >= least))
-    pairs = materialize(pairs.drop("near_entities"), "entity-pairs")
+    pairs = known.join(words, "of").where(at_best >= least).groupBy("entity", "kind", "with_entity", "term", "near_entities").agg(F.count(F.lit(1)).alias("both"))
+    pairs = pairs.where((F.col("both") >= min_texts) & (share(F.col("near_entities")) >= least)).select("kind", "with_entity", "term", "both", F.lit(True).alias("single"))
+    of_kind = seen.groupBy("kind").agg(F.count_distinct("of").alias("with_entity"))
+    close = beside.select("of", "s.*").distinct().groupBy("kind", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= min_texts).join(F.broadcast(of_kind), "kind")  # a row a kind
+    close = close.where((share(F.col("both")) >= least) & (bits(F.col("both")) >= min_bits)).select("kind", "with_entity", "term", "both", F.lit(False).alias("single"))
+    pairs = materialize(pairs.unionByName(close), "entity-pairs")
     candidates = pairs.select("term").distinct()
-    held = materialize(_terms(docs, "doc_id", "of").join(small(candidates), "term", "left_semi"), "term-hits")
-    of_term = held.select("term", "of").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
-    told = pairs.join(of_term, "term").withColumn("share", share(F.col("with_term"))).groupBy("term").agg(F.max("share").alias("share")).where(F.col("share") >= threshold)
-    terms = materialize(told.withColumn("removed", F.col("share") >= removal), "disclosive-terms")
-    return terms, held.select("doc_id", "term").distinct().join(terms, "term")
+    of_pairs = bool(candidates.where(F.contains("term", F.lit(" "))).take(1))
+    held = materialize(_terms(docs, "of", pairs=of_pairs).join(small(candidates), "term", "left_semi"), "term-hits")
+    of_term = held.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
+    told = pairs.join(of_term, "term").withColumn("share", share(F.col("with_term"))).where((F.col("share") >= threshold) & (F.col("single") | (bits(F.col("with_term")) >= min_bits)))
+    best = F.struct("share", "single", "kind")
+    told = materialize(told.groupBy("term").agg(F.max(best).alias("b")).select("term", "b.share", "b.kind", (F.col("b.single") & (F.col("b.share") >= removal)).alias("removed")), "told-terms")
+    alone = told.where(~F.contains("term", F.lit(" "))).select(F.col("term").alias("word"))
+    for place in (1, 2):
+        told = told.join(alone, F.contains("term", F.lit(" ")) & (F.split_part("term", F.lit(" "), F.lit(place)) == F.col("word")), "left_anti")
+    terms = materialize(told, "disclosive-terms")
+    return terms, held.distinct().join(terms, "term")
 
 
 def _joined(kind: str, spans: Column) -> Column:
@@ -167,53 +234,63 @@ def _cut(text: Column, spans: Column) -> Column:
 def sanitise(docs: DataFrame, threshold: float = 0.75, removal: float = 0.95, min_texts: int = 3) -> DataFrame:
     """Find and cut personal data in docs (doc_id long, text string).
 
-    Returns doc_id, text (entities and generalised terms replaced by <KIND>, removed terms by nothing), n_email, n_ip,
-    n_card, n_phone, base_sha256 (of the base spans as kind:start:end, by kind and start, comma-joined), spans (base
-    spans, then term spans, joined likewise; offsets in code points, end exclusive), n_terms. Null text counts as empty.
-    Repeated rows are treated alike; rows that share a doc_id share their set of terms. Other columns are ignored. An
-    empty table gives an empty table. Without co-occurring terms only base spans are cut.
+    Returns doc_id, text (entities replaced by <KIND>, generalised terms by <KIND-TERM>, removed terms by nothing),
+    n_email, n_ip, n_card, n_phone, base_sha256 (of the base spans as kind:start:end, by kind and start, comma-joined),
+    spans (base spans, then those of secrets and terms, joined likewise; offsets in code points, end exclusive),
+    n_secret, n_terms and found (any span). Spans of secrets overlap no base span, and those of terms neither. Null text
+    counts as empty. Repeated rows are treated alike. Other columns are ignored. An empty table gives an empty table. Without co-occurring terms only entities are cut.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    _, hits = disclosive_terms(docs, threshold, removal, min_texts)
-    own = hits.groupBy(F.col("doc_id").alias("of_doc")).agg(F.collect_set("term").alias("terms"), F.collect_set(F.when(F.col("removed"), F.col("term"))).alias("gone"))
-    own = materialize(own, "document-terms")
-    joined = docs.join(own, F.col("doc_id").eqNullSafe(F.col("of_doc")), "left")
+    docs = docs.withColumn("of", F.xxhash64("text"))
+    seen = materialize(entity_texts(docs), "entity-texts")
+    _, hits = disclosive_terms(docs, seen, threshold, removal, min_texts)
+    own = hits.groupBy("of").agg(F.array_sort(F.collect_set(F.struct("term", "kind", "removed"))).alias("own"))
+    joined = likely_in(join_few(docs, materialize(own, "text-terms"), "of"), seen.select("of").distinct(), "of")
     # whole words only: the match begins where a word does, with its edge, and ends at the word's end but for its edge
-    edge = r"[.,;:!?()\x22'|]*+"
-    quoted = F.transform("terms", lambda t: F.concat(F.lit("\\Q"), F.replace(t, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
-    pattern = F.concat(F.lit(f"(?iu)(?<![^{SPACE}]){edge}(?:"), F.array_join(quoted, "|"), F.lit(f"){edge}(?![^{SPACE}])"))
-    term = F.when(F.col("terms").isNotNull(), F.transform(_located(F.col("text"), pattern), _bare)).otherwise(F.array().cast(NO_SPANS))
-    spans = joined.select("doc_id", "text", "gone", *[base_spans(F.col("text"), k).alias(k) for k in KINDS], term.alias("term"))
-    free = lambda t: ~F.exists(F.concat(*KINDS), lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
-    spans = spans.withColumn("term", F.filter("term", free))
-    base = F.concat(*[_joined(k, F.col(k)) for k in KINDS])
-    labelled = [F.transform(F.col(k), _tagged(k)) for k in KINDS] + [F.transform("term", _tagged("term"))]
+    edge, between = r"[.,;:!?()\x22'|]*+", f"[{SPACE}]++"
+    quote = lambda w: F.concat(F.lit("\\Q"), F.replace(w, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    quoted = F.transform("own", lambda t: F.array_join(F.transform(F.split(t["term"], " "), quote), f"{edge}{between}{edge}"))
+    longest = F.array_sort(quoted, lambda a, b: F.length(b) - F.length(a))
+    pattern = F.concat(F.lit(f"(?iu)(?<![^{SPACE}]){edge}(?:"), F.array_join(longest, "|"), F.lit(f"){edge}(?![^{SPACE}])"))
+    term = F.when(F.col("own").isNotNull(), F.transform(_located(F.col("text"), pattern), _bare)).otherwise(F.array().cast(NO_SPANS))
+    spans = joined.select("doc_id", "text", "own", *[F.when(F.col("_likely"), base_spans(F.col("text"), k)).otherwise(F.array().cast(NO_SPANS)).alias(k) for k in ENTITIES], term.alias("term"))
+
+    def free_of(*others: str):
+        return lambda t: ~F.exists(F.concat(*others), lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"]))
+
+    spans = spans.withColumn("secret", F.filter("secret", free_of(*KINDS)))
+    spans = spans.withColumn("term", F.filter("term", free_of(*ENTITIES)))
+    base, more = F.concat(*[_joined(k, F.col(k)) for k in KINDS]), F.concat(_joined("secret", F.col("secret")), _joined("term", F.col("term")))
+    labelled = [F.transform(F.col(k), _tagged(k)) for k in ENTITIES] + [F.transform("term", _tagged("term"))]
     return spans.select(
         "doc_id", _cut(F.col("text"), F.concat(*labelled)).alias("text"),
         *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(F.array_join(base, ","), 256).alias("base_sha256"),
-        F.array_join(F.concat(base, _joined("term", F.col("term"))), ",").alias("spans"),
-        F.size("term").cast("long").alias("n_terms"),
+        F.array_join(F.concat(base, more), ",").alias("spans"),
+        F.size("secret").cast("long").alias("n_secret"), F.size("term").cast("long").alias("n_terms"),
+        (F.size(base) + F.size(more) > 0).alias("found"),
     )
 
 
 def _bare(s: Column) -> Column:
-    """The span without edge punctuation."""
+    """The span without edge punctuation, value: the term."""
     start = s["start"] + F.length(s["value"]) - F.length(F.ltrim(s["value"], F.lit(EDGE)))
     value = F.btrim(s["value"], F.lit(EDGE))
-    return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"))
+    words = F.transform(F.split(F.lower(value), f"[{SPACE}]+"), lambda w: F.btrim(w, F.lit(EDGE)))
+    return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), F.array_join(words, " ").alias("value"))
 
 
 def _tagged(kind: str):
     def tag(s: Column) -> Column:
         if kind != "term":
             return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(f"<{kind.upper()}>").alias("value"))
-        gone = F.array_contains(F.coalesce(F.col("gone"), F.array().cast("array<string>")), F.lower(s["value"]))
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.when(gone, "").otherwise("<TERM>").alias("value"))
+        told = F.get(F.filter("own", lambda t: t["term"] == s["value"]), F.lit(0))
+        label = F.when(told["removed"], "").otherwise(F.concat(F.lit("<"), F.upper(F.coalesce(told["kind"], F.lit("any"))), F.lit("-TERM>")))
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), label.alias("value"))
 
     return tag
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base and term spans of all documents."""
+    """Base, secret and term spans of all documents."""
     return sanitise(table(spark, sf_dir, "documents")).drop("text")

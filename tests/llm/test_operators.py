@@ -262,6 +262,84 @@ def test_pii_every_word_is_a_candidate(spark):
     assert all(got[100 + i].n_terms == 0 for i in range(60))
 
 
+def test_pii_shares_match_brute_force(spark):
+    """Disclosure of every word and pair by single entities and by kinds, from the definition."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(25)] + ["O'Neil", "Smith-Jones", "x1"]
+    people = [("ann@a.example.com", ["Zorro", "Quix"]), ("10.1.2.3", ["hostline"]), ("+1 (555) 010-9999", ["red", "door"])]
+    rows = []
+    for i in range(400):
+        own = rng.choices(words, [1 / (n + 1) for n in range(len(words))], k=rng.randrange(5, 30))
+        if i % 7 == 0:
+            value, near = people[rng.randrange(3)]
+            at = rng.randrange(len(own))
+            own[at:at] = [*(near if rng.random() < 0.8 else []), value]
+        if i % 23 == 0:
+            own += ["token", f'"{rng.randrange(10**12):012d}abcdefgh{i:03d}"', "end"]
+        rows.append((i, " ".join(x + rng.choice(["", "", ",", "."]) if x not in ("token",) else x for x in own)))
+    rows += rows[:30]  # copies count once
+    texts = sorted({t for _, t in rows})
+    total, of_entity, of_kind, single, beside, df = len(texts), defaultdict(set), defaultdict(set), defaultdict(set), defaultdict(set), defaultdict(set)
+    patterns = {**CONTRACT, "secret": r"(?<![A-Za-z0-9])[A-Za-z0-9]{20,}"}
+    for n, t in enumerate(texts):
+        found = [(m.start(), m.end(), k, m.group()) for k, p in patterns.items() for m in re.finditer(p, t) if k not in ("ip", "phone") or f"{k}:{m.start()}:{m.end()}" in _base(t)]
+        found = [f for f in found if f[2] != "card" or f"card:{f[0]}:{f[1]}" in _base(t)]
+        marked, at = "", 0
+        for a, b, k, _ in sorted(found):
+            if a >= at:
+                marked += t[at:a] + f"\x00{k}\x00"
+            at = max(at, b)
+        own = [w.strip(pii.EDGE).lower() for w in (marked + t[at:]).split()]
+        terms = {*own, *(f"{a} {b}" for a, b in zip(own, own[1:]) if a and b)}
+        terms = {x for x in terms if "\x00" not in x and re.search(r"\w", x)}
+        for x in terms:
+            df[x].add(n)
+        for _, _, k, v in found:
+            e = (k, v.lower() if k in ("email", "ip") else v if k == "secret" else re.sub("[^0-9]", "", v))
+            of_entity[e].add(n)
+            of_kind[k].add(n)
+            for x in terms:
+                single[e, x].add(n)
+        for i, w in enumerate(own):
+            if "\x00" in w:
+                for x in own[max(0, i - 5) : i + 6]:
+                    if x in terms:
+                        beside[w.split("\x00")[1], x].add(n)
+    best = {}
+    for (e, x), both in single.items():
+        if len(both) >= 3:
+            share = math.log2(len(both) * total / len(df[x]) / len(of_entity[e])) / math.log2(total / len(of_entity[e]))
+            best[x] = max(best.get(x, (0, False, "")), (share, True, e[0]))
+    for (k, x), both in beside.items():
+        bits = math.log2(len(both) * total / len(df[x]) / len(of_kind[k]))
+        if len(both) >= 3 and bits >= 4:
+            best[x] = max(best.get(x, (0, False, "")), (bits / math.log2(total / len(of_kind[k])), False, k))
+    want = {x: (round(v[0], 9), v[2], v[1] and v[0] >= 0.95) for x, v in best.items() if v[0] >= 0.75}
+    want = {x: v for x, v in want.items() if " " not in x or not set(x.split()) & set(want)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select(F.xxhash64("text").alias("of"), "text")
+    terms, hits = pii.disclosive_terms(docs, pii.entity_texts(docs))
+    assert {r.term: (round(r.share, 9), r.kind, r.removed) for r in terms.collect()} == want
+    assert {"zorro", "hostline"} <= set(want) and want["token"][1:] == ("secret", False) and "red door" not in want
+    assert hits.count() == sum(len(df[x]) for x in want)
+
+
+def test_pii_pairs_of_words(spark):
+    """Two common words that only together give a person away; credentials are cut and the word before them is generalised."""
+    rng = random.Random(8)
+    noise = lambda n=9: " ".join(rng.choice(["red", "blue", "door", "wall", "lamp", "tree"]) for _ in range(n))
+    clean = lambda t: t.replace("red door", "red wall")
+    rows = [(i, f"{clean(noise())} lamp {'Red, door' if i % 2 else 'red  DOOR'} tree p@q.example.com {clean(noise())}") for i in range(6)]
+    rows += [(100 + i, clean(f"{noise()} wall {noise()} {i}")) for i in range(80)]
+    rows += [(200 + i, f'{clean(noise())} token = "{i:04d}abcdefabcdef{i:04d}abcdef" {clean(noise())}') for i in range(4)]
+    got = {r.doc_id: r for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i in range(6):
+        term = [tuple(map(int, x.split(":")[1:])) for x in got[i].spans.split(",") if x.startswith("term:")]
+        assert [rows[i][1][a:b] for a, b in term] == ["Red, door" if i % 2 else "red  DOOR"]
+    for i in range(4):
+        assert got[200 + i].n_secret == 1 and got[200 + i].n_terms == 1 and '<SECRET-TERM> = "<SECRET>"' in got[200 + i].text and got[200 + i].found
+    assert not any(got[100 + i].found for i in range(80))
+
+
 def test_pii_edges(edge, empty):
     got = pii.sanitise(edge).collect()
     assert len(got) == edge.count()
