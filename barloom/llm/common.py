@@ -7,7 +7,7 @@ import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,21 +25,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines of the cluster see; a temporary one only where the session names none (tests)."""
+    """The folder that all machines of the cluster see. A session on one machine that names none (as in tests) gets a
+    temporary one; on a cluster that would be another folder on every machine, so there it is an error."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         folder = os.path.join(tempfile.gettempdir(), f"barloom-{os.getuid()}")
     return folder.rstrip("/")
 
 
+#: Paths of the tables written by materialize, in order; those that settle deletes leave the list.
+_WRITTEN: list[str] = []
+
+
+def _file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path for it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write df as Parquet in the shared folder and read it back. Survives the loss of executors."""
+    """Cut lineage: write df as Parquet in the shared folder and read it back. Survives the loss of executors. The table
+    is deleted when the driver ends, or by settle."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/barloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
+    files, place = _file_system(spark, path)
+    files.deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settle(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """materialize(make(), name), after which the tables that make() wrote on its way have had their last reader: they
+    are deleted."""
+    before = len(_WRITTEN)
+    out = materialize(make(), name)
+    for path in _WRITTEN[before:-1]:
+        files, place = _file_system(spark, path)
+        files.delete(place, True)
+    del _WRITTEN[before:-1]
+    return out
+
+
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of each text; null counts as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]

@@ -2,8 +2,9 @@
 
 One pass sets bits of a filter for the keys seen at least once and of another for those seen at least twice. Only the
 lines whose key the second filter reports ("suspected repeats") are shuffled, as 16-byte fingerprints, to count the
-documents that hold them exactly and to choose the first occurrence. The filters have a fixed size: too small a filter
-lets more lines be shuffled and never changes the result.
+documents that hold them exactly and to choose the first occurrence. The filters are sized by the number of lines, up to
+MOST_BITS: beyond that they fill up, more lines are shuffled (all of them in the end, 28 bytes each), and the result is
+the same.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import as_bytes, by_batch, materialize, table
 
-#: Bits of each Bloom filter: 4 MB to the driver and to each task, whatever the input.
-BLOOM_BITS = 1 << 25
+#: Bits of each Bloom filter for a line, and least and most bits: 32 MB to the driver and to each task at most. With
+#: three hashes, half of the lines that aren't repeated are suspected from 140 million distinct lines on.
+BITS_PER_LINE, LEAST_BITS, MOST_BITS = 8, 1 << 20, 1 << 28
 BLOOM_HASHES = 3
 SEGMENT_BITS = 1 << 16
 #: Up to so many confirmed keys (16 bytes each) go to every task; more are joined with the documents.
@@ -38,6 +40,20 @@ def _positions(hashes: np.ndarray, bits: int) -> np.ndarray:
     return ((low[:, None] + np.arange(BLOOM_HASHES, dtype=np.uint64) * high[:, None]) % np.uint64(bits)).astype(np.int64)
 
 
+def _set(bitmap: np.ndarray, positions: np.ndarray) -> None:
+    """Set bits of a packed bitmap."""
+    if positions.size:
+        at = np.unique(positions)
+        byte, bit = at >> 3, (1 << (at & 7)).astype(np.uint8)
+        starts = np.flatnonzero(np.concatenate([[True], byte[1:] != byte[:-1]]))
+        bitmap[byte[starts]] |= np.bitwise_or.reduceat(bit, starts)
+
+
+def _all_set(bitmap: np.ndarray, positions: np.ndarray) -> np.ndarray:
+    """For each row of positions whether all of its bits are set."""
+    return ((bitmap[positions >> 3] >> (positions & 7).astype(np.uint8)) & 1).all(axis=1)
+
+
 def _pack(positions: np.ndarray) -> bytes:
     """A segment: its bit numbers as 16-bit numbers while that is shorter, else its bitmap."""
     if positions.size * 2 < SEGMENT_BITS // 8:
@@ -60,10 +76,10 @@ SEGMENTS = pa.schema([("segment", pa.int32()), ("once", pa.binary()), ("twice",
 
 def _segments(once: np.ndarray, twice: np.ndarray) -> Iterator[pa.RecordBatch]:
     rows = []
-    for s in range(len(once) // SEGMENT_BITS):
-        a, b = (np.flatnonzero(x[s * SEGMENT_BITS : (s + 1) * SEGMENT_BITS]) for x in (once, twice))
-        if a.size:
-            rows.append((s, _pack(a), _pack(b)))
+    size = SEGMENT_BITS // 8
+    for s in np.flatnonzero(once.reshape(-1, size).any(axis=1)).tolist():
+        a, b = (np.flatnonzero(np.unpackbits(x[s * size : (s + 1) * size], bitorder="little")) for x in (once, twice))
+        rows.append((s, _pack(a), _pack(b)))
     if rows:
         yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), SEGMENTS)], schema=SEGMENTS)
 
@@ -72,7 +88,7 @@ def _sketch(bits: int):
     """Both filters of a task's documents. A key counts once for each document that holds it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        once, twice = np.zeros(bits, bool), np.zeros(bits, bool)
+        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
         for batch in batches:
             hashes: list[int] = []
             for text in as_bytes(batch.column("text")):
@@ -81,9 +97,9 @@ def _sketch(bits: int):
                 continue
             keys, counts = np.unique(np.array(hashes, np.uint64), return_counts=True)
             at = _positions(keys, bits)
-            again = once[at].all(axis=1) | (counts > 1)
-            twice[at[again]] = True
-            once[at] = True
+            again = _all_set(once, at) | (counts > 1)
+            _set(twice, at[again].ravel())
+            _set(once, at.ravel())
         yield from _segments(once, twice)
 
     return run
@@ -111,27 +127,34 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def repeated_filter(texts: DataFrame, bits: int = BLOOM_BITS) -> bytes:
-    """The twice-seen filter of column text as packed bits (bits / 8 bytes)."""
+def filter_bits(texts: DataFrame) -> int:
+    """Bits of a filter for all lines of column text: a power of two."""
+    lines = F.length("text") - F.length(F.replace(F.col("text"), F.lit("\n"), F.lit(""))) + 1
+    count = texts.agg(F.coalesce(F.sum(lines), F.lit(0))).first()[0]
+    return min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_PER_LINE * count - 1).bit_length() if count else 0))
+
+
+def repeated_filter(texts: DataFrame, bits: int) -> np.ndarray:
+    """The twice-seen filter of column text, packed (bits / 8 bytes)."""
     merged = (
         texts.select("text").mapInArrow(_sketch(bits), "segment int, once binary, twice binary")
         .repartition("segment").sortWithinPartitions("segment")
         .mapInArrow(_merge, "segment int, once binary, twice binary").select("segment", "twice")
     )
-    out = np.zeros(bits, bool)
-    for row in merged.collect():  # bits / 8 bytes at most
-        out[row.segment * SEGMENT_BITS :][:SEGMENT_BITS] = _unpack(row.twice)
-    return np.packbits(out).tobytes()
+    out, size = np.zeros(bits // 8, np.uint8), SEGMENT_BITS // 8
+    for row in merged.toLocalIterator():  # bits / 8 bytes at most
+        out[row.segment * size : (row.segment + 1) * size] = np.packbits(_unpack(row.twice), bitorder="little")
+    return out
 
 
-def suspected_repeats(docs: DataFrame, bits: int = BLOOM_BITS) -> DataFrame:
+def suspected_repeats(docs: DataFrame, bits: int) -> DataFrame:
     """(doc_id, line_no, key): the first line of each suspected key in each document; key is a 128-bit fingerprint."""
     spark = docs.sparkSession
     held = spark.sparkContext.broadcast(repeated_filter(docs, bits))
     schema = pa.schema([("doc_id", pa.int64()), ("line_no", pa.int32()), ("key", pa.binary())])
 
     def make():
-        bitmap = np.unpackbits(np.frombuffer(held.value, np.uint8)).astype(bool)
+        bitmap = held.value
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             ids, numbers, keys, hashes = [], [], [], []
@@ -144,7 +167,7 @@ def suspected_repeats(docs: DataFrame, bits: int = BLOOM_BITS) -> DataFrame:
                         numbers.append(n)
                         keys.append(key)
                         hashes.append(xxhash.xxh3_64_intdigest(key))
-            found = np.flatnonzero(bitmap[_positions(np.array(hashes, np.uint64), bits)].all(axis=1)) if hashes else []
+            found = np.flatnonzero(_all_set(bitmap, _positions(np.array(hashes, np.uint64), bits))) if hashes else []
             rows = [[ids[i] for i in found], [numbers[i] for i in found], [xxhash.xxh3_128_digest(keys[i]) for i in found]]
             return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(rows, schema)], schema=schema)
 
@@ -188,18 +211,18 @@ def _strip_lines(docs: DataFrame, drops) -> DataFrame:
 _DROPS = "_dropped_lines"
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, bits: int = BLOOM_BITS, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, bits: int | None = None, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
     """Drop the lines whose key stands in at least min_docs documents (rows of docs: doc_id long, text string).
 
     Returns the columns of docs, text being the kept lines joined by a newline, and n_lines, n_dropped, kept_sha256 (in
     place of columns of these names). With keep_first the first occurrence of a dropped key stays: lowest doc_id, then
     lowest line (null doc_id last; of rows that repeat a doc_id, each keeps it). Null or empty text is one empty line,
     and empty keys are never dropped. Rows that repeat a doc_id count as documents of their own. An empty table gives an
-    empty table.
+    empty table. bits: size of the filters, from the number of lines if None.
     """
     docs = docs.drop(*ADDED, _DROPS).withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
     spark = docs.sparkSession
-    suspects = materialize(suspected_repeats(docs, bits), "suspects")
+    suspects = materialize(suspected_repeats(docs, bits or filter_bits(docs)), "suspects")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "line_no")).alias("first")
     repeated = materialize(suspects.groupBy("key").agg(F.count(F.lit(1)).alias("docs"), first).where(F.col("docs") >= min_docs), "repeated")
     if repeated.count() <= broadcast_keys:

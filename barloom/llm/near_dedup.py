@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import as_bytes, by_batch, likely_in, materialize, rows_of, table
+from barloom.llm.common import as_bytes, by_batch, likely_in, materialize, rows_of, settle, table
 from barloom.llm.components import connected_components
 
 #: 80 permutations give 160 values: 32 bands of 5. A pair of similarity 0.8 is missed with probability 3e-6.
@@ -25,6 +25,8 @@ BANDS = 2 * PERMUTATIONS // BAND_ROWS
 _RANDOM = np.random.Generator(np.random.PCG64(20240501))
 _MASKS = _RANDOM.integers(0, 1 << 64, PERMUTATIONS, np.uint64)
 _FACTORS = _RANDOM.integers(0, 1 << 64, PERMUTATIONS, np.uint64) | np.uint64(1)
+#: Rows from which a shingle is joined by broadcast, and most such shingles (16 bytes each).
+HOT, HOT_KEYS = 500, 500_000
 _WEIGHTS = _RANDOM.integers(0, 1 << 64, 64, np.uint64) | np.uint64(1)
 
 
@@ -128,6 +130,17 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(by_batch(make), "a bigint, b bigint").distinct()
 
 
+def _with_frequency(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """rows (node, shingle) of shared (shingle, df) with df. A shingle of more than HOT rows would meet in one task: there
+    are few of those, at most a row in HOT, and up to HOT_KEYS of them go to every task instead."""
+    hot = shared.where(F.col("df") > HOT)
+    if not 0 < hot.count() <= HOT_KEYS:
+        return rows.join(shared, "shingle")
+    tried = rows.join(F.broadcast(hot), "shingle", "left")
+    usual = rows.join(F.broadcast(hot.select("shingle")), "shingle", "left_anti")
+    return tried.where("df is not null").unionByName(usual.join(shared.where(F.col("df") <= HOT), "shingle"))
+
+
 def _prefix_pairs(apart: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs (a, b) of apart (node, class, rep, n, c: component) in different components that may meet the similarity.
 
@@ -150,8 +163,8 @@ def _prefix_pairs(apart: DataFrame, docs: DataFrame, words: int, percent: int) -
     found = texts.mapInArrow(by_batch(make), "doc_id bigint, class binary, shingles array<bigint>").dropDuplicates(["class"])
     rows = materialize(found.join(apart.select("class", "node"), "class").select("node", "shingles"), "apart-shingles")
     rows = rows.select("node", F.explode("shingles").alias("shingle"))
-    shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    lists = rows.join(shared, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("list"))
+    shared = materialize(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared-shingles")
+    lists = _with_frequency(rows, shared).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("list"))
     alone = F.col("n") - F.size("list")  # shingles that no other has come first
     length = F.col("n") - F.floor((percent * F.col("n") + 99) / 100).cast("long") + 1
     front = lists.join(apart, "node").select("rep", "n", "c", F.posexplode(F.slice("list", F.lit(1), F.greatest(length - alone, F.lit(0)).cast("int"))).alias("at", "s"), alone.alias("alone"))
@@ -176,6 +189,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     probability 3e-6, more similar ones less often.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    spark = docs.sparkSession
     signed = materialize(_signed(docs, words), "signatures")
     reps = signed.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     reps = materialize(reps.where("rep is not null").withColumn("node", F.monotonically_increasing_id()), "classes")
@@ -184,17 +198,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     buckets = materialize(member.join(hubs, "key"), "buckets")
     star = buckets.where((F.col("hub.rep") != F.col("rep")) & _near(F.col("hub.n"), F.col("n"), percent))
     pairs = materialize(star.select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct(), "star-pairs")
-    links = materialize(_confirmed(pairs, docs, words, percent), "star-links")
-    found = connected_components(links)
+    links = settle(spark, lambda: _confirmed(pairs, docs, words, percent), "star-links")
+    found = settle(spark, lambda: connected_components(links), "star-components")
 
     # what the stars left apart: members of buckets that still hold several components, besides the hub, which has met them all
     placed = buckets.where((F.col("hub.rep") != F.col("rep")) | (F.col("hub.n") != F.col("n"))).drop("hub").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
     split = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
     apart = placed.join(split, "key", "left_semi").select("node", "rep", "n", "c").distinct()
     apart = materialize(apart.join(reps.select("node", "class"), "node"), "apart")
-    rest = materialize(_prefix_pairs(apart, docs, words, percent), "rest-pairs")
-    more = _confirmed(rest, docs, words, percent)
-    found = connected_components(links.unionByName(more))
+    rest = settle(spark, lambda: _prefix_pairs(apart, docs, words, percent), "rest-pairs")
+    more = settle(spark, lambda: _confirmed(rest, docs, words, percent), "rest-links")
+    found = settle(spark, lambda: connected_components(links.unionByName(more)), "components")
 
     of_class = reps.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("class", F.coalesce("component", "rep").alias("component_id"))
     named = signed.select("doc_id", F.col("n").alias("n_shingles"), "class").join(of_class, "class", "left")

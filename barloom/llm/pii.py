@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import SPACE, join_few, likely_in, materialize, table
+from barloom.llm.common import SPACE, join_few, likely_in, materialize, settle, table
 
 _LOCAL = "A-Za-z0-9._%+-"
 #: Possessive forms of the contract's patterns: they match the same spans, in linear time and without recursion. A
@@ -243,9 +243,13 @@ def sanitise(docs: DataFrame, threshold: float = 0.75, removal: float = 0.95, mi
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("of", F.xxhash64("text"))
     seen = materialize(entity_texts(docs), "entity-texts")
-    _, hits = disclosive_terms(docs, seen, threshold, removal, min_texts)
-    own = hits.groupBy("of").agg(F.array_sort(F.collect_set(F.struct("term", "kind", "removed"))).alias("own"))
-    joined = likely_in(join_few(docs, materialize(own, "text-terms"), "of"), seen.select("of").distinct(), "of")
+
+    def text_terms() -> DataFrame:
+        _, hits = disclosive_terms(docs, seen, threshold, removal, min_texts)
+        return hits.groupBy("of").agg(F.array_sort(F.collect_set(F.struct("term", "kind", "removed"))).alias("own"))
+
+    own = settle(docs.sparkSession, text_terms, "text-terms")
+    joined = likely_in(join_few(docs, own, "of"), seen.select("of").distinct(), "of")
     # whole words only: the match begins where a word does, with its edge, and ends at the word's end but for its edge
     edge, between = r"[.,;:!?()\x22'|]*+", f"[{SPACE}]++"
     quote = lambda w: F.concat(F.lit("\\Q"), F.replace(w, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
