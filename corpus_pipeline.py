@@ -6,11 +6,13 @@ docs. All stages but the last return the columns of `documents`.
 
 from __future__ import annotations
 
+from functools import partial
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import materialize, table
+from barloom.llm.common import settle, table
 from barloom.llm.decontaminate import decontaminate
 from barloom.llm.language_id import fit_dictionaries, identify_language, training_rows
 from barloom.llm.line_dedup import dedup_lines
@@ -59,5 +61,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of sf_dir."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = settle(spark, partial(stage, spark, docs, sf_dir), f"stage-{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
