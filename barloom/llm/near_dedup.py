@@ -131,7 +131,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
 
 
 def _with_frequency(rows: DataFrame, shared: DataFrame) -> DataFrame:
-    """rows (node, shingle) of shared (shingle, df) with df. A shingle of more than HOT rows would meet in one task: there
+    """rows joined with shared (shingle, df: its rows, and more). A shingle of more than HOT rows would meet in one task: there
     are few of those, at most a row in HOT, and up to HOT_KEYS of them go to every task instead."""
     hot = shared.where(F.col("df") > HOT)
     if not 0 < hot.count() <= HOT_KEYS:
@@ -169,8 +169,9 @@ def _prefix_pairs(apart: DataFrame, docs: DataFrame, words: int, percent: int) -
     length = F.col("n") - F.floor((percent * F.col("n") + 99) / 100).cast("long") + 1
     front = lists.join(apart, "node").select("rep", "n", "c", F.posexplode(F.slice("list", F.lit(1), F.greatest(length - alone, F.lit(0)).cast("int"))).alias("at", "s"), alone.alias("alone"))
     front = materialize(front.select("rep", "n", "c", F.col("s.shingle").alias("shingle"), (F.col("alone") + F.col("at") + 1).alias("place")), "prefixes")
-    largest = front.groupBy("shingle", "c").count().groupBy("shingle").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count(F.lit(1)).alias("met")).where("met > 1").drop("met")
-    front = front.join(largest, "shingle")
+    largest = front.groupBy("shingle", "c").count().groupBy("shingle").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count(F.lit(1)).alias("met"), F.sum("count").alias("df")).where("met > 1").drop("met")
+    largest = materialize(largest, "met-shingles")
+    front = _with_frequency(likely_in(front, largest.select("shingle"), "shingle").where("_likely").drop("_likely"), largest)
     one = front.where("c <> main").drop("main")
     two = front.select("shingle", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("place").alias("place2"), (F.col("c") == F.col("main")).alias("in_main"))
     most = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) + 1

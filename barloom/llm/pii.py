@@ -1,7 +1,7 @@
 """Personal data: exact patterns, and terms whose corpus co-occurrence gives a protected entity away.
 
 Entities are found by pattern: the contract's four kinds, and credentials (long random tokens). For each entity e and
-each word or pair of words t of its texts, the pointwise mutual information of t and e over the distinct texts of the
+each word t of its texts, the pointwise mutual information of t and e over the distinct texts of the
 corpus is held against the information content of e: a share of 1 means that the term stands only in that entity's texts
 and reveals it fully. The same is estimated for each kind of entity as a whole, from the words that stand close to its
 spans: they tell that such an entity follows. Terms above a disclosure threshold are generalised to the kind that they
@@ -112,12 +112,6 @@ def _marked(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, cut).otherwise(text)
 
 
-def _with_pairs(words: Column) -> Column:
-    """Words, and pairs of words that follow each other."""
-    pairs = F.zip_with(words, F.slice(words, 2, F.size(words)), lambda a, b: F.when((a != "") & (b != ""), F.concat(a, F.lit(" "), b)))
-    return F.array_distinct(F.concat(words, pairs))
-
-
 def _is_term(term: Column) -> Column:
     return term.rlike(r"[\p{L}\p{N}]") & ~term.rlike(HOLE)
 
@@ -127,12 +121,12 @@ def _holed_words(text: Column) -> Column:
     return _let(_spans(text), lambda spans: _words(_marked(text, spans)))
 
 
-def _terms(docs: DataFrame, *keep: str, pairs: bool = True) -> DataFrame:
-    """keep and term: the distinct words, and pairs of words, of each text of docs (text, _likely: may hold an entity) in
-    lower case, edge punctuation stripped. Entities stand among them as holes."""
+def _terms(docs: DataFrame) -> DataFrame:
+    """(of, term): the distinct words of each text of docs (of, text, _likely: may hold an entity) in lower case, edge
+    punctuation stripped. Entities stand among them as holes."""
     # outer: an inner explode makes Spark compute the words a second time, for a filter
     words = F.when(F.col("_likely"), _holed_words(F.col("text"))).otherwise(_words(F.col("text")))
-    return docs.select(*keep, F.explode_outer(_let(words, _with_pairs if pairs else F.array_distinct)).alias("term")).where("term is not null")
+    return docs.select("of", F.explode_outer(F.array_distinct(words)).alias("term")).where("term <> ''")
 
 
 def _named(kind: str):
@@ -167,8 +161,8 @@ def disclosive_terms(docs: DataFrame, seen: DataFrame, threshold: float = 0.75,
     entities and kinds), kind (that entity's), removed. hits: of, term for each text with such a term. Counts
     are of distinct texts, so copies of one text count once; a pair of entity and term counts from min_texts texts on. A
     kind counts as an entity that stands in the texts where the term is close to such a span, if the term tells min_bits
-    about it or more: a kind that stands in most texts is no secret. A pair of words counts only if neither of them is a
-    term by itself. Sets of up to broadcast_terms candidate terms are broadcast, larger ones are joined by a shuffle."""
+    about it or more: a kind that stands in most texts is no secret. Phrases are no terms:
+    near copies of a text share all of theirs. Sets of up to broadcast_terms candidate terms are broadcast, larger ones are joined by a shuffle."""
     total = F.lit(float(docs.select("of").distinct().count()))
     information = F.log2(total / F.col("with_entity"))
 
@@ -190,28 +184,25 @@ def disclosive_terms(docs: DataFrame, seen: DataFrame, threshold: float = 0.75,
     known = materialize(seen.join(of_entity, "entity"), "known-entity-texts")
     # the most frequent entity admits the most frequent terms
     most = known.agg(F.coalesce(F.max("with_entity"), F.lit(1)).alias("with_entity")).first()[0]
-    words = materialize(_terms(docs.where("_likely").join(known.select("of").distinct(), "of"), "of").where(_is_term(F.col("term"))).distinct(), "entity-terms")
-    # a term stands in at least the texts in which it stands with an entity: what misses the threshold even so is out
+    words = materialize(_terms(docs.where("_likely").join(seen.select("of").distinct(), "of")).where(_is_term(F.col("term"))).distinct(), "entity-terms")
+    # a term stands in at least the texts in which it stands with any entity: what misses the threshold even so is out
+    near_all = materialize(words.groupBy("term").agg(F.count(F.lit(1)).alias("near_entities")).where(F.col("near_entities") >= min_texts), "near-terms")
     at_best = share(F.col("near_entities"), F.least("with_entity", "near_entities"))
-    near_terms = words.groupBy("term").agg(F.count(F.lit(1)).alias("near_entities")).where(F.col("near_entities") >= min_texts)
-    near_terms = near_terms.withColumn("with_entity", F.lit(most)).where(F.coalesce(at_best >= least, F.lit(most) >= total)).drop("with_entity")
-    words = words.join(small(materialize(near_terms, "near-terms")), "term")
+    near_known = near_all.withColumn("with_entity", F.lit(most)).where(F.coalesce(at_best >= least, F.lit(most) >= total)).drop("with_entity")
+    words = words.join(small(materialize(near_known, "near-known-terms")), "term")
     pairs = known.join(words, "of").where(at_best >= least).groupBy("entity", "kind", "with_entity", "term", "near_entities").agg(F.count(F.lit(1)).alias("both"))
     pairs = pairs.where((F.col("both") >= min_texts) & (share(F.col("near_entities")) >= least)).select("kind", "with_entity", "term", "both", F.lit(True).alias("single"))
     of_kind = seen.groupBy("kind").agg(F.count_distinct("of").alias("with_entity"))
-    close = beside.select("of", "s.*").distinct().groupBy("kind", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= min_texts).join(F.broadcast(of_kind), "kind")  # a row a kind
-    close = close.where((share(F.col("both")) >= least) & (bits(F.col("both")) >= min_bits)).select("kind", "with_entity", "term", "both", F.lit(False).alias("single"))
+    close = beside.select("of", "s.*").distinct().groupBy("kind", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= min_texts)
+    close = close.join(F.broadcast(of_kind), "kind").join(near_all, "term")  # a row a kind
+    close = close.where((share(F.col("near_entities")) >= least) & (bits(F.col("near_entities")) >= min_bits - 1e-9)).select("kind", "with_entity", "term", "both", F.lit(False).alias("single"))
     pairs = materialize(pairs.unionByName(close), "entity-pairs")
     candidates = pairs.select("term").distinct()
-    of_pairs = bool(candidates.where(F.contains("term", F.lit(" "))).take(1))
-    held = materialize(_terms(docs, "of", pairs=of_pairs).join(small(candidates), "term", "left_semi"), "term-hits")
+    held = materialize(_terms(docs).join(small(candidates), "term", "left_semi"), "term-hits")
     of_term = held.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("with_term"))
     told = pairs.join(of_term, "term").withColumn("share", share(F.col("with_term"))).where((F.col("share") >= threshold) & (F.col("single") | (bits(F.col("with_term")) >= min_bits)))
     best = F.struct("share", "single", "kind")
-    told = materialize(told.groupBy("term").agg(F.max(best).alias("b")).select("term", "b.share", "b.kind", (F.col("b.single") & (F.col("b.share") >= removal)).alias("removed")), "told-terms")
-    alone = told.where(~F.contains("term", F.lit(" "))).select(F.col("term").alias("word"))
-    for place in (1, 2):
-        told = told.join(alone, F.contains("term", F.lit(" ")) & (F.split_part("term", F.lit(" "), F.lit(place)) == F.col("word")), "left_anti")
+    told = told.groupBy("term").agg(F.max(best).alias("b")).select("term", "b.share", "b.kind", (F.col("b.single") & (F.col("b.share") >= removal)).alias("removed"))
     terms = materialize(told, "disclosive-terms")
     return terms, held.distinct().join(terms, "term")
 
@@ -251,11 +242,9 @@ def sanitise(docs: DataFrame, threshold: float = 0.75, removal: float = 0.95, mi
     own = settle(docs.sparkSession, text_terms, "text-terms")
     joined = likely_in(join_few(docs, own, "of"), seen.select("of").distinct(), "of")
     # whole words only: the match begins where a word does, with its edge, and ends at the word's end but for its edge
-    edge, between = r"[.,;:!?()\x22'|]*+", f"[{SPACE}]++"
-    quote = lambda w: F.concat(F.lit("\\Q"), F.replace(w, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
-    quoted = F.transform("own", lambda t: F.array_join(F.transform(F.split(t["term"], " "), quote), f"{edge}{between}{edge}"))
-    longest = F.array_sort(quoted, lambda a, b: F.length(b) - F.length(a))
-    pattern = F.concat(F.lit(f"(?iu)(?<![^{SPACE}]){edge}(?:"), F.array_join(longest, "|"), F.lit(f"){edge}(?![^{SPACE}])"))
+    edge = r"[.,;:!?()\x22'|]*+"
+    quoted = F.transform("own", lambda t: F.concat(F.lit("\\Q"), F.replace(t["term"], F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
+    pattern = F.concat(F.lit(f"(?iu)(?<![^{SPACE}]){edge}(?:"), F.array_join(quoted, "|"), F.lit(f"){edge}(?![^{SPACE}])"))
     term = F.when(F.col("own").isNotNull(), F.transform(_located(F.col("text"), pattern), _bare)).otherwise(F.array().cast(NO_SPANS))
     spans = joined.select("doc_id", "text", "own", *[F.when(F.col("_likely"), base_spans(F.col("text"), k)).otherwise(F.array().cast(NO_SPANS)).alias(k) for k in ENTITIES], term.alias("term"))
 
@@ -280,8 +269,7 @@ def _bare(s: Column) -> Column:
     """The span without edge punctuation, value: the term."""
     start = s["start"] + F.length(s["value"]) - F.length(F.ltrim(s["value"], F.lit(EDGE)))
     value = F.btrim(s["value"], F.lit(EDGE))
-    words = F.transform(F.split(F.lower(value), f"[{SPACE}]+"), lambda w: F.btrim(w, F.lit(EDGE)))
-    return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), F.array_join(words, " ").alias("value"))
+    return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), F.lower(value).alias("value"))
 
 
 def _tagged(kind: str):

@@ -263,7 +263,7 @@ def test_pii_every_word_is_a_candidate(spark):
 
 
 def test_pii_shares_match_brute_force(spark):
-    """Disclosure of every word and pair by single entities and by kinds, from the definition."""
+    """Disclosure of every word by single entities and by kinds, from the definition."""
     rng = random.Random(11)
     words = [f"w{i}" for i in range(25)] + ["O'Neil", "Smith-Jones", "x1"]
     people = [("ann@a.example.com", ["Zorro", "Quix"]), ("10.1.2.3", ["hostline"]), ("+1 (555) 010-9999", ["red", "door"])]
@@ -290,8 +290,7 @@ def test_pii_shares_match_brute_force(spark):
                 marked += t[at:a] + f"\x00{k}\x00"
             at = max(at, b)
         own = [w.strip(pii.EDGE).lower() for w in (marked + t[at:]).split()]
-        terms = {*own, *(f"{a} {b}" for a, b in zip(own, own[1:]) if a and b)}
-        terms = {x for x in terms if "\x00" not in x and re.search(r"\w", x)}
+        terms = {x for x in own if "\x00" not in x and re.search(r"\w", x)}
         for x in terms:
             df[x].add(n)
         for _, _, k, v in found:
@@ -315,28 +314,23 @@ def test_pii_shares_match_brute_force(spark):
         if len(both) >= 3 and bits >= 4:
             best[x] = max(best.get(x, (0, False, "")), (bits / math.log2(total / len(of_kind[k])), False, k))
     want = {x: (round(v[0], 9), v[2], v[1] and v[0] >= 0.95) for x, v in best.items() if v[0] >= 0.75}
-    want = {x: v for x, v in want.items() if " " not in x or not set(x.split()) & set(want)}
     docs = spark.createDataFrame(rows, "doc_id long, text string").select(F.xxhash64("text").alias("of"), "text")
     terms, hits = pii.disclosive_terms(docs, pii.entity_texts(docs))
     assert {r.term: (round(r.share, 9), r.kind, r.removed) for r in terms.collect()} == want
-    assert {"zorro", "hostline"} <= set(want) and want["token"][1:] == ("secret", False) and "red door" not in want
+    assert {"zorro", "hostline"} <= set(want) and want["token"][1:] == ("secret", False)
     assert hits.count() == sum(len(df[x]) for x in want)
 
 
-def test_pii_pairs_of_words(spark):
-    """Two common words that only together give a person away; credentials are cut and the word before them is generalised."""
+def test_pii_credentials(spark):
+    """Credentials are cut and the word before them is generalised to their kind."""
     rng = random.Random(8)
     noise = lambda n=9: " ".join(rng.choice(["red", "blue", "door", "wall", "lamp", "tree"]) for _ in range(n))
-    clean = lambda t: t.replace("red door", "red wall")
-    rows = [(i, f"{clean(noise())} lamp {'Red, door' if i % 2 else 'red  DOOR'} tree p@q.example.com {clean(noise())}") for i in range(6)]
-    rows += [(100 + i, clean(f"{noise()} wall {noise()} {i}")) for i in range(80)]
-    rows += [(200 + i, f'{clean(noise())} token = "{i:04d}abcdefabcdef{i:04d}abcdef" {clean(noise())}') for i in range(4)]
+    rows = [(100 + i, f"{noise()} wall {noise()} {i}") for i in range(80)]
+    rows += [(200 + i, f'{noise()} token = "{i:04d}abcdefabcdef{i:04d}abcdef" {noise()}') for i in range(4)]
     got = {r.doc_id: r for r in pii.sanitise(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    for i in range(6):
-        term = [tuple(map(int, x.split(":")[1:])) for x in got[i].spans.split(",") if x.startswith("term:")]
-        assert [rows[i][1][a:b] for a, b in term] == ["Red, door" if i % 2 else "red  DOOR"]
     for i in range(4):
         assert got[200 + i].n_secret == 1 and got[200 + i].n_terms == 1 and '<SECRET-TERM> = "<SECRET>"' in got[200 + i].text and got[200 + i].found
+        assert got[200 + i].n_email + got[200 + i].n_card + got[200 + i].n_phone == 0
     assert not any(got[100 + i].found for i in range(80))
 
 
