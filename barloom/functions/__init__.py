@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
@@ -42,10 +42,54 @@ def rolling(aggregate, value: Column, over: WindowSpec, rows: int) -> Column:
 
 
 def in_order(by: Sequence[str] = (), ts: str = "timestamp") -> WindowSpec:
-    """Rows of one symbol in time order. Without `by` the whole series is one partition, as long as its timeline."""
+    """Rows of one symbol, or of one block of a series, in time order; without `by` one partition, for small tables."""
     return Window.partitionBy(*by).orderBy(ts) if by else Window.orderBy(ts)
 
 
+#: A series without symbols is cut into blocks, so that no task sorts the whole of it: days or numbers of a block.
+BLOCK_DAYS, BLOCK_NUMBERS = 30, 1_000_000
+BLOCK, OWN = "_block", "_own"
+
+
+def block_of(rows: DataFrame, ts: str | Column) -> Column:
+    """Number of the block of a timestamp, date or ordinal; nulls come first."""
+    ts = F.col(ts) if isinstance(ts, str) else ts
+    kind = rows.select(ts.alias("t")).schema["t"].dataType.typeName()
+    at = F.date_diff(ts, F.lit("1970-01-01").cast("date")) if kind in ("timestamp_ntz", "timestamp", "date") else F.floor(ts / BLOCK_NUMBERS * BLOCK_DAYS)
+    return F.coalesce(F.floor(at / BLOCK_DAYS).cast("long"), F.lit(-(1 << 62)))
+
+
+def with_halo(rows: DataFrame, before: int = 0, after: int = 0, ts: str = "timestamp") -> DataFrame:
+    """rows by BLOCK, each block with the `before` rows that precede it and the `after` rows that follow it in the series
+    (OWN is false for those). A window over (BLOCK, ts) then sees what one over the whole series would. Of each block
+    only its first and last rows are gathered, and one small row a block meets the others in one task."""
+    at = rows.withColumn(BLOCK, block_of(rows, ts))
+    whole = at.withColumn(OWN, F.lit(True))
+    for size, ahead in ((before, False), (after, True)):
+        if not size:
+            continue
+        edge = Window.partitionBy(BLOCK).orderBy(F.col(ts).asc() if ahead else F.col(ts).desc())
+        near = at.withColumn("_place", F.row_number().over(edge)).where(F.col("_place") <= size)
+        ends = near.groupBy(BLOCK).agg(F.sort_array(F.collect_list(F.struct("_place", F.struct(*rows.columns).alias("row")))).alias("_rows"))
+        blocks = Window.orderBy(F.col(BLOCK).asc() if ahead else F.col(BLOCK).desc()).rowsBetween(1, size)
+        met = F.slice(F.flatten(F.collect_list("_rows").over(blocks)), 1, size)
+        ghosts = ends.withColumn("_met", met).select(BLOCK, F.explode("_met").alias("_g")).select("_g.row.*", BLOCK, F.lit(False).alias(OWN))
+        whole = whole.unionByName(ghosts)
+    return whole
+
+
+def own_rows(rows: DataFrame) -> DataFrame:
+    return rows.where(OWN).drop(BLOCK, OWN)
+
+
+def carried(rows: DataFrame, aggregate: Column, over_blocks: Callable[[Column], Column], later: bool = False) -> DataFrame:
+    """rows (BLOCK) with _carry: over_blocks of the aggregate of each block before theirs (later: after). One row a block
+    goes through one task."""
+    w = Window.orderBy(F.col(BLOCK).desc() if later else F.col(BLOCK).asc()).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy(BLOCK).agg(aggregate.alias("_a")).select(F.col(BLOCK).alias("_b"), over_blocks(F.col("_a")).over(w).alias("_carry"))
+    return rows.join(blocks, F.col(BLOCK) == F.col("_b")).drop("_b")
+
+
 def finite(value: Column) -> Column:
     """NaN and infinities as null."""
     value = value.cast("double")

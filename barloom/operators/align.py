@@ -8,22 +8,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.functions import period_start
+from barloom.functions import BLOCK, block_of, carried, period_start
 
 BAR = ["open", "high", "low", "close", "tickvol", "vol", "spread"]
 
 
 def _asof(left: DataFrame, right: DataFrame, left_on: Column, right_on: Column, by: Sequence[str], ties: bool, forward: bool) -> DataFrame:
     """Left rows with struct column ctx: the nearest right row before (or after) them. Both sides go through one
-    exchange on `by` and one sort; no pair of rows is ever made."""
+    exchange on `by`, or on blocks of the series, and one sort; no pair of rows is ever made. A block starts with the
+    last context of the blocks before it."""
     context = F.struct(*right.columns)
     rows = left.select(*by, left_on.alias("_at"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(right.select(context.alias("c")).schema["c"].dataType).alias("_ctx"))
     others = right.select(*by, right_on.alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), context.alias("_ctx"))
-    # on equal times the side that must not see the other comes first
-    seen_first = F.col("_side") if ties != forward else -F.col("_side")
-    order = Window.partitionBy(*by).orderBy("_at", seen_first)
-    found = F.first("_ctx", True).over(order.rowsBetween(0, Window.unboundedFollowing)) if forward else F.last("_ctx", True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.unionByName(others).withColumn("ctx", found).where("_side = 1").select("_row.*", "ctx")
+    both = rows.unionByName(others)
+    # on equal times the side that must not see the other comes first; forward is backward in falling order
+    order = [F.col("_at").desc() if forward else F.col("_at").asc(), F.col("_side") if ties else -F.col("_side")]
+    seen = lambda *keys: F.last("_ctx", True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    if by:
+        both = both.withColumn("ctx", seen(*by))
+    else:
+        nearest = F.min_by if forward else F.max_by
+        blocks = both.withColumn(BLOCK, block_of(both, "_at"))
+        blocks = carried(blocks, nearest("_ctx", F.when(F.col("_side") == 0, F.col("_at"))), lambda c: F.last(c, True), forward)
+        both = blocks.withColumn("ctx", F.coalesce(seen(BLOCK), "_carry"))
+    return both.where("_side = 1").select("_row.*", "ctx")
 
 
 def asof_backward(left: DataFrame, right: DataFrame, left_on: str | Column = "timestamp", right_on: str | Column = "timestamp", by: Sequence[str] = (), ties: bool = False) -> DataFrame:

@@ -1,4 +1,5 @@
-"""Features of an aligned row. Windows run over rows in time order, of one symbol with `by`."""
+"""Features of an aligned row. Windows run over rows in time order, of one symbol with `by`, else of blocks of the series
+with the rows before them."""
 
 from __future__ import annotations
 
@@ -7,10 +8,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions import both_max, both_min, change, holds, in_order, rolling, safe_divide
+from barloom.functions import BLOCK, both_max, both_min, change, holds, in_order, own_rows, rolling, safe_divide, with_halo
+
+#: Rows before its own that a feature may see: 16 returns of one row each.
+LOOK_BACK = 16
 
 
 def m15_features(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    if not by:
+        return own_rows(m15_features(with_halo(rows, LOOK_BACK), [BLOCK]))
     w = in_order(by)
     close, open_, high, low = (F.col(f"{c}_x").cast("double") for c in ("close", "open", "high", "low"))
     lagged = {n: F.lag(close, n).over(w) for n in (1, 4, 16)}
@@ -50,14 +56,27 @@ def _completed(p: str) -> dict:
     return {f"{p}_completed_return": change(close, open_), f"m15_to_{p}_close_distance": safe_divide(F.col("close_x") - close, close)}
 
 
+def _h1_own(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    close = F.col("h1_completed_close").cast("double")
+    return rows.withColumns(_partial_shape("h1") | _completed("h1") | {"h1_return_1": change(close, F.lag(close).over(in_order(by)))})
+
+
+def h1_bar_returns(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """rows with h1_bar_return_1: the completed hour's close against that of the completed hour before it in rows."""
+    hour = rows.where(F.col("h1_completed_timestamp").isNotNull()).groupBy(*by, F.col("h1_completed_timestamp").alias("_hour")).agg(F.max(F.col("h1_completed_close").cast("double")).alias("_close"))
+    spread, keys = (hour, by) if by else (with_halo(hour, 1, ts="_hour"), [BLOCK])
+    spread = spread.withColumn("h1_bar_return_1", change(F.col("_close"), F.lag("_close").over(in_order(keys, "_hour")))).drop("_close")
+    hours = spread if by else own_rows(spread)
+    hours = hours.withColumnsRenamed({c: f"_{c}" for c in by})
+    same = F.col("h1_completed_timestamp") == F.col("_hour")
+    for c in by:
+        same = same & (F.col(c) == F.col(f"_{c}"))
+    return rows.join(hours, same, "left").drop("_hour", *[f"_{c}" for c in by])
+
+
 def h1_features(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """h1_return_1 follows the customary rule, a lag of one M15 row; h1_bar_return_1 lags by completed hour."""
-    close = F.col("h1_completed_close").cast("double")
-    w = in_order(by)
-    new_hour = F.col("h1_completed_timestamp") != F.lag("h1_completed_timestamp").over(w)
-    out = rows.withColumns(_partial_shape("h1") | _completed("h1") | {"h1_return_1": change(close, F.lag(close).over(w)), "_before": F.when(new_hour, F.lag(close).over(w))})
-    held = F.last("_before", True).over(w.rowsBetween(-(1 << 31), 0))
-    return out.withColumn("h1_bar_return_1", change(close, held)).drop("_before")
+    return h1_bar_returns(_h1_own(rows, by) if by else own_rows(_h1_own(with_halo(rows, 1), [BLOCK])), by)
 
 
 def d1_features(rows: DataFrame) -> DataFrame:
@@ -78,7 +97,10 @@ def cross_timeframe(rows: DataFrame) -> DataFrame:
 
 
 def all_features(aligned: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    return cross_timeframe(d1_features(h1_features(m15_features(aligned, by), by)))
+    if by:
+        return cross_timeframe(d1_features(h1_features(m15_features(aligned, by), by)))
+    rows = own_rows(_h1_own(m15_features(with_halo(aligned, LOOK_BACK), [BLOCK]), [BLOCK]))
+    return cross_timeframe(d1_features(h1_bar_returns(rows)))
 
 
 def partial_availability(rows: DataFrame, prefix: str) -> DataFrame:

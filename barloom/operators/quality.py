@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions import holds, in_order
+from barloom.functions import BLOCK, holds, in_order, own_rows, with_halo
 
 PRICES = ["open", "high", "low", "close"]
 
@@ -43,8 +43,8 @@ def raw_profile(rows: DataFrame) -> DataFrame:
 
 def timestamp_quality(bars: DataFrame, order: str, ts: str = "timestamp") -> DataFrame:
     """Null and repeated times, and steps back in the ingest order given by column `order`."""
-    before = F.lag(ts).over(in_order((), order))
-    steps = bars.select(ts, (F.col(ts) < before).alias("back"))
+    spread = with_halo(bars.select(ts, order), 1, ts=order)
+    steps = own_rows(spread.withColumn("back", F.col(ts) < F.lag(ts).over(in_order([BLOCK], order))))
     return steps.agg(
         F.count(F.lit(1)).alias("bars"), F.count_if(F.col(ts).isNull()).alias("null_timestamps"),
         (F.count(ts) - F.count_distinct(ts)).alias("duplicate_timestamps"), F.count_if("back").alias("steps_back"),
@@ -54,8 +54,8 @@ def timestamp_quality(bars: DataFrame, order: str, ts: str = "timestamp") -> Dat
 
 def intervals(bars: DataFrame, by: Sequence[str] = (), ts: str = "timestamp") -> DataFrame:
     """Each bar with the seconds since the bar before it (of its symbol)."""
-    before = F.lag(ts).over(in_order(by, ts))
-    return bars.withColumn("previous", before).withColumn("seconds", F.expr(f"timestampdiff(SECOND, previous, {ts})"))
+    spread = (bars if by else with_halo(bars, 1, ts=ts)).withColumn("previous", F.lag(ts).over(in_order(by or [BLOCK], ts)))
+    return (spread if by else own_rows(spread)).withColumn("seconds", F.expr(f"timestampdiff(SECOND, previous, {ts})"))
 
 
 def interval_histogram(bars: DataFrame, top: int = 15) -> DataFrame:

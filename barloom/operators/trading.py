@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.functions import change, finite, in_order, rolling, sharpe
+from barloom.functions import BLOCK, OWN, change, finite, in_order, own_rows, rolling, sharpe, with_halo
 
 #: Cost of one unit of position change, by scenario (fixed values).
 COST_SCENARIOS = {"zero_cost": 0.0, "low_cost": 0.0001, "medium_cost": 0.0005, "high_cost": 0.0020}
@@ -16,22 +16,34 @@ COST_SCENARIOS = {"zero_cost": 0.0, "low_cost": 0.0001, "medium_cost": 0.0005, "
 
 def price_context(bars: DataFrame, window: int = 16, by: Sequence[str] = ()) -> DataFrame:
     """timestamp, close_x, vol_16, forward_return_1 and next_timestamp of bars (timestamp, close)."""
-    w = in_order(by)
     close = F.col("close").cast("double")
-    rows = bars.select(*by, "timestamp", close.alias("close_x"), change(close, F.lag(close).over(w)).alias("_r"), change(F.lead(close).over(w), close).alias("forward_return_1"), F.lead("timestamp").over(w).alias("next_timestamp"))
-    return rows.select(*by, "timestamp", "close_x", rolling(F.stddev_samp, F.col("_r"), w, window).alias("vol_16"), "forward_return_1", "next_timestamp")
+    bars = bars.select(*by, "timestamp", close.alias("close_x"))
+    rows = bars if by else with_halo(bars, window, 1)
+    w = in_order(by or [BLOCK])
+    rows = rows.withColumns({"_r": change(F.col("close_x"), F.lag("close_x").over(w)), "forward_return_1": change(F.lead("close_x").over(w), F.col("close_x")), "next_timestamp": F.lead("timestamp").over(w)})
+    rows = rows.withColumn("vol_16", rolling(F.stddev_samp, F.col("_r"), w, window))
+    return (rows if by else own_rows(rows)).select(*by, "timestamp", "close_x", "vol_16", "forward_return_1", "next_timestamp")
 
 
 def attach_price_context(predictions: DataFrame, context: DataFrame, end: str | None = None, by: Sequence[str] = ()) -> DataFrame:
-    """Predictions with their price context; a forward return that reaches beyond `end` is null. A timestamp without
-    context gets nulls, and a repeated one would repeat rows: check_one_to_one tells."""
-    out = predictions.join(context, [*by, "timestamp"], "left")
+    """Predictions with their price context, one to one: a timestamp without context gets nulls; one that repeats on
+    either side fails the job. A forward return that reaches beyond `end` is null."""
+    key = [*by, "timestamp"]
+    out = unique_by(predictions, key).join(unique_by(context, key), key, "left")
     if end is None:
         return out
     inside = F.col("next_timestamp") <= F.lit(end).cast("timestamp_ntz")
     return out.withColumn("forward_return_1", F.when(inside, F.col("forward_return_1")))
 
 
+def unique_by(rows: DataFrame, key: Sequence[str]) -> DataFrame:
+    """rows, but reading a row whose key repeats fails. The check shares the exchange of a join on the key."""
+    count = F.count(F.lit(1)).over(Window.partitionBy(*key))
+    checked = rows.withColumn("_n", count)
+    failed = F.raise_error(F.concat(F.lit(f"{list(key)} is not unique: "), F.concat_ws(", ", *[F.col(k).cast("string") for k in key])))
+    return checked.withColumn(key[-1], F.when(F.col("_n") > 1, failed.cast(rows.schema[key[-1]].dataType)).otherwise(F.col(key[-1]))).drop("_n")
+
+
 def check_one_to_one(rows: DataFrame, key: Sequence[str]) -> None:
     if rows.groupBy(*key).count().where("count > 1").take(1):
         raise ValueError(f"{list(key)} is not unique")
@@ -40,18 +52,40 @@ def check_one_to_one(rows: DataFrame, key: Sequence[str]) -> None:
 def evaluated(rows: DataFrame, position: str | Column = "predicted_class", by: Sequence[str] = (), rate: Column | float = 0.0, keep: Sequence[str] = ()) -> DataFrame:
     """Bars with a finite forward return: position, change, gross and net return, equity and drawdown of both.
 
-    The position before the first bar is 0; equity starts at 1, which is not part of the running maximum.
+    The position before the first bar is 0; equity starts at 1, which is not part of the running maximum. Without `by`
+    products and maxima run inside blocks of the series, and one row a block carries them on.
     """
-    w = in_order(by)
-    grown = w.rowsBetween(Window.unboundedPreceding, 0)
     position = F.col(position) if isinstance(position, str) else position
     rate = F.lit(rate) if isinstance(rate, (int, float)) else rate
     rows = rows.withColumn("_p", position.cast("double")).withColumn("_f", finite(F.col("forward_return_1"))).where("_f is not null").withColumn("_rate", rate)
-    rows = rows.select(*by, *keep, "timestamp", F.col("_p").alias("position"), F.col("_f").alias("forward_return"), F.abs(F.col("_p") - F.coalesce(F.lag("_p").over(w), F.lit(0.0))).alias("position_change"), "_rate")
+    rows = rows.select(*by, *keep, "timestamp", F.col("_p").alias("position"), F.col("_f").alias("forward_return"), "_rate")
+    if not by:
+        rows = with_halo(rows, 1)
+    w = in_order(by or [BLOCK])
+    rows = rows.withColumn("position_change", F.abs(F.col("position") - F.coalesce(F.lag("position").over(w), F.lit(0.0))))
+    rows = rows if by else rows.where(OWN).drop(OWN)
     rows = rows.withColumns({"gross_return": F.col("position") * F.col("forward_return"), "cost": F.col("_rate") * F.col("position_change")}).withColumn("net_return", F.col("gross_return") - F.col("cost")).drop("_rate")
-    rows = rows.withColumns({"gross_equity": F.product(1 + F.col("gross_return")).over(grown), "net_equity": F.product(1 + F.col("net_return")).over(grown)})
-    peak = lambda c: F.max(c).over(grown)
-    return rows.withColumns({"gross_drawdown": F.try_divide(F.col("gross_equity") - peak("gross_equity"), peak("gross_equity")), "net_drawdown": F.try_divide(F.col("net_equity") - peak("net_equity"), peak("net_equity"))})
+    grown = w.rowsBetween(Window.unboundedPreceding, 0)
+    carry = lambda name: F.coalesce(F.col(f"_carry.{name}"), F.lit(1.0))
+    product = lambda c: F.product(1 + F.col(c))
+    if by:
+        rows = rows.withColumns({"gross_equity": product("gross_return").over(grown), "net_equity": product("net_return").over(grown)})
+        peak = lambda c: F.max(c).over(grown)
+    else:
+        rows = _carry_both(rows, product("gross_return"), product("net_return"), F.product)
+        rows = rows.withColumns({"gross_equity": carry("gross") * product("gross_return").over(grown), "net_equity": carry("net") * product("net_return").over(grown)}).drop("_carry")
+        rows = _carry_both(rows, F.max("gross_equity"), F.max("net_equity"), F.max)
+        peak = lambda c: F.greatest(F.max(c).over(grown), F.col(f"_carry.{c.split('_')[0]}"))
+    rows = rows.withColumns({"gross_drawdown": F.try_divide(F.col("gross_equity") - peak("gross_equity"), peak("gross_equity")), "net_drawdown": F.try_divide(F.col("net_equity") - peak("net_equity"), peak("net_equity"))})
+    return rows if by else rows.drop(BLOCK, "_carry")
+
+
+def _carry_both(rows: DataFrame, gross: Column, net: Column, join: Callable[[Column], Column]) -> DataFrame:
+    """rows with struct _carry: gross and net of the blocks before theirs, joined."""
+    w = Window.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)  # a row a block
+    blocks = rows.groupBy(BLOCK).agg(gross.alias("g"), net.alias("n"))
+    blocks = blocks.select(F.col(BLOCK).alias("_b"), F.struct(join(F.col("g")).over(w).alias("gross"), join(F.col("n")).over(w).alias("net")).alias("_carry"))
+    return rows.join(blocks, F.col(BLOCK) == F.col("_b")).drop("_b")
 
 
 def equity_summary(bars: DataFrame, by: Sequence[str] = ()) -> DataFrame:
