@@ -75,8 +75,25 @@ def renormalize(rows: DataFrame, columns: Sequence[str] = tuple(f"ensemble_{s}"
     return rows if found.action == "keep" else rows.withColumns({c: F.col(c) / total for c in columns})
 
 
+#: Parts in which fronts are first sought on their own.
+FRONT_PARTS = 64
+
+
 def pareto_front(points: DataFrame, objectives: Sequence[str]) -> DataFrame:
-    """Points that no other dominates (all objectives are maximised): an anti join on the dominance condition."""
+    """Points that no other dominates (all objectives are maximised; a null objective is on no front).
+
+    Two objectives: of each value of the first only the greatest second counts, and it is on the front if it exceeds
+    that of every greater first: a running maximum, first within parts, then over the parts' small fronts. More: an anti
+    join of the distinct points on the dominance condition.
+    """
+    points = points.where(" and ".join(f"`{o}` is not null" for o in objectives))
+    if len(objectives) == 2:
+        a, b = objectives
+        best = points.groupBy(F.col(a).alias("_a")).agg(F.max(b).alias("_b")).withColumn("_part", F.pmod(F.xxhash64("_a"), F.lit(FRONT_PARTS)))
+        for keys in (["_part"], []):
+            better = F.max("_b").over(Window.partitionBy(*keys).orderBy(F.desc("_a")).rowsBetween(Window.unboundedPreceding, -1))
+            best = best.withColumn("_better", better).where("_better is null or _b > _better")
+        return points.join(best.select("_a", "_b"), (F.col(a) == F.col("_a")) & (F.col(b) == F.col("_b"))).drop("_a", "_b")
     other = points.select(*[F.col(o).alias(f"_{o}") for o in objectives]).distinct()
     no_worse, better = F.lit(True), F.lit(False)
     for o in objectives:

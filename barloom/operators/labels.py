@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions import BLOCK, change, in_order, own_rows, with_halo
+from barloom.operators.profile import not_finite
 
 CLASSES = {-1: "DOWN", 0: "NEUTRAL", 1: "UP"}
 
@@ -25,6 +26,15 @@ def learning_target(rows: DataFrame, close: str = "close", horizon: int = 1, thr
     return out.dropna(subset=["future_close", "future_return"]) if drop_last else out
 
 
+def terminal_rows(rows: DataFrame, labelled: DataFrame, horizon: int = 1) -> DataFrame:
+    """Whether labelling took exactly the last `horizon` rows: row counts, and the ends of both tables."""
+    before = rows.agg(F.count(F.lit(1)).alias("bars"), F.max("timestamp").alias("_end"))
+    after = labelled.agg(F.count(F.lit(1)).alias("labelled_bars"), F.max("timestamp").alias("last_labelled"))
+    out = before.crossJoin(after)  # one row each
+    dropped = F.col("bars") - F.col("labelled_bars")
+    return out.select("bars", "labelled_bars", "last_labelled", dropped.alias("dropped_bars"), ((dropped == horizon) & (F.col("last_labelled") < F.col("_end"))).alias("exact"))
+
+
 def target_distribution(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Rows and percent of each class; absent classes count 0. With `by`, per group."""
     counts = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_all"), *[F.count_if(F.col("target") == c).alias(n) for c, n in CLASSES.items()])
@@ -40,6 +50,6 @@ def target_validation(rows: DataFrame, close: str = "close", horizon: int = 1, t
     return rows.agg(
         F.count(F.lit(1)).alias("bars"), F.max(F.abs(again - F.col("future_return"))).alias("max_error"), F.count_if(~F.col("target").isin(*CLASSES)).alias("unknown_classes"),
         F.count_if(F.col("target") != wanted).alias("wrong_classes"), F.count_if(names[F.col("target")] != F.col("target_label")).alias("wrong_labels"),
-        F.count_if(F.col("future_return").isNull()).alias("null_returns"), (F.count("timestamp") - F.count_distinct("timestamp")).alias("duplicate_timestamps"),
+        F.count_if(F.col("future_return").isNull()).alias("null_returns"), F.count_if(not_finite("future_return") | not_finite("future_close")).alias("not_finite"), (F.count("timestamp") - F.count_distinct("timestamp")).alias("duplicate_timestamps"),
         (F.size(F.array_except(F.collect_set("target"), F.array(*[F.lit(c) for c in CLASSES]))) == 0).alias("known_classes_only"),
     )

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 from barloom.functions import finite
 from barloom.operators.ensemble import LEARNERS, SIDES, prediction_columns
 from barloom.operators.metrics import class_weights
+from barloom.operators.quality import timestamp_quality
+from barloom.operators.trading import unique_by
 
 CLASSES = (-1, 0, 1)
 
@@ -65,23 +68,57 @@ def fit_logistic(train: DataFrame, columns: Sequence[str], iterations: int = 200
     return Pipeline(stages=stages).fit(weighted)
 
 
-def fit_trees(train: DataFrame, columns: Sequence[str], rounds: int = 20, depth: int = 4, seed: int = 42) -> PipelineModel:
-    """Boosted trees, one class against the rest (the library's boosting has two classes only)."""
-    booster = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=seed, stepSize=0.1, weightCol="weight")
-    stages = [VectorAssembler(inputCols=list(columns), outputCol="features"), OneVsRest(classifier=booster, weightCol="weight")]
-    return Pipeline(stages=stages).fit(_labelled(with_class_weights(train)))
-
-
-def probabilities(model: PipelineModel, rows: DataFrame, name: str, keep: Sequence[str] = ("timestamp", "target")) -> DataFrame:
-    """rows' keys and the learner's probabilities as <name>_down, _neutral, _up."""
+@dataclass(frozen=True)
+class BoostedClasses:
+    """One boosted model a class, against the rest."""
+
+    features: VectorAssembler
+    models: tuple[GBTClassificationModel, ...]
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        """rows with array odds: each class's logistic score."""
+        out, added = self.features.transform(rows), ["features"]
+        for n, model in enumerate(self.models):
+            own = model.copy().setProbabilityCol(f"_p{n}").setRawPredictionCol("").setPredictionCol("")
+            out, added = own.transform(out), [*added, f"_p{n}"]
+        odds = F.array(*[vector_to_array(f"_p{n}")[1] for n in range(len(self.models))])
+        return out.withColumn("odds", odds).drop(*added)
+
+
+def fit_trees(train: DataFrame, columns: Sequence[str], rounds: int = 20, depth: int = 4, seed: int = 42, inner_from: str | None = None, inner_share: float = 0.2) -> BoostedClasses:
+    """Boosted trees in two phases: on the rows before inner_from, with those after it telling when to stop, then on all
+    rows with the number of rounds found. Without inner_from the last inner_share of the time span is held back. One
+    class against the rest, as the library's boosting has two classes only."""
+    features = VectorAssembler(inputCols=list(columns), outputCol="features")
+    ready = features.transform(with_class_weights(train)).select("timestamp", "target", "weight", "features")
+    seconds = lambda c: F.expr(f"timestampdiff(SECOND, timestamp_ntz'1970-01-01', {c})")
+    if inner_from is None:
+        ends = ready.agg(F.min(seconds("timestamp")).alias("lo"), F.max(seconds("timestamp")).alias("hi")).first()
+        held = seconds("timestamp") > ends.hi - inner_share * (ends.hi - ends.lo)
+    else:
+        held = F.col("timestamp") >= F.lit(inner_from).cast("timestamp_ntz")
+    ready = ready.withColumn("held", held).persist()  # read again in every round
+    models = []
+    for c in CLASSES:
+        own = ready.withColumn("label", (F.col("target") == c).cast("double"))
+        booster = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=seed, stepSize=0.1, weightCol="weight", validationTol=0.0)
+        best = booster.copy().setValidationIndicatorCol("held").fit(own)
+        models.append(booster.copy().setMaxIter(max(1, len(best.trees))).fit(own))
+    ready.unpersist()
+    return BoostedClasses(features, tuple(models))
+
+
+def probabilities(model: PipelineModel | BoostedClasses, rows: DataFrame, name: str, keep: Sequence[str] = ("timestamp", "target"), present: Sequence[int] = CLASSES) -> DataFrame:
+    """rows' keys and the learner's probabilities as <name>_down, _neutral, _up; present: the classes in the order in
+    which the learner gives them."""
     out = model.transform(_labelled(rows))
-    if "probability" in out.columns:
+    if "odds" in out.columns:  # of each class against the rest: scaled to one
+        total = F.aggregate("odds", F.lit(0.0), lambda a, x: a + x)
+        values = F.transform("odds", lambda x: x / total)
+    else:
         values = vector_to_array("probability")
-    else:  # one against the rest: the classes' own logistic scores, scaled to one
-        odds = F.transform(vector_to_array("rawPrediction"), lambda s: 1 / (1 + F.exp(-2 * s)))
-        total = F.aggregate(odds, F.lit(0.0), lambda a, x: a + x)
-        values = F.transform(odds, lambda x: x / total)
-    return out.select(*keep, values.alias("_p")).select(*keep, *[F.col("_p")[i].alias(f"{name}_{s}") for i, s in enumerate(SIDES)])
+    out = out.select(*keep, reorder_classes(values, present).alias("_p"))
+    return out.select(*keep, *[F.col("_p")[i].alias(f"{name}_{s}") for i, s in enumerate(SIDES)])
 
 
 def reorder_classes(values: Column, present: Sequence[int]) -> Column:
@@ -92,10 +129,15 @@ def reorder_classes(values: Column, present: Sequence[int]) -> Column:
 
 
 def join_blocks(blocks: Sequence[DataFrame]) -> DataFrame:
-    """Prediction blocks joined by timestamp, in the order of the file's columns."""
-    out = blocks[0]
+    """Prediction blocks joined by timestamp, in the order of the file's columns. A timestamp that repeats in a block, is
+    in one only, or has different targets fails the job: nothing is dropped silently."""
+    out = unique_by(blocks[0], ["timestamp"])
     for b in blocks[1:]:
-        out = out.join(b.drop("target"), "timestamp")
+        other = unique_by(b, ["timestamp"]).withColumnRenamed("target", "_target").withColumn("_there", F.lit(True))
+        both = out.withColumn("_here", F.lit(True)).join(other, "timestamp", "full")
+        same = F.col("_here").isNotNull() & F.col("_there").isNotNull() & F.equal_null("target", "_target")
+        failed = F.raise_error(F.concat(F.lit("blocks differ at "), F.col("timestamp").cast("string")))
+        out = both.withColumn("target", F.when(same, F.col("target")).otherwise(failed.cast(out.schema["target"].dataType))).drop("_target", "_here", "_there")
     return out.select(*[c for c in prediction_columns() if c in out.columns])
 
 
@@ -109,10 +151,11 @@ def prediction_alignment(left: DataFrame, right: DataFrame) -> DataFrame:
     )
 
 
-def audit_predictions(rows: DataFrame, expected_rows: int | None = None, tolerance: float = 1e-3) -> DataFrame:
-    """Verdicts over a prediction table: names and order, rows, targets, sums, signs, unique timestamps."""
+def audit_predictions(rows: DataFrame, expected_rows: int | None = None, tolerance: float = 1e-3, order: str | None = None) -> DataFrame:
+    """Verdicts over a prediction table: names and order, rows, targets, sums, signs, unique timestamps, and with `order`
+    (a column of ordinals of the ingest, which is no column of the table) whether times rise in it."""
     names = prediction_columns()
-    named = rows.columns == names
+    named = [c for c in rows.columns if c != order] == names
     sums = [F.abs(sum((F.col(f"{k}_{s}") for s in SIDES), F.lit(0.0)) - 1) for k in LEARNERS]
     least = F.least(*[F.col(c) for c in names[2:]])
     out = rows.agg(
@@ -122,6 +165,9 @@ def audit_predictions(rows: DataFrame, expected_rows: int | None = None, toleran
     good = F.col("names_match") & (F.col("bad_targets") == 0) & (F.col("max_deviation") <= tolerance) & (F.col("negative") == 0) & (F.col("duplicate_timestamps") == 0)
     if expected_rows is not None:
         good = good & (F.col("bars") == expected_rows)
+    if order is not None:
+        out = out.crossJoin(timestamp_quality(rows, order).select("steps_back"))  # one row each
+        good = good & (F.col("steps_back") == 0)
     return out.withColumn("passed", F.coalesce(good, F.lit(False)))
 
 

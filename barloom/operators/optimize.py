@@ -1,17 +1,18 @@
-"""Two-objective evolutionary search of ensemble weights (non-dominated sorting), one task a regime."""
+"""Two-objective evolutionary search of ensemble weights (non-dominated sorting), scored in Spark."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.functions import argmax_class, sharpe
 from barloom.operators.ensemble import LEARNERS, REGIMES, SIDES
+from barloom.operators.metrics import macro_f1
 
-CLASSES = np.array([-1, 0, 1])
+CLASSES = (-1, 0, 1)
 Evaluate = Callable[[np.ndarray], np.ndarray]
 
 
@@ -45,73 +46,98 @@ def weights_of(genes: np.ndarray) -> np.ndarray:
     return clipped / clipped.sum() if clipped.sum() >= 1e-9 else np.full(len(genes), 1 / len(genes))
 
 
-def objectives(probabilities: np.ndarray, target: np.ndarray, forward: np.ndarray) -> Evaluate:
-    """(macro F1, Sharpe per bar) of genes over learners x rows x classes; rows without a return count for F1 only."""
-    there = ~np.isnan(forward)
-
-    def evaluate(genes: np.ndarray) -> np.ndarray:
-        predicted = CLASSES[np.tensordot(weights_of(genes), probabilities, 1).argmax(axis=1)]
-        f1 = 0.0
-        for c in CLASSES:
-            mine, true = predicted == c, target == c
-            f1 += 2 * (mine & true).sum() / max(1, mine.sum() + true.sum()) / len(CLASSES)
-        earned = predicted[there] * forward[there]
-        spread = earned.std() if len(earned) else 0.0
-        return np.array([f1, earned.mean() / spread if spread >= 1e-12 else 0.0])
-
-    return evaluate
-
-
-def search(evaluate: Evaluate, genes: int, population: int = 40, generations: int = 60, seed: int = 42, contenders: int = 2, mutation: float | None = None, blend: float = 0.25, sigma: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
-    """(genes, objectives) of the last population's first front. Tournaments by rank and crowding, blend crossover,
-    Gaussian mutation, elitist selection; genes stay in [0, 1]."""
-    rng, chance = np.random.default_rng(seed), mutation if mutation is not None else 1 / genes
-    pool = rng.random((population, genes))
-    value = np.array([evaluate(g) for g in pool])
-
-    def spread_of(value: np.ndarray, rank: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(value))
-        for level in np.unique(rank):
-            out[rank == level] = crowding(value[rank == level])
-        return out
-
-    for _ in range(generations):
-        rank = fronts(value)
-        spread = spread_of(value, rank)
-        fit = np.lexsort((-spread, rank)).argsort()  # place in the order of rank, then of falling crowding
-        pairs = (population + 1) // 2
-        drawn = rng.integers(0, population, (pairs, 2, contenders))
-        parents = np.take_along_axis(drawn, fit[drawn].argmin(axis=2)[..., None], 2)[..., 0]
-        a, b = pool[parents[:, 0]], pool[parents[:, 1]]
-        r = rng.uniform(-blend, 1 + blend, (pairs, genes))
-        young = np.clip(np.concatenate([r * a + (1 - r) * b, r * b + (1 - r) * a]), 0, 1)[:population]
-        moved = rng.random(young.shape) < chance
-        young = np.clip(young + moved * rng.normal(0, sigma, young.shape), 0, 1)
-        pool, value = np.vstack([pool, young]), np.vstack([value, [evaluate(g) for g in young]])
-        rank = fronts(value)
-        best = np.lexsort((-spread_of(value, rank), rank))[:population]
-        pool, value = pool[best], value[best]
-    first = fronts(value) == 0
-    return pool[first], value[first]
+class Search:
+    """Two-objective evolutionary search: tournaments by rank and crowding, blend crossover, Gaussian mutation, elitist
+    selection; genes stay in [0, 1]. ask() gives genes to score, tell() takes their objectives."""
+
+    def __init__(self, genes: int, population: int = 40, seed: int = 42, contenders: int = 2, mutation: float | None = None, blend: float = 0.25, sigma: float = 0.1):
+        self.rng, self.chance = np.random.default_rng(seed), mutation if mutation is not None else 1 / genes
+        self.genes, self.population, self.contenders, self.blend, self.sigma = genes, population, contenders, blend, sigma
+        self.pool, self.value, self.young = np.empty((0, genes)), None, self.rng.random((population, genes))
+
+    def ask(self) -> np.ndarray:
+        if self.young is None:
+            rank, rng = fronts(self.value), self.rng
+            fit = np.lexsort((-_spread(self.value, rank), rank)).argsort()  # place in the order of rank, then of falling crowding
+            pairs = (self.population + 1) // 2
+            drawn = rng.integers(0, self.population, (pairs, 2, self.contenders))
+            parents = np.take_along_axis(drawn, fit[drawn].argmin(axis=2)[..., None], 2)[..., 0]
+            a, b = self.pool[parents[:, 0]], self.pool[parents[:, 1]]
+            r = rng.uniform(-self.blend, 1 + self.blend, (pairs, self.genes))
+            young = np.clip(np.concatenate([r * a + (1 - r) * b, r * b + (1 - r) * a]), 0, 1)[: self.population]
+            moved = rng.random(young.shape) < self.chance
+            self.young = np.clip(young + moved * rng.normal(0, self.sigma, young.shape), 0, 1)
+        return self.young
+
+    def tell(self, value: np.ndarray) -> None:
+        self.pool = np.vstack([self.pool, self.young])
+        self.value = value if self.value is None else np.vstack([self.value, value])
+        rank = fronts(self.value)
+        best = np.lexsort((-_spread(self.value, rank), rank))[: self.population] if len(self.pool) > self.population else np.arange(len(self.pool))
+        self.pool, self.value, self.young = self.pool[best], self.value[best], None
+
+    def front(self) -> tuple[np.ndarray, np.ndarray]:
+        first = fronts(self.value) == 0
+        return self.pool[first], self.value[first]
+
+
+def _spread(value: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(value))
+    for level in np.unique(rank):
+        out[rank == level] = crowding(value[rank == level])
+    return out
+
+
+def search(evaluate: Evaluate, genes: int, population: int = 40, generations: int = 60, seed: int = 42, **options) -> tuple[np.ndarray, np.ndarray]:
+    """(genes, objectives) of the last population's first front; evaluate scores one row of genes."""
+    run = Search(genes, population, seed, **options)
+    for _ in range(generations + 1):
+        run.tell(np.array([evaluate(g) for g in run.ask()]))
+    return run.front()
+
+
+def score_candidates(rows: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(regime, candidate, macro_f1, sharpe) of candidates (regime, candidate, weights: array) over rows (regime, target,
+    forward_return_1, the learners' probabilities): one pass, each row meets its regime's few candidates. Rows without
+    a return count for F1 only."""
+    met = rows.join(F.broadcast(candidates), "regime")  # population x regimes rows
+    total = lambda side: sum((F.col("weights")[i] * F.col(f"{k}_{side}") for i, k in enumerate(LEARNERS)), F.lit(0.0))
+    predicted = argmax_class([total(s) for s in SIDES], CLASSES)
+    met = met.select("regime", "candidate", "target", "forward_return_1", predicted.alias("predicted_class"))
+    return met.groupBy("regime", "candidate").agg(macro_f1().alias("macro_f1"), sharpe(F.col("predicted_class") * F.col("forward_return_1")).alias("sharpe"))
 
 
 def regime_fronts(rows: DataFrame, population: int = 40, generations: int = 60, seed: int = 42) -> DataFrame:
     """The front of each regime: regime, point, weights, macro_f1, sharpe, chosen (the compromise).
 
-    rows: regime, target, forward_return_1 and the learners' probabilities. A regime's rows go to one task, as the search
-    needs them again and again: their number is bounded by the validation range, one row a bar.
+    rows: regime, target, forward_return_1 and the learners' probabilities. Only the genes of the candidates (population
+    a regime) are on the driver; each generation is scored by one job over all rows and regimes.
     """
+    spark = rows.sparkSession
     columns = [f"{k}_{s}" for k in LEARNERS for s in SIDES]
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("timestamp")
-        name = frame["regime"].iloc[0]
-        stack = frame[columns].to_numpy(float).reshape(len(frame), len(LEARNERS), len(SIDES)).transpose(1, 0, 2)
-        evaluate = objectives(stack, frame["target"].to_numpy(), frame["forward_return_1"].to_numpy(float))
-        found, value = search(evaluate, len(LEARNERS), population, generations, seed + REGIMES.index(name))
+    rows = rows.where(F.col("regime").isNotNull()).select("regime", "target", "forward_return_1", *columns).persist()  # read again in every generation
+    there = {r.regime for r in rows.select("regime").distinct().collect()}  # of the three
+    runs = {r: Search(len(LEARNERS), population, seed + n) for n, r in enumerate(REGIMES) if r in there}
+    for _ in range(generations + 1):
+        asked = [(r, n, weights_of(g).tolist()) for r, run in runs.items() for n, g in enumerate(run.ask())]
+        found = score_candidates(rows, spark.createDataFrame(asked, "regime string, candidate int, weights array<double>")).collect()
+        values = {(x.regime, x.candidate): (x.macro_f1, x.sharpe) for x in found}
+        for r, run in runs.items():
+            run.tell(np.array([values[r, n] for n in range(population)]))
+    rows.unpersist()
+    out = []
+    for r, run in runs.items():
+        genes, value = run.front()
         span = np.ptp(value, axis=0)
         score = ((value - value.min(axis=0)) / np.where(span < 1e-12, 1, span)).sum(axis=1)
-        return pd.DataFrame({"regime": name, "point": range(len(found)), "weights": [weights_of(g).tolist() for g in found], "macro_f1": value[:, 0], "sharpe": value[:, 1], "chosen": np.arange(len(found)) == score.argmax()})
+        out += [(r, n, weights_of(g).tolist(), float(v[0]), float(v[1]), bool(n == score.argmax())) for n, (g, v) in enumerate(zip(genes, value))]
+    return spark.createDataFrame(out, "regime string, point long, weights array<double>, macro_f1 double, sharpe double, chosen boolean")
+
+
+def save_fronts(result: DataFrame, path: str) -> None:
+    """The whole front with its objectives and the chosen weights, a JSON row a point."""
+    result.coalesce(1).write.mode("overwrite").json(path)
+
 
-    schema = "regime string, point long, weights array<double>, macro_f1 double, sharpe double, chosen boolean"
-    return rows.where(F.col("regime").isNotNull()).select("timestamp", "regime", "target", "forward_return_1", *columns).groupBy("regime").applyInPandas(one, schema)
+def read_fronts(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("regime string, point long, weights array<double>, macro_f1 double, sharpe double, chosen boolean").json(path)

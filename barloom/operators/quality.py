@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from barloom.functions import BLOCK, holds, in_order, own_rows, with_halo
 
@@ -52,6 +53,15 @@ def timestamp_quality(bars: DataFrame, order: str, ts: str = "timestamp") -> Dat
     )
 
 
+def head_tail(bars: DataFrame, rows: int = 5, ts: str = "timestamp") -> DataFrame:
+    """The first and last rows in time, with side and place; a row of a short table stands on both sides."""
+    parts = []
+    for side, order in (("head", F.col(ts).asc()), ("tail", F.col(ts).desc())):
+        few = bars.orderBy(order).limit(rows)
+        parts.append(few.withColumns({"side": F.lit(side), "place": F.row_number().over(Window.orderBy(order))}))  # `rows` rows
+    return parts[0].unionByName(parts[1])
+
+
 def intervals(bars: DataFrame, by: Sequence[str] = (), ts: str = "timestamp") -> DataFrame:
     """Each bar with the seconds since the bar before it (of its symbol)."""
     spread = (bars if by else with_halo(bars, 1, ts=ts)).withColumn("previous", F.lag(ts).over(in_order(by or [BLOCK], ts)))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from barloom.functions import BLOCK, in_order, own_rows, with_halo
+from barloom.operators.profile import not_finite
 
 Bounds = Mapping[str, tuple[str, str]]
 
@@ -40,6 +41,38 @@ def split_validation(split: DataFrame) -> DataFrame:
     return each.withColumn("gap_seconds", F.expr("timestampdiff(SECOND, before, first)")).withColumn("in_order", F.coalesce(F.col("first") > F.col("before"), F.lit(True))).drop("before")
 
 
+def split_conservation(rows: DataFrame, split: DataFrame) -> DataFrame:
+    """Rows before and after splitting, and whether every row within the splits' ranges is in exactly one."""
+    ends = split.groupBy("split").agg(F.min("timestamp").alias("lo"), F.max("timestamp").alias("hi"), F.count(F.lit(1)).alias("n"))
+    bounds = ends.agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"), F.coalesce(F.sum("n"), F.lit(0)).alias("split_rows"))  # a range a split
+    inside = F.exists("ranges", lambda r: F.col("timestamp").between(r["lo"], r["hi"]))
+    out = rows.select("timestamp").crossJoin(F.broadcast(bounds)).agg(F.count(F.lit(1)).alias("all_rows"), F.count_if(inside).alias("rows_in_ranges"), F.max("split_rows").alias("split_rows"))
+    return out.withColumn("preserved", F.col("rows_in_ranges") == F.col("split_rows"))
+
+
+def year_purity(split: DataFrame, years: Sequence[int], name: str = "test") -> DataFrame:
+    """Whether a split holds rows of the given years only, and all of them."""
+    year = F.year("timestamp")
+    out = split.where(F.col("split") == name).agg(F.count(F.lit(1)).alias("bars"), F.count_if(~year.isin(*years)).alias("foreign_bars"), F.count_distinct(year).alias("years"))
+    return out.withColumn("pure", (F.col("foreign_bars") == 0) & (F.col("years") == len(years)))
+
+
+def split_input_validation(rows: DataFrame, required: Sequence[str], ts: str = "timestamp") -> DataFrame:
+    """Verdicts over a table before it is split: columns, type of the time, unique and non-null times, known classes,
+    finite returns."""
+    kinds = dict(rows.dtypes)
+    present = not set(required) - set(rows.columns)
+    typed = kinds.get(ts) in ("timestamp_ntz", "timestamp", "date")
+    out = rows.agg(
+        F.count(F.lit(1)).alias("bars"), F.lit(present).alias("columns_present"), F.lit(typed).alias("timestamp_typed"), F.count_if(F.col(ts).isNull()).alias("null_timestamps"),
+        (F.count(ts) - F.count_distinct(ts)).alias("duplicate_timestamps"), F.count_if(F.col("target").isNull() | ~F.col("target").isin(-1, 0, 1)).alias("bad_targets"), F.count_if(F.col("future_return").isNull() | not_finite("future_return")).alias("bad_returns"),
+    )
+    good = F.col("columns_present") & F.col("timestamp_typed")
+    for c in ("null_timestamps", "duplicate_timestamps", "bad_targets", "bad_returns"):
+        good = good & (F.col(c) == 0)
+    return out.withColumn("passed", good & (F.col("bars") > 0))
+
+
 def split_overlap(split: DataFrame) -> DataFrame:
     """Timestamps that stand in more than one split, for each pair of splits."""
     keys = split.select("timestamp", "split").distinct()
@@ -204,10 +237,15 @@ def leakage_audit(split: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def validation_report(rows: DataFrame, folds: DataFrame, test_from: date | str) -> DataFrame:
-    """One row: uniqueness, order of folds, purge at each boundary, isolation of the test range, and the verdict."""
+    """One row of eight checks and the verdict: times unique and there, folds filled, in order, independent and purged at
+    each boundary, and the test range isolated from rows and folds."""
     start = F.lit(str(test_from)).cast("timestamp_ntz")
-    own = rows.agg((F.count("timestamp") == F.count_distinct("timestamp")).alias("unique_timestamps"), (F.max(F.when(F.col("timestamp") < start, F.col("timestamp"))) < F.min(F.when(F.col("timestamp") >= start, F.col("timestamp")))).alias("test_isolated"))
-    fold = folds.agg(F.bool_and(F.col("train_end_after_purge") < F.col("validation_start")).alias("folds_in_order"), F.bool_and(F.col("purged_rows") >= F.col("purge_bars")).alias("all_purged"), F.bool_and(F.col("validation_end") < start).alias("folds_before_test"))
+    ts = F.col("timestamp")
+    own = rows.agg((F.count(ts) == F.count_distinct(ts)).alias("unique_timestamps"), (F.count_if(ts.isNull()) == 0).alias("no_null_timestamps"), (F.max(F.when(ts < start, ts)) < F.min(F.when(ts >= start, ts))).alias("test_isolated"))
+    after = F.coalesce(F.col("validation_start") > F.lag("validation_end").over(Window.orderBy("fold")), F.lit(True))  # a row a fold
+    fold = folds.withColumn("_after", after).agg(
+        F.bool_and(F.col("train_end_after_purge") < F.col("validation_start")).alias("folds_in_order"), F.bool_and(F.col("purged_rows") >= F.col("purge_bars")).alias("all_purged"), F.bool_and(F.col("validation_end") < start).alias("folds_before_test"),
+        F.bool_and((F.col("train_rows_after_purge") > 0) & (F.col("validation_rows") > 0)).alias("folds_filled"), F.bool_and("_after").alias("folds_independent"),
+    )
     out = own.crossJoin(fold)  # one row each
-    return out.withColumn("verdict", F.when(F.forall(F.array("unique_timestamps", "test_isolated", "folds_in_order", "all_purged", "folds_before_test"), lambda x: F.coalesce(x, F.lit(False))), "PASS").otherwise("FAIL"))
-
+    return out.withColumn("verdict", F.when(F.forall(F.array(*out.columns), lambda x: F.coalesce(x, F.lit(False))), "PASS").otherwise("FAIL"))

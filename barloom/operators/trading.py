@@ -156,6 +156,19 @@ def assert_prices_sane(rows: DataFrame, hard: float = 0.20, floor: float = 500.0
     return rows
 
 
+def largest_returns(rows: DataFrame, top: int = 10) -> DataFrame:
+    """Bars with the greatest absolute forward return."""
+    return rows.select("timestamp", "close_x", "forward_return_1").where("forward_return_1 is not null").orderBy(F.desc(F.abs("forward_return_1")), "timestamp").limit(top)
+
+
+def baseline_reproduction(now: DataFrame, saved: DataFrame, names: Mapping[str, str], tolerance: float = 1e-6) -> DataFrame:
+    """(metric, now, saved, reproduced) of two reports of one row; names: now's metric -> saved's. A missing value
+    reproduces nothing."""
+    pairs = now.select(*[F.col(c).cast("double").alias(f"n_{c}") for c in names]).crossJoin(saved.select(*[F.col(o).cast("double").alias(f"s_{c}") for c, o in names.items()]))
+    each = [F.struct(F.lit(c).alias("metric"), F.col(f"n_{c}").alias("now"), F.col(f"s_{c}").alias("saved")) for c in names]
+    return pairs.select(F.inline(F.array(*each))).withColumn("reproduced", F.coalesce(F.abs(F.col("now") - F.col("saved")) <= tolerance, F.lit(False)))
+
+
 def top_contributors(bars: DataFrame, top: int = 5) -> DataFrame:
     """Bars with the greatest absolute strategy return."""
     return bars.select("timestamp", "position", "forward_return", "gross_return", (1 + F.col("gross_return")).alias("multiplier")).orderBy(F.desc(F.abs("gross_return")), "timestamp").limit(top)

@@ -91,5 +91,16 @@ def read_weights(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows, "regime string, learner string, weight double")
 
 
+def head_sample(df: DataFrame, rows: int = 5) -> DataFrame:
+    """A few rows as they come, for a first look; reads no more than it must."""
+    return df.limit(rows)
+
+
 def save_model(model, path: str) -> None:
     model.write().overwrite().save(path)
+
+
+def load_model(path: str):
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(path)
