@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.operators import align, bars, ensemble, features, labels, learners, metrics, optimize, profile, quality, splits, trading, tree_text
+from barloom.operators import align, bars, ensemble, features, labels, learners, metrics, nulls, optimize, profile, quality, splits, trading, tree_text
 from barloom.plans import fixtures as fx
 from barloom.sources import table
 
@@ -51,7 +51,9 @@ def _raw(s: SparkSession, d: str) -> DataFrame:
 add("standardize_bars", _raw, q(fx.M15, 'SELECT "timestamp", ' + ", ".join(f"round(round({c}, 4)::FLOAT::DOUBLE, 2) AS {c}" for c in P.split()) + ", tickvol, vol, spread FROM m15"), P)
 add("data_manifest", lambda s, d: quality.data_manifest(fx.m15(s, d), "m15"), q(fx.M15, """SELECT 'm15' AS timeframe, count(*) AS bars, min("timestamp") AS first, max("timestamp") AS last, count("timestamp") - count(DISTINCT "timestamp") AS duplicate_timestamps,
   count(*) FILTER (high < low OR high < open OR high < close OR low > open OR low > close OR open <= 0 OR high <= 0 OR low <= 0 OR close <= 0) AS invalid_ohlc, count(*) FILTER (tickvol <= 0) AS tickvol_not_positive, count(*) FILTER (vol < 0) AS negative_vol, count(*) FILTER (spread < 0) AS negative_spread, count(*) FILTER (spread = 0) AS zero_spread FROM m15"""))
-add("raw_profile", lambda s, d: quality.raw_profile(table(s, d, "events").select("user_id", "event_type")), "SELECT count(*) AS row_count, 2::BIGINT AS column_count, (count(*) FILTER (user_id IS NULL) + count(*) FILTER (event_type IS NULL))::BIGINT AS null_cells, (count(*) - (SELECT count(*) FROM (SELECT DISTINCT user_id, event_type FROM events)))::BIGINT AS duplicate_rows FROM events")
+RAW = ["event_id", "ts", "user_id", "event_type", "value", "props"]
+add("raw_profile", lambda s, d: quality.raw_profile(table(s, d, "events")), f"SELECT count(*) AS row_count, (SELECT count(*) FROM (DESCRIBE SELECT * FROM events))::BIGINT AS column_count, ({' + '.join(f'count(*) FILTER ({c} IS NULL)' for c in RAW)})::BIGINT AS null_cells, (count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM events)))::BIGINT AS duplicate_rows FROM events")
+add("head_tail", lambda s, d: quality.head_tail(fx.m15(s, d).select("timestamp", *P.split(), "tickvol")), q(fx.M15 + """, n AS (SELECT "timestamp", open, high, low, close, tickvol, row_number() OVER (ORDER BY "timestamp")::INTEGER AS up, row_number() OVER (ORDER BY "timestamp" DESC)::INTEGER AS down FROM m15)""", "SELECT * EXCLUDE (up, down), 'head' AS side, up AS place FROM n WHERE up <= 5 UNION ALL SELECT * EXCLUDE (up, down), 'tail' AS side, down AS place FROM n WHERE down <= 5"), P)
 add("timestamp_quality", lambda s, d: quality.timestamp_quality(table(s, d, "events").select(F.col("ts").alias("timestamp"), "event_id"), "event_id"), q("""o AS (SELECT ts, ts < lag(ts) OVER (ORDER BY event_id) AS back FROM events)""", """SELECT count(*) AS bars, count(*) FILTER (ts IS NULL) AS null_timestamps, count(ts) - count(DISTINCT ts) AS duplicate_timestamps, count(*) FILTER (back) AS steps_back, count(*) FILTER (back) = 0 AS monotonic FROM o"""))
 STEPS = fx.M15 + """, steps AS (SELECT *, lag("timestamp") OVER (ORDER BY "timestamp") AS previous, date_diff('second', lag("timestamp") OVER (ORDER BY "timestamp"), "timestamp") AS seconds FROM m15)"""
 add("interval_histogram", lambda s, d: quality.interval_histogram(fx.m15(s, d)), q(STEPS, "SELECT seconds, count(*) AS bars FROM steps WHERE seconds IS NOT NULL GROUP BY 1 ORDER BY bars DESC, seconds LIMIT 15"))
@@ -99,6 +101,7 @@ add("causality_validation", lambda s, d: align.causality_violations(fx.aligned(s
 
 # ---- features ----
 FS, FSS = fx.features_sql(), fx.features_sql("event_type")
+BAR_RETURN = "hours AS (SELECT h1_completed_timestamp, c / nullif(lag(c) OVER (ORDER BY h1_completed_timestamp), 0) - 1 AS h1_bar_return_1 FROM (SELECT h1_completed_timestamp, any_value(h1_completed_close) AS c FROM features WHERE h1_completed_timestamp IS NOT NULL GROUP BY 1))"
 GROUPS = {
     "m15_returns": ["m15_return_1", "m15_return_4", "m15_return_16", "m15_log_return_1"],
     "m15_momentum": ["m15_momentum_4", "m15_momentum_16"],
@@ -117,40 +120,27 @@ INSIDE = ["m15_position_in_h1_range", "m15_position_in_d1_range"]
 add("cross_timeframe", lambda s, d: pick(fx.featured(s, d).withColumns({c: F.signum(c) * F.log1p(F.abs(c)) for c in INSIDE}), *CROSS, *INSIDE), q(FS, f'SELECT "timestamp", {", ".join(CROSS)}, {", ".join(f"sign({c}) * ln(1 + abs({c})) AS {c}" for c in INSIDE)} FROM features'), " ".join([*CROSS[:3], *INSIDE]))
 ALL_FEATURES = [c for g in GROUPS.values() for c in g] + CROSS + INSIDE
 add("partial_availability", lambda s, d: features.partial_availability(align.partial_state(fx.m15(s, d), "hour", "h1_partial_"), "h1_partial_").groupBy("h1_partial_available").agg(F.count(F.lit(1)).alias("bars")), q(A, "SELECT CASE WHEN h1_partial_open IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS h1_partial_available, count(*) AS bars FROM aligned GROUP BY 1"), "h1_partial_available")
-add("feature_null_profile", lambda s, d: profile.null_profile(fx.featured(s, d), ALL_FEATURES), q(FS, " UNION ALL ".join(f"SELECT '{c}' AS feature, count(*) FILTER ({c} IS NULL) AS nulls, 100.0::DOUBLE * count(*) FILTER ({c} IS NULL) / count(*) AS percent FROM features" for c in ALL_FEATURES)), "percent")
+add("feature_null_profile", lambda s, d: profile.null_profile(fx.featured(s, d), ALL_FEATURES), q(FS, " UNION ALL ".join(f"SELECT '{c}' AS feature, count(*) FILTER ({c} IS NULL) AS nulls, 100.0::DOUBLE * count(*) FILTER ({c} IS NULL) / count(*) AS percent, count(*) FILTER (NOT isfinite({c}::DOUBLE)) AS not_finite FROM features" for c in ALL_FEATURES)), "percent")
+add("null_ranking", lambda s, d: profile.null_ranking(fx.featured(s, d), ALL_FEATURES), q(FS, "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, count(*) FILTER ({c} IS NULL) AS nulls, 100.0::DOUBLE * count(*) FILTER ({c} IS NULL) / count(*) AS percent, count(*) FILTER (NOT isfinite({c}::DOUBLE)) AS not_finite FROM features" for c in ALL_FEATURES) + ") ORDER BY nulls DESC, feature LIMIT 20"), "percent")
+add("h1_bar_return", lambda s, d: pick(fx.featured(s, d), "h1_completed_timestamp", "h1_bar_return_1"), q(FS + f", {BAR_RETURN}", 'SELECT "timestamp", h1_completed_timestamp, h1_bar_return_1 FROM features LEFT JOIN hours USING (h1_completed_timestamp)'), "h1_bar_return_1")
 CONSTANT = ["vol_x", "close_x", "h1_completed_vol", "d1_completed_vol", "m15_range"]
 add("constant_features", lambda s, d: profile.constant_features(fx.featured(s, d), CONSTANT), q(FS, " UNION ALL ".join(f"SELECT '{c}' AS feature, (count(DISTINCT {c}) <= 1)::INTEGER AS constant FROM features" for c in CONSTANT)))
 SAME = ["close_x", "vol_x", "h1_completed_vol", "m15_range", "m15_body", "m15_body_abs", "m15_copy"]
 add("duplicate_features", lambda s, d: profile.duplicate_features(fx.featured(s, d).withColumn("m15_copy", F.col("m15_range")), SAME), q(FS + ", f AS (SELECT *, m15_range AS m15_copy FROM features)", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS \"left\", '{b}' AS \"right\", bool_and({a} IS NOT DISTINCT FROM {b}) AS same FROM f" for i, a in enumerate(SAME) for b in SAME[i + 1 :]) + ") WHERE same"))
 ORACLE["duplicate_features"] = ORACLE["duplicate_features"].replace("SELECT * FROM (SELECT * FROM (", 'SELECT "left", "right" FROM (SELECT * FROM (', 1)
-SUITE = [c for c in ["h1_partial_open", "h1_partial_high", "h1_partial_low", "h1_partial_close", "h1_partial_tickvol", "h1_completed_open", "h1_completed_high", "h1_completed_low", "h1_completed_close", "h1_completed_tickvol", "h1_completed_vol", "h1_completed_spread", "d1_partial_open", "d1_partial_high", "d1_partial_low", "d1_partial_close", "d1_partial_tickvol", "d1_completed_open", "d1_completed_high", "d1_completed_low", "d1_completed_close", "d1_completed_tickvol", "d1_completed_vol", "d1_completed_spread", *ALL_FEATURES]]
-add("feature_suite", lambda s, d: profile.feature_suite(fx.featured(s, d).drop("h1_bar_return_1"), ALL_FEATURES), q(FS, f"""SELECT count(*) AS bars, {len(SUITE)}::BIGINT AS features, true AS unique_names, true AS all_numeric, true AS required_present, count("timestamp") = count(DISTINCT "timestamp") AS unique_timestamps, count(*) FILTER ("timestamp" IS NULL) = 0 AS no_null_timestamp,
-  ({" + ".join(f"count(*) FILTER ({c} IS NULL)" for c in SUITE)})::BIGINT AS null_cells, ({" + ".join(f"(count(DISTINCT {c}) <= 1)::INTEGER" for c in SUITE)})::BIGINT AS constant_features, true AS expected_rows FROM features"""))
+SUITE = [c for c in ["h1_partial_open", "h1_partial_high", "h1_partial_low", "h1_partial_close", "h1_partial_tickvol", "h1_completed_open", "h1_completed_high", "h1_completed_low", "h1_completed_close", "h1_completed_tickvol", "h1_completed_vol", "h1_completed_spread", "d1_partial_open", "d1_partial_high", "d1_partial_low", "d1_partial_close", "d1_partial_tickvol", "d1_completed_open", "d1_completed_high", "d1_completed_low", "d1_completed_close", "d1_completed_tickvol", "d1_completed_vol", "d1_completed_spread", *ALL_FEATURES, "h1_bar_return_1"]]
+add("feature_suite", lambda s, d: profile.feature_suite(fx.featured(s, d), ALL_FEATURES), q(FS + f""", {BAR_RETURN}, suite AS (SELECT features.*, h1_bar_return_1 FROM features LEFT JOIN hours USING (h1_completed_timestamp)), names AS (SELECT column_name AS c, column_type AS t FROM (DESCRIBE suite)), own AS (SELECT * FROM names WHERE regexp_matches(c, '^({"|".join(profile.PREFIXES)})') AND c NOT IN ({", ".join(f"'{c}'" for c in profile.FORBIDDEN)})),
+  k AS ({" UNION ALL ".join(f"SELECT '{c}' AS c, count(DISTINCT {c}) <= 1 AS constant FROM suite" for c in SUITE)}), v AS ({" UNION ALL ".join(f"SELECT '{c}' AS c, {n} AS n, list({c}::DOUBLE ORDER BY timestamp) AS l FROM suite" for n, c in enumerate(SUITE))})""", f"""SELECT count(*) AS bars, (SELECT count(*) FROM own) AS features, (SELECT count(*) = count(DISTINCT c) FROM names) AS unique_names, (SELECT bool_and(t IN ('DOUBLE', 'BIGINT', 'INTEGER', 'FLOAT')) FROM own) AS all_numeric, (SELECT count(*) FILTER (c IN ({", ".join(f"'{c}'" for c in ALL_FEATURES)})) = {len(ALL_FEATURES)} FROM names) AS required_present, count("timestamp") = count(DISTINCT "timestamp") AS unique_timestamps, count(*) FILTER ("timestamp" IS NULL) = 0 AS no_null_timestamp,
+  ({" + ".join(f"count(*) FILTER ({c} IS NULL)" for c in SUITE)})::BIGINT AS null_cells, ({" + ".join(f"count(*) FILTER (NOT isfinite({c}::DOUBLE))" for c in SUITE)})::BIGINT AS not_finite, (SELECT count(*) FILTER (constant) FROM k) AS constant_features, (SELECT coalesce(string_agg(c, ',' ORDER BY c) FILTER (constant), '') FROM k) AS constant_names,
+  (SELECT count(*) FROM v WHERE EXISTS (SELECT 1 FROM v w WHERE w.n < v.n AND w.l = v.l)) AS repeated_features, true AS expected_rows FROM suite"""))
 
 # ---- probe of missing partial state ----
 PROBE = A + """, p AS (SELECT "timestamp", "timestamp" = min("timestamp") OVER (PARTITION BY h1_partial_period) AS first_of_period, h1_partial_open IS NULL AS missing, h1_completed_open IS NULL AS completed_missing FROM aligned)"""
 
 
-def _probe(s: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql.window import Window
-
-    first = F.col("timestamp") == F.min("timestamp").over(Window.partitionBy("h1_partial_period"))
-    return fx.aligned(s, d).select("timestamp", first.alias("first_of_period"), F.col("h1_partial_open").isNull().alias("missing"), F.col("h1_completed_open").isNull().alias("completed_missing"))
-
-
-def _runs(s: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql.window import Window
-
-    rows = _probe(s, d).where("missing")
-    w = Window.orderBy("timestamp")
-    step = F.coalesce(F.expr("timestampdiff(SECOND, before, timestamp)") != 900, F.lit(True)).cast("int")
-    rows = rows.withColumn("before", F.lag("timestamp").over(w)).withColumn("run", F.sum(step).over(w))
-    return rows.groupBy("run").agg(F.count(F.lit(1)).alias("length")).groupBy("length").agg(F.count(F.lit(1)).alias("runs"))
-
-
-add("partial_null_contingency", lambda s, d: _probe(s, d).groupBy("first_of_period", "missing").agg(F.count(F.lit(1)).alias("bars"), F.count_if("completed_missing").alias("completed_missing"), F.count_distinct(F.to_date("timestamp")).alias("dates")), q(PROBE, 'SELECT first_of_period, missing, count(*) AS bars, count(*) FILTER (completed_missing) AS completed_missing, count(DISTINCT CAST("timestamp" AS DATE)) AS dates FROM p GROUP BY 1, 2'))
-add("partial_null_weekdays", lambda s, d: _probe(s, d).groupBy(F.weekday("timestamp").alias("weekday")).agg(F.count(F.lit(1)).alias("bars"), F.count_if("missing").alias("missing_bars")), q(PROBE, """SELECT ((dayofweek("timestamp") + 6) % 7)::INTEGER AS weekday, count(*) AS bars, count(*) FILTER (missing) AS missing_bars FROM p GROUP BY 1"""))
-add("null_run_lengths", _runs, q(PROBE + """, r AS (SELECT "timestamp", sum(CASE WHEN date_diff('second', before, "timestamp") = 900 THEN 0 ELSE 1 END) OVER (ORDER BY "timestamp") AS run FROM (SELECT "timestamp", lag("timestamp") OVER (ORDER BY "timestamp") AS before FROM p WHERE missing))""", "SELECT length, count(*) AS runs FROM (SELECT count(*) AS length FROM r GROUP BY run) GROUP BY 1"))
+add("partial_null_contingency", lambda s, d: nulls.null_contingency(fx.aligned(s, d), "h1_partial_open", "h1_partial_period", "h1_completed_open"), q(PROBE, 'SELECT first_of_period, missing, count(*) AS bars, count(*) FILTER (completed_missing) AS completed_missing, count(DISTINCT CAST("timestamp" AS DATE)) AS dates FROM p GROUP BY 1, 2'))
+add("partial_null_weekdays", lambda s, d: nulls.null_weekdays(fx.aligned(s, d), "h1_partial_open"), q(PROBE, """SELECT ((dayofweek("timestamp") + 6) % 7)::INTEGER AS weekday, count(*) AS bars, count(*) FILTER (missing) AS missing_bars FROM p GROUP BY 1"""))
+add("null_run_lengths", lambda s, d: nulls.null_run_lengths(fx.aligned(s, d), "h1_partial_open", 900), q(PROBE + """, r AS (SELECT "timestamp", sum(CASE WHEN date_diff('second', before, "timestamp") = 900 THEN 0 ELSE 1 END) OVER (ORDER BY "timestamp") AS run FROM (SELECT "timestamp", lag("timestamp") OVER (ORDER BY "timestamp") AS before FROM p WHERE missing))""", "SELECT length, count(*) AS runs FROM (SELECT count(*) AS length FROM r GROUP BY run) GROUP BY 1"))
 
 # ---- labels and splits ----
 L = f"{fx.M15}, {fx.label_sql()}"
@@ -159,7 +149,9 @@ LABELS = ["close", "future_close", "future_return", "target", "target_label"]
 add("learning_target", lambda s, d: pick(fx.labelled(s, d), *LABELS), q(L, sel(LABELS, "labelled")), "close future_close future_return")
 add("learning_target_by_symbol", lambda s, d: fx.labelled(s, d, fx.SYMBOL).select("event_type", "timestamp", *LABELS), q(LS, sel(LABELS, "labelled", "event_type, ")), "close future_close future_return")
 add("target_distribution", lambda s, d: labels.target_distribution(fx.labelled(s, d)), q(L, " UNION ALL ".join(f"SELECT '{n}' AS target_label, count(*) FILTER (target = {c}) AS bars, 100.0::DOUBLE * count(*) FILTER (target = {c}) / count(*) AS percent FROM labelled" for c, n in labels.CLASSES.items())), "percent")
-add("target_validation", lambda s, d: labels.target_validation(fx.labelled(s, d), threshold=fx.THRESHOLD), q(L, """SELECT count(*) AS bars, 0.0::DOUBLE AS max_error, 0::BIGINT AS unknown_classes, 0::BIGINT AS wrong_classes, 0::BIGINT AS wrong_labels, count(*) FILTER (future_return IS NULL) AS null_returns, count("timestamp") - count(DISTINCT "timestamp") AS duplicate_timestamps, true AS known_classes_only FROM labelled"""), "max_error")
+add("target_validation", lambda s, d: labels.target_validation(fx.labelled(s, d), threshold=fx.THRESHOLD), q(L, f"""SELECT count(*) AS bars, max(abs(future_close / close - 1 - future_return)) AS max_error, count(*) FILTER (target NOT IN (-1, 0, 1)) AS unknown_classes, count(*) FILTER (target <> CASE WHEN future_close / close - 1 > {fx.THRESHOLD} THEN 1 WHEN future_close / close - 1 < -{fx.THRESHOLD} THEN -1 ELSE 0 END) AS wrong_classes,
+  count(*) FILTER (target_label <> ['DOWN', 'NEUTRAL', 'UP'][target + 2]) AS wrong_labels, count(*) FILTER (future_return IS NULL) AS null_returns, count(*) FILTER (NOT isfinite(future_return) OR NOT isfinite(future_close)) AS not_finite, count("timestamp") - count(DISTINCT "timestamp") AS duplicate_timestamps, coalesce(bool_and(target IN (-1, 0, 1)), true) AS known_classes_only FROM labelled"""), "max_error")
+add("terminal_rows", lambda s, d: labels.terminal_rows(fx.m15(s, d), fx.labelled(s, d)), q(L, """SELECT (SELECT count(*) FROM m15) AS bars, count(*) AS labelled_bars, max("timestamp") AS last_labelled, (SELECT count(*) FROM m15) - count(*) AS dropped_bars, (SELECT count(*) FROM m15) - count(*) = 1 AND max("timestamp") < (SELECT max("timestamp") FROM m15) AS exact FROM labelled"""))
 CASES = " ".join(f"WHEN \"timestamp\" BETWEEN TIMESTAMP '{a}' AND TIMESTAMP '{b}' THEN '{n}'" for n, (a, b) in fx.SPLITS.items())
 SP = f"{L}, split AS (SELECT * FROM (SELECT *, CASE {CASES} END AS split FROM labelled) WHERE split IS NOT NULL)"
 
@@ -172,6 +164,11 @@ add("temporal_split", lambda s, d: pick(_split(s, d), "split", "target"), q(SP,
 add("split_distribution", lambda s, d: labels.target_distribution(_split(s, d), ["split"]), q(SP, " UNION ALL ".join(f"SELECT split, '{n}' AS target_label, count(*) FILTER (target = {c}) AS bars, 100.0::DOUBLE * count(*) FILTER (target = {c}) / count(*) AS percent FROM split GROUP BY split" for c, n in labels.CLASSES.items())), "percent")
 add("split_validation", lambda s, d: splits.split_validation(_split(s, d)), q(SP + """, e AS (SELECT split, count(*) AS bars, min("timestamp") AS first, max("timestamp") AS last, count(*) FILTER (target IS NULL) AS null_targets FROM split GROUP BY 1)""", "SELECT *, date_diff('second', lag(last) OVER (ORDER BY first), first) AS gap_seconds, coalesce(first > lag(last) OVER (ORDER BY first), true) AS in_order FROM e"))
 add("split_overlap", lambda s, d: splits.split_overlap(_split(s, d)), q(SP + """, n AS (SELECT DISTINCT split FROM split), k AS (SELECT DISTINCT "timestamp", split FROM split)""", """SELECT a.split AS "left", b.split AS "right", (SELECT count(*) FROM k x JOIN k y ON x."timestamp" = y."timestamp" WHERE x.split = a.split AND y.split = b.split)::BIGINT AS shared FROM n a JOIN n b ON a.split < b.split"""))
+add("split_conservation", lambda s, d: splits.split_conservation(fx.labelled(s, d), _split(s, d)), q(SP + """, r AS (SELECT split, min("timestamp") AS lo, max("timestamp") AS hi FROM split GROUP BY 1), c AS (SELECT count(*) AS all_rows, count(*) FILTER (EXISTS (SELECT 1 FROM r WHERE l."timestamp" BETWEEN lo AND hi)) AS rows_in_ranges, (SELECT count(*) FROM split) AS split_rows FROM labelled l)""", "SELECT *, rows_in_ranges = split_rows AS preserved FROM c"))
+add("test_year_purity", lambda s, d: splits.year_purity(_split(s, d), [2024]), q(SP, """SELECT count(*) AS bars, count(*) FILTER (year("timestamp") <> 2024) AS foreign_bars, count(DISTINCT year("timestamp")) AS years, count(*) FILTER (year("timestamp") <> 2024) = 0 AND count(DISTINCT year("timestamp")) = 1 AS pure FROM split WHERE split = 'test'"""))
+INPUT = ["timestamp", "close", "future_return", "target", "target_label"]
+add("split_input_validation", lambda s, d: splits.split_input_validation(fx.labelled(s, d), INPUT), q(L + f""", v AS (SELECT count(*) AS bars, (SELECT count(*) FILTER (column_name IN ({", ".join(f"'{c}'" for c in INPUT)})) = {len(INPUT)} FROM (DESCRIBE labelled)) AS columns_present, (SELECT bool_or(column_name = 'timestamp' AND column_type LIKE 'TIMESTAMP%') FROM (DESCRIBE labelled)) AS timestamp_typed, count(*) FILTER ("timestamp" IS NULL) AS null_timestamps, count("timestamp") - count(DISTINCT "timestamp") AS duplicate_timestamps,
+  count(*) FILTER (target IS NULL OR target NOT IN (-1, 0, 1)) AS bad_targets, count(*) FILTER (future_return IS NULL OR NOT isfinite(future_return)) AS bad_returns FROM labelled)""", "SELECT *, columns_present AND timestamp_typed AND null_timestamps = 0 AND duplicate_timestamps = 0 AND bad_targets = 0 AND bad_returns = 0 AND bars > 0 AS passed FROM v"))
 add("development_union", lambda s, d: pick(splits.development_union(_split(s, d).where("split = 'train'"), _split(s, d).where("split = 'validation'")), "split", "target"), q(SP, """SELECT "timestamp", split, target FROM split WHERE split IN ('train', 'validation')"""))
 add("missing_years", lambda s, d: splits.missing_years(fx.days(s, d), 1992, 2003), q(fx.DAYS, """SELECT range::INTEGER AS year FROM range(1992, 2004) WHERE range NOT IN (SELECT year("timestamp") FROM days)"""))
 
@@ -191,14 +188,16 @@ add("walk_forward_folds", lambda s, d: splits.walk_forward_folds(fx.days(s, d),
 add("purged_walk_forward", lambda s, d: _splitter().fold_table(fx.days(s, d)), q(TAGGED, "SELECT * FROM folds"))
 add("purged_walk_forward_rows", lambda s, d: _splitter().tagged(fx.days(s, d)).select("timestamp", "fold", "role", "label_end"), q(TAGGED, 'SELECT "timestamp", fold, role, label_end FROM tagged'))
 add("fold_independence", lambda s, d: splits.fold_independence(_splitter().fold_table(fx.days(s, d))), q(TAGGED, "SELECT fold, train_end_after_purge < validation_start AS train_before_validation, coalesce(validation_start > lag(validation_end) OVER (ORDER BY fold), true) AS after_previous FROM folds"))
-add("label_endpoints", lambda s, d: align.label_endpoints(fx.days(s, d).where("tickvol % 2 = 0").select("timestamp"), fx.days(s, d)), q(fx.DAYS, """SELECT a."timestamp", b."timestamp" AS label_end FROM days a ASOF LEFT JOIN days b ON a."timestamp" < b."timestamp" WHERE a.tickvol % 2 = 0"""))
+add("label_endpoints", lambda s, d: align.label_endpoints(fx.m15(s, d).select("timestamp"), fx.d1(s, d)), q(f"{fx.M15}, {fx.D1}", """SELECT a."timestamp", b."timestamp" AS label_end FROM m15 a ASOF LEFT JOIN d1 b ON a."timestamp" < b."timestamp" """))
 AUDIT = TAGGED + """, audit AS (SELECT fold, count(*) FILTER (role = 'purged') AS purged_bars, max("timestamp") FILTER (role = 'train') AS train_end, min("timestamp") FILTER (role = 'validation') AS validation_start, count(*) FILTER (role = 'train' AND label_end IS NULL) AS open_labels, 0::BIGINT AS embargoed_bars FROM tagged GROUP BY 1)"""
 add("purge_audit", lambda s, d: splits.purge_audit(_splitter().tagged(fx.days(s, d))), q(AUDIT, "SELECT *, date_diff('second', train_end, validation_start) AS gap_seconds, train_end < validation_start AS clean FROM audit"))
 add("purge_totals", lambda s, d: splits.purge_totals(splits.purge_audit(_splitter().tagged(fx.days(s, d)))), q(AUDIT, "SELECT count(*) AS boundaries, sum(purged_bars)::BIGINT AS purged_bars, bool_and(train_end < validation_start) AS all_clean FROM audit"))
 add("horizon_audit", lambda s, d: splits.horizon_audit(fx.m15(s, d), 900), q(STEPS, "SELECT count(*) FILTER (seconds = 900) AS exact, count(*) FILTER (seconds <> 900) AS other, CASE WHEN count(*) FILTER (seconds <> 900) = 0 THEN 'PASS' ELSE 'REVIEW' END AS verdict FROM steps WHERE seconds IS NOT NULL"))
-add("leakage_audit", lambda s, d: splits.leakage_audit(_split(s, d), profile.suspicious_names(_split(s, d))), q(SP, "SELECT true AS splits_in_order, true AS targets_present, true AS no_shared_timestamps, true AS no_null_timestamps, 4::BIGINT AS suspicious_names, 'REVIEW' AS verdict"))
-add("validation_report", lambda s, d: splits.validation_report(fx.days(s, d), splits.PurgedWalkForwardSplitter(fx.FOLD_YEARS[:3], fx.FIRST_YEAR).fold_table(fx.days(s, d)), "2001-01-01"), q(TAGGED, """SELECT (SELECT count("timestamp") = count(DISTINCT "timestamp") FROM days) AS unique_timestamps, (SELECT max("timestamp") FILTER ("timestamp" < TIMESTAMP '2001-01-01') < min("timestamp") FILTER ("timestamp" >= TIMESTAMP '2001-01-01') FROM days) AS test_isolated,
-  bool_and(train_end_after_purge < validation_start) AS folds_in_order, bool_and(purged_rows >= 1) AS all_purged, bool_and(validation_end < TIMESTAMP '2001-01-01') AS folds_before_test, CASE WHEN bool_and(train_end_after_purge < validation_start AND purged_rows >= 1 AND validation_end < TIMESTAMP '2001-01-01') THEN 'PASS' ELSE 'FAIL' END AS verdict FROM folds WHERE fold <= 3"""))
+add("leakage_audit", lambda s, d: splits.leakage_audit(_split(s, d), profile.suspicious_names(_split(s, d))), q(SP + f""", e AS (SELECT split, min("timestamp") AS first, max("timestamp") AS last, count(*) FILTER (target IS NULL) AS null_targets FROM split GROUP BY 1), g AS (SELECT *, coalesce(first > lag(last) OVER (ORDER BY first), true) AS in_order FROM e),
+  v AS (SELECT (SELECT bool_and(in_order) FROM g) AS splits_in_order, (SELECT sum(null_targets) = 0 FROM g) AS targets_present, (SELECT count(*) = 0 FROM (SELECT "timestamp" FROM split GROUP BY 1 HAVING count(DISTINCT split) > 1)) AS no_shared_timestamps, (SELECT count(*) = count("timestamp") FROM split) AS no_null_timestamps,
+    (SELECT count(*) FROM (DESCRIBE split) WHERE regexp_matches(lower(column_name), '{"|".join(profile.SUSPICIOUS)}'))::BIGINT AS suspicious_names)""", "SELECT *, CASE WHEN NOT (splits_in_order AND targets_present AND no_shared_timestamps AND no_null_timestamps) THEN 'FAIL' WHEN suspicious_names > 0 THEN 'REVIEW' ELSE 'PASS' END AS verdict FROM v"))
+add("validation_report", lambda s, d: splits.validation_report(fx.days(s, d), splits.PurgedWalkForwardSplitter(fx.FOLD_YEARS[:3], fx.FIRST_YEAR).fold_table(fx.days(s, d)), "2001-01-01"), q(TAGGED + """, k AS (SELECT *, coalesce(validation_start > lag(validation_end) OVER (ORDER BY fold), true) AS after FROM folds WHERE fold <= 3)""", """SELECT (SELECT count("timestamp") = count(DISTINCT "timestamp") FROM days) AS unique_timestamps, (SELECT count(*) = count("timestamp") FROM days) AS no_null_timestamps, bool_and(train_rows_after_purge > 0 AND validation_rows > 0) AS folds_filled, bool_and(after) AS folds_independent, (SELECT max("timestamp") FILTER ("timestamp" < TIMESTAMP '2001-01-01') < min("timestamp") FILTER ("timestamp" >= TIMESTAMP '2001-01-01') FROM days) AS test_isolated,
+  bool_and(train_end_after_purge < validation_start) AS folds_in_order, bool_and(purged_rows >= 1) AS all_purged, bool_and(validation_end < TIMESTAMP '2001-01-01') AS folds_before_test, CASE WHEN bool_and(train_end_after_purge < validation_start AND purged_rows >= 1 AND validation_end < TIMESTAMP '2001-01-01' AND after AND train_rows_after_purge > 0 AND validation_rows > 0) AND (SELECT count("timestamp") = count(DISTINCT "timestamp") AND count(*) = count("timestamp") AND max("timestamp") FILTER ("timestamp" < TIMESTAMP '2001-01-01') < min("timestamp") FILTER ("timestamp" >= TIMESTAMP '2001-01-01') FROM days) THEN 'PASS' ELSE 'FAIL' END AS verdict FROM k"""))
 
 # ---- learners and metrics over made-up probabilities ----
 E = fx.ensemble_sql()
@@ -211,9 +210,11 @@ ACC = "avg((target = predicted_class)::INTEGER::DOUBLE)"
 add("accuracy", lambda s, d: fx.ensembled(s, d).agg(metrics.accuracy().alias("accuracy")), q(E, f"SELECT {ACC} AS accuracy FROM ensembled"), "accuracy")
 add("macro_f1", lambda s, d: fx.ensembled(s, d).agg(metrics.macro_f1().alias("macro_f1")), q(E, f"SELECT {F1} AS macro_f1 FROM ensembled"), "macro_f1")
 add("log_loss", lambda s, d: fx.ensembled(s, d).agg(metrics.log_loss().alias("log_loss")), q(E, f"SELECT {LOSS} AS log_loss FROM ensembled"), "log_loss")
-add("prediction_alignment", lambda s, d: learners.prediction_alignment(fx.predictions(s, d), fx.predictions(s, d).where("minute(timestamp) <> 15")), q(fx.prediction_sql(), """SELECT count(*) FILTER (minute("timestamp") <> 15) AS shared, count(*) FILTER (minute("timestamp") = 15) AS left_only, 0::BIGINT AS right_only, 0::BIGINT AS targets_differ FROM predictions"""))
-add("probability_audit", lambda s, d: ensemble.probability_audit(fx.ensembled(s, d)), q(E, "SELECT count(*) AS bars, 0.0::DOUBLE AS max_deviation, 0.0::DOUBLE AS mean_deviation, 0::BIGINT AS negative, 'keep' AS action FROM ensembled"), "max_deviation mean_deviation")
-add("audit_predictions", lambda s, d: learners.audit_predictions(fx.predictions(s, d)), q(fx.prediction_sql(), """SELECT true AS names_match, count(*) AS bars, 0::BIGINT AS bad_targets, 0.0::DOUBLE AS max_deviation, 0::BIGINT AS negative, count(*) - count(DISTINCT "timestamp") AS duplicate_timestamps, 0::BIGINT AS null_timestamps, true AS passed FROM predictions"""), "max_deviation")
+add("prediction_alignment", lambda s, d: learners.prediction_alignment(fx.predictions(s, d), fx.predictions(s, d).where("minute(timestamp) <> 15").withColumn("target", F.when(F.minute("timestamp") == 30, F.col("target") * 0).otherwise(F.col("target")))), q(fx.prediction_sql() + """, r AS (SELECT "timestamp", CASE WHEN minute("timestamp") = 30 THEN 0 ELSE target END AS t FROM predictions WHERE minute("timestamp") <> 15)""", """SELECT count(*) FILTER (p."timestamp" IS NOT NULL AND r."timestamp" IS NOT NULL) AS shared, count(*) FILTER (r."timestamp" IS NULL) AS left_only, count(*) FILTER (p."timestamp" IS NULL) AS right_only, count(*) FILTER (p."timestamp" IS NOT NULL AND r."timestamp" IS NOT NULL AND target IS DISTINCT FROM t) AS targets_differ FROM predictions p FULL JOIN r ON p."timestamp" = r."timestamp" """))
+add("probability_audit", lambda s, d: ensemble.probability_audit(fx.ensembled(s, d)), q(E + ", o AS (SELECT abs(ensemble_down + ensemble_neutral + ensemble_up - 1) AS off, least(ensemble_down, ensemble_neutral, ensemble_up) AS low FROM ensembled)", "SELECT count(*) AS bars, max(off) AS max_deviation, avg(off) AS mean_deviation, count(*) FILTER (low < 0) AS negative, CASE WHEN max(off) <= 1e-9 THEN 'keep' WHEN max(off) <= 0.01 THEN 'renormalize' ELSE 'reject' END AS action FROM o"), "max_deviation mean_deviation")
+OFF = "greatest(" + ", ".join(f"abs({k}_down + {k}_neutral + {k}_up - 1)" for k in fx.LEARNERS) + ")"
+add("audit_predictions", lambda s, d: learners.audit_predictions(fx.predictions(s, d).withColumn("ordinal", F.expr("timestampdiff(SECOND, timestamp_ntz'1970-01-01', timestamp)")), order="ordinal"), q(fx.prediction_sql() + f""", b AS (SELECT *, "timestamp" < lag("timestamp") OVER (ORDER BY epoch("timestamp")) AS back FROM predictions),
+  v AS (SELECT (SELECT list(column_name) = [{", ".join(f"'{c}'" for c in ensemble.prediction_columns())}] FROM (DESCRIBE predictions)) AS names_match, count(*) AS bars, count(*) FILTER (target IS NULL OR target NOT IN (-1, 0, 1)) AS bad_targets, max({OFF}) AS max_deviation, count(*) FILTER (least({", ".join(fx.PROBABILITIES)}) < 0) AS negative, count(*) - count(DISTINCT "timestamp") AS duplicate_timestamps, count(*) FILTER ("timestamp" IS NULL) AS null_timestamps, count(*) FILTER (back) AS steps_back FROM b)""", "SELECT *, names_match AND bad_targets = 0 AND max_deviation <= 1e-3 AND negative = 0 AND duplicate_timestamps = 0 AND steps_back = 0 AS passed FROM v"), "max_deviation")
 
 # ---- ensemble ----
 add("price_context", lambda s, d: fx.context(s, d), q(f"{fx.M15}, {fx.CONTEXT_SQL}", "SELECT * FROM context"), "close_x vol_16 forward_return_1")
@@ -224,16 +225,16 @@ add("regime_thresholds", lambda s, d: ensemble.regime_thresholds(fx.context(s, d
 add("regime_assignment", lambda s, d: pick(fx.ensembled(s, d), "vol_16", "regime"), q(E, sel(["vol_16", "regime"], "ensembled")), "vol_16")
 ENS = [f"ensemble_{x}" for x in fx.SIDES]
 add("regime_weighted_ensemble", lambda s, d: pick(fx.ensembled(s, d), "target", "regime", *ENS, "predicted_class"), q(E, sel(["target", "regime", *ENS, "predicted_class"], "ensembled")), " ".join(ENS))
-POINTS = "pts AS (SELECT p_partkey AS id, (p_partkey * 37 % 101)::DOUBLE AS a, (p_partkey * 53 % 97)::DOUBLE AS b FROM part WHERE p_partkey <= 400)"
-FRONT = POINTS + ", front AS (SELECT * FROM pts p WHERE NOT EXISTS (SELECT 1 FROM pts o WHERE o.a >= p.a AND o.b >= p.b AND (o.a > p.a OR o.b > p.b)))"
+POINTS = "pts AS (SELECT p_partkey AS id, (p_partkey * 37 % 101)::DOUBLE AS a, (p_partkey * 53 % 97)::DOUBLE AS b FROM part)"
+FRONT = POINTS + ", pairs AS (SELECT DISTINCT a, b FROM pts), front AS (SELECT pts.* FROM pts JOIN pairs p USING (a, b) WHERE NOT EXISTS (SELECT 1 FROM pairs o WHERE o.a >= p.a AND o.b >= p.b AND (o.a > p.a OR o.b > p.b)))"
 
 
 def _points(s: SparkSession, d: str) -> DataFrame:
     key = F.col("p_partkey")
-    return table(s, d, "part").where(key <= 400).select(key.alias("id"), (key * 37 % 101).cast("double").alias("a"), (key * 53 % 97).cast("double").alias("b"))
+    return table(s, d, "part").select(key.alias("id"), (key * 37 % 101).cast("double").alias("a"), (key * 53 % 97).cast("double").alias("b"))
 
 
-add("pareto_front", lambda s, d: ensemble.pareto_front(_points(s, d), ["a", "b"]), q(FRONT, "SELECT * FROM front"), "a b")
+add("pareto_front", lambda s, d: ensemble.pareto_front(_points(s, d), ["a", "b"]), q(FRONT, "SELECT id, a, b FROM front"), "a b")
 
 
 def _front(s: SparkSession, d: str) -> DataFrame:
@@ -265,27 +266,31 @@ HOLD = f"{E}, holds AS (SELECT * FROM (VALUES ('buy_hold', 1.0::DOUBLE), ('flat'
 add("baselines", lambda s, d: trading.baselines(fx.ensembled(s, d)), q(HOLD, f"""SELECT strategy, {SUMMARY}, (SELECT arg_max(close_x * (1 + forward_return_1), "timestamp") / nullif(arg_min(close_x, "timestamp"), 0) - 1 FROM ensembled WHERE forward_return_1 IS NOT NULL) AS close_to_close FROM traded GROUP BY 1"""), SD + " close_to_close")
 add("return_outliers", lambda s, d: trading.return_outliers(fx.ensembled(s, d)), q(E, """SELECT count(forward_return_1) AS returns, min(forward_return_1) AS least, max(forward_return_1) AS greatest, avg(forward_return_1) AS mean, stddev_pop(forward_return_1) AS deviation, count(*) FILTER (abs(forward_return_1) > 0.01) AS soft_outliers, count(*) FILTER (abs(forward_return_1) > 0.2) AS hard_outliers,
   count(*) FILTER (close_x < 500) AS below_floor, count(*) FILTER (close_x <= 0) AS not_positive, count(*) FILTER (abs(forward_return_1) > 0.2) = 0 AND count(*) FILTER (close_x < 500) = 0 AS sane FROM ensembled"""), "least greatest mean deviation")
+add("largest_returns", lambda s, d: trading.largest_returns(fx.ensembled(s, d)), q(E, 'SELECT "timestamp", close_x, forward_return_1 FROM ensembled WHERE forward_return_1 IS NOT NULL ORDER BY abs(forward_return_1) DESC, "timestamp" LIMIT 10'), "close_x forward_return_1")
+REPRODUCED = {"gross_total_return": "total_return", "sharpe_net": "sharpe", "net_total_return": "max_drawdown"}
+add("baseline_reproduction", lambda s, d: trading.baseline_reproduction(trading.cost_scenarios(fx.ensembled(s, d), scenarios={"zero_cost": 0.0}), trading.equity_summary(trading.evaluated(fx.ensembled(s, d))), REPRODUCED), q(f"{T}, z AS (SELECT {SUMMARY} FROM traded), m AS (" + " UNION ALL ".join(f"SELECT '{a}' AS metric, ({n})::DOUBLE AS now, {o} AS saved FROM z" for (a, o), n in zip(REPRODUCED.items(), ("total_return", "sharpe", "total_return"))) + ")", "SELECT metric, now, saved, coalesce(abs(now - saved) <= 1e-6, false) AS reproduced FROM m"), "now saved")
 add("top_contributors", lambda s, d: trading.top_contributors(trading.evaluated(fx.ensembled(s, d))), q(T, 'SELECT "timestamp", position, forward_return, gross_return, 1 + gross_return AS multiplier FROM traded ORDER BY abs(gross_return) DESC, "timestamp" LIMIT 5'), "position forward_return gross_return multiplier")
 
 # ---- fitted models: no SQL gives their rows ----
-COLUMNS = ["tickvol", "h1_partial_close", "h1_partial_high", "d1_partial_close"]
+COLUMNS = ["tickvol", *[f"{p}_partial_{c}" for p in ("h1", "d1") for c in ("open", "high", "low", "close", "tickvol")]]
+AVAILABLE = ["h1_partial_available", "d1_partial_available"]
 
 
 def _learned(fit):
     def run(s: SparkSession, d: str) -> DataFrame:
         rows = align.partial_state(align.partial_state(fx.labelled(s, d), "hour", "h1_partial_"), "day", "d1_partial_")
-        rows = splits.temporal_split(rows, fx.SPLITS)
+        rows = splits.temporal_split(features.partial_availability(features.partial_availability(rows, "h1_partial_"), "d1_partial_"), fx.SPLITS)
         train = rows.where("split = 'train'")
         rows = learners.impute(rows, learners.train_medians(train, COLUMNS))
         train = rows.where("split = 'train'")
-        return learners.probabilities(fit(learners.clean_train(train, COLUMNS), COLUMNS), rows.where("split <> 'train'"), "m15", ["timestamp", "target", "split"])
+        return learners.probabilities(fit(learners.clean_train(train, COLUMNS), [*COLUMNS, *AVAILABLE]), rows.where("split <> 'train'"), "m15", ["timestamp", "target", "split"])
 
     return run
 
 
-add("lr_probabilities", _learned(lambda t, c: learners.fit_logistic(t, c, 100)))
-add("tree_probabilities", _learned(lambda t, c: learners.fit_trees(t, c, 5, 3)))
-add("nsga2_weights", lambda s, d: optimize.regime_fronts(fx.ensembled(s, d), generations=15))
+add("lr_probabilities", _learned(learners.fit_logistic))
+add("tree_probabilities", _learned(lambda t, c: learners.fit_trees(t, c, inner_from="2024-01-17")))
+add("nsga2_weights", lambda s, d: optimize.regime_fronts(fx.ensembled(s, d)))
 DUMP = "num_class=3\nfeature_names=high low\n" + "".join(f"\nTree={i}\nnum_leaves=3\nnum_cat=0\nsplit_feature=0 1\nthreshold={t} {u}\ndecision_type=2 2\nleft_child=1 -1\nright_child=-2 -3\nleaf_value={a} {b} {c}\n\n" for i, (t, u, a, b, c) in enumerate([(250000.0, 2000.0, 0.1, -0.2, 0.4), (300000.0, 1500.0, -0.3, 0.2, 0.05), (200000.0, 2500.0, 0.25, 0.0, -0.1)]))
 SUMS = [f"CASE WHEN high <= {t} THEN CASE WHEN low <= {u} THEN {a} ELSE {c} END ELSE {b} END" for t, u, a, b, c in [(250000.0, 2000.0, 0.1, -0.2, 0.4), (300000.0, 1500.0, -0.3, 0.2, 0.05), (200000.0, 2500.0, 0.25, 0.0, -0.1)]]
 add("tree_text_scores", lambda s, d: tree_text.score(fx.days(s, d), tree_text.parse(DUMP)).select("timestamp", "down", "neutral", "up"), q(fx.DAYS + f', z AS (SELECT "timestamp", exp(({SUMS[0]})::DOUBLE) AS a, exp(({SUMS[1]})::DOUBLE) AS b, exp(({SUMS[2]})::DOUBLE) AS c FROM days)', 'SELECT "timestamp", a / (a + b + c) AS down, b / (a + b + c) AS neutral, c / (a + b + c) AS up FROM z'), "down neutral up")
