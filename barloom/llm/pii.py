@@ -150,6 +150,24 @@ def _close_words(words: Column) -> Column:
     return F.flatten(F.transform(words, around))
 
 
+def _least_shingle(text: Column) -> Column:
+    """Least hash of the runs of five words: near copies share it as often as they share their runs."""
+
+    def least(words: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 4, F.lit(1))), lambda i: F.hash(F.slice(words, i, 5)))
+        return F.array_min(runs)
+
+    return _let(F.transform(_words(text), lambda w: F.xxhash64(w)), least)
+
+
+def _independent(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys, both (rows of each) and independent: the effective number of texts (inverse Simpson index of column least),
+    in which near copies of one text count about once and unlike texts one each."""
+    counts = rows.groupBy(*keys, "least").agg(F.count(F.lit(1)).alias("_n"))
+    many = F.sum("_n")
+    return counts.groupBy(*keys).agg(many.alias("both"), (many * many / F.sum(F.col("_n") * F.col("_n"))).alias("independent"))
+
+
 def entity_texts(docs: DataFrame) -> DataFrame:
     """(of, kind, entity) for docs (of: hash of the text, text), distinct."""
     named = F.concat(*[F.transform(base_spans(F.col("text"), k), _named(k)) for k in ENTITIES])
@@ -159,7 +177,8 @@ def entity_texts(docs: DataFrame) -> DataFrame:
 def disclosive_terms(docs: DataFrame, seen: DataFrame, threshold: float = 0.75, removal: float = 0.95, min_texts: int = 3, min_bits: float = 4.0, broadcast_terms: int = 50_000) -> tuple[DataFrame, DataFrame]:
     """(terms, hits) for docs (of, text) and their entity_texts. terms: term, share (the greatest PMI / information content over the
     entities and kinds), kind (that entity's), removed. hits: of, term for each text with such a term. Counts
-    are of distinct texts, so copies of one text count once; a pair of entity and term counts from min_texts texts on. A
+    are of distinct texts, so copies of one text count once; an entity, and its pair with a term, count from an effective
+    number of min_texts texts on, in which near copies are about one (see _independent). A
     kind counts as an entity that stands in the texts where the term is close to such a span, if the term tells min_bits
     about it or more: a kind that stands in most texts is no secret. Phrases are no terms:
     near copies of a text share all of theirs. Sets of up to broadcast_terms candidate terms are broadcast, larger ones are joined by a shuffle."""
@@ -177,23 +196,28 @@ def disclosive_terms(docs: DataFrame, seen: DataFrame, threshold: float = 0.75,
 
     # bounds below are exact, but for rounding: a pair stands in no more texts than its entity or its term
     least = threshold - 1e-9
-    docs = likely_in(docs.select("of", "text"), seen.select("of").distinct(), "of")
-    around = _let(_holed_words(F.col("text")), _close_words)
-    beside = docs.where("_likely").select("of", F.explode_outer(F.array_distinct(around)).alias("s")).where("s is not null")
-    of_entity = seen.groupBy("entity").agg(F.count(F.lit(1)).alias("with_entity")).where(F.col("with_entity") >= min_texts)
+    of_seen = seen.select("of").distinct()
+    docs = likely_in(docs.select("of", "text"), of_seen, "of")
+    whole = docs.where("_likely").dropDuplicates(["of"]).join(of_seen, "of")
+    least_of = materialize(whole.select("of", _least_shingle(F.col("text")).alias("least")), "entity-shingles")
+    seen = materialize(seen.join(least_of, "of"), "entities")
+    of_entity = _independent(seen, "entity").where(F.col("independent") >= min_texts - 1e-9).select("entity", F.col("both").alias("with_entity"))
     known = materialize(seen.join(of_entity, "entity"), "known-entity-texts")
     # the most frequent entity admits the most frequent terms
     most = known.agg(F.coalesce(F.max("with_entity"), F.lit(1)).alias("with_entity")).first()[0]
-    words = materialize(_terms(docs.where("_likely").join(seen.select("of").distinct(), "of")).where(_is_term(F.col("term"))).distinct(), "entity-terms")
+    words = materialize(_terms(whole).where(_is_term(F.col("term"))), "entity-terms")
     # a term stands in at least the texts in which it stands with any entity: what misses the threshold even so is out
     near_all = materialize(words.groupBy("term").agg(F.count(F.lit(1)).alias("near_entities")).where(F.col("near_entities") >= min_texts), "near-terms")
     at_best = share(F.col("near_entities"), F.least("with_entity", "near_entities"))
     near_known = near_all.withColumn("with_entity", F.lit(most)).where(F.coalesce(at_best >= least, F.lit(most) >= total)).drop("with_entity")
-    words = words.join(small(materialize(near_known, "near-known-terms")), "term")
-    pairs = known.join(words, "of").where(at_best >= least).groupBy("entity", "kind", "with_entity", "term", "near_entities").agg(F.count(F.lit(1)).alias("both"))
-    pairs = pairs.where((F.col("both") >= min_texts) & (share(F.col("near_entities")) >= least)).select("kind", "with_entity", "term", "both", F.lit(True).alias("single"))
+    of_known = words.join(small(known.select("of").distinct()), "of")
+    met = known.join(of_known.join(small(materialize(near_known, "near-known-terms")), "term"), "of").where(at_best >= least)
+    pairs = _independent(met, "entity", "kind", "with_entity", "term", "near_entities").where((F.col("independent") >= min_texts - 1e-9) & (share(F.col("near_entities")) >= least))
+    pairs = pairs.select("kind", "with_entity", "term", "both", F.lit(True).alias("single"))
+    around = _let(_holed_words(F.col("text")), _close_words)
+    beside = whole.select("of", F.explode_outer(F.array_distinct(around)).alias("s")).where("s is not null").select("of", "s.*")
     of_kind = seen.groupBy("kind").agg(F.count_distinct("of").alias("with_entity"))
-    close = beside.select("of", "s.*").distinct().groupBy("kind", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= min_texts)
+    close = _independent(beside.join(least_of, "of"), "kind", "term").where(F.col("independent") >= min_texts - 1e-9)
     close = close.join(F.broadcast(of_kind), "kind").join(near_all, "term")  # a row a kind
     close = close.where((share(F.col("near_entities")) >= least) & (bits(F.col("near_entities")) >= min_bits - 1e-9)).select("kind", "with_entity", "term", "both", F.lit(False).alias("single"))
     pairs = materialize(pairs.unionByName(close), "entity-pairs")
