@@ -137,7 +137,7 @@ class ItemIndex:
 
     def __init__(self, items: list[tuple[int, str]]):
         self.items = [(i, ids) for i, text in items if len(ids := token_ids(text)) >= SEED]
-        self.known = {w for _, text in items for w in tokens(text)}
+        self.known = {w: xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for _, text in items for w in tokens(text)}
         self.sizes = np.array([len(ids) for _, ids in self.items], np.int64)
         seeds = [np.unique(seeds_of(ids), return_counts=True) for _, ids in self.items]
         hashes, places = (np.concatenate([s[k] for s in seeds]) if seeds else np.empty(0, np.uint64) for k in (0, 1))
@@ -147,13 +147,19 @@ class ItemIndex:
 
     def coverages(self, text: str | None, least: float) -> list[tuple[float, int]]:
         """(coverage, item_id) of the items covered to `least` or more."""
-        words = tokens(text)
-        known = np.concatenate([[0], np.cumsum([w in self.known for w in words])])
-        if len(words) < SEED or not len(self.hashes) or not (known[SEED:] - known[:-SEED] == SEED).any():
+        get = self.known.get
+        ids = np.array([get(w, 0) for w in tokens(text)], np.uint64)  # 0: in no item
+        known = np.concatenate([[0], np.cumsum(ids != 0)])
+        starts = np.flatnonzero(known[SEED:] - known[:-SEED] == SEED) if len(ids) >= SEED and len(self.hashes) else ()
+        if not len(starts):
             return []
-        ids = token_ids(text)
-        mine = np.unique(seeds_of(ids))
-        low, high = np.searchsorted(self.hashes, mine, "left"), np.searchsorted(self.hashes, mine, "right")
+        mine = np.unique(seeds_of(ids)[starts])
+        low = np.searchsorted(self.hashes, mine, "left")
+        there = self.hashes[np.minimum(low, len(self.hashes) - 1)] == mine
+        if not there.any():
+            return []
+        mine, low = mine[there], low[there]
+        high = np.searchsorted(self.hashes, mine, "right")
         found = np.concatenate([np.arange(x, y) for x, y in zip(low[high > low], high[high > low])] or [np.empty(0, np.int64)])
         owners, at = np.unique(self.owners[found], return_inverse=True)
         reach = np.bincount(at, self.places[found], len(owners)) * SEED  # tokens in shared seeds are no more
