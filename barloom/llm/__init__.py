@@ -5,7 +5,7 @@ from barloom.llm.html_extract import op10_html_extract
 from barloom.llm.language_id import op3_language_id
 from barloom.llm.lattice_lm import op8_lattice_lm
 from barloom.llm.line_dedup import OP5_SQL, op5_line_dedup
-from barloom.llm.near_dedup import op1_minhash_near_dedup
+from barloom.llm.near_dedup import OP1_SQL, op1_minhash_near_dedup
 from barloom.llm.packing import op9_packing
 from barloom.llm.pii import op4_pii
 from barloom.llm.quality_rules import op6_quality_rules
@@ -24,4 +24,4 @@ QUERIES = {
     "op10_html_extract": op10_html_extract,
 }
 
-ORACLE_SQL = {"op5_line_dedup": OP5_SQL}
+ORACLE_SQL = {"op1_minhash_near_dedup": OP1_SQL, "op5_line_dedup": OP5_SQL}

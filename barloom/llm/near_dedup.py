@@ -220,3 +220,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents by shingles of four words."""
     return near_duplicates(table(spark, sf_dir, "documents"), words=4, percent=80)
+
+
+OP1_SQL = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS l FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(l) = 0 THEN [] WHEN len(l) < 4 THEN [hash(l)]
+         ELSE list_distinct(list_transform(range(1, len(l) - 2), lambda i: hash(l[i:i + 3]))) END AS sh FROM w),
+x AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS h FROM s),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.h = b.h AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
+r AS (SELECT doc_id, doc_id AS c FROM s UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.doc_id WHERE r.c < e.b)
+SELECT s.doc_id, len(s.sh)::BIGINT AS n_shingles, m.component_id, s.doc_id = m.component_id AS kept
+FROM s JOIN (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id) m USING (doc_id)
+"""

@@ -56,6 +56,13 @@ def test_near_dedup_matches_brute_force(spark, sf, texts):
         assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), want[r.doc_id], want[r.doc_id] == r.doc_id)
 
 
+def test_near_dedup_oracle(spark, sf):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    want = sorted(con.sql(f"SELECT doc_id, n_shingles, component_id, kept FROM ({llm.ORACLE_SQL['op1_minhash_near_dedup']})").fetchall())
+    assert sorted(map(tuple, llm.QUERIES["op1_minhash_near_dedup"](spark, sf).collect())) == want
+
+
 def test_near_dedup_large_groups(spark):
     """A chain of near copies and documents that share a passage only."""
     rng = random.Random(5)
