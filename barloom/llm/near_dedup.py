@@ -204,8 +204,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     # what the stars left apart: members of buckets that still hold several components, besides the hub, which has met them all
     placed = buckets.where((F.col("hub.rep") != F.col("rep")) | (F.col("hub.n") != F.col("n"))).drop("hub").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("c", F.coalesce("component", "rep")).drop("component")
-    split = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("key")
-    apart = placed.join(split, "key", "left_semi").select("node", "rep", "n", "c").distinct()
+    split = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("df")).where("low <> high").select("key", "df")
+    split = materialize(split, "split-buckets")
+    maybe = likely_in(placed, split.select("key"), "key").where("_likely").drop("_likely")
+    apart = _with_hot(maybe, split, "key").select("node", "rep", "n", "c").distinct()
     apart = materialize(apart.join(reps.select("node", "class"), "node"), "apart")
     rest = settle(spark, lambda: _prefix_pairs(apart, docs, words, percent), "rest-pairs")
     more = settle(spark, lambda: _confirmed(rest, docs, words, percent), "rest-links")
