@@ -1,15 +1,18 @@
 """Language-model scores from a subword lattice: an existing vocabulary's pieces, weighted by unigram probabilities.
 
-The pieces come from a public vocabulary file; their probabilities are counted on the training documents, segmented by
-that vocabulary. A word's probability is the sum over all of its segmentations, by the forward recursion in log space
-over the lattice of pieces, and a document's is the product over its words and one end. Each distinct word's lattice is
+The pieces come from a public vocabulary file, which says how they merge, not how likely they are. Their probabilities
+start from the counts of that vocabulary's own segmentation of the training documents and are then fitted by expectation
+maximisation over the lattice: each round counts every piece by its share in all segmentations of all training words.
+A word's probability is the sum over all of its segmentations, by the forward recursion in log space over the lattice of
+pieces, and a document's is the product over its words and one end. Each distinct word's lattice is
 run once, in a table of words; the most frequent words of that table go to every task, the others are joined.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+from array import array
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +29,8 @@ FREQUENT = 200_000
 #: Distinct words that a task counts before it hands its counts on.
 COUNTED = 300_000
 ALPHA = 0.1
+#: Rounds of expectation maximisation.
+ROUNDS = 1
 
 
 def _held_out() -> Column:
@@ -62,9 +67,13 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text", "held_out").mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def _training(words: DataFrame) -> DataFrame:
+    return words.where(F.col("c") > 0).where(F.col("word") != F.lit(END))
+
+
 def count_pieces(words: DataFrame, vocabulary: str) -> dict[str, float]:
     """Piece -> count in the training words, by the vocabulary's own segmentation. At most a row a piece and task."""
-    schema = pa.schema([("piece", pa.int32()), ("n", pa.int64())])
+    schema = pa.schema([("piece", pa.string()), ("n", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import sentencepiece
@@ -77,13 +86,34 @@ def count_pieces(words: DataFrame, vocabulary: str) -> dict[str, float]:
                 for i in ids:
                     total[i] += n
         found = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(total[found], pa.int64())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array([model.id_to_piece(int(i)) for i in found], pa.string()), pa.array(total[found], pa.int64())], schema=schema)
+
+    rows = _training(words).mapInArrow(run, "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+    return {r.piece: float(r.n) for r in rows}
+
+
+def expected_pieces(words: DataFrame, lattice: Lattice) -> dict[str, float]:
+    """Piece -> expected count in the training words, over all segmentations. At most a row a piece and task."""
+    schema = pa.schema([("piece", pa.string()), ("n", pa.float64())])
+    held = words.sparkSession.sparkContext.broadcast(lattice)
 
-    training = words.where(F.col("c") > 0).where(F.col("word") != F.lit(END))
-    rows = training.mapInArrow(run, "piece int, n bigint").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: defaultdict[str, float] = defaultdict(float)
+        add = held.value.add_expected
+        for batch in batches:
+            for word, n in zip(batch.column("word").to_pylist(), batch.column("c").to_pylist()):
+                add(word.decode("utf-8", "replace"), n, totals)
+        yield pa.RecordBatch.from_arrays([pa.array(totals.keys(), pa.string()), pa.array(totals.values(), pa.float64())], schema=schema)
+
+    rows = _training(words).mapInArrow(run, "piece string, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+    held.unpersist()
     return {r.piece: r.n for r in rows}
 
 
+def byte_piece(b: int) -> str:
+    return f"<0x{b:02X}>"
+
+
 class Lattice:
     """Natural-log probabilities of words under unigram piece probabilities."""
 
@@ -95,20 +125,25 @@ class Lattice:
                 self.arcs.setdefault(piece[:k])
         self.bytes = bytes_
 
-    def word(self, text: str) -> float:
-        """log of the sum, over all segmentations of the word behind its word-start mark, of their probabilities."""
-        text = "▁" + text
+    def _as_bytes(self, character: str) -> float:
+        return sum(self.bytes[b] for b in character.encode("utf-8", "surrogatepass"))
+
+    def _forward(self, text: str, edges: array | None = None) -> list[float]:
+        """log of the sum over all segmentations of the text up to each place; edges gets the ends of all arcs met."""
         n, arcs, exp, log = len(text), self.arcs, math.exp, math.log
         into: list[list[float]] = [[] for _ in range(n + 1)]
         into[0].append(0.0)
-        for i in range(n):
+        at = [0.0] * (n + 1)
+        for i in range(n + 1):
             terms = into[i]
             into[i] = ()  # type: ignore[call-overload]
             if not terms:
                 continue
-            here = terms[0] if len(terms) == 1 else (m := max(terms)) + log(sum([exp(t - m) for t in terms]))
-            if text[i] not in arcs or arcs[text[i]] is None:
-                into[i + 1].append(here + sum(self.bytes[b] for b in text[i].encode("utf-8", "surrogatepass")))
+            here = at[i] = terms[0] if len(terms) == 1 else (m := max(terms)) + log(sum([exp(t - m) for t in terms]))
+            if i < n and arcs.get(text[i]) is None:
+                into[i + 1].append(here + self._as_bytes(text[i]))
+                if edges is not None:
+                    edges.extend((i, i + 1))
             for j in range(i + 1, n + 1):
                 p = arcs.get(text[i:j], 1.0)
                 if p is None:
@@ -116,26 +151,54 @@ class Lattice:
                 if p > 0:
                     break
                 into[j].append(here + p)
-        m = max(into[n])
-        return m + log(sum([exp(t - m) for t in into[n]]))
+                if edges is not None:
+                    edges.extend((i, j))
+        return at
+
+    def word(self, text: str) -> float:
+        """log of the sum, over all segmentations of the word behind its word-start mark, of their probabilities."""
+        return self._forward("▁" + text)[-1]
+
+    def add_expected(self, text: str, n: float, totals: dict[str, float]) -> None:
+        """Add to totals each piece's expected number in n such words: an arc's share of all segmentations through its
+        end, times that end's share of all."""
+        text, edges = "▁" + text, array("q")
+        at = self._forward(text, edges)
+        share = [0.0] * len(at)
+        share[-1] = n
+        for k in range(len(edges) - 2, -1, -2):  # an arc's end comes before all arcs that lead there
+            i, j = edges[k], edges[k + 1]
+            if not share[j]:
+                continue
+            piece = text[i:j]
+            p = self.arcs.get(piece)
+            part = share[j] * math.exp(at[i] + (self._as_bytes(piece) if p is None else p) - at[j])
+            share[i] += part
+            for name in (piece,) if p is not None else map(byte_piece, piece.encode("utf-8", "surrogatepass")):
+                totals[name] += part
 
 
-def fit_lattice(words: DataFrame, vocabulary: str, alpha: float = ALPHA) -> tuple[Lattice, float]:
-    """The lattice and the log probability of END, smoothed by alpha over all pieces and END."""
+def fit_lattice(words: DataFrame, vocabulary: str, alpha: float = ALPHA, rounds: int = ROUNDS) -> tuple[Lattice, float]:
+    """The lattice after rounds of expectation maximisation and the log probability of END, smoothed by alpha over all
+    pieces and END."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=vocabulary)
-    counts, size = count_pieces(words, vocabulary), model.get_piece_size()
+    names = {model.id_to_piece(i): model.is_byte(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i))}
     ends = (words.where(F.col("word") == F.lit(END)).agg(F.sum("c")).first()[0]) or 0
-    usable = [i for i in range(size) if not (model.is_control(i) or model.is_unknown(i))]
-    total = sum(counts.get(i, 0) for i in usable) + ends + alpha * (len(usable) + 1)
-    score = lambda n: math.log((n + alpha) / total)
-    pieces = {model.id_to_piece(i): score(counts.get(i, 0)) for i in usable if not model.is_byte(i)}
-    bytes_ = [score(counts.get(model.piece_to_id(f"<0x{b:02X}>"), 0)) for b in range(256)]
-    return Lattice(pieces, bytes_), score(ends)
+
+    def weighted(counts: dict[str, float]) -> tuple[Lattice, float]:
+        total = sum(counts.get(x, 0) for x in names) + ends + alpha * (len(names) + 1)
+        score = lambda n: math.log((n + alpha) / total)
+        return Lattice({x: score(counts.get(x, 0)) for x, is_byte in names.items() if not is_byte}, [score(counts.get(byte_piece(b), 0)) for b in range(256)]), score(ends)
+
+    fitted = weighted(count_pieces(words, vocabulary))
+    for _ in range(rounds):
+        fitted = weighted(expected_pieces(words, fitted[0]))
+    return fitted
 
 
-def score_documents(docs: DataFrame, vocabulary: str, frequent: int = FREQUENT) -> DataFrame:
+def score_documents(docs: DataFrame, vocabulary: str, frequent: int = FREQUENT, rounds: int = ROUNDS) -> DataFrame:
     """Scores of docs (doc_id long, text string), learned from the documents outside the held-out fold.
 
     The fold is crc32(doc_id as text) modulo 10 = 0 (null doc_id: training). Returns doc_id, held_out, n_tokens (words
@@ -147,7 +210,7 @@ def score_documents(docs: DataFrame, vocabulary: str, frequent: int = FREQUENT)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("held_out", _held_out())
     spark = docs.sparkSession
     counted = materialize(count_words(docs), "word-counts")
-    lattice, end_score = fit_lattice(counted, vocabulary)
+    lattice, end_score = fit_lattice(counted, vocabulary, rounds=rounds)
     sums = counted.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v")).first()
     floor = math.log10(sums.n + ALPHA * (sums.v + 1))
     held_lattice = spark.sparkContext.broadcast(lattice)
