@@ -428,6 +428,39 @@ def test_quality_verdicts(spark, sf):
     assert all(r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words) for r in rows)
 
 
+def test_quality_verdict_matches_brute_force(spark, sf, texts):
+    """The verdict of every document from its text alone, by the learned list as it reads."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    judged, rules = quality_rules.judge_quality(docs, labels)
+    assert rules.rules
+    part = lambda a, b: a / b if b else 0.0
+
+    def rejecting(text):
+        n_words, chars, symbols, dup, repeats = _statistics(text)
+        lines = sum(bool(WORD.search(x)) for x in text.split("\n"))
+        found = lambda pattern: len(re.findall(pattern, text))
+        value = {
+            "n_words": n_words, "mean_word": part(chars, n_words), "symbols": part(symbols, chars), "dup_lines": part(dup, lines), "repeats": part(repeats, n_words),
+            "upper": part(found("[A-Z]"), chars), "digits": part(found("[0-9]"), chars), "marks": part(found("[!?@_=~^;:]"), chars), "long_line": part(n_words, lines),
+        }
+        return next((k for k, rule in enumerate(rules.rules, 1) if all((value[c.feature] > c.threshold) == c.above for c in rule)), None)
+
+    for r in judged.collect():
+        rule = rejecting(texts[r.doc_id])
+        assert r.rule == rule and r.kept == (not r.base_failed and rule is None), r.doc_id
+
+
+def test_quality_rule_is_the_best_of_all(spark):
+    """The first condition has the greatest gain of all thresholds; a second one is taken where it helps."""
+    rng = random.Random(5)
+    rows = [(i, rng.random(), rng.random()) for i in range(600)]
+    rows = [(i, x, y, x > 0.5 and y <= 0.4) for i, x, y in rows]
+    learned = quality_rules.learn_rules(spark.createDataFrame(rows, "doc_id long, x double, y double, bad boolean"), features=["x", "y"], cuts=32)
+    hit = lambda x, y: any(all(({"x": x, "y": y}[c.feature] > c.threshold) == c.above for c in rule) for rule in learned.rules)
+    wrong = sum(hit(x, y) != bad for _, x, y, bad in rows)
+    assert len(learned.rules[0]) == 2 and wrong <= 0.05 * len(rows)
+
+
 def test_quality_edges(spark, edge, empty):
     none = spark.createDataFrame([], "doc_id long, quality int")
     judged, rules = quality_rules.judge_quality(edge, none)
@@ -548,6 +581,40 @@ def test_lattice_sums_all_segmentations():
     assert lattice.word("ab" * 3000) < -1000  # no underflow
 
 
+def test_lattice_expected_counts_match_all_segmentations():
+    pieces = {"▁": -1.0, "a": -2.0, "b": -2.5, "▁a": -1.5, "ab": -1.2, "▁ab": -3.0, "bab": -4.0}
+    lattice = lattice_lm.Lattice(pieces, [-5.0] * 256)
+
+    def cuts(text):
+        if not text:
+            yield ()
+        for k in range(1, len(text) + 1):
+            if text[:k] in pieces:
+                yield from ((text[:k], *rest) for rest in cuts(text[k:]))
+
+    for word in ("a", "ab", "abab", "bbab"):
+        want: Counter = Counter()
+        every = [(math.exp(sum(pieces[p] for p in c)), c) for c in cuts("▁" + word)]
+        for weight, cut in every:
+            for piece in cut:
+                want[piece] += 3 * weight / sum(w for w, _ in every)
+        got: defaultdict = defaultdict(float)
+        lattice.add_expected(word, 3, got)
+        assert {k: v for k, v in got.items() if v > 1e-12} == pytest.approx(dict(want))
+    got = defaultdict(float)
+    lattice.add_expected("é", 2, got)
+    assert dict(got) == pytest.approx({"▁": 2, "<0xC3>": 2, "<0xA9>": 2})
+    lattice.add_expected("ab" * 50_000, 1, got)
+    assert sum(len(k) * v for k, v in got.items() if "<" not in k) == pytest.approx(100_001 + 2)
+
+
+def test_lattice_rounds_raise_the_likelihood(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    total = [lattice_lm.score_documents(docs, PIECES, rounds=n).groupBy("held_out").agg(F.sum("score").alias("s")).collect() for n in (0, 1, 2)]
+    by_fold = {out: [next(r.s for r in rows if r.held_out == out) for rows in total] for out in (True, False)}
+    assert by_fold[False] == sorted(by_fold[False]) and by_fold[True][0] < by_fold[True][1]
+
+
 def test_lattice_scores(spark, sf, texts):
     got = llm.QUERIES["op8_lattice_lm"](spark, sf).collect()
     tokens = {d: t.encode().lower().split() + [b"\n"] for d, t in texts.items()}
