@@ -111,3 +111,41 @@ def sharpe(value: Column) -> Column:
     """Mean over population deviation; 0 for no values or no deviation."""
     deviation = F.stddev_pop(value)
     return F.coalesce(F.when(deviation >= 1e-12, F.avg(value) / deviation), F.lit(0.0))
+
+
+#: Values of a column from which exact percentiles are narrowed first, and the share of rows on each side of one that is then sorted.
+NARROW_FROM, NARROW_SHARE = 100_000, 0.001
+
+
+def exact_percentiles(rows: DataFrame, columns: Sequence[str], shares: Sequence[float], narrow_from: int = NARROW_FROM) -> DataFrame:
+    """(column, share, value): exact percentiles of columns as doubles, by linear interpolation; null without values.
+
+    The built-in percentile gathers all distinct values in one task. So, where a column has many values, approximate
+    percentiles bracket each wanted one, and only the values between the brackets are counted and ranked: about one row in
+    500. narrow_from must be 1 / NARROW_SHARE rows at least, for the brackets to hold both neighbours."""
+    doubles = rows.select(*[F.col(c).cast("double").alias(c) for c in columns])
+    around = [x for p in shares for x in (max(p - NARROW_SHARE, 0.0), min(p + NARROW_SHARE, 1.0))]
+    accuracy = F.lit(int(10 / NARROW_SHARE))
+    seen = doubles.agg(*[F.struct(F.count(c).alias("n"), F.percentile_approx(c, F.array(*map(F.lit, around)), accuracy).alias("q")).alias(c) for c in columns]).first()
+    spark = rows.sparkSession
+    few = [c for c in columns if seen[c].n < narrow_from]
+    places = [(c, float(p), (seen[c].n - 1) * p, seen[c].q[2 * k], seen[c].q[2 * k + 1]) for c in columns if c not in few for k, p in enumerate(shares)]
+    parts = []
+    if few:
+        found = doubles.agg(*[F.percentile(c, F.array(*map(F.lit, shares))).alias(c) for c in few])
+        pairs = [F.struct(F.lit(c).alias("column"), F.lit(float(p)).alias("share"), F.col(c)[k].alias("value")) for c in few for k, p in enumerate(shares)]
+        parts.append(found.select(F.inline(F.array(*pairs))))
+    if places:
+        wanted = spark.createDataFrame(places, "column string, share double, at double, low double, high double")
+        names = list(dict.fromkeys(c for c, *_ in places))
+        below = doubles.agg(*[F.count_if(F.col(c) < low).alias(f"b{k}") for k, (c, _, _, low, _) in enumerate(places)])
+        below = below.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(p).alias("share"), F.col(f"b{k}").alias("below")) for k, (c, p, *_) in enumerate(places)])))
+        between = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(p).alias("share"), F.when(F.col(c).between(low, high), F.col(c)).alias("v")) for c, p, _, low, high in places])
+        middle = doubles.select(*names).select(F.inline(between)).where("v is not null").groupBy("column", "share", "v").count()
+        ranked = middle.withColumn("upto", F.sum("count").over(Window.partitionBy("column", "share").orderBy("v")))
+        ranked = ranked.join(F.broadcast(below), ["column", "share"]).join(F.broadcast(wanted.select("column", "share", "at")), ["column", "share"])
+        reaches = lambda place: F.min(F.when(F.col("below") + F.col("upto") > place, F.col("v")))
+        ends = ranked.groupBy("column", "share", "at").agg(reaches(F.floor("at")).alias("lower"), reaches(F.ceil("at")).alias("upper"))
+        value = F.when(F.col("lower") == F.col("upper"), F.col("lower")).otherwise((F.ceil("at") - F.col("at")) * F.col("lower") + (F.col("at") - F.floor("at")) * F.col("upper"))
+        parts.append(ends.select("column", "share", value.alias("value")))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.functions import argmax_class
+from barloom.functions import argmax_class, exact_percentiles
 
 LEARNERS = ("m15_lr", "m15_lgbm", "h1_lr", "h1_lgbm", "d1_lr", "d1_lgbm")
 SIDES = ("down", "neutral", "up")
@@ -23,8 +23,8 @@ def prediction_columns() -> list[str]:
 
 def regime_thresholds(rows: DataFrame, value: str = "vol_16") -> DataFrame:
     """(q33, q67): exact tertiles by linear interpolation."""
-    q = F.percentile(F.col(value), F.array(F.lit(1 / 3), F.lit(2 / 3)))
-    return rows.agg(q.alias("q")).select(F.col("q")[0].alias("q33"), F.col("q")[1].alias("q67"))
+    q = exact_percentiles(rows, [value], (1 / 3, 2 / 3))
+    return q.agg(F.min("value").alias("q33"), F.max("value").alias("q67"))
 
 
 def regime(value: Column, q33: Column | float, q67: Column | float) -> Column:

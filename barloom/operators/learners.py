@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions import finite
+from barloom.functions import exact_percentiles, finite
 from barloom.operators.ensemble import LEARNERS, SIDES, prediction_columns
 from barloom.operators.metrics import class_weights
 from barloom.operators.quality import timestamp_quality
@@ -23,10 +23,10 @@ CLASSES = (-1, 0, 1)
 
 def train_medians(train: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(feature, median) by exact linear interpolation; raises if a column has no value to learn from."""
-    found = train.agg(*[F.percentile(F.col(c).cast("double"), 0.5).alias(c) for c in columns])
-    if empty := [c for c, v in found.first().asDict().items() if v is None]:
+    found = exact_percentiles(train, columns, [0.5]).select(F.col("column").alias("feature"), F.col("value").alias("median"))
+    if empty := [r.feature for r in found.where("median is null").collect()]:
         raise ValueError(f"no values in {empty}")
-    return found.unpivot([], list(columns), "feature", "median")
+    return found
 
 
 def impute(rows: DataFrame, medians: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom import audit_cli, sources, streaming
-from barloom.functions import argmax_class, both_max, change, finite, safe_divide
+from barloom.functions import argmax_class, both_max, change, exact_percentiles, finite, safe_divide
 from barloom.operators import align, bars, ensemble, features, labels, learners, metrics, optimize, profile, quality, splits, trading, tree_text
 
 T0 = datetime(2024, 1, 1)
@@ -319,3 +319,20 @@ def test_streamed_bars_equal_batch(spark, sf, tmp_path):
     streaming.write_bars(late, f"{tmp_path}/out2", f"{tmp_path}/check2").awaitTermination()
     done = spark.read.parquet(f"{tmp_path}/out2").collect()
     assert len(done) >= len(want) - 2 and all(want[r.timestamp].close == r.close and want[r.timestamp].tickvol == r.tickvol for r in done)
+
+
+def test_exact_percentiles_narrowed_and_whole(spark):
+    rng = np.random.default_rng(3)
+    n = 3001
+    frame = pd.DataFrame({"a": rng.normal(size=n), "b": np.round(rng.normal(size=n), 1), "c": [1.0] * (n - 5) + [9.0] * 5})
+    frame.loc[:99, "a"] = np.nan
+    rows = spark.createDataFrame(frame).withColumn("a", F.when(~F.isnan("a"), F.col("a"))).withColumn("none", F.lit(None).cast("double"))
+    shares = (0.0, 1 / 3, 0.5, 2 / 3, 0.999, 1.0)
+    for narrow_from in (1000, 100_000):  # the empty column goes the built-in way
+        got = {(r.column, r.share): r.value for r in exact_percentiles(rows, ["a", "b", "c", "none"], shares, narrow_from).collect()}
+        assert len(got) == 4 * len(shares)
+        for p in shares:
+            assert got["none", p] is None
+            for c in "abc":
+                assert got[c, p] == pytest.approx(np.percentile(frame[c].dropna(), 100 * p), rel=1e-12), (c, p)
+    assert exact_percentiles(rows.where("a > 1e9"), ["a"], [0.5]).collect()[0].value is None
