@@ -8,8 +8,11 @@ from barloom.llm.line_dedup import OP5_SQL, op5_line_dedup
 from barloom.llm.near_dedup import OP1_SQL, op1_minhash_near_dedup
 from barloom.llm.packing import op9_packing
 from barloom.llm.pii import op4_pii
+from barloom.llm.prefix_trie import OP11_SQL, op11_prefix_trie
 from barloom.llm.quality_rules import op6_quality_rules
 from barloom.llm.sharding import op2_sharding
+from barloom.llm.spelling import OP13_SQL, op13_spelling_variants
+from barloom.llm.url_filters import op12_url_filters
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
@@ -22,6 +25,9 @@ QUERIES = {
     "op8_lattice_lm": op8_lattice_lm,
     "op9_packing": op9_packing,
     "op10_html_extract": op10_html_extract,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_url_filters": op12_url_filters,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
-ORACLE_SQL = {"op1_minhash_near_dedup": OP1_SQL, "op5_line_dedup": OP5_SQL}
+ORACLE_SQL = {"op1_minhash_near_dedup": OP1_SQL, "op5_line_dedup": OP5_SQL, "op11_prefix_trie": OP11_SQL, "op13_spelling_variants": OP13_SQL}
