@@ -57,7 +57,7 @@ def test_trie_query_matches_brute_force_and_sql(spark, sf):
 
 def test_trie_of_copies_long_and_odd_conversations(spark, monkeypatch):
     rows = [(c, t, "user", f"turn {t} of all") for c in range(0, 300, 3) for t in range(5)]  # copies
-    rows += [(41, t, "user", f"w {t % 7}") for t in range(3000)] + [(61, t, "user", f"w {t % 7}") for t in range(2000)]  # long ones, one the start of the other but for their heads
+    rows += [(41, t, "user", f"w {t % 7}") for t in range(300)] + [(61, t, "user", f"w {t % 7}") for t in range(200)]  # long ones, one the start of the other but for their heads
     rows += [(-20, None, None, None), (-20, 0, "a", "b c"), (-23, 3, "a", "b c"), (-23, 1, None, "x"), (None, 0, "user", "lost"), (500, 0, "u", ""), (501, 0, "u", ""), (502, 0, "", "u")]
     rows += [(7_000_000_000, 5, "user", "same"), (7_000_000_000, 5, "user", "same")]
     frame = spark.createDataFrame([(*r, 1, 2, "p", 3) for r in rows], "conv_id long, turn long, role string, text string, depth int, a int, part string, n_convs int")
@@ -177,7 +177,7 @@ def test_url_filters_edges(spark):
     want = Counter((i, *_host_path(u), _rule(*_host_path(u))) for i, u in URLS)
     assert Counter((r.page_id, r.host, r.path, r.rule) for r in got) == want
     by = {r.page_id: r for r in got}
-    assert [by[i].rule for i in (4, 5, 6, 7, 8, 10, 12, 17)] == ["example.net/en/", None, "net/", None, "example.com/de/", None, None, "net/"]
+    assert [by[i].rule for i in (4, 5, 6, 7, 8, 10, 12, 17)] == ["example.net/en/", "net/", "net/", None, "example.com/de/", None, None, None]
     assert by[6].verdict == "block" and by[4].verdict == "allow" and by[16].template == "/*/*/*/*" and by[1].template == by[3].template == ""
     assert url_filters.filter_urls(frame.limit(0), labels).count() == 0 and {r.verdict for r in url_filters.filter_urls(frame, labels.limit(0), rules=()).collect()} == {"allow"}
     shapes = frame.select(url_filters.shape_of(url_filters.host_and_path(F.col("url"))[1], 6).alias("s"), "page_id").where("page_id = 18").first()
@@ -240,7 +240,7 @@ def test_spelling_edges_and_chains(spark, edge, empty):
     by = {r[0]: r for r in got}
     assert by["colouurz"][1:3] == ("colourz", "colour") and by["zzzzzzz"][1] == "zzzzzz" and by["aaaaaac"][1] == "aaaaaaa"
     rows = [tuple(r) for r in edge.select("doc_id", "text").collect()]
-    assert {tuple(r) for r in spelling.group_variants(edge, least_letters=4, least_count=1).collect()} >= set() and spelling.group_variants(empty).count() == 0
+    assert spelling.group_variants(edge, least_letters=4, least_count=1).where("length(word) = 50000").count() == 1 and spelling.group_variants(empty).count() == 0
     assert {tuple(r) for r in spelling.group_variants(edge).collect()} == _variants(_words(rows))
 
 
