@@ -46,7 +46,7 @@ def in_order(by: Sequence[str] = (), ts: str = "timestamp") -> WindowSpec:
     return Window.partitionBy(*by).orderBy(ts) if by else Window.orderBy(ts)
 
 
-#: A series without symbols is cut into blocks, so that no task sorts the whole of it: days or numbers of a block.
+#: A series, of one symbol or of none, is cut into blocks, so that no task sorts the whole of it: days or numbers of a block.
 BLOCK_DAYS, BLOCK_NUMBERS = 30, 1_000_000
 BLOCK, OWN = "_block", "_own"
 
@@ -59,35 +59,60 @@ def block_of(rows: DataFrame, ts: str | Column) -> Column:
     return F.coalesce(F.floor(at / BLOCK_DAYS).cast("long"), F.lit(-(1 << 62)))
 
 
-def with_halo(rows: DataFrame, before: int = 0, after: int = 0, ts: str = "timestamp") -> DataFrame:
-    """rows by BLOCK, each block with the `before` rows that precede it and the `after` rows that follow it in the series
-    (OWN is false for those). A window over (BLOCK, ts) then sees what one over the whole series would. Of each block
-    only its first and last rows are gathered, and one small row a block meets the others in one task."""
-    at = rows.withColumn(BLOCK, block_of(rows, ts))
-    whole = at.withColumn(OWN, F.lit(True))
+def in_blocks(rows: DataFrame, by: Sequence[str] = (), ts: str = "timestamp") -> DataFrame:
+    """rows with BLOCK, dealt out by symbol and block; rows that have BLOCK are so already. Windows over both, and what is
+    grouped by both, need no other exchange."""
+    return rows if BLOCK in rows.columns else rows.withColumn(BLOCK, block_of(rows, ts)).repartition(*by, BLOCK)
+
+
+def join_blocks(rows: DataFrame, blocks: DataFrame, by: Sequence[str]) -> DataFrame:
+    """rows with the columns of blocks (a row for each symbol and block, all of them there)."""
+    keys = [*by, BLOCK]
+    same = F.lit(True)
+    for k in keys:
+        same = same & rows[k].eqNullSafe(F.col(f"_of_{k}"))
+    return rows.join(blocks.withColumnsRenamed({k: f"_of_{k}" for k in keys}), same, "left").drop(*[f"_of_{k}" for k in keys])
+
+
+def _blocks_in_order(by: Sequence[str], later: bool = False) -> WindowSpec:
+    """Over tables of one row a block."""
+    order = F.col(BLOCK).desc() if later else F.col(BLOCK).asc()
+    return Window.partitionBy(*by).orderBy(order) if by else Window.orderBy(order)
+
+
+def with_halo(rows: DataFrame, before: int = 0, after: int = 0, ts: str = "timestamp", by: Sequence[str] = ()) -> DataFrame:
+    """rows in blocks, each block with the `before` rows that precede it and the `after` rows that follow it in the series
+    (OWN is false for those). A window over (by, BLOCK) in the order of ts then sees what one over the whole series would.
+    The rows go through one exchange; only the ends of a block are gathered, and one small row a block meets the others."""
+    at = in_blocks(rows, by, ts)
+    keys, kept = [*by, BLOCK], [c for c in rows.columns if c not in (*by, BLOCK)]
+    w = Window.partitionBy(*keys).orderBy(ts)
+    whole, sides = at, {}
     for size, ahead in ((before, False), (after, True)):
         if not size:
             continue
-        edge = Window.partitionBy(BLOCK).orderBy(F.col(ts).asc() if ahead else F.col(ts).desc())
-        near = at.withColumn("_place", F.row_number().over(edge)).where(F.col("_place") <= size)
-        ends = near.groupBy(BLOCK).agg(F.sort_array(F.collect_list(F.struct("_place", F.struct(*rows.columns).alias("row")))).alias("_rows"))
-        blocks = Window.orderBy(F.col(BLOCK).asc() if ahead else F.col(BLOCK).desc()).rowsBetween(1, size)
-        met = F.slice(F.flatten(F.collect_list("_rows").over(blocks)), 1, size)
-        ghosts = ends.withColumn("_met", met).select(BLOCK, F.explode("_met").alias("_g")).select("_g.row.*", BLOCK, F.lit(False).alias(OWN))
-        whole = whole.unionByName(ghosts)
-    return whole
-
-
-def own_rows(rows: DataFrame) -> DataFrame:
-    return rows.where(OWN).drop(BLOCK, OWN)
-
-
-def carried(rows: DataFrame, aggregate: Column, over_blocks: Callable[[Column], Column], later: bool = False) -> DataFrame:
-    """rows (BLOCK) with _carry: over_blocks of the aggregate of each block before theirs (later: after). One row a block
-    goes through one task."""
-    w = Window.orderBy(F.col(BLOCK).desc() if later else F.col(BLOCK).asc()).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = rows.groupBy(BLOCK).agg(aggregate.alias("_a")).select(F.col(BLOCK).alias("_b"), over_blocks(F.col("_a")).over(w).alias("_carry"))
-    return rows.join(blocks, F.col(BLOCK) == F.col("_b")).drop("_b")
+        near = at.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col(ts).asc() if ahead else F.col(ts).desc()))).where(F.col("_place") <= size)
+        ends = near.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("_place", F.struct(*kept).alias("row")))).alias("_rows"))
+        met = F.slice(F.flatten(F.collect_list("_rows").over(_blocks_in_order(by, not ahead).rowsBetween(1, size))), 1, size)
+        name = "_following" if ahead else "_preceding"
+        whole = join_blocks(whole, ends.select(*keys, met.alias(name)), by)
+        sides[name] = F.row_number().over(w) == 1 if not ahead else F.lead(F.lit(1)).over(w).isNull()
+    whole = whole.withColumns({f"{n}_here": v for n, v in sides.items()})
+    own = F.array(F.struct(*kept, F.lit(True).alias(OWN)))
+    ghosts = [F.when(F.col(f"{n}_here"), F.transform(n, lambda g: F.struct(*[g["row"][c].alias(c) for c in kept], F.lit(False).alias(OWN)))) for n in sides]
+    every = F.concat(own, *[F.coalesce(g, F.array().cast(whole.select(own.alias("o")).schema["o"].dataType)) for g in ghosts]) if ghosts else own
+    return whole.select(*keys, F.inline(every))
+
+
+def own_rows(rows: DataFrame, keep_block: bool = False) -> DataFrame:
+    return rows.where(OWN).drop(OWN) if keep_block else rows.where(OWN).drop(BLOCK, OWN)
+
+
+def carried(rows: DataFrame, aggregate: Column, over_blocks: Callable[[Column], Column], later: bool = False, by: Sequence[str] = ()) -> DataFrame:
+    """rows (by, BLOCK) with _carry: over_blocks of the aggregate of each block of their symbol before theirs (later: after)."""
+    w = _blocks_in_order(by, later).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy(*by, BLOCK).agg(aggregate.alias("_a")).select(*by, BLOCK, over_blocks(F.col("_a")).over(w).alias("_carry"))
+    return join_blocks(rows, blocks, by)
 
 
 def finite(value: Column) -> Column:

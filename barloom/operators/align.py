@@ -2,35 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.functions import BLOCK, block_of, carried, period_start
+from barloom.functions import BLOCK, carried, in_blocks, period_start
 
 BAR = ["open", "high", "low", "close", "tickvol", "vol", "spread"]
 
 
 def _asof(left: DataFrame, right: DataFrame, left_on: Column, right_on: Column, by: Sequence[str], ties: bool, forward: bool) -> DataFrame:
     """Left rows with struct column ctx: the nearest right row before (or after) them. Both sides go through one
-    exchange on `by`, or on blocks of the series, and one sort; no pair of rows is ever made. A block starts with the
-    last context of the blocks before it."""
+    exchange on symbol and block of time, and one sort; no pair of rows is ever made."""
     context = F.struct(*right.columns)
     rows = left.select(*by, left_on.alias("_at"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"), F.lit(None).cast(right.select(context.alias("c")).schema["c"].dataType).alias("_ctx"))
     others = right.select(*by, right_on.alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), context.alias("_ctx"))
     both = rows.unionByName(others)
     # on equal times the side that must not see the other comes first; forward is backward in falling order
     order = [F.col("_at").desc() if forward else F.col("_at").asc(), F.col("_side") if ties else -F.col("_side")]
-    seen = lambda *keys: F.last("_ctx", True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    if by:
-        both = both.withColumn("ctx", seen(*by))
-    else:
-        nearest = F.min_by if forward else F.max_by
-        blocks = both.withColumn(BLOCK, block_of(both, "_at"))
-        blocks = carried(blocks, nearest("_ctx", F.when(F.col("_side") == 0, F.col("_at"))), lambda c: F.last(c, True), forward)
-        both = blocks.withColumn("ctx", F.coalesce(seen(BLOCK), "_carry"))
+    # a symbol is cut into blocks of time; each starts with the last context of the blocks before it
+    nearest = F.min_by if forward else F.max_by
+    blocks = in_blocks(both, by, "_at")
+    blocks = carried(blocks, nearest("_ctx", F.when(F.col("_side") == 0, F.col("_at"))), lambda c: F.last(c, True), forward, by)
+    seen = F.last("_ctx", True).over(Window.partitionBy(*by, BLOCK).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    both = blocks.withColumn("ctx", F.coalesce(seen, "_carry"))
     return both.where("_side = 1").select("_row.*", "ctx")
 
 
@@ -95,6 +92,49 @@ def align_timeframes(m15: DataFrame, h1: DataFrame, d1: DataFrame, by: Sequence[
     return rows.withColumns(again).withColumnsRenamed({c: f"{c}_x" for c in BAR})
 
 
+Derive = Callable[[Mapping[str, Column]], Mapping[str, Column]]
+
+
+def rolled_up(m15: DataFrame, by: Sequence[str] = (), derive: Derive | None = None) -> DataFrame:
+    """align_timeframes of M15 bars whose hour and day bars are rolled up from them, in one pass: the bars go through one
+    exchange on symbol and block of time, and all contexts and states are windows over it. Other columns pass through.
+
+    A rolled-up bar has the first open, greatest high, least low, last close, sums of tickvol and vol, and the last
+    spread; `derive` (from the bar's columns by name) replaces some of them. Completed context follows "label": of hours,
+    the row's own if it began before the row, else the last one before; of days, the last of an earlier date.
+    """
+    rows = in_blocks(m15, by)
+    for name in ("hour", "day"):
+        rows = rows.withColumn(f"_{name}_start", period_start(F.col("timestamp"), name))
+        of = Window.partitionBy(*by, BLOCK, f"_{name}_start").orderBy("timestamp")
+        whole = of.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        bar = {
+            "open": F.first("open").over(whole), "high": F.max("high").over(whole), "low": F.min("low").over(whole), "close": F.last("close").over(whole),
+            "tickvol": F.sum("tickvol").over(whole), "vol": F.sum("vol").over(whole), "spread": F.last("spread").over(whole),
+        }
+        bar |= derive(bar) if derive else {}
+        rows = rows.withColumn(f"_{name}", F.struct(F.col(f"_{name}_start").alias("timestamp"), *[bar[c].alias(c) for c in BAR]))
+        p, before = ("h1" if name == "hour" else "d1"), of.rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.withColumns(
+            {
+                f"{p}_partial_period": F.col(f"_{name}_start"), f"{p}_partial_open": F.first("open").over(before), f"{p}_partial_high": F.max("high").over(before), f"{p}_partial_low": F.min("low").over(before),
+                f"{p}_partial_close": F.last("close").over(before), f"{p}_partial_tickvol": F.sum("tickvol").over(before), f"{p}_partial_last_m15_timestamp": F.last("timestamp").over(before),
+            }
+        )
+    # the bar before: of the row before, which at a block's start is carried from the block before
+    rows = carried(rows, F.max_by(F.struct("_hour", "_day"), "timestamp"), lambda c: F.last(c, True), by=by)
+    row_before = Window.partitionBy(*by, BLOCK).orderBy("timestamp")
+    back = {n: F.coalesce(F.lag(f"_{n}").over(row_before), F.col(f"_carry._{n}")) for n in ("hour", "day")}
+    rows = rows.withColumns({"_hour_back": back["hour"], "_day_back": back["day"]})
+    of_day = Window.partitionBy(*by, BLOCK, "_day_start").orderBy("timestamp").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumn("_d1", F.first("_day_back").over(of_day)).withColumn("_h1", F.when(F.col("timestamp") > F.col("_hour_start"), F.col("_hour")).otherwise(F.col("_hour_back")))
+    passed = [F.col(c).alias(f"{c}_x") if c in BAR else F.col(c) for c in m15.columns if c != BLOCK]
+    state = [f"{p}_partial_{c}" for p in ("h1", "d1") for c in ("period", "open", "high", "low", "close", "tickvol", "last_m15_timestamp")]
+    h1 = [F.col(f"_h1.{c}").alias(f"h1_completed_{c}") for c in ["timestamp", *BAR]]
+    d1 = [F.to_date("_d1.timestamp").alias("d1_completed_date"), *[F.col(f"_d1.{c}").alias(f"d1_completed_{c}") for c in ["timestamp", *BAR]]]
+    return rows.select(BLOCK, *passed, *state, *h1, *d1)
+
+
 def causality_violations(aligned: DataFrame) -> DataFrame:
     """Counts of context that is not older than its row."""
     seen = ["h1_partial_last_m15_timestamp", "d1_partial_last_m15_timestamp", "h1_completed_timestamp", "d1_completed_timestamp"]

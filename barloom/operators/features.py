@@ -1,4 +1,4 @@
-"""Features of an aligned row. Windows run over rows in time order, of one symbol with `by`, else of blocks of the series
+"""Features of an aligned row. Windows run over rows in time order, in blocks of a symbol's series (or of the one series)
 with the rows before them."""
 
 from __future__ import annotations
@@ -8,16 +8,19 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions import BLOCK, both_max, both_min, change, holds, in_order, own_rows, rolling, safe_divide, with_halo
+from barloom.functions import BLOCK, both_max, both_min, carried, change, holds, in_blocks, in_order, own_rows, rolling, safe_divide, with_halo
+from barloom.operators.align import BAR, Derive, rolled_up
 
 #: Rows before its own that a feature may see: 16 returns of one row each.
 LOOK_BACK = 16
 
 
 def m15_features(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    if not by:
-        return own_rows(m15_features(with_halo(rows, LOOK_BACK), [BLOCK]))
-    w = in_order(by)
+    return own_rows(_m15_own(with_halo(rows, LOOK_BACK, by=by), by))
+
+
+def _m15_own(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    w = in_order([*by, BLOCK])
     close, open_, high, low = (F.col(f"{c}_x").cast("double") for c in ("close", "open", "high", "low"))
     lagged = {n: F.lag(close, n).over(w) for n in (1, 4, 16)}
     one = F.try_divide(close, lagged[1])
@@ -57,16 +60,19 @@ def _completed(p: str) -> dict:
 
 
 def _h1_own(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """rows (BLOCK): h1_return_1 lags by one row, of the block before at a block's start."""
     close = F.col("h1_completed_close").cast("double")
-    return rows.withColumns(_partial_shape("h1") | _completed("h1") | {"h1_return_1": change(close, F.lag(close).over(in_order(by)))})
+    rows = carried(rows, F.max_by(close, "timestamp"), F.last, by=by)
+    there = F.lag(F.lit(True)).over(in_order([*by, BLOCK]))
+    before = F.when(there, F.lag(close).over(in_order([*by, BLOCK]))).otherwise(F.col("_carry"))
+    return rows.withColumns(_partial_shape("h1") | _completed("h1") | {"h1_return_1": change(close, before)}).drop("_carry")
 
 
 def h1_bar_returns(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """rows with h1_bar_return_1: the completed hour's close against that of the completed hour before it in rows."""
     hour = rows.where(F.col("h1_completed_timestamp").isNotNull()).groupBy(*by, F.col("h1_completed_timestamp").alias("_hour")).agg(F.max(F.col("h1_completed_close").cast("double")).alias("_close"))
-    spread, keys = (hour, by) if by else (with_halo(hour, 1, ts="_hour"), [BLOCK])
-    spread = spread.withColumn("h1_bar_return_1", change(F.col("_close"), F.lag("_close").over(in_order(keys, "_hour")))).drop("_close")
-    hours = spread if by else own_rows(spread)
+    spread = with_halo(hour, 1, ts="_hour", by=by)
+    hours = own_rows(spread.withColumn("h1_bar_return_1", change(F.col("_close"), F.lag("_close").over(in_order([*by, BLOCK], "_hour")))).drop("_close"))
     hours = hours.withColumnsRenamed({c: f"_{c}" for c in by})
     same = F.col("h1_completed_timestamp") == F.col("_hour")
     for c in by:
@@ -74,9 +80,11 @@ def h1_bar_returns(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return rows.join(hours, same, "left").drop("_hour", *[f"_{c}" for c in by])
 
 
-def h1_features(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """h1_return_1 follows the customary rule, a lag of one M15 row; h1_bar_return_1 lags by completed hour."""
-    return h1_bar_returns(_h1_own(rows, by) if by else own_rows(_h1_own(with_halo(rows, 1), [BLOCK])), by)
+def h1_features(rows: DataFrame, by: Sequence[str] = (), bar_returns: bool = True) -> DataFrame:
+    """h1_return_1 follows the customary rule, a lag of one M15 row; h1_bar_return_1 (which takes a join) lags by
+    completed hour."""
+    own = _h1_own(in_blocks(rows, by), by).drop(BLOCK)
+    return h1_bar_returns(own, by) if bar_returns else own
 
 
 def d1_features(rows: DataFrame) -> DataFrame:
@@ -97,10 +105,17 @@ def cross_timeframe(rows: DataFrame) -> DataFrame:
 
 
 def all_features(aligned: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    if by:
-        return cross_timeframe(d1_features(h1_features(m15_features(aligned, by), by)))
-    rows = own_rows(_h1_own(m15_features(with_halo(aligned, LOOK_BACK), [BLOCK]), [BLOCK]))
-    return cross_timeframe(d1_features(h1_bar_returns(rows)))
+    rows = _h1_own(own_rows(_m15_own(with_halo(aligned, LOOK_BACK, by=by), by), keep_block=True), by).drop(BLOCK)
+    return cross_timeframe(d1_features(h1_bar_returns(rows, by)))
+
+
+def rolled_up_features(m15: DataFrame, by: Sequence[str] = (), derive: Derive | None = None) -> DataFrame:
+    """all_features but h1_bar_return_1 from M15 bars alone: the bars' own features first, then the contexts, all in the
+    blocks of one exchange."""
+    names = {c: f"{c}_x" for c in BAR}
+    own = own_rows(_m15_own(with_halo(m15.withColumnsRenamed(names), LOOK_BACK, by=by), by), keep_block=True)
+    aligned = rolled_up(own.withColumnsRenamed({v: k for k, v in names.items()}), by, derive)
+    return cross_timeframe(d1_features(_h1_own(aligned, by))).drop(BLOCK)
 
 
 def partial_availability(rows: DataFrame, prefix: str) -> DataFrame:

@@ -16,9 +16,9 @@ CLASSES = {-1: "DOWN", 0: "NEUTRAL", 1: "UP"}
 def learning_target(rows: DataFrame, close: str = "close", horizon: int = 1, threshold: float = 0.00025, by: Sequence[str] = (), drop_last: bool = True) -> DataFrame:
     """rows with future_close, future_return, target (-1, 0, 1; strictly beyond the threshold) and target_label. The
     last `horizon` rows have no future: they go, or stay with class 0 and null returns."""
-    spread = rows if by else with_halo(rows, after=horizon)
-    spread = spread.withColumn("future_close", F.lead(close, horizon).over(in_order(by or [BLOCK])))
-    out = (spread if by else own_rows(spread)).withColumn("future_return", change(F.col("future_close"), F.col(close)))
+    spread = with_halo(rows, after=horizon, by=by)
+    spread = spread.withColumn("future_close", F.lead(close, horizon).over(in_order([*by, BLOCK])))
+    out = own_rows(spread).withColumn("future_return", change(F.col("future_close"), F.col(close)))
     r = F.col("future_return")
     out = out.withColumn("target", F.when(r > threshold, 1).when(r < -threshold, -1).otherwise(0))
     names = F.create_map(*[F.lit(x) for kv in CLASSES.items() for x in kv])

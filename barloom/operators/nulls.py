@@ -33,7 +33,7 @@ def null_run_lengths(rows: DataFrame, column: str, step_seconds: int) -> DataFra
     spread = with_halo(missing, 1)
     before = F.lag("timestamp").over(in_order([BLOCK]))
     spread = spread.withColumn("_before", before).withColumn("_new", F.coalesce(F.expr(f"timestampdiff(SECOND, _before, timestamp) <> {step_seconds}"), F.lit(True)).cast("long"))
-    own = own_rows(spread.withColumn("_of", F.col(BLOCK))).withColumnRenamed("_of", BLOCK)
+    own = own_rows(spread, keep_block=True)
     run = F.sum("_new").over(in_order([BLOCK])) + F.coalesce("_carry", F.lit(0))
     runs = carried(own, F.sum("_new"), F.sum).withColumn("run", run).groupBy("run").agg(F.count(F.lit(1)).alias("length"))
     return runs.groupBy("length").agg(F.count(F.lit(1)).alias("runs"))

@@ -64,8 +64,8 @@ def head_tail(bars: DataFrame, rows: int = 5, ts: str = "timestamp") -> DataFram
 
 def intervals(bars: DataFrame, by: Sequence[str] = (), ts: str = "timestamp") -> DataFrame:
     """Each bar with the seconds since the bar before it (of its symbol)."""
-    spread = (bars if by else with_halo(bars, 1, ts=ts)).withColumn("previous", F.lag(ts).over(in_order(by or [BLOCK], ts)))
-    return (spread if by else own_rows(spread)).withColumn("seconds", F.expr(f"timestampdiff(SECOND, previous, {ts})"))
+    spread = with_halo(bars, 1, ts=ts, by=by).withColumn("previous", F.lag(ts).over(in_order([*by, BLOCK], ts)))
+    return own_rows(spread).withColumn("seconds", F.expr(f"timestampdiff(SECOND, previous, {ts})"))
 
 
 def interval_histogram(bars: DataFrame, top: int = 15) -> DataFrame:

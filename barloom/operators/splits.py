@@ -142,10 +142,10 @@ class PurgedWalkForwardSplitter:
     def tagged(self, rows: DataFrame) -> DataFrame:
         """rows with fold (from 1), role (train, purged, embargoed or validation) and label_end; a row stands once in
         each fold that uses it."""
-        spread = rows if self.by else with_halo(rows, after=self.horizon, ts=self.ts)
-        spread = spread.withColumn("label_end", F.lead(self.ts, self.horizon).over(in_order(self.by or [BLOCK], self.ts)))
+        spread = with_halo(rows, after=self.horizon, ts=self.ts, by=self.by)
+        spread = spread.withColumn("label_end", F.lead(self.ts, self.horizon).over(in_order([*self.by, BLOCK], self.ts)))
         year = F.year(self.ts)
-        labelled = (spread if self.by else own_rows(spread)).where(year.between(self.first, self.years[-1]))
+        labelled = own_rows(spread).where(year.between(self.first, self.years[-1]))
         folds = F.array(*[F.struct(F.lit(n).alias("fold"), F.lit(y).alias("year")) for n, y in enumerate(self.years, 1)])
         out = labelled.withColumn("_f", F.explode(F.filter(folds, lambda f: f["year"] >= year)))
         start = F.make_timestamp_ntz(F.col("_f.year"), F.lit(1), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
@@ -219,9 +219,9 @@ def purge_totals(audit: DataFrame) -> DataFrame:
 
 def horizon_audit(rows: DataFrame, step_seconds: int, by: Sequence[str] = ()) -> DataFrame:
     """Rows whose next bar is exactly one step away, others, and the verdict."""
-    spread = rows.select(*by, "timestamp") if by else with_halo(rows.select("timestamp"), after=1)
-    spread = spread.withColumn("after", F.lead("timestamp").over(in_order(by or [BLOCK])))
-    step = (spread if by else own_rows(spread)).where("after is not null")
+    spread = with_halo(rows.select(*by, "timestamp"), after=1, by=by)
+    spread = spread.withColumn("after", F.lead("timestamp").over(in_order([*by, BLOCK])))
+    step = own_rows(spread).where("after is not null")
     exact = F.expr(f"timestampdiff(SECOND, timestamp, after) = {step_seconds}")
     return step.agg(F.count_if(exact).alias("exact"), F.count_if(~exact).alias("other")).withColumn("verdict", F.when(F.col("other") == 0, "PASS").otherwise("REVIEW"))
 

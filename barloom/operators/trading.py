@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.functions import BLOCK, OWN, change, finite, in_order, own_rows, rolling, sharpe, with_halo
+from barloom.functions import BLOCK, change, finite, in_blocks, in_order, join_blocks, own_rows, rolling, sharpe, with_halo
 
 #: Cost of one unit of position change, by scenario (fixed values).
 COST_SCENARIOS = {"zero_cost": 0.0, "low_cost": 0.0001, "medium_cost": 0.0005, "high_cost": 0.0020}
@@ -18,11 +18,11 @@ def price_context(bars: DataFrame, window: int = 16, by: Sequence[str] = ()) ->
     """timestamp, close_x, vol_16, forward_return_1 and next_timestamp of bars (timestamp, close)."""
     close = F.col("close").cast("double")
     bars = bars.select(*by, "timestamp", close.alias("close_x"))
-    rows = bars if by else with_halo(bars, window, 1)
-    w = in_order(by or [BLOCK])
+    rows = with_halo(bars, window, 1, by=by)
+    w = in_order([*by, BLOCK])
     rows = rows.withColumns({"_r": change(F.col("close_x"), F.lag("close_x").over(w)), "forward_return_1": change(F.lead("close_x").over(w), F.col("close_x")), "next_timestamp": F.lead("timestamp").over(w)})
     rows = rows.withColumn("vol_16", rolling(F.stddev_samp, F.col("_r"), w, window))
-    return (rows if by else own_rows(rows)).select(*by, "timestamp", "close_x", "vol_16", "forward_return_1", "next_timestamp")
+    return own_rows(rows).select(*by, "timestamp", "close_x", "vol_16", "forward_return_1", "next_timestamp")
 
 
 def attach_price_context(predictions: DataFrame, context: DataFrame, end: str | None = None, by: Sequence[str] = ()) -> DataFrame:
@@ -52,40 +52,38 @@ def check_one_to_one(rows: DataFrame, key: Sequence[str]) -> None:
 def evaluated(rows: DataFrame, position: str | Column = "predicted_class", by: Sequence[str] = (), rate: Column | float = 0.0, keep: Sequence[str] = ()) -> DataFrame:
     """Bars with a finite forward return: position, change, gross and net return, equity and drawdown of both.
 
-    The position before the first bar is 0; equity starts at 1, which is not part of the running maximum. Without `by`
-    products and maxima run inside blocks of the series, and one row a block carries them on.
+    The position before the first bar is 0; equity starts at 1, which is not part of the running maximum. A series is
+    cut into blocks of time. A block is summed up in one row (its ends' positions, its product, the greatest and least
+    of its running products); those rows, folded in the order of the blocks, say with which position, equity and peak a
+    block begins, and the bars follow from that. The bars go through one exchange; scenarios, regimes or strategies
+    (`by`) share it.
     """
     position = F.col(position) if isinstance(position, str) else position
     rate = F.lit(rate) if isinstance(rate, (int, float)) else rate
-    rows = rows.withColumn("_p", position.cast("double")).withColumn("_f", finite(F.col("forward_return_1"))).where("_f is not null").withColumn("_rate", rate)
-    rows = rows.select(*by, *keep, "timestamp", F.col("_p").alias("position"), F.col("_f").alias("forward_return"), "_rate")
-    if not by:
-        rows = with_halo(rows, 1)
-    w = in_order(by or [BLOCK])
-    rows = rows.withColumn("position_change", F.abs(F.col("position") - F.coalesce(F.lag("position").over(w), F.lit(0.0))))
-    rows = rows if by else rows.where(OWN).drop(OWN)
-    rows = rows.withColumns({"gross_return": F.col("position") * F.col("forward_return"), "cost": F.col("_rate") * F.col("position_change")}).withColumn("net_return", F.col("gross_return") - F.col("cost")).drop("_rate")
+    rows = rows.withColumn("_p", position.cast("double")).withColumn("_f", finite(F.col("forward_return_1"))).where("_f is not null").withColumn("_rate", rate.cast("double"))
+    rows = in_blocks(rows.select(*by, *keep, *[c for c in (BLOCK,) if c in rows.columns], "timestamp", F.col("_p").alias("position"), F.col("_f").alias("forward_return"), "_rate"), by)
+    w = in_order([*by, BLOCK])
     grown = w.rowsBetween(Window.unboundedPreceding, 0)
-    carry = lambda name: F.coalesce(F.col(f"_carry.{name}"), F.lit(1.0))
-    product = lambda c: F.product(1 + F.col(c))
-    if by:
-        rows = rows.withColumns({"gross_equity": product("gross_return").over(grown), "net_equity": product("net_return").over(grown)})
-        peak = lambda c: F.max(c).over(grown)
-    else:
-        rows = _carry_both(rows, product("gross_return"), product("net_return"), F.product)
-        rows = rows.withColumns({"gross_equity": carry("gross") * product("gross_return").over(grown), "net_equity": carry("net") * product("net_return").over(grown)}).drop("_carry")
-        rows = _carry_both(rows, F.max("gross_equity"), F.max("net_equity"), F.max)
-        peak = lambda c: F.greatest(F.max(c).over(grown), F.col(f"_carry.{c.split('_')[0]}"))
-    rows = rows.withColumns({"gross_drawdown": F.try_divide(F.col("gross_equity") - peak("gross_equity"), peak("gross_equity")), "net_drawdown": F.try_divide(F.col("net_equity") - peak("net_equity"), peak("net_equity"))})
-    return rows if by else rows.drop(BLOCK, "_carry")
-
-
-def _carry_both(rows: DataFrame, gross: Column, net: Column, join: Callable[[Column], Column]) -> DataFrame:
-    """rows with struct _carry: gross and net of the blocks before theirs, joined."""
-    w = Window.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)  # a row a block
-    blocks = rows.groupBy(BLOCK).agg(gross.alias("g"), net.alias("n"))
-    blocks = blocks.select(F.col(BLOCK).alias("_b"), F.struct(join(F.col("g")).over(w).alias("gross"), join(F.col("n")).over(w).alias("net")).alias("_carry"))
-    return rows.join(blocks, F.col(BLOCK) == F.col("_b")).drop("_b")
+    # inside a block: the first bar's change of position isn't known yet, so its factor stays apart
+    rows = rows.withColumns({"_change": F.abs(F.col("position") - F.lag("position").over(w)), "gross_return": F.col("position") * F.col("forward_return"), "_first": F.row_number().over(w) == 1})
+    later = lambda cost: F.product(F.when(F.col("_first"), 1.0).otherwise(1 + F.col("gross_return") - cost)).over(grown)
+    rows = rows.withColumns({"_g": later(F.lit(0.0)), "_n": later(F.col("_rate") * F.coalesce("_change", F.lit(0.0)))})
+    ends = [f("position", "timestamp").alias(n) for f, n in ((F.min_by, "enters"), (F.max_by, "leaves"))] + [F.min_by("gross_return", "timestamp").alias("first_return"), F.min_by("_rate", "timestamp").alias("first_rate")]
+    summed = rows.groupBy(*by, BLOCK).agg(*ends, *[f(c, *more).alias(f"{n}{c}") for c in ("_g", "_n") for n, f, more in (("all", F.max_by, ("timestamp",)), ("most", F.max, ()), ("least", F.min, ()))])
+    order = Window.partitionBy(*by).orderBy(BLOCK) if by else Window.orderBy(BLOCK)  # a row a block
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+    summed = summed.withColumn("_held", F.coalesce(F.lag("leaves").over(order), F.lit(0.0)))
+    first = {"_g": 1 + F.col("first_return"), "_n": 1 + F.col("first_return") - F.col("first_rate") * F.abs(F.col("enters") - F.col("_held"))}
+    summed = summed.withColumns({f"first{c}": v for c, v in first.items()})
+    summed = summed.withColumns({f"from{c}": F.col(f"first{c}") * F.coalesce(F.product(F.col(f"first{c}") * F.col(f"all{c}")).over(earlier), F.lit(1.0)) for c in first})
+    peak = {c: F.greatest(F.col(f"from{c}") * F.col(f"most{c}"), F.col(f"from{c}") * F.col(f"least{c}")) for c in first}
+    summed = summed.select(*by, BLOCK, "_held", *[f"from{c}" for c in first], *[F.max(v).over(earlier).alias(f"peak{c}") for c, v in peak.items()])
+    rows = join_blocks(rows, summed, by)
+    rows = rows.withColumn("position_change", F.coalesce("_change", F.abs(F.col("position") - F.col("_held")))).withColumn("cost", F.col("_rate") * F.col("position_change")).withColumn("net_return", F.col("gross_return") - F.col("cost"))
+    rows = rows.withColumns({"gross_equity": F.col("from_g") * F.col("_g"), "net_equity": F.col("from_n") * F.col("_n")})
+    top = lambda c: F.greatest(F.max(f"{c}_equity").over(grown), F.col(f"peak_{c[0]}"))
+    rows = rows.withColumns({f"{c}_drawdown": F.try_divide(F.col(f"{c}_equity") - top(c), top(c)) for c in ("gross", "net")})
+    return rows.select(*by, *keep, "timestamp", "position", "forward_return", "position_change", "gross_return", "cost", "net_return", "gross_equity", "net_equity", "gross_drawdown", "net_drawdown")
 
 
 def equity_summary(bars: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -117,10 +115,24 @@ def cost_summary(bars: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 
 def cost_scenarios(rows: DataFrame, position: str | Column = "predicted_class", scenarios: Mapping[str, float] = COST_SCENARIOS) -> DataFrame:
-    """cost_summary of each scenario. The rows are repeated once for each of the few scenarios, which are literals."""
+    """cost_summary of each scenario. The rows are dealt out by blocks, then repeated once for each of the few scenarios,
+    which are literals."""
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(float(r)).alias("rate")) for n, r in scenarios.items()]))
-    spread = rows.withColumn("_s", each).withColumn("scenario", F.col("_s.scenario")).withColumn("rate", F.col("_s.rate"))
-    return cost_summary(evaluated(spread, position, ["scenario", "rate"], F.col("rate")), ["scenario", "rate"])
+    position = F.col(position) if isinstance(position, str) else position
+    dealt = in_blocks(rows.select("timestamp", "forward_return_1", position.alias("_position")))
+    spread = dealt.withColumn("_s", each).select("*", "_s.scenario", "_s.rate")
+    return cost_summary(evaluated(spread, "_position", ["scenario", "rate"], F.col("rate")), ["scenario", "rate"])
+
+
+def strategy_costs(rows: DataFrame, position: str | Column = "predicted_class", scenarios: Mapping[str, float] = COST_SCENARIOS) -> DataFrame:
+    """cost_summary of the strategy, of holding and of staying out, each under every scenario: (strategy, scenario, rate,
+    figures). One exchange of the rows serves them all."""
+    position = F.col(position) if isinstance(position, str) else position
+    held = {"strategy": F.col("_position").cast("double"), "buy_hold": F.lit(1.0), "flat": F.lit(0.0)}
+    each = F.array(*[F.struct(F.lit(k).alias("strategy"), p.alias("hold"), F.lit(n).alias("scenario"), F.lit(float(r)).alias("rate")) for k, p in held.items() for n, r in scenarios.items()])
+    dealt = in_blocks(rows.select("timestamp", "forward_return_1", position.alias("_position")))
+    keys = ["strategy", "scenario", "rate"]
+    return cost_summary(evaluated(dealt.select("*", F.inline(each)), "hold", keys, F.col("rate")), keys)
 
 
 def assert_costs_never_help(summary: DataFrame) -> None:
@@ -133,7 +145,7 @@ def assert_costs_never_help(summary: DataFrame) -> None:
 def baselines(rows: DataFrame) -> DataFrame:
     """equity_summary of holding and of staying out, with holding's cross-check last close / first close - 1."""
     each = F.explode(F.array(F.struct(F.lit("buy_hold").alias("strategy"), F.lit(1.0).alias("hold")), F.struct(F.lit("flat").alias("strategy"), F.lit(0.0).alias("hold")))).alias("_s")
-    spread = rows.select("timestamp", "forward_return_1", "close_x", each).select("*", "_s.strategy", "_s.hold")
+    spread = in_blocks(rows.select("timestamp", "forward_return_1")).select("*", each).select("*", "_s.strategy", "_s.hold")
     summary = equity_summary(evaluated(spread, "hold", ["strategy"]), ["strategy"])
     check = rows.where(F.col("forward_return_1").isNotNull()).agg((F.max_by(F.col("close_x") * (1 + F.col("forward_return_1")), "timestamp") / F.min_by("close_x", "timestamp") - 1).alias("close_to_close"))
     return summary.crossJoin(check)  # check is one row

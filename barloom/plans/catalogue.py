@@ -87,7 +87,7 @@ def sel(names, source: str, key: str = "") -> str:
 
 A, AS = fx.aligned_sql(), fx.aligned_sql("event_type")
 SLICE = ["h1_completed_return", "m15_to_h1_close_distance"]
-add("asof_h1_completed", lambda s, d: features.h1_features(align.partial_state(align.completed_context(fx.m15(s, d), fx.h1(s, d), "h1_completed_"), "hour", "h1_partial_").withColumnRenamed("close", "close_x")).select("timestamp", *HC, *SLICE), q(fx.features_sql(), sel([*HC, *SLICE], "features")), PRICED("h1_completed_") + " " + " ".join(SLICE))
+add("asof_h1_completed", lambda s, d: features.h1_features(align.partial_state(align.completed_context(fx.m15(s, d), fx.h1(s, d), "h1_completed_"), "hour", "h1_partial_").withColumnRenamed("close", "close_x"), bar_returns=False).select("timestamp", *HC, *SLICE), q(fx.features_sql(), sel([*HC, *SLICE], "features")), PRICED("h1_completed_") + " " + " ".join(SLICE))
 add("asof_h1_completed_by_symbol", lambda s, d: align.completed_context(fx.m15(s, d, fx.SYMBOL), fx.h1(s, d, fx.SYMBOL), "h1_completed_", fx.SYMBOL).select("event_type", "timestamp", *HC), q(AS, sel(HC, "aligned", "event_type, ")), PRICED("h1_completed_"))
 add("asof_d1_completed", lambda s, d: pick(dated(align.completed_day(fx.m15(s, d), fx.d1(s, d))), *DC), q(A, sel(DC, "aligned")), PRICED("d1_completed_"))
 add("asof_available_on_close", lambda s, d: pick(align.completed_context(fx.m15(s, d), fx.h1(s, d), "h1_completed_", availability="close"), *HC), q(f"{fx.M15}, {fx.H1}", 'SELECT m."timestamp", ' + ", ".join(f"h.{c[13:]} AS {c}" for c in HC) + """ FROM m15 m ASOF LEFT JOIN (SELECT *, "timestamp" + INTERVAL 1 HOUR AS ends FROM h1) h ON m."timestamp" + INTERVAL 15 MINUTE >= h.ends"""), PRICED("h1_completed_"))
@@ -112,8 +112,9 @@ GROUPS = {
     "d1_features": ["d1_partial_range", "d1_partial_body", "d1_partial_body_abs", "d1_partial_body_range_ratio", "d1_partial_upper_wick", "d1_partial_lower_wick", "d1_completed_return", "m15_to_d1_close_distance"],
 }
 for _name, _columns in GROUPS.items():
-    add(_name, lambda s, d, c=_columns: pick(fx.featured(s, d), *c), q(FS, sel(_columns, "features")), " ".join(_columns))
-    add(f"{_name}_by_symbol", lambda s, d, c=_columns: fx.featured(s, d, fx.SYMBOL).select("event_type", "timestamp", *c), q(FSS, sel(_columns, "features", "event_type, ")), " ".join(_columns))
+    _made = fx.featured if _name in ("h1_features", "d1_features") else fx.m15_featured
+    add(_name, lambda s, d, c=_columns, made=_made: pick(made(s, d), *c), q(FS, sel(_columns, "features")), " ".join(_columns))
+    add(f"{_name}_by_symbol", lambda s, d, c=_columns, made=_made: made(s, d, fx.SYMBOL).select("event_type", "timestamp", *c), q(FSS, sel(_columns, "features", "event_type, ")), " ".join(_columns))
 #: Positions inside a range of zero are huge and lose their last digits, so they are compared as logarithms of size.
 CROSS = ["mtf_m15_h1_alignment", "mtf_m15_d1_alignment", "mtf_h1_d1_alignment", "mtf_all_direction_agreement"]
 INSIDE = ["m15_position_in_h1_range", "m15_position_in_d1_range"]
@@ -122,14 +123,14 @@ ALL_FEATURES = [c for g in GROUPS.values() for c in g] + CROSS + INSIDE
 add("partial_availability", lambda s, d: features.partial_availability(align.partial_state(fx.m15(s, d), "hour", "h1_partial_"), "h1_partial_").groupBy("h1_partial_available").agg(F.count(F.lit(1)).alias("bars")), q(A, "SELECT CASE WHEN h1_partial_open IS NULL THEN 0.0 ELSE 1.0 END::DOUBLE AS h1_partial_available, count(*) AS bars FROM aligned GROUP BY 1"), "h1_partial_available")
 add("feature_null_profile", lambda s, d: profile.null_profile(fx.featured(s, d), ALL_FEATURES), q(FS, " UNION ALL ".join(f"SELECT '{c}' AS feature, count(*) FILTER ({c} IS NULL) AS nulls, 100.0::DOUBLE * count(*) FILTER ({c} IS NULL) / count(*) AS percent, count(*) FILTER (NOT isfinite({c}::DOUBLE)) AS not_finite FROM features" for c in ALL_FEATURES)), "percent")
 add("null_ranking", lambda s, d: profile.null_ranking(fx.featured(s, d), ALL_FEATURES), q(FS, "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, count(*) FILTER ({c} IS NULL) AS nulls, 100.0::DOUBLE * count(*) FILTER ({c} IS NULL) / count(*) AS percent, count(*) FILTER (NOT isfinite({c}::DOUBLE)) AS not_finite FROM features" for c in ALL_FEATURES) + ") ORDER BY nulls DESC, feature LIMIT 20"), "percent")
-add("h1_bar_return", lambda s, d: pick(fx.featured(s, d), "h1_completed_timestamp", "h1_bar_return_1"), q(FS + f", {BAR_RETURN}", 'SELECT "timestamp", h1_completed_timestamp, h1_bar_return_1 FROM features LEFT JOIN hours USING (h1_completed_timestamp)'), "h1_bar_return_1")
+add("h1_bar_return", lambda s, d: pick(features.h1_bar_returns(fx.featured(s, d)), "h1_completed_timestamp", "h1_bar_return_1"), q(FS + f", {BAR_RETURN}", 'SELECT "timestamp", h1_completed_timestamp, h1_bar_return_1 FROM features LEFT JOIN hours USING (h1_completed_timestamp)'), "h1_bar_return_1")
 CONSTANT = ["vol_x", "close_x", "h1_completed_vol", "d1_completed_vol", "m15_range"]
 add("constant_features", lambda s, d: profile.constant_features(fx.featured(s, d), CONSTANT), q(FS, " UNION ALL ".join(f"SELECT '{c}' AS feature, (count(DISTINCT {c}) <= 1)::INTEGER AS constant FROM features" for c in CONSTANT)))
 SAME = ["close_x", "vol_x", "h1_completed_vol", "m15_range", "m15_body", "m15_body_abs", "m15_copy"]
 add("duplicate_features", lambda s, d: profile.duplicate_features(fx.featured(s, d).withColumn("m15_copy", F.col("m15_range")), SAME), q(FS + ", f AS (SELECT *, m15_range AS m15_copy FROM features)", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS \"left\", '{b}' AS \"right\", bool_and({a} IS NOT DISTINCT FROM {b}) AS same FROM f" for i, a in enumerate(SAME) for b in SAME[i + 1 :]) + ") WHERE same"))
 ORACLE["duplicate_features"] = ORACLE["duplicate_features"].replace("SELECT * FROM (SELECT * FROM (", 'SELECT "left", "right" FROM (SELECT * FROM (', 1)
 SUITE = [c for c in ["h1_partial_open", "h1_partial_high", "h1_partial_low", "h1_partial_close", "h1_partial_tickvol", "h1_completed_open", "h1_completed_high", "h1_completed_low", "h1_completed_close", "h1_completed_tickvol", "h1_completed_vol", "h1_completed_spread", "d1_partial_open", "d1_partial_high", "d1_partial_low", "d1_partial_close", "d1_partial_tickvol", "d1_completed_open", "d1_completed_high", "d1_completed_low", "d1_completed_close", "d1_completed_tickvol", "d1_completed_vol", "d1_completed_spread", *ALL_FEATURES, "h1_bar_return_1"]]
-add("feature_suite", lambda s, d: profile.feature_suite(fx.featured(s, d), ALL_FEATURES), q(FS + f""", {BAR_RETURN}, suite AS (SELECT features.*, h1_bar_return_1 FROM features LEFT JOIN hours USING (h1_completed_timestamp)), names AS (SELECT column_name AS c, column_type AS t FROM (DESCRIBE suite)), own AS (SELECT * FROM names WHERE regexp_matches(c, '^({"|".join(profile.PREFIXES)})') AND c NOT IN ({", ".join(f"'{c}'" for c in profile.FORBIDDEN)})),
+add("feature_suite", lambda s, d: profile.feature_suite(features.h1_bar_returns(fx.featured(s, d)), ALL_FEATURES), q(FS + f""", {BAR_RETURN}, suite AS (SELECT features.*, h1_bar_return_1 FROM features LEFT JOIN hours USING (h1_completed_timestamp)), names AS (SELECT column_name AS c, column_type AS t FROM (DESCRIBE suite)), own AS (SELECT * FROM names WHERE regexp_matches(c, '^({"|".join(profile.PREFIXES)})') AND c NOT IN ({", ".join(f"'{c}'" for c in profile.FORBIDDEN)})),
   k AS ({" UNION ALL ".join(f"SELECT '{c}' AS c, count(DISTINCT {c}) <= 1 AS constant FROM suite" for c in SUITE)}), v AS ({" UNION ALL ".join(f"SELECT '{c}' AS c, {n} AS n, list({c}::DOUBLE ORDER BY timestamp) AS l FROM suite" for n, c in enumerate(SUITE))})""", f"""SELECT count(*) AS bars, (SELECT count(*) FROM own) AS features, (SELECT count(*) = count(DISTINCT c) FROM names) AS unique_names, (SELECT bool_and(t IN ('DOUBLE', 'BIGINT', 'INTEGER', 'FLOAT')) FROM own) AS all_numeric, (SELECT count(*) FILTER (c IN ({", ".join(f"'{c}'" for c in ALL_FEATURES)})) = {len(ALL_FEATURES)} FROM names) AS required_present, count("timestamp") = count(DISTINCT "timestamp") AS unique_timestamps, count(*) FILTER ("timestamp" IS NULL) = 0 AS no_null_timestamp,
   ({" + ".join(f"count(*) FILTER ({c} IS NULL)" for c in SUITE)})::BIGINT AS null_cells, ({" + ".join(f"count(*) FILTER (NOT isfinite({c}::DOUBLE))" for c in SUITE)})::BIGINT AS not_finite, (SELECT count(*) FILTER (constant) FROM k) AS constant_features, (SELECT coalesce(string_agg(c, ',' ORDER BY c) FILTER (constant), '') FROM k) AS constant_names,
   (SELECT count(*) FROM v WHERE EXISTS (SELECT 1 FROM v w WHERE w.n < v.n AND w.l = v.l)) AS repeated_features, true AS expected_rows FROM suite"""))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.functions import BLOCK
 from barloom.operators import align, bars, ensemble, features, labels, trading
 from barloom.sources import table
 
@@ -36,12 +37,21 @@ def d1(spark: SparkSession, d: str, by=()) -> DataFrame:
     return bars.tick_bars(table(spark, d, "events"), "1 day", by)
 
 
-def aligned(spark: SparkSession, d: str, by=(), **options) -> DataFrame:
-    return align.align_timeframes(m15(spark, d, by), h1(spark, d, by), d1(spark, d, by), by, **options)
+def _made_spread(bar):
+    """The spread that tick_bars makes of the number of ticks."""
+    return {"spread": (bar["tickvol"] % 3).cast("int")}
+
+
+def aligned(spark: SparkSession, d: str, by=()) -> DataFrame:
+    return align.rolled_up(m15(spark, d, by), by, _made_spread).drop(BLOCK)
+
+
+def m15_featured(spark: SparkSession, d: str, by=()) -> DataFrame:
+    return features.m15_features(m15(spark, d, by).withColumnsRenamed({c: f"{c}_x" for c in align.BAR}), by)
 
 
 def featured(spark: SparkSession, d: str, by=()) -> DataFrame:
-    return features.all_features(aligned(spark, d, by), by)
+    return features.rolled_up_features(m15(spark, d, by), by, _made_spread)
 
 
 def labelled(spark: SparkSession, d: str, by=()) -> DataFrame:
