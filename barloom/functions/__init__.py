@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -115,6 +116,18 @@ def carried(rows: DataFrame, aggregate: Column, over_blocks: Callable[[Column],
     return join_blocks(rows, blocks, by)
 
 
+def settled(rows: DataFrame) -> DataFrame:
+    """rows, computed once into the shared checkpoint folder (spark.checkpoint.dir), for what is read several times over. A
+    local session that names none gets a temporary one; on a cluster that would be another folder on every machine."""
+    context = rows.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="barloom-"))
+    return rows.checkpoint()
+
+
 def finite(value: Column) -> Column:
     """NaN and infinities as null."""
     value = value.cast("double")

@@ -157,6 +157,11 @@ class PurgedWalkForwardSplitter:
             out = out.withColumn("role", F.when((F.col("role") == "train") & (last <= self.embargo), "embargoed").otherwise(F.col("role")))
         return out
 
+    def with_test_boundary(self, rows: DataFrame, test_year: int) -> DataFrame:
+        """tagged(rows), and as one more fold the boundary from the last year before the test year to it."""
+        last = PurgedWalkForwardSplitter([test_year], test_year - 1, self.horizon, self.embargo, self.ts, self.by, self.embargo > 0)
+        return self.tagged(rows).unionByName(last.tagged(rows).withColumn("fold", F.lit(len(self.years) + 1)))
+
     def fold_table(self, rows: DataFrame) -> DataFrame:
         """One row a fold, with the fields of WalkForwardFold."""
         ts, role = F.col(self.ts), F.col("role")
@@ -217,6 +222,14 @@ def purge_totals(audit: DataFrame) -> DataFrame:
     return audit.agg(F.count(F.lit(1)).alias("boundaries"), F.sum("purged_bars").alias("purged_bars"), F.bool_and("clean").alias("all_clean"))
 
 
+def boundary_totals(audit: DataFrame) -> DataFrame:
+    """purge_totals with what the boundaries ask for: whether any has rows to purge, and whether none has an embargo."""
+    return audit.agg(
+        F.count(F.lit(1)).alias("boundaries"), F.sum("purged_bars").alias("purged_bars"), F.bool_or(F.col("purged_bars") > 0).alias("purge_required"),
+        F.sum("embargoed_bars").alias("embargoed_bars"), F.bool_and(F.col("embargoed_bars") == 0).alias("no_embargo"), F.bool_and("clean").alias("all_clean"),
+    )
+
+
 def horizon_audit(rows: DataFrame, step_seconds: int, by: Sequence[str] = ()) -> DataFrame:
     """Rows whose next bar is exactly one step away, others, and the verdict."""
     spread = with_halo(rows.select(*by, "timestamp"), after=1, by=by)

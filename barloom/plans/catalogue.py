@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.functions import settled
 from barloom.operators import align, bars, ensemble, features, labels, learners, metrics, nulls, optimize, profile, quality, splits, trading, tree_text
 from barloom.plans import fixtures as fx
-from barloom.sources import table
+from barloom.sources import read_artifact, table, write_report
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -130,7 +132,7 @@ SAME = ["close_x", "vol_x", "h1_completed_vol", "m15_range", "m15_body", "m15_bo
 add("duplicate_features", lambda s, d: profile.duplicate_features(fx.featured(s, d).withColumn("m15_copy", F.col("m15_range")), SAME), q(FS + ", f AS (SELECT *, m15_range AS m15_copy FROM features)", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS \"left\", '{b}' AS \"right\", bool_and({a} IS NOT DISTINCT FROM {b}) AS same FROM f" for i, a in enumerate(SAME) for b in SAME[i + 1 :]) + ") WHERE same"))
 ORACLE["duplicate_features"] = ORACLE["duplicate_features"].replace("SELECT * FROM (SELECT * FROM (", 'SELECT "left", "right" FROM (SELECT * FROM (', 1)
 SUITE = [c for c in ["h1_partial_open", "h1_partial_high", "h1_partial_low", "h1_partial_close", "h1_partial_tickvol", "h1_completed_open", "h1_completed_high", "h1_completed_low", "h1_completed_close", "h1_completed_tickvol", "h1_completed_vol", "h1_completed_spread", "d1_partial_open", "d1_partial_high", "d1_partial_low", "d1_partial_close", "d1_partial_tickvol", "d1_completed_open", "d1_completed_high", "d1_completed_low", "d1_completed_close", "d1_completed_tickvol", "d1_completed_vol", "d1_completed_spread", *ALL_FEATURES, "h1_bar_return_1"]]
-add("feature_suite", lambda s, d: profile.feature_suite(features.h1_bar_returns(fx.featured(s, d)), ALL_FEATURES), q(FS + f""", {BAR_RETURN}, suite AS (SELECT features.*, h1_bar_return_1 FROM features LEFT JOIN hours USING (h1_completed_timestamp)), names AS (SELECT column_name AS c, column_type AS t FROM (DESCRIBE suite)), own AS (SELECT * FROM names WHERE regexp_matches(c, '^({"|".join(profile.PREFIXES)})') AND c NOT IN ({", ".join(f"'{c}'" for c in profile.FORBIDDEN)})),
+add("feature_suite", lambda s, d: profile.feature_suite(features.h1_bar_returns(settled(fx.featured(s, d))), ALL_FEATURES), q(FS + f""", {BAR_RETURN}, suite AS (SELECT features.*, h1_bar_return_1 FROM features LEFT JOIN hours USING (h1_completed_timestamp)), names AS (SELECT column_name AS c, column_type AS t FROM (DESCRIBE suite)), own AS (SELECT * FROM names WHERE regexp_matches(c, '^({"|".join(profile.PREFIXES)})') AND c NOT IN ({", ".join(f"'{c}'" for c in profile.FORBIDDEN)})),
   k AS ({" UNION ALL ".join(f"SELECT '{c}' AS c, count(DISTINCT {c}) <= 1 AS constant FROM suite" for c in SUITE)}), v AS ({" UNION ALL ".join(f"SELECT '{c}' AS c, {n} AS n, list({c}::DOUBLE ORDER BY timestamp) AS l FROM suite" for n, c in enumerate(SUITE))})""", f"""SELECT count(*) AS bars, (SELECT count(*) FROM own) AS features, (SELECT count(*) = count(DISTINCT c) FROM names) AS unique_names, (SELECT bool_and(t IN ('DOUBLE', 'BIGINT', 'INTEGER', 'FLOAT')) FROM own) AS all_numeric, (SELECT count(*) FILTER (c IN ({", ".join(f"'{c}'" for c in ALL_FEATURES)})) = {len(ALL_FEATURES)} FROM names) AS required_present, count("timestamp") = count(DISTINCT "timestamp") AS unique_timestamps, count(*) FILTER ("timestamp" IS NULL) = 0 AS no_null_timestamp,
   ({" + ".join(f"count(*) FILTER ({c} IS NULL)" for c in SUITE)})::BIGINT AS null_cells, ({" + ".join(f"count(*) FILTER (NOT isfinite({c}::DOUBLE))" for c in SUITE)})::BIGINT AS not_finite, (SELECT count(*) FILTER (constant) FROM k) AS constant_features, (SELECT coalesce(string_agg(c, ',' ORDER BY c) FILTER (constant), '') FROM k) AS constant_names,
   (SELECT count(*) FROM v WHERE EXISTS (SELECT 1 FROM v w WHERE w.n < v.n AND w.l = v.l)) AS repeated_features, true AS expected_rows FROM suite"""))
@@ -193,6 +195,11 @@ add("label_endpoints", lambda s, d: align.label_endpoints(fx.m15(s, d).select("t
 AUDIT = TAGGED + """, audit AS (SELECT fold, count(*) FILTER (role = 'purged') AS purged_bars, max("timestamp") FILTER (role = 'train') AS train_end, min("timestamp") FILTER (role = 'validation') AS validation_start, count(*) FILTER (role = 'train' AND label_end IS NULL) AS open_labels, 0::BIGINT AS embargoed_bars FROM tagged GROUP BY 1)"""
 add("purge_audit", lambda s, d: splits.purge_audit(_splitter().tagged(fx.days(s, d))), q(AUDIT, "SELECT *, date_diff('second', train_end, validation_start) AS gap_seconds, train_end < validation_start AS clean FROM audit"))
 add("purge_totals", lambda s, d: splits.purge_totals(splits.purge_audit(_splitter().tagged(fx.days(s, d)))), q(AUDIT, "SELECT count(*) AS boundaries, sum(purged_bars)::BIGINT AS purged_bars, bool_and(train_end < validation_start) AS all_clean FROM audit"))
+LAST = f"""{fx.DAYS}, b AS (SELECT *, lead("timestamp") OVER (ORDER BY "timestamp") AS label_end FROM days),
+  y AS (SELECT * FROM (VALUES (1, 1998, {fx.FIRST_YEAR}), (2, 1999, {fx.FIRST_YEAR}), (3, 2000, {fx.FIRST_YEAR}), (4, 2001, 2000)) AS v(fold, vy, since)),
+  tagged AS (SELECT b.*, y.fold, CASE WHEN year("timestamp") = vy THEN 'validation' WHEN label_end >= make_timestamp(vy, 1, 1, 0, 0, 0) THEN 'purged' ELSE 'train' END AS role FROM b JOIN y ON year("timestamp") BETWEEN since AND vy),
+  audit AS (SELECT fold, count(*) FILTER (role = 'purged') AS purged_bars, max("timestamp") FILTER (role = 'train') AS train_end, min("timestamp") FILTER (role = 'validation') AS validation_start FROM tagged GROUP BY 1)"""
+add("boundary_totals", lambda s, d: splits.boundary_totals(splits.purge_audit(splits.PurgedWalkForwardSplitter(fx.FOLD_YEARS[:3], fx.FIRST_YEAR).with_test_boundary(fx.days(s, d), 2001))), q(LAST, "SELECT count(*) AS boundaries, sum(purged_bars)::BIGINT AS purged_bars, bool_or(purged_bars > 0) AS purge_required, 0::BIGINT AS embargoed_bars, true AS no_embargo, bool_and(train_end < validation_start) AS all_clean FROM audit"))
 add("horizon_audit", lambda s, d: splits.horizon_audit(fx.m15(s, d), 900), q(STEPS, "SELECT count(*) FILTER (seconds = 900) AS exact, count(*) FILTER (seconds <> 900) AS other, CASE WHEN count(*) FILTER (seconds <> 900) = 0 THEN 'PASS' ELSE 'REVIEW' END AS verdict FROM steps WHERE seconds IS NOT NULL"))
 add("leakage_audit", lambda s, d: splits.leakage_audit(_split(s, d), profile.suspicious_names(_split(s, d))), q(SP + f""", e AS (SELECT split, min("timestamp") AS first, max("timestamp") AS last, count(*) FILTER (target IS NULL) AS null_targets FROM split GROUP BY 1), g AS (SELECT *, coalesce(first > lag(last) OVER (ORDER BY first), true) AS in_order FROM e),
   v AS (SELECT (SELECT bool_and(in_order) FROM g) AS splits_in_order, (SELECT sum(null_targets) = 0 FROM g) AS targets_present, (SELECT count(*) = 0 FROM (SELECT "timestamp" FROM split GROUP BY 1 HAVING count(DISTINCT split) > 1)) AS no_shared_timestamps, (SELECT count(*) = count("timestamp") FROM split) AS no_null_timestamps,
@@ -265,11 +272,27 @@ COSTS = f"""scenario, rate, count(*) AS bars, count(*) FILTER (position <> 0) AS
 add("cost_scenarios", lambda s, d: trading.cost_scenarios(fx.ensembled(s, d)), q(SCENARIOS, f"SELECT {COSTS} FROM traded GROUP BY 1, 2"), "rate gross_total_return total_cost net_total_return net_equity max_drawdown_net win_rate_net sharpe_net sharpe_annual")
 HOLD = f"{E}, holds AS (SELECT * FROM (VALUES ('buy_hold', 1.0::DOUBLE), ('flat', 0.0::DOUBLE)) AS v(strategy, hold)), spread AS (SELECT * FROM ensembled CROSS JOIN holds), {fx.trading_sql('spread', 'hold', by='strategy')}"
 add("baselines", lambda s, d: trading.baselines(fx.ensembled(s, d)), q(HOLD, f"""SELECT strategy, {SUMMARY}, (SELECT arg_max(close_x * (1 + forward_return_1), "timestamp") / nullif(arg_min(close_x, "timestamp"), 0) - 1 FROM ensembled WHERE forward_return_1 IS NOT NULL) AS close_to_close FROM traded GROUP BY 1"""), SD + " close_to_close")
+HELD = f"""{E}, scenarios AS (SELECT * FROM (VALUES {", ".join(f"('{n}', {r}::DOUBLE)" for n, r in trading.COST_SCENARIOS.items())}) AS v(scenario, rate)), holds AS (SELECT unnest(['strategy', 'buy_hold', 'flat']) AS strategy),
+  spread AS (SELECT *, CASE strategy WHEN 'strategy' THEN predicted_class WHEN 'buy_hold' THEN 1 ELSE 0 END AS hold FROM ensembled CROSS JOIN scenarios CROSS JOIN holds), {fx.trading_sql("spread", "hold", "rate", "strategy, scenario").replace("SELECT strategy, scenario, ", "SELECT strategy, scenario, rate, ", 1)}"""
+add("strategy_costs", lambda s, d: trading.strategy_costs(fx.ensembled(s, d)), q(HELD, f"SELECT strategy, {COSTS} FROM traded GROUP BY 1, 2, 3"), "rate gross_total_return total_cost net_total_return net_equity max_drawdown_net win_rate_net sharpe_net sharpe_annual")
 add("return_outliers", lambda s, d: trading.return_outliers(fx.ensembled(s, d)), q(E, """SELECT count(forward_return_1) AS returns, min(forward_return_1) AS least, max(forward_return_1) AS greatest, avg(forward_return_1) AS mean, stddev_pop(forward_return_1) AS deviation, count(*) FILTER (abs(forward_return_1) > 0.01) AS soft_outliers, count(*) FILTER (abs(forward_return_1) > 0.2) AS hard_outliers,
   count(*) FILTER (close_x < 500) AS below_floor, count(*) FILTER (close_x <= 0) AS not_positive, count(*) FILTER (abs(forward_return_1) > 0.2) = 0 AND count(*) FILTER (close_x < 500) = 0 AS sane FROM ensembled"""), "least greatest mean deviation")
 add("largest_returns", lambda s, d: trading.largest_returns(fx.ensembled(s, d)), q(E, 'SELECT "timestamp", close_x, forward_return_1 FROM ensembled WHERE forward_return_1 IS NOT NULL ORDER BY abs(forward_return_1) DESC, "timestamp" LIMIT 10'), "close_x forward_return_1")
 REPRODUCED = {"gross_total_return": "total_return", "sharpe_net": "sharpe", "net_total_return": "max_drawdown"}
 add("baseline_reproduction", lambda s, d: trading.baseline_reproduction(trading.cost_scenarios(fx.ensembled(s, d), scenarios={"zero_cost": 0.0}), trading.equity_summary(trading.evaluated(fx.ensembled(s, d))), REPRODUCED), q(f"{T}, z AS (SELECT {SUMMARY} FROM traded), m AS (" + " UNION ALL ".join(f"SELECT '{a}' AS metric, ({n})::DOUBLE AS now, {o} AS saved FROM z" for (a, o), n in zip(REPRODUCED.items(), ("total_return", "sharpe", "total_return"))) + ")", "SELECT metric, now, saved, coalesce(abs(now - saved) <= 1e-6, false) AS reproduced FROM m"), "now saved")
+
+
+def _reproduced(s: SparkSession, d: str) -> DataFrame:
+    """The free scenario against the report that an evaluation has saved before."""
+    rows = fx.ensembled(s, d)
+    path = f"{s.sparkContext.getCheckpointDir()}/trading-report-{uuid.uuid4().hex}.json"
+    write_report(trading.equity_summary(trading.evaluated(rows)), path)
+    saved = read_artifact(s, path)
+    return trading.baseline_reproduction(trading.cost_scenarios(rows, scenarios={"zero_cost": 0.0}), s.createDataFrame([(saved["total_return"], saved["max_drawdown"], saved["sharpe"])], "total_return double, max_drawdown double, sharpe double"), SAVED)
+
+
+SAVED = {"net_total_return": "total_return", "max_drawdown_net": "max_drawdown", "sharpe_net": "sharpe"}
+add("saved_report_reproduction", _reproduced, q(f"{T}, z AS (SELECT {SUMMARY} FROM traded), m AS (" + " UNION ALL ".join(f"SELECT '{a}' AS metric, {o} AS now, {o} AS saved FROM z" for a, o in SAVED.items()) + ")", "SELECT metric, now, saved, true AS reproduced FROM m"), "now saved")
 add("top_contributors", lambda s, d: trading.top_contributors(trading.evaluated(fx.ensembled(s, d))), q(T, 'SELECT "timestamp", position, forward_return, gross_return, 1 + gross_return AS multiplier FROM traded ORDER BY abs(gross_return) DESC, "timestamp" LIMIT 5'), "position forward_return gross_return multiplier")
 
 # ---- fitted models: no SQL gives their rows ----

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.functions import BLOCK
+from barloom.functions import BLOCK, settled
 from barloom.operators import align, bars, ensemble, features, labels, trading
 from barloom.sources import table
 
@@ -65,7 +65,10 @@ def days(spark: SparkSession, d: str) -> DataFrame:
 
 def predictions(spark: SparkSession, d: str) -> DataFrame:
     """Labelled bars with made-up probabilities of six learners, exact in any engine."""
-    rows = labelled(spark, d)
+    return predicted(labelled(spark, d))
+
+
+def predicted(rows: DataFrame) -> DataFrame:
     s = lambda k, j: (1 + (F.col("tickvol") * (k + 3) + F.minute("timestamp") + 7 * j * (k + 1)) % 11).cast("double")
     made = {f"{n}_{side}": s(k, j) / (s(k, 0) + s(k, 1) + s(k, 2)) for k, n in enumerate(LEARNERS) for j, side in enumerate(SIDES)}
     return rows.select("timestamp", "target", *[v.alias(c) for c, v in made.items()])
@@ -76,8 +79,11 @@ def context(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ensembled(spark: SparkSession, d: str) -> DataFrame:
-    """Predictions with price context, regime, ensemble and scaled forward return."""
-    rows = trading.attach_price_context(predictions(spark, d), context(spark, d)).where("vol_16 is not null")
+    """Predictions with price context, regime, ensemble and scaled forward return. The bars and their context are read
+    several times over, so each is computed once."""
+    bars = settled(m15(spark, d))
+    made = predicted(labels.learning_target(bars, threshold=THRESHOLD))
+    rows = settled(trading.attach_price_context(made, trading.price_context(bars)).where("vol_16 is not null"))
     rows = ensemble.combine(ensemble.assign_regimes(rows, ensemble.regime_thresholds(rows)), WEIGHTS)
     return rows.withColumn("forward_return_1", F.col("forward_return_1") * SCALE)
 
