@@ -7,13 +7,14 @@ probes inside its own interval, until all splitters are settled. Only then are r
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.llm.common import materialize, table
+from barloom.llm.common import join_few, likely_in, materialize, table
 
 #: Probes of the first histogram, and of each open splitter in a later round.
 FIRST_BITS, PROBE_BITS = 12, 8
@@ -84,9 +85,11 @@ def histogram_sort_shards(docs: DataFrame, shards: int = 40, tolerance: float =
 
     A document's size is the UTF-8 bytes of its text (null: none) and `overhead`. Each boundary is within `tolerance`
     of a shard's mean size, or within one document. Returns doc_id, text, size, shard (from 0), slot (gapless from 0 in
-    each shard; rows of equal text follow each other as far as blocks reach). Equal rows (same text and doc_id) can't
+    each shard; rows of equal text follow each other). Equal rows (same text and doc_id) can't
     be told apart and stay in one shard; their slots differ. Null doc_id sorts as 0. Other columns are ignored. An empty
-    table gives an empty table. Slots are counted in blocks of about block_rows rows, so no task holds a whole shard.
+    table gives an empty table. Slots follow (hash of the text, doc_id) in each shard. They are counted in blocks of about
+    block_rows rows, ranges of that order, so no task holds a whole shard or a large group of equal texts; only rows that
+    are equal in text and doc_id can't be parted.
     """
     text = F.col("text").cast("string")
     keyed = docs.select(
@@ -102,17 +105,33 @@ def histogram_sort_shards(docs: DataFrame, shards: int = 40, tolerance: float =
         above = [((F.col("k1") > a) | (F.col("k1") == a) & (F.col("k2") >= b)).cast("int") for a, b in splitters]
         return reduce(lambda x, y: x + y, above, F.lit(0))
 
-    usual = -(-sum(r for _, r in histogram) // max(1, len(histogram)))
-    fan = max(1, -(-usual // block_rows))
-    hot = {b: -(-r // block_rows) for b, r in histogram if -(-r // block_rows) > fan}
-    bucket = F.shiftright("k1", KEY_BITS - FIRST_BITS)
-    fans = F.coalesce(F.create_map(*[F.lit(x) for kv in hot.items() for x in kv])[F.col("bucket")], F.lit(fan)) if hot else F.lit(fan)
-    block = ["shard", "bucket", "part"]
+    # blocks are ranges of (k1, k2): of k1's first bits, and where one text has many copies, of their k2
+    usual = sum(r for _, r in histogram) / max(1, len(histogram))
+    bits = min(KEY_BITS, FIRST_BITS + max(0, math.ceil(math.log2(max(1.0, usual / block_rows)))))
+    bucket = F.shiftright("k1", KEY_BITS - bits)
+    full = materialize(keys.groupBy(bucket.alias("bucket")).count().where(F.col("count") > 2 * block_rows), "shard-full")
+    many = likely_in(keys.withColumn("bucket", bucket), full.select("bucket"), "bucket").where("_likely").groupBy("k1").count().where(F.col("count") > block_rows)
+    many = materialize(many, "shard-many")
+    hot = likely_in(keys, many.select("k1"), "k1").where("_likely").join(many, "k1")
+    parts = F.col("parts").cast("double")
+    cuts = hot.groupBy("k1").agg(F.ceil(F.first("count") / block_rows).cast("int").alias("parts"), F.percentile_approx("k2", F.array(*[F.lit(i / 1024) for i in range(1, 1024)]), F.lit(4096)).alias("fine"))
+    # of the 1023 quantiles, as many as there are parts to cut (1,024 at most)
+    wanted = F.transform(F.sequence(F.lit(1), F.least("parts", F.lit(1024)) - 1), lambda i: F.col("fine")[F.greatest(F.lit(0), F.ceil(i * 1024 / F.least(parts, F.lit(1024.0))).cast("int") - 1)])
+    cuts = cuts.select("k1", F.when(F.col("parts") > 1, F.array_distinct(wanted)).otherwise(F.array().cast("array<bigint>")).alias("cuts"))
+    copies = materialize(cuts.groupBy(bucket.alias("bucket")).agg(F.sort_array(F.collect_list(F.struct("k1", "cuts"))).alias("copies")), "shard-copies")
+    block = ["shard", "bucket", "region", "part"]
 
     def placed(df: DataFrame) -> DataFrame:
-        return df.withColumn("shard", shard_of()).withColumn("bucket", bucket).withColumn("part", F.pmod(F.xxhash64("k2"), fans))
-
-    before = Window.partitionBy("shard").orderBy("bucket", "part").rowsBetween(Window.unboundedPreceding, -1)
+        df = df.withColumn("shard", shard_of()).withColumn("bucket", bucket)
+        df = join_few(df, copies, "bucket")
+        none = F.array().cast(copies.schema["copies"].dataType)
+        of = F.coalesce("copies", none)
+        same = F.filter(of, lambda c: c["k1"] == F.col("k1"))
+        region = 2 * F.size(F.filter(of, lambda c: c["k1"] < F.col("k1"))) + F.size(same)
+        part = F.when(F.size(same) > 0, F.size(F.filter(same[0]["cuts"], lambda c: c <= F.col("k2")))).otherwise(0)
+        return df.withColumns({"region": region, "part": part}).drop("copies")
+
+    before = Window.partitionBy("shard").orderBy("bucket", "region", "part").rowsBetween(Window.unboundedPreceding, -1)
     bases = placed(keys).groupBy(*block).count().withColumn("base", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     bases = materialize(bases, "shard-blocks")
     number = F.row_number().over(Window.partitionBy(*block).orderBy("k1", "k2"))
