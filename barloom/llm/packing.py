@@ -15,7 +15,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from barloom.llm.common import by_batch, table
 
@@ -119,15 +118,15 @@ def encoder(vocabulary: str, cached: int = CACHED) -> ChunkEncoder:
     return _ENCODERS[vocabulary, cached]
 
 
-def pack_power_of_two(docs: DataFrame, vocabulary: str, end_id: int = 2, longest: int = 4096, blocks: int = 1024, with_ids: bool = True, cached: int = CACHED) -> DataFrame:
+def pack_power_of_two(docs: DataFrame, vocabulary: str, end_id: int = 2, longest: int = 4096, with_ids: bool = True, cached: int = CACHED) -> DataFrame:
     """Pack docs (doc_id long, text string) into sequences of at most longest tokens, a power of two.
 
     vocabulary: a file of the tokenizers library that every machine has; its path is a parameter. A document's ids are
     those of the whole text and then end_id; null or empty text has end_id alone. Returns one row a piece: doc_id,
     start, length, ids_crc32 (little-endian unsigned 32-bit ids), doc_tokens, sequence_id, offset (0: a piece is a
-    sequence), bucket (length of the sequence) and, with_ids, ids (array of int). sequence_id is unique and depends on
-    the rows only: the row's number in one of `blocks` hash blocks of its bucket; rows that repeat a doc_id get ids of
-    their own. A worker keeps the ids of `cached` chunks, about 400 bytes each. Other columns are ignored. An empty table gives an empty table.
+    sequence), bucket (length of the sequence) and, with_ids, ids (array of int). sequence_id is unique: the piece's place
+    in its partition of docs, the partition, and in the last five bits the bucket, so nothing is shuffled; rows that
+    repeat a doc_id get ids of their own. A worker keeps the ids of `cached` chunks, about 400 bytes each. Other columns are ignored. An empty table gives an empty table.
     """
     if longest & (longest - 1) or longest < 1:
         raise ValueError("longest must be a power of two")
@@ -156,10 +155,9 @@ def pack_power_of_two(docs: DataFrame, vocabulary: str, end_id: int = 2, longest
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     spark_schema = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint" + ", ids array<int>" * with_ids
-    pieces = docs.mapInArrow(by_batch(make), spark_schema).withColumn("_block", F.pmod(F.xxhash64("doc_id", "start"), F.lit(blocks)))
-    number = F.row_number().over(Window.partitionBy("length", "_block").orderBy("doc_id", "start", "ids_crc32")).cast("long") - 1
+    pieces = docs.mapInArrow(by_batch(make), spark_schema)
     bucket_no = F.round(F.log2("length")).cast("long")
-    sequence = ((number * blocks + F.col("_block")) * 32 + bucket_no).alias("sequence_id")
+    sequence = (F.monotonically_increasing_id() * 32 + bucket_no).alias("sequence_id")
     return pieces.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", sequence, F.lit(0).cast("long").alias("offset"), F.col("length").alias("bucket"), *["ids"] * with_ids)
 
 
