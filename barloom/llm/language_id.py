@@ -29,25 +29,27 @@ ODDS_PER_BYTE = 0.5
 _MODELS: dict[int, list] = {}
 
 
-def fit_dictionaries(labelled: DataFrame, max_docs: int = 200, max_chars: int = 1500, languages: int = 500, rare: float = 0.5) -> list[tuple[str, bytes]]:
+def fit_dictionaries(labelled: DataFrame, max_docs: int = 200, max_chars: int = 1500, languages: int = 500, rare: float = 0.5, most_chars: int = 48_000_000) -> list[tuple[str, bytes]]:
     """(language, dictionary) from labelled (text, lang), the languages in order.
 
-    Bounds: at most `languages` languages (the most frequent), about max_docs documents for each, and max_chars
-    characters from the middle of each of those. Documents are chosen by a hash of their text, so at one rate over the
-    whole table, whatever its order and size. Dictionaries have one length, or the longest would win by its length: that
+    Bounds: at most `languages` languages (the most frequent), about max_docs unlike texts for each, max_chars characters
+    from the middle of each of those, and most_chars characters of all: with many languages each has fewer texts. Texts
+    are chosen by their hash, so at one rate over the whole table, whatever its order and size; copies count once. Dictionaries have one length, or the longest would win by its length: that
     of the shortest language's sample. A language whose sample is shorter than `rare` of the median one shortens no other
     language's dictionary: it keeps its own, shorter one, and so wins only where that is clearly the better match.
     """
     labelled = labelled.where("lang is not null and text is not null and text <> ''")
-    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    of_lang = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct(F.xxhash64("text"), 0.02).alias("texts"))
+    counts = of_lang.orderBy(F.desc("rows"), "lang").limit(languages).collect()
     if not counts:
         return []
+    max_docs = min(max_docs, max(1, most_chars // (2 * len(counts) * max_chars)))
     # of the hash's 2**31 values, those below a language's limit: about twice max_docs of its documents
-    limits = [F.when(F.col("lang") == r.lang, F.lit(min(1 << 31, math.ceil((2 * max_docs + 20) / r["count"] * (1 << 31))))) for r in counts]
+    limits = [F.when(F.col("lang") == r.lang, F.lit(min(1 << 31, math.ceil((2 * max_docs + 20) / max(1, r.texts) * (1 << 31))))) for r in counts]
     rank = F.shiftrightunsigned(F.xxhash64("text"), 33)
     start = F.greatest(F.lit(1), F.floor((F.length("text") - max_chars) / 2).cast("int"))
     sample = labelled.where(rank < F.coalesce(*limits)).select("lang", F.substring("text", start, F.lit(max_chars)).alias("text"), rank.alias("rank"))
-    rows = sorted(set(map(tuple, sample.collect())), key=lambda r: (r[0], r[2], r[1]))
+    rows = sorted(map(tuple, sample.distinct().collect()), key=lambda r: (r[0], r[2], r[1]))
     out = []
     for lang in sorted({r[0] for r in rows}):
         texts = [text for _, text, _ in [r for r in rows if r[0] == lang][:max_docs]]

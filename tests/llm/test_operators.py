@@ -122,6 +122,20 @@ def test_sharding_hot_text(spark):
     assert all(sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got))) for s in range(8))
 
 
+def test_sharding_slots_are_in_order_at_any_block_size(spark):
+    """Slots follow (hash of the text, doc_id), though blocks of a few rows cut buckets, and a group of copies whose ids lie
+    in clumps, into many."""
+    rows = [(i if i % 4 else i * 1000, "a copy" if i % 2 else f"text {i % 700}") for i in range(3000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = []
+    for block_rows in (7, 100_000):
+        got = sharding.histogram_sort_shards(frame, 6, block_rows=block_rows).withColumn("k", F.shiftrightunsigned(F.xxhash64("text"), 1)).collect()
+        placed = sorted(got, key=lambda r: (r.shard, r.slot))
+        assert [(r.k, r.doc_id) for r in placed] == sorted((r.k, r.doc_id) for r in got)
+        found.append([(r.doc_id, r.shard, r.slot) for r in placed])
+    assert found[0] == found[1]
+
+
 def test_sharding_edges(edge, empty):
     got = sharding.histogram_sort_shards(edge, 5).collect()
     assert len(got) == edge.count() and all(0 <= r.shard < 5 for r in got)
@@ -153,6 +167,15 @@ def test_language_edges(spark, sf, edge, empty):
     assert language_id.fit_dictionaries(empty.select("text", "lang")) == []
 
 
+def test_language_sample_counts_copies_once(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("text", "lang")
+    copied = docs.unionByName(docs.where("lang = 'en'").orderBy(F.length("text").desc()).limit(1).crossJoin(spark.range(5000)).drop("id"))
+    plain, other = (dict(language_id.fit_dictionaries(x, max_docs=20, max_chars=300)) for x in (docs, copied))
+    assert plain == other  # thousands of copies of one text change nothing
+    bound = language_id.fit_dictionaries(docs, max_docs=200, max_chars=100, most_chars=4000)
+    assert all(len(d) <= 4 * 100 * 5 + 20 for _, d in bound)
+
+
 def test_language_rare_language_changes_no_other(spark, sf):
     """A language with a line of text, one with a few, and the others' predictions with and without them."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
