@@ -6,17 +6,19 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions import exact_percentiles, finite
+from barloom.operators.boosting import Boosting, fit_boosted
 from barloom.operators.ensemble import LEARNERS, SIDES, prediction_columns
 from barloom.operators.metrics import class_weights
 from barloom.operators.quality import timestamp_quality
 from barloom.operators.trading import unique_by
+from barloom.operators.tree_text import TreeModel, read_model, score, write_model
 
 CLASSES = (-1, 0, 1)
 
@@ -70,53 +72,42 @@ def fit_logistic(train: DataFrame, columns: Sequence[str], iterations: int = 200
 
 @dataclass(frozen=True)
 class BoostedClasses:
-    """One boosted model a class, against the rest."""
+    """Boosted trees of all classes; saved in the text format."""
 
-    features: VectorAssembler
-    models: tuple[GBTClassificationModel, ...]
+    model: TreeModel
 
     def transform(self, rows: DataFrame) -> DataFrame:
-        """rows with array odds: each class's logistic score."""
-        out, added = self.features.transform(rows), ["features"]
-        for n, model in enumerate(self.models):
-            own = model.copy().setProbabilityCol(f"_p{n}").setRawPredictionCol("").setPredictionCol("")
-            out, added = own.transform(out), [*added, f"_p{n}"]
-        odds = F.array(*[vector_to_array(f"_p{n}")[1] for n in range(len(self.models))])
-        return out.withColumn("odds", odds).drop(*added)
-
-
-def fit_trees(train: DataFrame, columns: Sequence[str], rounds: int = 20, depth: int = 4, seed: int = 42, inner_from: str | None = None, inner_share: float = 0.2) -> BoostedClasses:
-    """Boosted trees in two phases: on the rows before inner_from, with those after it telling when to stop, then on all
-    rows with the number of rounds found. Without inner_from the last inner_share of the time span is held back. One
-    class against the rest, as the library's boosting has two classes only."""
-    features = VectorAssembler(inputCols=list(columns), outputCol="features")
-    ready = features.transform(with_class_weights(train)).select("timestamp", "target", "weight", "features")
+        """rows with array odds: each class's probability."""
+        names = [f"_p{n}" for n in range(len(CLASSES))]
+        return score(rows, self.model, names).withColumn("odds", F.array(*names)).drop(*names)
+
+    def save(self, path: str) -> None:
+        write_model(SparkSession.active(), self.model, path)
+
+    @staticmethod
+    def load(path: str) -> BoostedClasses:
+        return BoostedClasses(read_model(SparkSession.active(), path))
+
+
+def fit_trees(train: DataFrame, columns: Sequence[str], inner_from: str | None = None, inner_share: float = 0.2, params: Boosting = Boosting()) -> BoostedClasses:
+    """Boosted trees with balanced classes, in two phases: on the rows before inner_from, with those after it telling when
+    to stop, then on all rows with the number of rounds found. Without inner_from the last inner_share of the time span
+    is held back."""
+    ready = with_class_weights(train).withColumn("label", F.col("target") + 1)
     seconds = lambda c: F.expr(f"timestampdiff(SECOND, timestamp_ntz'1970-01-01', {c})")
     if inner_from is None:
         ends = ready.agg(F.min(seconds("timestamp")).alias("lo"), F.max(seconds("timestamp")).alias("hi")).first()
         held = seconds("timestamp") > ends.hi - inner_share * (ends.hi - ends.lo)
     else:
         held = F.col("timestamp") >= F.lit(inner_from).cast("timestamp_ntz")
-    ready = ready.withColumn("held", held).persist()  # read again in every round
-    models = []
-    for c in CLASSES:
-        own = ready.withColumn("label", (F.col("target") == c).cast("double"))
-        booster = GBTClassifier(maxIter=rounds, maxDepth=depth, seed=seed, stepSize=0.1, weightCol="weight", validationTol=0.0)
-        best = booster.copy().setValidationIndicatorCol("held").fit(own)
-        models.append(booster.copy().setMaxIter(max(1, len(best.trees))).fit(own))
-    ready.unpersist()
-    return BoostedClasses(features, tuple(models))
+    return BoostedClasses(fit_boosted(ready.withColumn("held", held), columns, len(CLASSES), params))
 
 
 def probabilities(model: PipelineModel | BoostedClasses, rows: DataFrame, name: str, keep: Sequence[str] = ("timestamp", "target"), present: Sequence[int] = CLASSES) -> DataFrame:
     """rows' keys and the learner's probabilities as <name>_down, _neutral, _up; present: the classes in the order in
     which the learner gives them."""
     out = model.transform(_labelled(rows))
-    if "odds" in out.columns:  # of each class against the rest: scaled to one
-        total = F.aggregate("odds", F.lit(0.0), lambda a, x: a + x)
-        values = F.transform("odds", lambda x: x / total)
-    else:
-        values = vector_to_array("probability")
+    values = F.col("odds") if "odds" in out.columns else vector_to_array("probability")
     out = out.select(*keep, reorder_classes(values, present).alias("_p"))
     return out.select(*keep, *[F.col("_p")[i].alias(f"{name}_{s}") for i, s in enumerate(SIDES)])
 

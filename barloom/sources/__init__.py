@@ -97,10 +97,15 @@ def head_sample(df: DataFrame, rows: int = 5) -> DataFrame:
 
 
 def save_model(model, path: str) -> None:
-    model.write().overwrite().save(path)
+    """A fitted pipeline, or any model that saves itself."""
+    if hasattr(model, "write"):
+        model.write().overwrite().save(path)
+    else:
+        model.save(path)
 
 
-def load_model(path: str):
+def load_model(path: str, kind=None):
+    """A pipeline; of another kind, by its own load."""
     from pyspark.ml import PipelineModel
 
-    return PipelineModel.load(path)
+    return (kind or PipelineModel).load(path)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from barloom import audit_cli, sources, streaming
 from barloom.functions import argmax_class, both_max, change, exact_percentiles, finite, safe_divide
+from barloom.operators.boosting import Boosting
 from barloom.operators import align, bars, ensemble, features, labels, learners, metrics, optimize, profile, quality, splits, trading, tree_text
 
 T0 = datetime(2024, 1, 1)
@@ -260,7 +261,7 @@ def test_learners(spark):
     x = rng.normal(size=(400, 2))
     target = np.where(x[:, 0] > 0.5, 1, np.where(x[:, 0] < -0.5, -1, 0))
     df = spark.createDataFrame([(at(i), int(t), float(a), float(b)) for i, (t, (a, b)) in enumerate(zip(target, x))], "timestamp timestamp_ntz, target int, a double, b double")
-    for fit in (lambda d, c: learners.fit_logistic(d, c, 50), lambda d, c: learners.fit_trees(d, c, 3, 2)):
+    for fit in (lambda d, c: learners.fit_logistic(d, c, 50), lambda d, c: learners.fit_trees(d, c, params=Boosting(rounds=6, depth=2, rate=0.5, least_rows=5))):
         out = learners.probabilities(fit(df, ["a", "b"]), df, "m15_lr")
         rows = out.collect()
         assert all(r.m15_lr_down + r.m15_lr_neutral + r.m15_lr_up == pytest.approx(1) for r in rows)
@@ -306,7 +307,7 @@ def test_tree_text(spark):
         want = np.exp(raw) / np.exp(raw).sum()
         assert (r.down, r.neutral, r.up) == pytest.approx(tuple(want))
     with pytest.raises(ValueError):
-        tree_text.parse(dump.replace("num_cat=0", "num_cat=1"))
+        tree_text.parse(dump.replace("num_cat=0", "num_cat=0\nis_linear=1"))
 
 
 def test_streamed_bars_equal_batch(spark, sf, tmp_path):
