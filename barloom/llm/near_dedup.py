@@ -27,6 +27,8 @@ _MASKS = _RANDOM.integers(0, 1 << 64, PERMUTATIONS, np.uint64)
 _FACTORS = _RANDOM.integers(0, 1 << 64, PERMUTATIONS, np.uint64) | np.uint64(1)
 #: Rows from which a shingle or bucket is joined by broadcast, and most such keys (some 50 bytes each).
 HOT, HOT_KEYS = 500, 500_000
+#: Rows of a shingle that are compared in one task.
+CHUNK = 1000
 _WEIGHTS = _RANDOM.integers(0, 1 << 64, 64, np.uint64) | np.uint64(1)
 
 
@@ -172,11 +174,13 @@ def _prefix_pairs(apart: DataFrame, docs: DataFrame, words: int, percent: int) -
     largest = front.groupBy("shingle", "c").count().groupBy("shingle").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count(F.lit(1)).alias("met"), F.sum("count").alias("df")).where("met > 1").drop("met")
     largest = materialize(largest, "met-shingles")
     front = _with_hot(likely_in(front, largest.select("shingle"), "shingle").where("_likely").drop("_likely"), largest)
-    one = front.where("c <> main").drop("main")
-    two = front.select("shingle", F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("place").alias("place2"), (F.col("c") == F.col("main")).alias("in_main"))
+    # what meets a shingle comes in chunks, each beside a copy of the shingle's rows of the smaller components
+    chunks = F.ceil(F.col("df") / CHUNK).cast("int")
+    one = front.where("c <> main").withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).drop("main", "df")
+    two = front.select("shingle", F.pmod(F.xxhash64("rep"), chunks).cast("int").alias("chunk"), F.col("rep").alias("rep2"), F.col("n").alias("n2"), F.col("c").alias("c2"), F.col("place").alias("place2"), (F.col("c") == F.col("main")).alias("in_main"))
     most = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) + 1
     meets = (F.col("c") != F.col("c2")) & (F.col("in_main") | (F.col("rep") < F.col("rep2"))) & ((100 + percent) * most >= percent * (F.col("n") + F.col("n2")))
-    return one.join(two, "shingle").where(meets).select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
+    return one.join(two, ["shingle", "chunk"]).where(meets).select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:

@@ -63,8 +63,10 @@ def test_near_dedup_oracle(spark, sf):
     assert sorted(map(tuple, llm.QUERIES["op1_minhash_near_dedup"](spark, sf).collect())) == want
 
 
-def test_near_dedup_large_groups(spark):
-    """A chain of near copies and documents that share a passage only."""
+@pytest.mark.parametrize("chunk", [1000, 3])
+def test_near_dedup_large_groups(spark, monkeypatch, chunk):
+    """A chain of near copies and documents that share a passage only; also with shingles met in small chunks."""
+    monkeypatch.setattr(near_dedup, "CHUNK", chunk)
     rng = random.Random(5)
     word = lambda: "".join(rng.choices("abcdefghijk", k=6))
     base = [word() for _ in range(120)]
