@@ -151,39 +151,59 @@ def sharpe(value: Column) -> Column:
     return F.coalesce(F.when(deviation >= 1e-12, F.avg(value) / deviation), F.lit(0.0))
 
 
-#: Values of a column from which exact percentiles are narrowed first, and the share of rows on each side of one that is then sorted.
-NARROW_FROM, NARROW_SHARE = 100_000, 0.001
-
-
-def exact_percentiles(rows: DataFrame, columns: Sequence[str], shares: Sequence[float], narrow_from: int = NARROW_FROM) -> DataFrame:
-    """(column, share, value): exact percentiles of columns as doubles, by linear interpolation; null without values.
-
-    The built-in percentile gathers all distinct values in one task. So, where a column has many values, approximate
-    percentiles bracket each wanted one, and only the values between the brackets are counted and ranked: about one row in
-    500. narrow_from must be 1 / NARROW_SHARE rows at least, for the brackets to hold both neighbours."""
-    doubles = rows.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    around = [x for p in shares for x in (max(p - NARROW_SHARE, 0.0), min(p + NARROW_SHARE, 1.0))]
-    accuracy = F.lit(int(10 / NARROW_SHARE))
-    seen = doubles.agg(*[F.struct(F.count(c).alias("n"), F.percentile_approx(c, F.array(*map(F.lit, around)), accuracy).alias("q")).alias(c) for c in columns]).first()
-    spark = rows.sparkSession
-    few = [c for c in columns if seen[c].n < narrow_from]
-    places = [(c, float(p), (seen[c].n - 1) * p, seen[c].q[2 * k], seen[c].q[2 * k + 1]) for c in columns if c not in few for k, p in enumerate(shares)]
-    parts = []
-    if few:
-        found = doubles.agg(*[F.percentile(c, F.array(*map(F.lit, shares))).alias(c) for c in few])
-        pairs = [F.struct(F.lit(c).alias("column"), F.lit(float(p)).alias("share"), F.col(c)[k].alias("value")) for c in few for k, p in enumerate(shares)]
-        parts.append(found.select(F.inline(F.array(*pairs))))
-    if places:
-        wanted = spark.createDataFrame(places, "column string, share double, at double, low double, high double")
-        names = list(dict.fromkeys(c for c, *_ in places))
-        below = doubles.agg(*[F.count_if(F.col(c) < low).alias(f"b{k}") for k, (c, _, _, low, _) in enumerate(places)])
-        below = below.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.lit(p).alias("share"), F.col(f"b{k}").alias("below")) for k, (c, p, *_) in enumerate(places)])))
-        between = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(p).alias("share"), F.when(F.col(c).between(low, high), F.col(c)).alias("v")) for c, p, _, low, high in places])
-        middle = doubles.select(*names).select(F.inline(between)).where("v is not null").groupBy("column", "share", "v").count()
-        ranked = middle.withColumn("upto", F.sum("count").over(Window.partitionBy("column", "share").orderBy("v")))
-        ranked = ranked.join(F.broadcast(below), ["column", "share"]).join(F.broadcast(wanted.select("column", "share", "at")), ["column", "share"])
-        reaches = lambda place: F.min(F.when(F.col("below") + F.col("upto") > place, F.col("v")))
-        ends = ranked.groupBy("column", "share", "at").agg(reaches(F.floor("at")).alias("lower"), reaches(F.ceil("at")).alias("upper"))
-        value = F.when(F.col("lower") == F.col("upper"), F.col("lower")).otherwise((F.ceil("at") - F.col("at")) * F.col("lower") + (F.col("at") - F.floor("at")) * F.col("upper"))
-        parts.append(ends.select("column", "share", value.alias("value")))
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+#: Values between two bounds that are sorted at once (8 bytes each), and quantiles of a round that narrows the bounds.
+SORTED_VALUES, GRID = 100_000, 256
+
+
+def exact_percentiles(rows: DataFrame, columns: Sequence[str], shares: Sequence[float], sorted_values: int = SORTED_VALUES, by: Sequence[str] = ()) -> DataFrame:
+    """(by, column, share, value): exact percentiles of columns as doubles, by linear interpolation; null without values.
+
+    No task sorts a column: of every group, column and rank wanted, a round takes approximate quantiles of the values
+    between two bounds, counts exactly what lies below, between and on the nearest two, and keeps the part that holds the
+    rank, about a sixtieth; until it is one value, or no more than sorted_values. All groups are narrowed at once."""
+    keys = [*by, "column"]
+    of_group = rows.groupBy(*by).agg(*[F.count_if(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))).alias(f"_n{i}") for i, c in enumerate(columns)])
+    counts = of_group.select(*by, F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_n{i}").alias("_n")) for i, c in enumerate(columns)])))
+    each = F.array(*[F.struct(F.lit(float(p)).alias("share"), ((F.col("_n") - 1) * float(p)).alias("_rank")) for p in shares])
+    wanted = settled(counts.select(*keys, "_n", F.inline(each)))
+    values = rows.select(*by, F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("_v")) for c in columns]))).where("_v is not null and not isnan(_v)")
+    none = F.lit(None).cast("double")
+    # bounds are no part of what they enclose; null bounds none
+    state = wanted.where("_n > 0").select(*keys, "_n", F.explode(F.array(F.floor("_rank"), F.ceil("_rank"))).alias("_k")).distinct().withColumns({"_low": none, "_high": none, "_below": F.lit(0).cast("long"), "value": none})
+
+    def inside(open_: DataFrame) -> DataFrame:
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(f"_v_{k}").eqNullSafe(F.col(k))
+        named = values.withColumnsRenamed({k: f"_v_{k}" for k in keys})
+        between = (F.col("_low").isNull() | (F.col("_v") > F.col("_low"))) & (F.col("_high").isNull() | (F.col("_v") < F.col("_high")))
+        return named.join(open_, same & between).drop(*[f"_v_{k}" for k in keys])
+
+    ids = [*keys, "_k"]
+    while (open_ := state.where(F.col("value").isNull() & (F.col("_n") > sorted_values))).take(1):
+        grid = F.array(*[F.lit(i / GRID) for i in range(1, GRID)])
+        narrowed = inside(open_).groupBy(*ids, "_n", "_low", "_high", "_below").agg(F.percentile_approx("_v", grid, F.lit(20 * GRID)).alias("_q"))
+        place = F.floor(GRID * (F.col("_k") - F.col("_below") + 0.5) / F.col("_n")).cast("int")
+        edge = lambda shift: F.col("_q")[F.greatest(F.lit(0), F.least(F.lit(GRID - 2), place - 1 + shift))]
+        narrowed = settled(narrowed.withColumns({"_left": edge(-1), "_right": edge(2)}).drop("_q"))
+        v = F.col("_v")
+        told = inside(narrowed).groupBy(*ids, "_n", "_low", "_high", "_below", "_left", "_right").agg(*[F.count_if(c).alias(n) for n, c in (("_lt_left", v < F.col("_left")), ("_le_left", v <= F.col("_left")), ("_lt_right", v < F.col("_right")), ("_le_right", v <= F.col("_right")))])
+        at = F.col("_k") - F.col("_below")
+        part = F.when(at < F.col("_lt_left"), F.struct(F.col("_lt_left").alias("_n"), F.col("_low").alias("_low"), F.col("_left").alias("_high"), F.col("_below").alias("_below"), none.alias("value")))
+        part = part.when(at < F.col("_le_left"), F.struct(F.lit(1).cast("long").alias("_n"), F.col("_left").alias("_low"), F.col("_left").alias("_high"), F.col("_below").alias("_below"), F.col("_left").alias("value")))
+        part = part.when(at < F.col("_lt_right"), F.struct((F.col("_lt_right") - F.col("_le_left")).alias("_n"), F.col("_left").alias("_low"), F.col("_right").alias("_high"), (F.col("_below") + F.col("_le_left")).alias("_below"), none.alias("value")))
+        part = part.when(at < F.col("_le_right"), F.struct(F.lit(1).cast("long").alias("_n"), F.col("_right").alias("_low"), F.col("_right").alias("_high"), F.col("_below").alias("_below"), F.col("_right").alias("value")))
+        part = part.otherwise(F.struct((F.col("_n") - F.col("_le_right")).alias("_n"), F.col("_right").alias("_low"), F.col("_high").alias("_high"), (F.col("_below") + F.col("_le_right")).alias("_below"), none.alias("value")))
+        done = state.where(F.col("value").isNotNull() | (F.col("_n") <= sorted_values))
+        state = settled(done.unionByName(told.select(*ids, part.alias("p")).select(*ids, "p.*")))
+    few = inside(state.where("value is null")).groupBy(*ids, "_below").agg(F.sort_array(F.collect_list("_v")).alias("_sorted"))
+    few = few.select(*ids, F.col("_sorted")[(F.col("_k") - F.col("_below")).cast("int")].alias("value"))
+    found = state.where("value is not null").select(*ids, "value").unionByName(few)
+    ends = found.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_k", "value"))).alias("_at"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"_e_{k}").eqNullSafe(F.col(k))
+    out = wanted.join(ends.withColumnsRenamed({k: f"_e_{k}" for k in keys}), same, "left")
+    lower, upper = F.col("_at")[F.floor("_rank")], F.col("_at")[F.ceil("_rank")]
+    value = F.when(lower == upper, lower).otherwise((F.ceil("_rank") - F.col("_rank")) * lower + (F.col("_rank") - F.floor("_rank")) * upper)
+    return out.select(*keys, "share", value.alias("value"))

@@ -230,6 +230,9 @@ CX = ["close_x", "vol_16", "forward_return_1", "next_timestamp"]
 END = "2024-01-25 00:00:00"
 add("attach_price_context", lambda s, d: pick(trading.attach_price_context(fx.predictions(s, d), fx.context(s, d), END), "target", *CX), q(f"{fx.prediction_sql()}, {fx.CONTEXT_SQL}", f"""SELECT p."timestamp", target, close_x, vol_16, CASE WHEN next_timestamp <= TIMESTAMP '{END}' THEN forward_return_1 END AS forward_return_1, next_timestamp FROM predictions p LEFT JOIN context USING ("timestamp")"""), "close_x vol_16 forward_return_1")
 add("regime_thresholds", lambda s, d: ensemble.regime_thresholds(fx.context(s, d)), q(f"{fx.M15}, {fx.CONTEXT_SQL}", "SELECT quantile_cont(vol_16, 1.0::DOUBLE / 3) AS q33, quantile_cont(vol_16, 2.0::DOUBLE / 3) AS q67 FROM context"), "q33 q67")
+CONTEXTS = fx.CONTEXT_SQL.replace("(ORDER BY", "(PARTITION BY event_type ORDER BY").replace('SELECT "timestamp",', 'SELECT event_type, "timestamp",')
+add("price_context_by_symbol", lambda s, d: fx.context(s, d, fx.SYMBOL), q(f"{fx.M15S}, {CONTEXTS}", "SELECT * FROM context"), "close_x vol_16 forward_return_1")
+add("regime_thresholds_by_symbol", lambda s, d: ensemble.regime_thresholds(fx.context(s, d, fx.SYMBOL), by=fx.SYMBOL), q(f"{fx.M15S}, {CONTEXTS}", "SELECT event_type, quantile_cont(vol_16, 1.0::DOUBLE / 3) AS q33, quantile_cont(vol_16, 2.0::DOUBLE / 3) AS q67 FROM context GROUP BY 1"), "q33 q67")
 add("regime_assignment", lambda s, d: pick(fx.ensembled(s, d), "vol_16", "regime"), q(E, sel(["vol_16", "regime"], "ensembled")), "vol_16")
 ENS = [f"ensemble_{x}" for x in fx.SIDES]
 add("regime_weighted_ensemble", lambda s, d: pick(fx.ensembled(s, d), "target", "regime", *ENS, "predicted_class"), q(E, sel(["target", "regime", *ENS, "predicted_class"], "ensembled")), " ".join(ENS))
@@ -245,6 +248,12 @@ def _points(s: SparkSession, d: str) -> DataFrame:
 add("pareto_front", lambda s, d: ensemble.pareto_front(_points(s, d), ["a", "b"]), q(FRONT, "SELECT id, a, b FROM front"), "a b")
 
 
+RANKS = POINTS + """, pairs AS (SELECT DISTINCT a, b FROM pts), chains AS (SELECT a, b, 1 AS k FROM pairs UNION SELECT p.a, p.b, k + 1 FROM chains c JOIN pairs p ON c.a >= p.a AND c.b >= p.b AND (c.a > p.a OR c.b > p.b)), ranks AS (SELECT a, b, max(k)::INTEGER AS rank FROM chains GROUP BY 1, 2)"""
+add("pareto_ranks", lambda s, d: ensemble.pareto_ranks(_points(s, d), ["a", "b"]), "WITH RECURSIVE " + RANKS + " SELECT id, a, b, rank FROM pts JOIN ranks USING (a, b)")
+THREE = """pts AS (SELECT p_partkey AS id, (p_partkey * 37 % 101)::DOUBLE AS a, (p_partkey * 53 % 97)::DOUBLE AS b, (p_size * 7 % 50)::DOUBLE AS c FROM part)"""
+add("pareto_front_of_three", lambda s, d: ensemble.pareto_front(table(s, d, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") * 37 % 101).cast("double").alias("a"), (F.col("p_partkey") * 53 % 97).cast("double").alias("b"), (F.col("p_size") * 7 % 50).cast("double").alias("c")), ["a", "b", "c"]), q(THREE, "SELECT * FROM pts p WHERE NOT EXISTS (SELECT 1 FROM pts o WHERE o.a >= p.a AND o.b >= p.b AND o.c >= p.c AND (o.a > p.a OR o.b > p.b OR o.c > p.c))"), "a b c")
+
+
 def _front(s: SparkSession, d: str) -> DataFrame:
     return ensemble.pareto_front(_points(s, d), ["a", "b"]).groupBy("a", "b").agg(F.min("id").alias("id"))
 

@@ -74,8 +74,8 @@ def predicted(rows: DataFrame) -> DataFrame:
     return rows.select("timestamp", "target", *[v.alias(c) for c, v in made.items()])
 
 
-def context(spark: SparkSession, d: str) -> DataFrame:
-    return trading.price_context(m15(spark, d))
+def context(spark: SparkSession, d: str, by=()) -> DataFrame:
+    return trading.price_context(m15(spark, d, by), by=by)
 
 
 def ensembled(spark: SparkSession, d: str) -> DataFrame:

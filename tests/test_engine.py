@@ -329,11 +329,41 @@ def test_exact_percentiles_narrowed_and_whole(spark):
     frame.loc[:99, "a"] = np.nan
     rows = spark.createDataFrame(frame).withColumn("a", F.when(~F.isnan("a"), F.col("a"))).withColumn("none", F.lit(None).cast("double"))
     shares = (0.0, 1 / 3, 0.5, 2 / 3, 0.999, 1.0)
-    for narrow_from in (1000, 100_000):  # the empty column goes the built-in way
-        got = {(r.column, r.share): r.value for r in exact_percentiles(rows, ["a", "b", "c", "none"], shares, narrow_from).collect()}
+    for sorted_values in (7, 500, 100_000):
+        got = {(r.column, r.share): r.value for r in exact_percentiles(rows, ["a", "b", "c", "none"], shares, sorted_values).collect()}
         assert len(got) == 4 * len(shares)
         for p in shares:
             assert got["none", p] is None
             for c in "abc":
                 assert got[c, p] == pytest.approx(np.percentile(frame[c].dropna(), 100 * p), rel=1e-12), (c, p)
     assert exact_percentiles(rows.where("a > 1e9"), ["a"], [0.5]).collect()[0].value is None
+
+
+def test_exact_percentiles_of_groups(spark):
+    rng = np.random.default_rng(6)
+    sizes = {"big": 4000, "one": 1, "two": 2, "same": 600, None: 300}
+    frame = pd.concat([pd.DataFrame({"k": k, "v": rng.lognormal(0, 9, n) if k != "same" else np.repeat([2.0, 5.0], n // 2)}) for k, n in sizes.items()])
+    rows = spark.createDataFrame([(k, float(v)) for k, v in frame.itertuples(index=False)] + [("empty", None)], "k string, v double").repartition(3)
+    for sorted_values in (5, 100_000):
+        got = {(r.k, r.share): r.value for r in exact_percentiles(rows, ["v"], (0.0, 0.25, 1 / 3, 0.9), sorted_values, ["k"]).collect()}
+        assert len(got) == 4 * 6 and got["empty", 0.25] is None
+        for (k, p), v in got.items():
+            if k != "empty":
+                own = frame[frame["k"].isna() if k is None else frame["k"] == k]["v"]
+                assert v == pytest.approx(np.percentile(own, 100 * p), rel=1e-12), (k, p)
+
+
+def test_ranks_of_all_layers(spark):
+    rng = np.random.default_rng(7)
+    x = np.round(rng.random((300, 3)), 1)
+    points = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)] + [(900, None, 1.0, 1.0)], "id int, a double, b double, c double").repartition(3)
+    want = optimize.fronts(np.unique(x, axis=0)) + 1
+    of = {tuple(p): r for p, r in zip(np.unique(x, axis=0), want)}
+    for chunk in (40, 5000):
+        got = ensemble.pareto_ranks(points, ["a", "b", "c"], chunk=chunk).collect()
+        assert len(got) == 300 and all(r["rank"] == of[r.a, r.b, r.c] for r in got)
+    few = ensemble.pareto_ranks(points, ["a", "b", "c"], layers=2, chunk=10).collect()
+    assert {r.id for r in few} == {i for i, p in enumerate(x) if of[tuple(p)] <= 2}
+    front = ensemble.pareto_front(points, ["a", "b", "c"])
+    assert {r.id for r in front.collect()} == {i for i, p in enumerate(x) if of[tuple(p)] == 1} and "NestedLoop" not in front._jdf.queryExecution().executedPlan().toString()
+    assert ensemble.pareto_ranks(points.limit(0), ["a", "b"]).count() == 0
