@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
@@ -60,18 +60,26 @@ def block_of(rows: DataFrame, ts: str | Column) -> Column:
     return F.coalesce(F.floor(at / BLOCK_DAYS).cast("long"), F.lit(-(1 << 62)))
 
 
+def with_block(rows: DataFrame, by: Sequence[str] = (), ts: str = "timestamp") -> DataFrame:
+    """rows with BLOCK. Rows that lack a symbol are one block: keys of null meet in no join."""
+    block = block_of(rows, ts)
+    for k in by:
+        block = F.when(F.col(k).isNotNull(), block).otherwise(F.lit(0).cast("long"))
+    return rows.withColumn(BLOCK, block)
+
+
 def in_blocks(rows: DataFrame, by: Sequence[str] = (), ts: str = "timestamp") -> DataFrame:
     """rows with BLOCK, dealt out by symbol and block; rows that have BLOCK are so already. Windows over both, and what is
-    grouped by both, need no other exchange."""
-    return rows if BLOCK in rows.columns else rows.withColumn(BLOCK, block_of(rows, ts)).repartition(*by, BLOCK)
+    grouped by or joined on both, need no other exchange of them."""
+    return rows if BLOCK in rows.columns else with_block(rows, by, ts).repartition(*by, BLOCK)
 
 
 def join_blocks(rows: DataFrame, blocks: DataFrame, by: Sequence[str]) -> DataFrame:
-    """rows with the columns of blocks (a row for each symbol and block, all of them there)."""
+    """rows with the columns of blocks (a row for each symbol and block); null for rows that lack a symbol."""
     keys = [*by, BLOCK]
     same = F.lit(True)
     for k in keys:
-        same = same & rows[k].eqNullSafe(F.col(f"_of_{k}"))
+        same = same & (rows[k] == F.col(f"_of_{k}"))
     return rows.join(blocks.withColumnsRenamed({k: f"_of_{k}" for k in keys}), same, "left").drop(*[f"_of_{k}" for k in keys])
 
 
@@ -116,15 +124,21 @@ def carried(rows: DataFrame, aggregate: Column, over_blocks: Callable[[Column],
     return join_blocks(rows, blocks, by)
 
 
-def settled(rows: DataFrame) -> DataFrame:
-    """rows, computed once into the shared checkpoint folder (spark.checkpoint.dir), for what is read several times over. A
-    local session that names none gets a temporary one; on a cluster that would be another folder on every machine."""
-    context = rows.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, that of spark.checkpoint.dir, which all machines see. A local session that names
+    none gets a temporary one; on a cluster that would be another folder on every machine."""
+    context = spark.sparkContext
     if not context.getCheckpointDir():
         folder = context.getConf().get("spark.checkpoint.dir")
         if not folder and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="barloom-"))
+    return context.getCheckpointDir()
+
+
+def settled(rows: DataFrame) -> DataFrame:
+    """rows, computed once into the shared folder, for what is read several times over."""
+    shared_folder(rows.sparkSession)
     return rows.checkpoint()
 
 

@@ -79,6 +79,10 @@ def evaluated(rows: DataFrame, position: str | Column = "predicted_class", by: S
     peak = {c: F.greatest(F.col(f"from{c}") * F.col(f"most{c}"), F.col(f"from{c}") * F.col(f"least{c}")) for c in first}
     summed = summed.select(*by, BLOCK, "_held", *[f"from{c}" for c in first], *[F.max(v).over(earlier).alias(f"peak{c}") for c, v in peak.items()])
     rows = join_blocks(rows, summed, by)
+    if by:  # rows that lack a key are one block, which begins with nothing
+        whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        alone = {c: F.first(v).over(whole) for c, v in {"_g": 1 + F.col("gross_return"), "_n": 1 + F.col("gross_return") - F.col("_rate") * F.abs("position")}.items()}
+        rows = rows.withColumns({"_held": F.coalesce("_held", F.lit(0.0)), **{f"from{c}": F.coalesce(F.col(f"from{c}"), v) for c, v in alone.items()}})
     rows = rows.withColumn("position_change", F.coalesce("_change", F.abs(F.col("position") - F.col("_held")))).withColumn("cost", F.col("_rate") * F.col("position_change")).withColumn("net_return", F.col("gross_return") - F.col("cost"))
     rows = rows.withColumns({"gross_equity": F.col("from_g") * F.col("_g"), "net_equity": F.col("from_n") * F.col("_n")})
     top = lambda c: F.greatest(F.max(f"{c}_equity").over(grown), F.col(f"peak_{c[0]}"))

@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.functions import settled
-from barloom.operators import align, bars, ensemble, features, labels, learners, metrics, nulls, optimize, profile, quality, splits, trading, tree_text
+from barloom.functions import settled, shared_folder
+from barloom.operators import align, bars, checks, ensemble, features, labels, learners, metrics, nulls, optimize, profile, quality, splits, trading, tree_text
 from barloom.plans import fixtures as fx
 from barloom.sources import read_artifact, table, write_report
 
@@ -66,6 +66,15 @@ add("ohlc_validity", lambda s, d: quality.ohlc_validity(fx.m15(s, d)), q(fx.M15,
   count(*) FILTER (open <= 0 OR high <= 0 OR low <= 0 OR close <= 0) AS not_positive, count(*) FILTER (high < low OR high < open OR high < close OR low > open OR low > close OR open <= 0 OR high <= 0 OR low <= 0 OR close <= 0) AS invalid FROM m15"""))
 add("volume_spread_quality", lambda s, d: quality.volume_spread_quality(fx.m15(s, d)), q(fx.M15, "SELECT count(*) AS bars, " + ", ".join(f"count(*) FILTER ({c} {o} 0) AS {n}_{c}" for n, o in (("zero", "="), ("negative", "<")) for c in ("tickvol", "vol", "spread")) + " FROM m15"))
 
+
+
+def _observed(s: SparkSession, d: str) -> DataFrame:
+    """The checks of the bars and of their contexts, seen while the aligned table is written."""
+    rows = fx.aligned(s, d).withColumnsRenamed({f"{c}_x": c for c in align.BAR})
+    path = f"{shared_folder(s)}/aligned-{uuid.uuid4().hex}.parquet"
+    return checks.write_checked(rows, path, [*checks.row_checks(), *checks.series_checks(), *checks.bar_checks(), *checks.causal_checks()])
+
+
 # ---- alignment ----
 HC = [f"h1_completed_{c}" for c in ["timestamp", *align.BAR]]
 DC = [f"d1_completed_{c}" for c in ["date", "timestamp", *align.BAR]]
@@ -101,6 +110,11 @@ add("mtf_aligned_by_symbol", lambda s, d: dated(fx.aligned(s, d, fx.SYMBOL)).sel
 LATE = ["h1_partial_last_m15_timestamp", "d1_partial_last_m15_timestamp", "h1_completed_timestamp", "d1_completed_timestamp"]
 add("causality_validation", lambda s, d: align.causality_violations(fx.aligned(s, d)), q(A, "SELECT count(*) AS bars, " + ", ".join(f'count(*) FILTER ({c} >= "timestamp") AS late_{c}' for c in LATE) + " FROM aligned"))
 
+SEEN = {"bars": ("count(*)", "n > 0"), "null_timestamps": ('count(*) FILTER ("timestamp" IS NULL)', "n = 0"), "duplicate_timestamps": ('count("timestamp") - count(DISTINCT "timestamp")', "n = 0"),
+  "invalid_ohlc": ("count(*) FILTER (high_x < low_x OR high_x < open_x OR high_x < close_x OR low_x > open_x OR low_x > close_x OR open_x <= 0 OR high_x <= 0 OR low_x <= 0 OR close_x <= 0)", "n = 0"), "tickvol_not_positive": ("count(*) FILTER (tickvol_x <= 0)", "n = 0"), "negative_vol": ("count(*) FILTER (vol_x < 0)", "n = 0"), "negative_spread": ("count(*) FILTER (spread_x < 0)", "n = 0"), "zero_spread": ("count(*) FILTER (spread_x = 0)", "true"),
+  **{f"late_{c}": (f'count(*) FILTER ({c} >= "timestamp")', "n = 0") for c in LATE}}
+add("observed_checks", _observed, q(A, " UNION ALL ".join(f"""SELECT '{n}' AS "check", n::DOUBLE AS value, {good} AS passed FROM (SELECT {sql} AS n FROM aligned)""" for n, (sql, good) in SEEN.items())), "value")
+
 # ---- features ----
 FS, FSS = fx.features_sql(), fx.features_sql("event_type")
 BAR_RETURN = "hours AS (SELECT h1_completed_timestamp, c / nullif(lag(c) OVER (ORDER BY h1_completed_timestamp), 0) - 1 AS h1_bar_return_1 FROM (SELECT h1_completed_timestamp, any_value(h1_completed_close) AS c FROM features WHERE h1_completed_timestamp IS NOT NULL GROUP BY 1))"
@@ -294,7 +308,7 @@ add("baseline_reproduction", lambda s, d: trading.baseline_reproduction(trading.
 def _reproduced(s: SparkSession, d: str) -> DataFrame:
     """The free scenario against the report that an evaluation has saved before."""
     rows = fx.ensembled(s, d)
-    path = f"{s.sparkContext.getCheckpointDir()}/trading-report-{uuid.uuid4().hex}.json"
+    path = f"{shared_folder(s)}/trading-report-{uuid.uuid4().hex}.json"
     write_report(trading.equity_summary(trading.evaluated(rows)), path)
     saved = read_artifact(s, path)
     return trading.baseline_reproduction(trading.cost_scenarios(rows, scenarios={"zero_cost": 0.0}), s.createDataFrame([(saved["total_return"], saved["max_drawdown"], saved["sharpe"])], "total_return double, max_drawdown double, sharpe double"), SAVED)

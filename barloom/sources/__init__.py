@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from pathlib import PurePosixPath
 
 from pyspark.errors import AnalysisException
@@ -11,8 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barloom.functions import BLOCK, with_block
+
 FORMATS = {".csv": "csv", ".tsv": "csv", ".parquet": "parquet", ".json": "json", ".orc": "orc"}
 
+#: The column by which stored series are partitioned.
+YEAR = "_year"
+
 BAR = T.StructType(
     [
         T.StructField("timestamp", T.TimestampNTZType()),
@@ -50,6 +55,26 @@ def write_table(df: DataFrame, path: str, partition_by: Iterable[str] = ()) -> N
     (writer.option("header", True) if kind == "csv" else writer).format(kind).save(path)
 
 
+def write_series(df: DataFrame, name: str, by: Sequence[str] = (), buckets: int = 64, ts: str = "timestamp") -> None:
+    """A table of the session's warehouse that later windows and alignments read without an exchange: bucketed by symbol
+    and block of time, in order of time inside a file, and partitioned by year, which year and date ranges prune."""
+    dealt = with_block(df, by, ts).withColumn(YEAR, F.year(ts)).repartition(buckets, *by, BLOCK)
+    dealt.write.mode("overwrite").partitionBy(YEAR).bucketBy(buckets, *by, BLOCK).sortBy(*by, BLOCK, ts).saveAsTable(name)
+
+
+def read_series(spark: SparkSession, name: str, years: Iterable[int] | None = None, start: str | None = None, end: str | None = None, ts: str = "timestamp") -> DataFrame:
+    """Rows of a table that write_series wrote, in its blocks: of some years, or of start <= time <= end. Only the years
+    asked for are read."""
+    rows = spark.table(name)
+    if years is not None:
+        rows = rows.where(F.col(YEAR).isin(*years))
+    for bound, keeps in ((start, lambda c, b: c >= b), (end, lambda c, b: c <= b)):
+        if bound is not None:
+            bound = F.lit(bound).cast("timestamp_ntz")
+            rows = rows.where(keeps(F.col(ts), bound) & keeps(F.col(YEAR), F.year(bound)))
+    return rows.drop(YEAR)
+
+
 def read_raw_bars(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
     """Tab-separated files of raw bars, all strings, with the file, its size and an ordinal of the ingest order.
 

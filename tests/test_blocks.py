@@ -8,8 +8,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from barloom import sources
 from barloom.functions import settled
-from barloom.operators import align, features, labels, splits, trading
+from barloom.operators import align, checks, features, labels, quality, splits, trading
 
 QUARTER = timedelta(minutes=15)
 
@@ -53,6 +54,14 @@ def test_asof_inside_a_large_symbol(spark, skewed):
         assert "_block" in w or w == "symbol"
 
 
+def test_rows_without_a_symbol_are_a_series(spark, skewed):
+    key = ["symbol", "timestamp"]
+    plain = features.rolled_up_features(_frame(spark, skewed), ["symbol"]).toPandas().sort_values(key).reset_index(drop=True)
+    lost = _frame(spark, skewed).withColumn("symbol", F.when(F.col("symbol") != "big", F.col("symbol")))
+    other = features.rolled_up_features(lost, ["symbol"]).fillna("big", ["symbol"]).toPandas().sort_values(key).reset_index(drop=True)
+    pd.testing.assert_frame_equal(plain, other[plain.columns])
+
+
 def test_roll_up_equals_contexts_of_separate_bars(spark, skewed):
     bars = {rule: skewed.set_index("timestamp").groupby("symbol").resample(rule).agg({"open": "first", "high": "max", "low": "min", "close": "last", "tickvol": "sum", "vol": "sum", "spread": "last"}).dropna(subset=["open"]).reset_index().astype({"tickvol": "int64", "vol": "int64", "spread": "int64"}) for rule in ("1h", "1D")}
     m15 = _frame(spark, skewed)
@@ -97,15 +106,15 @@ def test_equity_folded_over_blocks(spark, wild):
     """Also where a bar loses more than everything, so that equity turns negative."""
     rng = np.random.default_rng(3)
     rows = []
-    for key in ("a", "b"):
+    for key in ("a", "b", None):
         for i in range(400):
             r = float(rng.normal(0, 0.9 if wild else 0.02))
             rows.append((key, datetime(2024, 1, 1) + i * timedelta(hours=11), float(rng.integers(-1, 2)), None if i % 50 == 7 else r))
     df = spark.createDataFrame(rows, "k string, timestamp timestamp_ntz, p double, forward_return_1 double").repartition(3)
     rate = 0.001
     got = trading.evaluated(df, "p", ["k"], rate).toPandas().sort_values(["k", "timestamp"])
-    for key in ("a", "b"):
-        own, held, gross, net, tops = got[got["k"] == key], 0.0, 1.0, 1.0, [-np.inf, -np.inf]
+    for key in ("a", "b", None):
+        own, held, gross, net, tops = got[got["k"].isna() if key is None else got["k"] == key], 0.0, 1.0, 1.0, [-np.inf, -np.inf]
         for (_, _, p, r), x in zip([q for q in rows if q[0] == key and q[3] is not None], own.itertuples()):
             change, held = abs(p - held), p
             gross, net = gross * (1 + p * r), net * (1 + p * r - rate * change)
@@ -135,3 +144,66 @@ def test_last_boundary(spark):
 def test_settled_is_read_from_the_shared_folder(spark):
     rows = settled(spark.range(100).withColumn("x", F.rand()))
     assert rows.agg(F.sum("x")).first() == rows.agg(F.sum("x")).first() and "ExistingRDD" in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_checks_ride_on_the_write(spark, skewed, tmp_path):
+    bars = _frame(spark, skewed)
+    bad = bars.unionByName(bars.where("symbol = 'rare'")).withColumn("low", F.when(F.col("tickvol") == 7, F.col("high") + 1).otherwise(F.col("low")))
+    wanted = [*checks.row_checks(), *checks.series_checks(), *checks.bar_checks(), *checks.feature_checks(["close", "low"])]
+    found = {r.check: r for r in checks.write_checked(bad, f"{tmp_path}/bars.parquet", wanted, ["symbol"]).collect()}
+    taken = {}
+    for name, write in (("plain", lambda: sources.write_table(bars, f"{tmp_path}/plain.parquet")), ("checked", lambda: checks.write_checked(bars, f"{tmp_path}/checked.parquet", checks.bar_checks()))):
+        spark.sparkContext.setJobGroup(name, name)
+        write()
+        taken[name] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    spark.sparkContext.setJobGroup("after", "after")
+    assert taken["checked"] == taken["plain"]  # no job more
+    written = spark.read.parquet(f"{tmp_path}/bars.parquet")
+    manifest = quality.data_manifest(written, "m").first()
+    assert sorted(written.columns) == sorted(bars.columns) and manifest.bars == found["bars"].value == bad.count()
+    assert all(found[n].value == manifest[n] for n in ("invalid_ohlc", "tickvol_not_positive", "negative_vol", "negative_spread", "zero_spread"))
+    assert found["duplicate_timestamps"].value == 12 and not found["duplicate_timestamps"].passed and not found["invalid_ohlc"].passed and found["negative_vol"].passed
+    with pytest.raises(ValueError, match="invalid_ohlc"):
+        checks.write_checked(bad, f"{tmp_path}/again.parquet", checks.bar_checks(), stop=True)
+    made = labels.learning_target(bars, by=["symbol"])
+    verdict = {r.check: r.value for r in checks.write_checked(made, f"{tmp_path}/labels.parquet", checks.label_checks()).collect()}
+    report = labels.target_validation(made).first()
+    assert verdict["wrong_classes"] == report.wrong_classes == 0 and verdict["null_returns"] == report.null_returns and verdict["max_error"] == pytest.approx(report.max_error)
+
+
+def _below(plan):
+    """Each exchange of a plan with the lines under it."""
+    lines = plan.splitlines()
+    depth = lambda x: len(x) - len(x.lstrip(" :+-*0123456789()"))
+    for i, line in enumerate(lines):
+        if "Exchange" in line and "Reused" not in line:
+            under = []
+            for x in lines[i + 1 :]:
+                if depth(x) <= depth(line):
+                    break
+                under.append(x)
+            yield line, under
+
+
+def test_stored_series_are_aligned_without_an_exchange_of_rows(spark, skewed):
+    bars = _frame(spark, skewed)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # the plan as it is run
+    try:
+        sources.write_series(bars, "stored_bars", ["symbol"], 4)
+        stored = sources.read_series(spark, "stored_bars")
+        got = align.rolled_up(stored, ["symbol"])
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        found = list(_below(plan))
+        assert found and all(any("Aggregate" in x for x in under) for _, under in found)  # only the row of a block moves
+        want = align.rolled_up(bars, ["symbol"])
+        a, b = (x.drop("_block").toPandas().sort_values(["symbol", "timestamp"]).reset_index(drop=True) for x in (got, want))
+        pd.testing.assert_frame_equal(a[b.columns], b, check_dtype=False)
+        year = sources.read_series(spark, "stored_bars", years=[2023])
+        scan = year._jdf.queryExecution().executedPlan().toString()
+        assert re.search(r"PartitionFilters: \[[^]]*_year#\d+ (=|IN)", scan) and year.count() == sum(t.year == 2023 for t in skewed["timestamp"])
+        span = sources.read_series(spark, "stored_bars", start="2024-02-01 00:00:00", end="2024-02-10 12:00:00")
+        assert "_year" in re.search(r"PartitionFilters: \[([^]]*)\]", span._jdf.queryExecution().executedPlan().toString())[1]
+        assert span.count() == ((skewed["timestamp"] >= "2024-02-01") & (skewed["timestamp"] <= "2024-02-10 12:00")).sum()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.sql("DROP TABLE IF EXISTS stored_bars")

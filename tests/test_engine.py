@@ -367,3 +367,30 @@ def test_ranks_of_all_layers(spark):
     front = ensemble.pareto_front(points, ["a", "b", "c"])
     assert {r.id for r in front.collect()} == {i for i, p in enumerate(x) if of[tuple(p)] == 1} and "NestedLoop" not in front._jdf.queryExecution().executedPlan().toString()
     assert ensemble.pareto_ranks(points.limit(0), ["a", "b"]).count() == 0
+
+
+def test_streamed_context_equals_batch(spark, tmp_path):
+    """Bars come in several files, also late ones; the contexts are those of the batch over the bars that were in time."""
+    rng = np.random.default_rng(9)
+    parts = []
+    for k in ("a", "b"):
+        times = [T0 + i * QUARTER for i in range(600) if rng.random() > 0.3]
+        close = 100 + np.cumsum(rng.normal(size=len(times)))
+        parts.append(pd.DataFrame({"symbol": k, "timestamp": times, "open": close - 0.5, "high": close + 1, "low": close - 2, "close": close, "tickvol": rng.integers(1, 9, len(times)), "vol": 1, "spread": 2}))
+    bars = pd.concat(parts).sort_values("timestamp", kind="stable").reset_index(drop=True)
+    frame = lambda x: spark.createDataFrame(x).withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+    late = bars.iloc[[5, 40]].assign(close=-1.0)
+    out, seen = f"{tmp_path}/out", f"{tmp_path}/seen"
+    for at in range(0, len(bars), 211):
+        more = [bars.iloc[at : at + 211], *([late] if at == 422 else [])]
+        frame(pd.concat(more)).coalesce(1).write.mode("append").parquet(f"{tmp_path}/bars")
+        stream = streaming.stream_context(spark.readStream.schema(frame(bars).schema).parquet(f"{tmp_path}/bars"), ["symbol"])
+        query = streaming.write_bars(stream, out, seen)
+        assert query.awaitTermination(120)
+    got = spark.read.parquet(out)
+    agg = {"open": "first", "high": "max", "low": "min", "close": "last", "tickvol": "sum", "vol": "sum", "spread": "last"}
+    higher = [frame(bars.set_index("timestamp").groupby("symbol").resample(r).agg(agg).dropna(subset=["open"]).reset_index().astype({c: "int64" for c in ("tickvol", "vol", "spread")})) for r in ("1h", "1D")]
+    want = align.align_timeframes(frame(bars), *higher, ["symbol"], "close").select(got.columns)
+    a, b = (x.toPandas().sort_values(["symbol", "timestamp"]).reset_index(drop=True) for x in (got, want))
+    assert len(a) == len(bars)
+    pd.testing.assert_frame_equal(a, b, check_dtype=False)
