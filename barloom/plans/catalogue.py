@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from barloom.functions import settled, shared_folder
 from barloom.operators import align, bars, checks, ensemble, features, labels, learners, metrics, nulls, optimize, profile, quality, splits, trading, tree_text
 from barloom.plans import fixtures as fx
-from barloom.sources import read_artifact, table, write_report
+from barloom.sources import read_artifact, read_raw_bars, table, write_report
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -51,6 +51,19 @@ def _raw(s: SparkSession, d: str) -> DataFrame:
 
 
 add("standardize_bars", _raw, q(fx.M15, 'SELECT "timestamp", ' + ", ".join(f"round(round({c}, 4)::FLOAT::DOUBLE, 2) AS {c}" for c in P.split()) + ", tickvol, vol, spread FROM m15"), P)
+
+
+def _raw_files(s: SparkSession, d: str) -> DataFrame:
+    """The bars as tab-separated text files, written and read again as raw input is: names in angle brackets, all strings."""
+    m = fx.m15(s, d)
+    text = [F.format_string("%.4f", F.col(c)).alias(f"<{c.upper()}>") for c in P.split()] + [F.col(c).cast("string").alias(f"<{c.upper()}>") for c in ("tickvol", "vol", "spread")]
+    path = f"{shared_folder(s)}/raw-{uuid.uuid4().hex}"
+    m.select(F.date_format("timestamp", "yyyy.MM.dd").alias("<DATE>"), F.date_format("timestamp", "HH:mm:ss").alias("<TIME>"), *text).write.option("sep", "\t").option("header", True).csv(path)
+    raw = read_raw_bars(s, path)
+    return bars.standardize(raw).drop("ordinal").withColumns({c: F.round(F.col(c).cast("double"), 2) for c in P.split()})
+
+
+add("raw_file_bars", _raw_files, q(fx.M15, 'SELECT "timestamp", ' + ", ".join(f"round(round({c}, 4)::FLOAT::DOUBLE, 2) AS {c}" for c in P.split()) + ", tickvol, vol, spread FROM m15"), P)
 add("data_manifest", lambda s, d: quality.data_manifest(fx.m15(s, d), "m15"), q(fx.M15, """SELECT 'm15' AS timeframe, count(*) AS bars, min("timestamp") AS first, max("timestamp") AS last, count("timestamp") - count(DISTINCT "timestamp") AS duplicate_timestamps,
   count(*) FILTER (high < low OR high < open OR high < close OR low > open OR low > close OR open <= 0 OR high <= 0 OR low <= 0 OR close <= 0) AS invalid_ohlc, count(*) FILTER (tickvol <= 0) AS tickvol_not_positive, count(*) FILTER (vol < 0) AS negative_vol, count(*) FILTER (spread < 0) AS negative_spread, count(*) FILTER (spread = 0) AS zero_spread FROM m15"""))
 RAW = ["event_id", "ts", "user_id", "event_type", "value", "props"]
@@ -140,7 +153,7 @@ add("partial_availability", lambda s, d: features.partial_availability(align.par
 add("feature_null_profile", lambda s, d: profile.null_profile(fx.featured(s, d), ALL_FEATURES), q(FS, " UNION ALL ".join(f"SELECT '{c}' AS feature, count(*) FILTER ({c} IS NULL) AS nulls, 100.0::DOUBLE * count(*) FILTER ({c} IS NULL) / count(*) AS percent, count(*) FILTER (NOT isfinite({c}::DOUBLE)) AS not_finite FROM features" for c in ALL_FEATURES)), "percent")
 add("null_ranking", lambda s, d: profile.null_ranking(fx.featured(s, d), ALL_FEATURES), q(FS, "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, count(*) FILTER ({c} IS NULL) AS nulls, 100.0::DOUBLE * count(*) FILTER ({c} IS NULL) / count(*) AS percent, count(*) FILTER (NOT isfinite({c}::DOUBLE)) AS not_finite FROM features" for c in ALL_FEATURES) + ") ORDER BY nulls DESC, feature LIMIT 20"), "percent")
 add("h1_bar_return", lambda s, d: pick(features.h1_bar_returns(fx.featured(s, d)), "h1_completed_timestamp", "h1_bar_return_1"), q(FS + f", {BAR_RETURN}", 'SELECT "timestamp", h1_completed_timestamp, h1_bar_return_1 FROM features LEFT JOIN hours USING (h1_completed_timestamp)'), "h1_bar_return_1")
-CONSTANT = ["vol_x", "close_x", "h1_completed_vol", "d1_completed_vol", "m15_range"]
+CONSTANT = ["vol_x", "close_x", "h1_completed_vol", "d1_completed_vol", *ALL_FEATURES]
 add("constant_features", lambda s, d: profile.constant_features(fx.featured(s, d), CONSTANT), q(FS, " UNION ALL ".join(f"SELECT '{c}' AS feature, (count(DISTINCT {c}) <= 1)::INTEGER AS constant FROM features" for c in CONSTANT)))
 SAME = ["close_x", "vol_x", "h1_completed_vol", "m15_range", "m15_body", "m15_body_abs", "m15_copy"]
 add("duplicate_features", lambda s, d: profile.duplicate_features(fx.featured(s, d).withColumn("m15_copy", F.col("m15_range")), SAME), q(FS + ", f AS (SELECT *, m15_range AS m15_copy FROM features)", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS \"left\", '{b}' AS \"right\", bool_and({a} IS NOT DISTINCT FROM {b}) AS same FROM f" for i, a in enumerate(SAME) for b in SAME[i + 1 :]) + ") WHERE same"))
@@ -288,7 +301,14 @@ add("position_changes", lambda s, d: pick(trading.evaluated(fx.ensembled(s, d)),
 SUMMARY = f"""count(*) AS bars, count(*) FILTER (position <> 0) AS trades, coalesce(count(*) FILTER (position <> 0 AND gross_return > 0)::DOUBLE / nullif(count(*) FILTER (position <> 0), 0), 0) AS win_rate, arg_max(gross_equity, "timestamp") - 1 AS total_return, min(gross_drawdown) AS max_drawdown, {SHARPE("gross_return")} AS sharpe"""
 SD = "win_rate total_return max_drawdown sharpe"
 add("equity_summary", lambda s, d: trading.equity_summary(trading.evaluated(fx.ensembled(s, d))), q(T, f"SELECT {SUMMARY} FROM traded"), SD)
-add("per_regime_metrics", lambda s, d: trading.equity_summary(trading.evaluated(fx.ensembled(s, d), by=["regime"]), ["regime"]).join(metrics.classification_report(fx.ensembled(s, d), ["regime"]).withColumnRenamed("bars", "labelled_bars"), "regime"), q(f"{E}, {fx.trading_sql(by='regime')}, x AS (SELECT regime, {SUMMARY} FROM traded GROUP BY 1), m AS (SELECT regime, count(*) AS labelled_bars, {ACC} AS accuracy, {F1} AS macro_f1, {LOSS} AS log_loss FROM ensembled GROUP BY 1)", "SELECT * FROM x JOIN m USING (regime)"), SD + " accuracy macro_f1 log_loss")
+
+
+def _per_regime(s: SparkSession, d: str) -> DataFrame:
+    rows = fx.ensembled(s, d)
+    return trading.equity_summary(trading.evaluated(rows, by=["regime"]), ["regime"]).join(metrics.classification_report(rows, ["regime"]).withColumnRenamed("bars", "labelled_bars"), "regime")
+
+
+add("per_regime_metrics", _per_regime, q(f"{E}, {fx.trading_sql(by='regime')}, x AS (SELECT regime, {SUMMARY} FROM traded GROUP BY 1), m AS (SELECT regime, count(*) AS labelled_bars, {ACC} AS accuracy, {F1} AS macro_f1, {LOSS} AS log_loss FROM ensembled GROUP BY 1)", "SELECT * FROM x JOIN m USING (regime)"), SD + " accuracy macro_f1 log_loss")
 SCENARIOS = E + ", scenarios AS (SELECT * FROM (VALUES " + ", ".join(f"('{n}', {r}::DOUBLE)" for n, r in trading.COST_SCENARIOS.items()) + ") AS v(scenario, rate)), spread AS (SELECT * FROM ensembled CROSS JOIN scenarios), " + fx.trading_sql("spread", rate="rate", by="scenario").replace("SELECT scenario, ", "SELECT scenario, rate, ", 1)
 COSTS = f"""scenario, rate, count(*) AS bars, count(*) FILTER (position <> 0) AS directional_bars, count(*) FILTER (position_change > 0) AS position_changes, arg_max(gross_equity, "timestamp") - 1 AS gross_total_return, sum(cost) AS total_cost, arg_max(net_equity, "timestamp") - 1 AS net_total_return, arg_max(net_equity, "timestamp") AS net_equity, min(net_drawdown) AS max_drawdown_net,
   coalesce(count(*) FILTER (position <> 0 AND net_return > 0)::DOUBLE / nullif(count(*) FILTER (position <> 0), 0), 0) AS win_rate_net, {SHARPE("net_return")} AS sharpe_net, {SHARPE("net_return")} * sqrt(count(*) / (date_diff('second', min("timestamp"), max("timestamp")) / 86400.0::DOUBLE / 365.25)) AS sharpe_annual"""
