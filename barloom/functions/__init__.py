@@ -75,12 +75,14 @@ def in_blocks(rows: DataFrame, by: Sequence[str] = (), ts: str = "timestamp") ->
 
 
 def join_blocks(rows: DataFrame, blocks: DataFrame, by: Sequence[str]) -> DataFrame:
-    """rows with the columns of blocks (a row for each symbol and block); null for rows that lack a symbol."""
+    """rows with the columns of blocks (a row for each symbol and block); null for rows that lack a symbol. The keys of
+    blocks pass through a window, beyond which no filter of null keys is pushed: so both sides read one exchange of rows."""
     keys = [*by, BLOCK]
-    same = F.lit(True)
+    same, own = F.lit(True), Window.partitionBy(*keys)
     for k in keys:
         same = same & (rows[k] == F.col(f"_of_{k}"))
-    return rows.join(blocks.withColumnsRenamed({k: f"_of_{k}" for k in keys}), same, "left").drop(*[f"_of_{k}" for k in keys])
+    named = blocks.withColumns({f"_of_{k}": F.max(k).over(own) for k in keys}).drop(*keys)
+    return rows.join(named, same, "left").drop(*[f"_of_{k}" for k in keys])
 
 
 def _blocks_in_order(by: Sequence[str], later: bool = False) -> WindowSpec:

@@ -236,7 +236,7 @@ def _run(state: DataFrame, names: Sequence[str], cuts: list[list[float]], prior:
     """(model, best number of rounds, losses on the held rows after each round)."""
     classes, features, rng = len(prior), len(names), np.random.default_rng(p.seed)
     trees, losses, best = [], [], (float("inf"), 0)
-    first, kept = state, []
+    kept = []
     for round_ in range(p.rounds + use_held):
         chosen = [sorted(rng.choice(features, max(1, round(p.column_share * features)), replace=False).tolist()) for _ in range(classes)]
         grown: list[dict[int, tuple]] = [{} for _ in range(classes)]
@@ -276,7 +276,6 @@ def _run(state: DataFrame, names: Sequence[str], cuts: list[list[float]], prior:
             kept.append(state)
     for df in kept:
         df.unpersist()
-    assert first is not state or not p.rounds
     return TreeModel(list(names), classes, trees), p.rounds, losses
 
 
