@@ -36,6 +36,8 @@ HOLE = f"[{''.join(HOLES.values())}]"
 #: Words on each side of a span that may tell its kind.
 CLOSE = 5
 EDGE = ".,;:!?()\"'|"
+#: Entities of a text that meet its terms in one task.
+CHUNK = 100
 NO_SPANS = "array<struct<start:int,end:int,value:string>>"
 
 
@@ -174,6 +176,11 @@ def entity_texts(docs: DataFrame) -> DataFrame:
     return docs.select("of", F.explode_outer(F.array_distinct(named)).alias("s")).where("s is not null").select("of", "s.kind", "s.entity").distinct()
 
 
+def _sets_of(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys, and a fingerprint (s, t) of the set of texts (of) in which each stands. rows: distinct."""
+    return rows.groupBy(*keys).agg(F.bit_xor(F.xxhash64("of")).alias("s"), F.bit_xor(F.xxhash64("of", F.lit(1))).alias("t"))
+
+
 def disclosive_terms(docs: DataFrame, seen: DataFrame, threshold: float = 0.75, removal: float = 0.95, min_texts: int = 3, min_bits: float = 4.0, broadcast_terms: int = 50_000) -> tuple[DataFrame, DataFrame]:
     """(terms, hits) for docs (of, text) and their entity_texts. terms: term, share (the greatest PMI / information content over the
     entities and kinds), kind (that entity's), removed. hits: of, term for each text with such a term. Counts
@@ -181,7 +188,8 @@ def disclosive_terms(docs: DataFrame, seen: DataFrame, threshold: float = 0.75,
     number of min_texts texts on, in which near copies are about one (see _independent). A
     kind counts as an entity that stands in the texts where the term is close to such a span, if the term tells min_bits
     about it or more: a kind that stands in most texts is no secret. Phrases are no terms:
-    near copies of a text share all of theirs. Sets of up to broadcast_terms candidate terms are broadcast, larger ones are joined by a shuffle."""
+    near copies of a text share all of theirs. Sets of up to broadcast_terms candidate terms are broadcast, larger ones are joined by a shuffle. A list of many entities
+    and terms costs a pair for each two classes that stand in the same texts, dealt out by chunks of entities."""
     total = F.lit(float(docs.select("of").distinct().count()))
     information = F.log2(total / F.col("with_entity"))
 
@@ -210,9 +218,21 @@ def disclosive_terms(docs: DataFrame, seen: DataFrame, threshold: float = 0.75,
     near_all = materialize(words.groupBy("term").agg(F.count(F.lit(1)).alias("near_entities")).where(F.col("near_entities") >= min_texts), "near-terms")
     at_best = share(F.col("near_entities"), F.least("with_entity", "near_entities"))
     near_known = near_all.withColumn("with_entity", F.lit(most)).where(F.coalesce(at_best >= least, F.lit(most) >= total)).drop("with_entity")
-    of_known = words.join(small(known.select("of").distinct()), "of")
-    met = known.join(of_known.join(small(materialize(near_known, "near-known-terms")), "term"), "of").where(at_best >= least)
-    pairs = _independent(met, "entity", "kind", "with_entity", "term", "near_entities").where((F.col("independent") >= min_texts - 1e-9) & (share(F.col("near_entities")) >= least))
+    of_text = known.groupBy("of").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    of_known = words.join(small(of_text), "of")
+    # entities that stand in the same texts are one class, and so are terms: all pairs of two classes have the same counts
+    alike = ["kind", "with_entity", "e1", "e2"]
+    entity_sets = _sets_of(known, "entity", "kind", "with_entity").withColumnsRenamed({"s": "e1", "t": "e2"}).select("entity", "e1", "e2")
+    met_terms = materialize(of_known.join(small(materialize(near_known, "near-known-terms")), "term"), "met-terms")
+    term_sets = materialize(_sets_of(met_terms, "term", "near_entities"), "term-sets")
+    by_class = met_terms.join(term_sets.drop("near_entities"), "term").select("of", "chunks", "near_entities", "s", "t").distinct()
+    left = known.join(entity_sets, "entity").select("of", "least", *alike).distinct().withColumn("at", F.xxhash64("e1", "e2"))
+    # a text with many entities meets its terms in chunks of them
+    left = left.join(small(of_text), "of").withColumn("chunk", F.pmod("at", "chunks").cast("int")).drop("at", "chunks")
+    right = by_class.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
+    met = left.join(right, ["of", "chunk"]).where(at_best >= least)
+    pairs = _independent(met, *alike, "near_entities", "s", "t").where((F.col("independent") >= min_texts - 1e-9) & (share(F.col("near_entities")) >= least))
+    pairs = pairs.select("kind", "with_entity", "near_entities", "s", "t", "both").distinct().join(term_sets, ["near_entities", "s", "t"])
     pairs = pairs.select("kind", "with_entity", "term", "both", F.lit(True).alias("single"))
     around = _let(_holed_words(F.col("text")), _close_words)
     beside = whole.select("of", F.explode_outer(F.array_distinct(around)).alias("s")).where("s is not null").select("of", "s.*")

@@ -353,6 +353,23 @@ def test_pii_shares_match_brute_force(spark):
     assert hits.count() == sum(len(df[x]) for x in want)
 
 
+def test_pii_lists_of_entities_make_no_pairs(spark, monkeypatch):
+    """Texts with many entities and terms: classes instead of pairs, in chunks; the same terms as for each entity alone."""
+    rng = random.Random(12)
+    names, people = [f"name{i}" for i in range(200)], [f"user{i}@corp.example.com" for i in range(300)]
+    mixed = lambda xs: " ".join(rng.sample(xs, len(xs)))
+    rows = [(i, f"{mixed(people)} {mixed(names)}") for i in range(4)]
+    rows += [(10 + i, f"{mixed(people[:20])} {mixed(names[:5])} also") for i in range(4)]
+    rows += [(100 + i, f"text {i} of other words {names[i % 2]}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").select(F.xxhash64("text").alias("of"), "text")
+    got = []
+    for size in (100, 3):
+        monkeypatch.setattr(pii, "CHUNK", size)
+        got.append({tuple(r) for r in pii.disclosive_terms(docs, pii.entity_texts(docs))[0].collect()})
+    assert got[0] == got[1] and {*names[2:]} <= {r[0] for r in got[0]} and not {*names[:2]} & {r[0] for r in got[0]}
+    assert all(r[1] == 1.0 and r[3] for r in got[0] if r[0] != "also")
+
+
 def test_pii_credentials(spark):
     """Credentials are cut and the word before them is generalised to their kind."""
     rng = random.Random(8)
