@@ -18,6 +18,8 @@ SPACE = r"\x20\x09-\x0D"
 SLICE_ROWS = 1000
 #: Bits of the bitmap of wanted keys that goes to every task (4 MB), and of one row of it.
 KEY_BITS, KEY_ROW_BITS = 1 << 25, 1 << 15
+#: Rows from which a key is joined by broadcast, and most such keys (some 50 bytes each).
+HOT, HOT_KEYS = 500, 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -120,3 +122,17 @@ def join_few(df: DataFrame, few: DataFrame, key: str) -> DataFrame:
     hit = marked.where("_likely").drop("_likely").join(few, key, "left")
     added = {f.name: F.lit(None).cast(f.dataType) for f in few.schema if f.name != key}
     return hit.unionByName(marked.where("not _likely").drop("_likely").withColumns(added))
+
+
+def join_hot(rows: DataFrame, shared: DataFrame, key: str) -> DataFrame:
+    """rows joined with shared (key, df: how many of the rows have it, and more; a row a key). A key of very many rows
+    would meet in one task: the hottest keys go to every task instead. Of all rows HOT_KEYS keys at most can have more
+    than a share of 1 / HOT_KEYS each, so the bound holds at any size; the other keys have few rows each."""
+    seen = shared.agg(F.coalesce(F.sum("df"), F.lit(0)).alias("rows"), F.coalesce(F.max("df"), F.lit(0)).alias("most")).first()
+    limit = max(HOT, seen.rows // HOT_KEYS)
+    if seen.most <= limit:
+        return rows.join(shared, key)
+    hot = shared.where(F.col("df") > limit)
+    tried = rows.join(F.broadcast(hot), key, "left")
+    usual = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return tried.where("df is not null").unionByName(usual.join(shared.where(F.col("df") <= limit), key))

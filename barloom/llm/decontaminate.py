@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import by_batch, join_few, materialize, rows_of, table
+from barloom.llm.common import by_batch, join_few, join_hot, materialize, rows_of, table
 
 #: Least tokens of a seed and so of a tile.
 SEED = 5
@@ -24,6 +24,8 @@ SEED = 5
 BROADCAST_BYTES = 16 << 20
 #: Bits for each seed of the filter that a large test set sends ahead, and most bits of it (64 MB).
 SEED_BITS, MOST_BITS = 16, 1 << 29
+#: Documents of a seed that meet its items in one task.
+CHUNK = 1000
 _EDGE = string.punctuation
 _WEIGHTS = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 64, SEED, np.uint64) | np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
@@ -245,7 +247,12 @@ def _by_join(docs: DataFrame, items: DataFrame, least: float) -> DataFrame:
     for r in rows.groupBy("row").agg(F.bitmap_construct_agg("at").alias("bits")).toLocalIterator():  # MOST_BITS in all
         bits[r.row << 12 : r.row + 1 << 12] = np.frombuffer(bytes(r.bits), np.uint8)
     keyed = docs.withColumn("_key", F.sha2(F.coalesce("text", F.lit("")), 256))
-    shared = _seeds(keyed.select(F.col("_key").alias("key"), "text"), bits).select("key", "seed").distinct().join(item_seeds, "seed")
+    mine = materialize(_seeds(keyed.select(F.col("_key").alias("key"), "text"), bits).select("key", "seed").distinct(), "document-seeds")
+    # a seed of many documents meets its items in chunks of those
+    df = materialize(mine.groupBy("seed").agg(F.count(F.lit(1)).alias("df")), "seed-counts")
+    chunks = F.ceil(F.col("df") / CHUNK).cast("int")
+    theirs = item_seeds.join(df, "seed").withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).drop("df")
+    shared = join_hot(mine, df, "seed").withColumn("chunk", F.pmod(F.xxhash64("key"), chunks).cast("int")).drop("df").join(theirs, ["seed", "chunk"])
     # tokens of the item in shared seeds are no more than SEED times their places
     pairs = shared.groupBy("key", "item", "size").agg(F.sum("places").alias("places")).where(SEED * F.col("places") >= least * F.col("size"))
     pairs = materialize(pairs.select("key", "item"), "item-pairs")

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import as_bytes, by_batch, materialize, table
+from barloom.llm.common import as_bytes, by_batch, join_hot, materialize, table
 
 #: Bits of each Bloom filter for a line, and least and most bits: 32 MB to the driver and to each task at most. With
 #: three hashes, half of the lines that aren't repeated are suspected from 140 million distinct lines on.
@@ -238,7 +238,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, keep_first: bool = False, b
 
     stays = F.col("first.doc_id").eqNullSafe(F.col("doc_id")) if keep_first else F.lit(False)
     entry = F.struct("key", F.when(stays, F.col("first.line_no")).alias("stays"))
-    own = suspects.select("doc_id", "key").join(repeated, "key").groupBy(F.col("doc_id").alias("_of")).agg(F.collect_set(entry).alias(_DROPS))
+    own = join_hot(suspects.select("doc_id", "key"), repeated.withColumnRenamed("docs", "df"), "key").groupBy(F.col("doc_id").alias("_of")).agg(F.collect_set(entry).alias(_DROPS))
     joined = docs.join(own, docs.doc_id.eqNullSafe(own["_of"]), "left").drop("_of")
 
     def by_row():

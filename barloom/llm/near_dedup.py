@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import as_bytes, by_batch, likely_in, materialize, rows_of, settle, table
+from barloom.llm.common import as_bytes, by_batch, join_hot, likely_in, materialize, rows_of, settle, table
 from barloom.llm.components import connected_components
 
 #: 80 permutations give 160 values: 32 bands of 5. A pair of similarity 0.8 is missed with probability 3e-6.
@@ -25,8 +25,6 @@ BANDS = 2 * PERMUTATIONS // BAND_ROWS
 _RANDOM = np.random.Generator(np.random.PCG64(20240501))
 _MASKS = _RANDOM.integers(0, 1 << 64, PERMUTATIONS, np.uint64)
 _FACTORS = _RANDOM.integers(0, 1 << 64, PERMUTATIONS, np.uint64) | np.uint64(1)
-#: Rows from which a shingle or bucket is joined by broadcast, and most such keys (some 50 bytes each).
-HOT, HOT_KEYS = 500, 500_000
 #: Rows of a shingle that are compared in one task.
 CHUNK = 1000
 _WEIGHTS = _RANDOM.integers(0, 1 << 64, 64, np.uint64) | np.uint64(1)
@@ -132,17 +130,6 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> D
     return joined.select("a", "b", "text_a", "text_b").mapInArrow(by_batch(make), "a bigint, b bigint").distinct()
 
 
-def _with_hot(rows: DataFrame, shared: DataFrame, key: str = "shingle") -> DataFrame:
-    """rows joined with shared (key, df: its rows, and more) by the key. One of more than HOT rows would meet in one task:
-    there are few of those, at most a row in HOT, and up to HOT_KEYS of them go to every task instead."""
-    hot = shared.where(F.col("df") > HOT)
-    if not 0 < hot.count() <= HOT_KEYS:
-        return rows.join(shared, key)
-    tried = rows.join(F.broadcast(hot), key, "left")
-    usual = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
-    return tried.where("df is not null").unionByName(usual.join(shared.where(F.col("df") <= HOT), key))
-
-
 def _prefix_pairs(apart: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs (a, b) of apart (node, class, rep, n, c: component) in different components that may meet the similarity.
 
@@ -166,14 +153,14 @@ def _prefix_pairs(apart: DataFrame, docs: DataFrame, words: int, percent: int) -
     rows = materialize(found.join(apart.select("class", "node"), "class").select("node", "shingles"), "apart-shingles")
     rows = rows.select("node", F.explode("shingles").alias("shingle"))
     shared = materialize(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "shared-shingles")
-    lists = _with_hot(rows, shared).groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("list"))
+    lists = join_hot(rows, shared, "shingle").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("list"))
     alone = F.col("n") - F.size("list")  # shingles that no other has come first
     length = F.col("n") - F.floor((percent * F.col("n") + 99) / 100).cast("long") + 1
     front = lists.join(apart, "node").select("rep", "n", "c", F.posexplode(F.slice("list", F.lit(1), F.greatest(length - alone, F.lit(0)).cast("int"))).alias("at", "s"), alone.alias("alone"))
     front = materialize(front.select("rep", "n", "c", F.col("s.shingle").alias("shingle"), (F.col("alone") + F.col("at") + 1).alias("place")), "prefixes")
     largest = front.groupBy("shingle", "c").count().groupBy("shingle").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count(F.lit(1)).alias("met"), F.sum("count").alias("df")).where("met > 1").drop("met")
     largest = materialize(largest, "met-shingles")
-    front = _with_hot(likely_in(front, largest.select("shingle"), "shingle").where("_likely").drop("_likely"), largest)
+    front = join_hot(likely_in(front, largest.select("shingle"), "shingle").where("_likely").drop("_likely"), largest, "shingle")
     # what meets a shingle comes in chunks, each beside a copy of the shingle's rows of the smaller components
     chunks = F.ceil(F.col("df") / CHUNK).cast("int")
     one = front.where("c <> main").withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1))).drop("main", "df")
@@ -200,7 +187,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     reps = materialize(reps.where("rep is not null").withColumn("node", F.monotonically_increasing_id()), "classes")
     member = reps.select(F.explode("bands").alias("key"), "node", "rep", "n")
     hubs = materialize(member.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("hub"), F.count(F.lit(1)).alias("df")).where("df > 1"), "hubs")
-    buckets = materialize(_with_hot(member, hubs, "key").drop("df"), "buckets")
+    buckets = materialize(join_hot(member, hubs, "key").drop("df"), "buckets")
     star = buckets.where((F.col("hub.rep") != F.col("rep")) & _near(F.col("hub.n"), F.col("n"), percent))
     pairs = materialize(star.select(F.col("hub.rep").alias("a"), F.col("rep").alias("b")).distinct(), "star-pairs")
     links = settle(spark, lambda: _confirmed(pairs, docs, words, percent), "star-links")
@@ -211,7 +198,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     split = placed.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count(F.lit(1)).alias("df")).where("low <> high").select("key", "df")
     split = materialize(split, "split-buckets")
     maybe = likely_in(placed, split.select("key"), "key").where("_likely").drop("_likely")
-    apart = _with_hot(maybe, split, "key").select("node", "rep", "n", "c").distinct()
+    apart = join_hot(maybe, split, "key").select("node", "rep", "n", "c").distinct()
     apart = materialize(apart.join(reps.select("node", "class"), "node"), "apart")
     rest = settle(spark, lambda: _prefix_pairs(apart, docs, words, percent), "rest-pairs")
     more = settle(spark, lambda: _confirmed(rest, docs, words, percent), "rest-links")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from barloom import llm
-from barloom.llm import decontaminate, html_extract, language_id, lattice_lm, line_dedup, near_dedup, packing, pii, quality_rules, sharding
+from barloom.llm import common, decontaminate, html_extract, language_id, lattice_lm, line_dedup, near_dedup, packing, pii, quality_rules, sharding
 from barloom.llm.components import connected_components
 from tests.llm.conftest import LOWER, WORD
 
@@ -408,6 +408,18 @@ def _lines(rows, least, first):
     return out
 
 
+@pytest.mark.parametrize("hot, keys", [(500, 500_000), (3, 500_000), (3, 2), (0, 4)])
+def test_hot_keys_join_as_others_do(spark, monkeypatch, hot, keys):
+    """Keys of many rows, more hot ones than may be broadcast, and keys without rows."""
+    monkeypatch.setattr(common, "HOT", hot)
+    monkeypatch.setattr(common, "HOT_KEYS", keys)
+    rows = spark.createDataFrame([(k, n) for k in range(8) for n in range(2**k if k < 6 else 5)], "key long, n long")
+    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("df")).where("key <> 7").withColumn("more", F.col("key") * 2)
+    got = common.join_hot(rows, shared, "key")
+    assert sorted(map(tuple, got.select("key", "n", "df", "more").collect())) == sorted(map(tuple, rows.join(shared, "key").select("key", "n", "df", "more").collect()))
+    assert common.join_hot(rows.limit(0), shared.limit(0), "key").count() == 0
+
+
 @pytest.mark.parametrize("broadcast", [1000, 0])
 @pytest.mark.parametrize("first", [False, True])
 def test_line_dedup_matches_brute_force(spark, broadcast, first):
@@ -601,7 +613,9 @@ def test_decontamination_edges(spark, edge, empty):
         assert not any(r.contaminated for r in decontaminate.decontaminate(edge, bench.limit(0), broadcast_bytes=limit).collect())
 
 
-def test_decontamination_join_equals_broadcast(spark, sf):
+@pytest.mark.parametrize("size", [decontaminate.CHUNK, 2])
+def test_decontamination_join_equals_broadcast(spark, sf, monkeypatch, size):
+    monkeypatch.setattr(decontaminate, "CHUNK", size)
     docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
     rows = [sorted(map(tuple, decontaminate.decontaminate(docs.select("doc_id", "text"), bench, broadcast_bytes=n).drop("text").collect())) for n in (1 << 24, 0)]
     assert rows[0] == rows[1] and any(r[-1] for r in rows[0])
