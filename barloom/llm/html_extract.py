@@ -1,11 +1,12 @@
-"""Main text of web pages: page zones, and nearest-URL page differencing for the lines that no zone settles.
+"""Main text of web pages by nearest-URL page differencing, checked against the markup.
 
-Pages of a host are paired with the page whose URL path is nearest, the text lines of both are aligned by longest
+Every page is paired with the page of its host whose URL path is nearest, the text lines of both are aligned by longest
 common subsequence, and shared lines are deleted as boilerplate. Differencing alone is wrong in two ways: menus and
 notices that differ from page to page stay, and article lines that two pages share go. So the parts that the markup
-itself names (menus, forms, adverts, comments, ...) are cut first, and where an article element holds the page's text its
-lines are never deleted. In a main element only shared lines before the first or after the last line of the page's own go; on
-a page without either all shared lines go.
+itself names (menus, forms, adverts, comments, ...) are cut first, and a check by the element that holds the page's text
+follows. On a page without an article or main element all shared lines go. In a main element those go that stand before
+the first or after the last line of the page's own. In an article element such a line goes if it is no heading and the
+pages of the host confirm it: most of those that were compared with a page of another article share it.
 """
 
 from __future__ import annotations
@@ -16,13 +17,14 @@ from bisect import bisect_left
 from collections import defaultdict
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from barloom.llm.common import by_batch, materialize, settle, table
+from barloom.llm.common import by_batch, join_few, join_hot, likely_in, materialize, settle, table
 
 #: A tag from its "<" on. Quotes count only behind "="; possessive, so that a tag is read once.
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)>")
@@ -34,6 +36,7 @@ _RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*+>?", re.I) for t in "script style
 _CUT = set("nav header footer aside form button select datalist menu head noscript template svg annotation annotation-xml".split())
 _BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead tr ul".split())
 _CELL = {"td", "th"}
+_HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements beyond which an end tag closes nothing, and those that end the reach of a list's items.
 _SCOPE = ("html", "table", "caption", "td", "th", "template", "object", "button")
@@ -86,13 +89,14 @@ def _standing(tag: str, attributes: dict[str, str], in_zone: bool) -> int:
 
 
 class Block(NamedTuple):
-    """A block's zone (OPEN, or bits of MAIN and ARTICLE), the number of its outermost article (0: none), its text, and how
-    many characters of it stand in links."""
+    """A block's zone (OPEN, or bits of MAIN and ARTICLE), the number of its outermost article (0: none), its text, how
+    many characters of it stand in links, and whether it is a heading."""
 
     zone: int
     article: int
     text: str
     linked: int
+    heading: bool
 
 
 class _Page:
@@ -120,7 +124,7 @@ class _Page:
             self.parts.clear()
             if text:
                 inside = self.zones[ARTICLE] > 0
-                self.out.append(Block(ARTICLE * inside | MAIN * (self.zones[MAIN] > 0), self.articles if inside else 0, text, min(self.linked, len(text))))
+                self.out.append(Block(ARTICLE * inside | MAIN * (self.zones[MAIN] > 0), self.articles if inside else 0, text, min(self.linked, len(text)), any(self.places.get(t) for t in _HEADINGS)))
         self.linked = 0
 
     def last(self, tags) -> int:
@@ -218,11 +222,31 @@ def blocks_of(page: str) -> list[Block]:
     return state.out
 
 
+#: Pairs of equal lines, for each line of both pages, up to which they are walked one by one.
+PAIRS = 16
+#: Places from which the bits of a line are kept.
+OFTEN = 256
+
+
 def shared_lines(mine: list[int], other: list[int]) -> set[int]:
-    """Places in mine of a longest common subsequence with other (Hunt-Szymanski)."""
+    """Places in mine of a longest common subsequence with other: Hunt-Szymanski between what both begin and end with.
+    Where lines repeat so often that this would be slow, mine is halved (Hirschberg)."""
+    low, most = 0, min(len(mine), len(other))
+    while low < most and mine[low] == other[low]:
+        low += 1
+    high = 0
+    while high < most - low and mine[-1 - high] == other[-1 - high]:
+        high += 1
+    out = {*range(low), *range(len(mine) - high, len(mine))}
+    mine, other = mine[low : len(mine) - high], other[low : len(other) - high]
     places = defaultdict(list)
     for j, x in enumerate(other):
         places[x].append(j)
+    if sum(len(places.get(x, ())) for x in mine) > PAIRS * (len(mine) + len(other)):
+        half = len(mine) // 2
+        cut = int(np.argmax(_lengths(mine[:half], other) + _lengths(mine[:half - 1 : -1], other[::-1])[::-1]))
+        first, second = shared_lines(mine[:half], other[:cut]), shared_lines(mine[half:], other[cut:])
+        return out | {low + i for i in first} | {low + half + i for i in second}
     ends: list[int] = []
     links: list[tuple] = []
     for i, x in enumerate(mine):
@@ -234,15 +258,46 @@ def shared_lines(mine: list[int], other: list[int]) -> set[int]:
                 links.append(link)
             else:
                 ends[k], links[k] = j, link
-    out, link = set(), links[-1] if links else None
+    link = links[-1] if links else None
     while link:
-        out.add(link[0])
+        out.add(low + link[0])
         link = link[1]
     return out
 
 
+def _lengths(mine: list[int], other: list[int]) -> np.ndarray:
+    """Lengths of the longest common subsequences of mine with the first 0, 1, ... lines of other, a bit for each line."""
+    size = (len(other) + 7) // 8
+    places = defaultdict(list)
+    for j, x in enumerate(other):
+        places[x].append(j)
+    bits = {}
+    every = row = (1 << len(other)) - 1
+    for x in mine:
+        if x not in places:
+            continue
+        at = bits.get(x)
+        if at is None:
+            marks = bytearray(size)
+            for j in places[x]:
+                marks[j >> 3] |= 1 << (j & 7)
+            at = int.from_bytes(marks, "little")
+            if len(places[x]) >= OFTEN:
+                bits[x] = at
+        hit = row & at
+        row = (row + hit | row - hit) & every
+    ones = np.unpackbits(np.frombuffer(row.to_bytes(size, "little"), np.uint8), bitorder="little")[: len(other)]
+    return np.concatenate([[0], np.cumsum(1 - ones.astype(np.int64))])
+
+
 def _content(blocks: list[Block]) -> tuple[int, list[str]]:
-    """The zone that holds the page's main text, and its lines. Zones are weighed by their text, words in links counting a
+    """The zone that holds the page's main text, and its lines."""
+    zone, at = _part(blocks)
+    return zone, [blocks[i].text for i in at]
+
+
+def _part(blocks: list[Block]) -> tuple[int, list[int]]:
+    """The zone that holds the page's main text, and the places of its blocks. Zones are weighed by their text, words in links counting a
     tenth. An article in a main element is taken if it holds half of that; an article elsewhere, such as a teaser, if it
     holds more than the main element or, without one, than all that stands outside of articles. Of several articles one
     that outweighs the others is the page's; else all are."""
@@ -259,47 +314,68 @@ def _content(blocks: list[Block]) -> tuple[int, list[str]]:
     only = {best} if best and 2 * weight[best] >= sum(weight.values()) else set(weight)
     if any(b.zone & MAIN for b in blocks):
         if only <= inside and len(only) == 1 and 2 * weight[best] >= main or best not in inside and best and weight[best] > main:
-            return ARTICLE, [b.text for b in blocks if b.article == best]
-        return MAIN, [b.text for b in blocks if b.zone & MAIN]
+            return ARTICLE, [i for i, b in enumerate(blocks) if b.article == best]
+        return MAIN, [i for i, b in enumerate(blocks) if b.zone & MAIN]
     if weight and sum(weight[k] for k in only) >= outside:
-        return ARTICLE, [b.text for b in blocks if b.article in only]
-    return OPEN, [b.text for b in blocks if b.zone == OPEN]
-
-
-def without_shared(zone: int, lines: list[str], other: list[int]) -> list[str]:
-    """The lines of a page's zone that are its own against those of the nearest page. In a main element shared lines
-    between own ones stay. A copy of the other page, which shares all its lines, keeps them."""
-    gone = shared_lines(_hashed(lines), other)
-    own = [i for i in range(len(lines)) if i not in gone]
-    if not own or zone == ARTICLE:
-        return lines
-    return lines[own[0] : own[-1] + 1] if zone == MAIN else [lines[i] for i in own]
+        return ARTICLE, [i for i, b in enumerate(blocks) if b.article in only]
+    return OPEN, [i for i, b in enumerate(blocks) if b.zone == OPEN]
 
 
 def _hashed(lines: list[str]) -> list[int]:
     return [xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x in lines]
 
 
-_SCAN = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("zone", pa.int32()), ("lines", pa.list_(pa.int64())), ("own", pa.list_(pa.string()))])
-_TEXTS = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string())])
+_SCAN = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("zone", pa.int32()), ("lines", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32())), ("headings", pa.list_(pa.bool_())), ("own", pa.list_(pa.string()))])
+_ENDING = pa.struct([("line", pa.int64()), ("front", pa.int32()), ("back", pa.int32()), ("again", pa.bool_())])
+_DIFF = pa.schema([("row", pa.int64()), ("host", pa.string()), ("differs", pa.bool_()), ("ending", pa.list_(_ENDING)), ("front", pa.int32()), ("back", pa.int32()), ("keep", pa.list_(pa.bool_()))])
 
 
 def _scan(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Zone of each page, hashes of all its lines, and the lines of the zone."""
-    zones, hashes, lines = [], [], []
+    """Zone of each page, hashes of all its lines, and of the zone's lines: places, sizes, headings and texts."""
+    out = [[] for _ in list(_SCAN)[2:]]
     for page in batch.column("html").to_pylist():
         blocks = blocks_of(page or "")
-        zone, own = _content(blocks)
-        zones.append(zone)
-        hashes.append(_hashed([b.text for b in blocks]))
-        lines.append(own)
-    return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), *(pa.array(x, f.type) for x, f in zip((zones, hashes, lines), list(_SCAN)[2:]))], schema=_SCAN)
+        zone, at = _part(blocks)
+        own = [blocks[i] for i in at]
+        for column, x in zip(out, (zone, _hashed([b.text for b in blocks]), at, [len(b.text) for b in own], [b.heading for b in own], [b.text for b in own])):
+            column.append(x)
+    return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), *(pa.array(x, f.type) for x, f in zip(out, list(_SCAN)[2:]))], schema=_SCAN)
+
+
+def endings(lines: list[int], headings: list[bool], shared: set[int]) -> list[dict]:
+    """The shared lines of an article that stand before its first or after its last line that is a heading or its own, with
+    their distance from that end; again: the line stands in the list before."""
+    n = len(lines)
+    stops = [i for i in range(n) if i not in shared or headings[i]]
+    front, back = (stops[0], stops[-1]) if stops else (n, -1)
+    seen, out = set(), []
+    for i in [*range(front), *range(max(back + 1, front), n)]:
+        out.append({"line": lines[i], "front": i if i < front else None, "back": n - 1 - i if i > back else None, "again": lines[i] in seen})
+        seen.add(lines[i])
+    return out
 
 
 def _differing(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Text of pages without an article: what the nearest page hasn't."""
-    texts = ["\n".join(without_shared(z, own, near or [])) for z, own, near in zip(*[batch.column(c).to_pylist() for c in ("zone", "own", "near")])]
-    return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], schema=_TEXTS)
+    """What the difference to the nearest page says of the lines of each page's zone: those of an article that may go
+    (ending), and whether the two are different articles, less than half of the text being shared; lines that go at the
+    ends of a main element (front, back), and lines that stay elsewhere (keep). A page that shares all its lines tells
+    nothing apart and keeps them."""
+    out = [[] for _ in list(_DIFF)[2:]]
+    for zone, lines, places, sizes, headings, near in zip(*[batch.column(c).to_pylist() for c in ("zone", "lines", "places", "sizes", "headings", "near")]):
+        mine = [lines[i] for i in places]
+        shared = shared_lines(mine, near or [])
+        own = [i for i in range(len(mine)) if i not in shared]
+        differs, ending, front, back, keep = False, [], None, None, None
+        if zone == ARTICLE:
+            differs = near is not None and 2 * sum(sizes[i] for i in shared) < sum(sizes)
+            ending = endings(mine, headings, shared)
+        elif own and shared and zone == MAIN:
+            front, back = own[0], len(mine) - 1 - own[-1]
+        elif own and shared:
+            keep = [i not in shared for i in range(len(mine))]
+        for column, x in zip(out, (differs, ending, front, back, keep)):
+            column.append(x)
+    return pa.RecordBatch.from_arrays([batch.column("row"), batch.column("host"), *(pa.array(x, f.type) for x, f in zip(out, list(_DIFF)[2:]))], schema=_DIFF)
 
 
 #: Pages in a row that one window task handles at once.
@@ -307,7 +383,7 @@ RUN = 1024
 
 
 def nearest_pages(keys: DataFrame) -> DataFrame:
-    """(page_id, url, near: lines of the page of the same host nearest by URL path) for pages without an article.
+    """keys with host and near: lines of the page of the same host nearest by URL path (null: none).
 
     Pages are sorted by host and path over the whole table and compared with the page before and after, the one with
     the longer common path winning (on ties the one before). Windows hold RUN pages and one more at each end, so a host
@@ -316,8 +392,8 @@ def nearest_pages(keys: DataFrame) -> DataFrame:
     rest = F.regexp_replace(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
     path = F.regexp_replace(F.regexp_replace(rest, r"[?#].*$", ""), r"(?:\.html?|/)+$", "")
     named = keys.withColumn("host", F.lower(F.substring_index(path, "/", 1))).withColumn("path", path)
-    order = ["host", "path", "page_id", "url"]
-    mine = materialize(named, "page-keys").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    order = ["host", "path", "page_id", "url", "lines"]
+    mine = named.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
     mine = materialize(mine, "page-order")
     part, inside = F.shiftright("at", 33), F.col("at") % (1 << 33)
     mine = mine.withColumn("part", part).withColumn("run", F.floor(inside / RUN).cast("long")).withColumn("own", F.lit(True))
@@ -336,7 +412,7 @@ def nearest_pages(keys: DataFrame) -> DataFrame:
         whole = whole.unionByName(more.select(mine.columns))
     w = Window.partitionBy("part", "run").orderBy("at")
     side = F.struct("host", "path", "lines")
-    seen = whole.withColumns({"before": F.lag(side).over(w), "after": F.lead(side).over(w)}).where(F.col("own") & (F.col("zone") != ARTICLE))
+    seen = whole.withColumns({"before": F.lag(side).over(w), "after": F.lead(side).over(w)}).where("own")
 
     def shared(other: str):
         here, there = F.split("path", ""), F.split(F.col(f"{other}.path"), "")
@@ -345,28 +421,50 @@ def nearest_pages(keys: DataFrame) -> DataFrame:
 
     scored = seen.withColumns({"b": F.coalesce(shared("before"), F.lit(-1)), "a": F.coalesce(shared("after"), F.lit(-1))})
     lines = F.when((F.col("b") >= F.col("a")) & (F.col("b") >= 0), F.col("before.lines")).when(F.col("a") >= 0, F.col("after.lines"))
-    return scored.select("page_id", "url", F.coalesce(lines, F.array().cast("array<bigint>")).alias("near")).dropDuplicates(["page_id", "url"])
+    return scored.select(*keys.columns, "host", lines.alias("near"))
+
+
+#: Fewest pages of a host that confirm a line of an article as boilerplate.
+LEAST = 10
+
+
+def differences(keys: DataFrame) -> DataFrame:
+    """(row, front, back: lines that go at each end of the page's zone, keep: whether each line stays) for the pages that
+    lose lines by the difference to their nearest page, of the zone's lines (row, page_id, url, zone, lines, places, sizes,
+    headings)."""
+    layout = "row bigint, host string, differs boolean, ending array<struct<line: bigint, front: int, back: int, again: boolean>>, front int, back int, keep array<boolean>"
+    diff = settle(keys.sparkSession, lambda: nearest_pages(keys).mapInArrow(by_batch(lambda: _differing), layout), "page-differences")
+    each = diff.select("row", "host", "differs", F.explode("ending").alias("e"))
+    each = each.select("row", F.struct("host", "e.line").alias("key"), "differs", "e.front", "e.back", "e.again")
+    seen = each.groupBy("key").agg(F.count("*").alias("df"), F.count_if(F.col("differs") & ~F.col("again")).alias("n")).where(F.col("n") >= LEAST)
+    hosts = diff.where("differs").groupBy("host").agg(F.count("*").alias("pages"))
+    sure = materialize(seen.join(hosts, F.col("key.host") == F.col("host")).where(2 * F.col("n") >= F.col("pages")).select("key", "df"), "page-boilerplate")
+    gone = join_hot(likely_in(each, sure.select("key"), "key").where("_likely").drop("_likely"), sure, "key")
+    # distances from an end, sorted: they go as far as none is left out
+    run = lambda c: F.size(F.filter(F.sort_array(F.collect_list(c)), lambda x, i: x == i))
+    articles = gone.groupBy("row").agg(run("front").alias("front"), run("back").alias("back"), F.lit(None).cast("array<boolean>").alias("keep"))
+    return diff.where("front is not null or keep is not null").select(articles.columns).unionByName(articles)
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """Main text of pages (page_id long, url string, html string).
 
-    Returns page_id, url, text (the blocks of the article; else of the main element without the lines at its ends that
-    the page nearest by URL has too; else all blocks that this page doesn't share; white space in a block is one space,
-    blocks are joined by a newline; empty if none) and n_chars (its code points). Null html is empty; a null url counts
-    as the empty host. Repeated rows are returned each; rows of one page_id and url share their nearest page. A page
-    without another page of its host, or that shares all its lines, keeps them. Other columns are ignored. An empty
-    table gives an empty table. A page is read once from front to back: its length bounds the time, broken markup or not.
+    Returns page_id, url, text (all blocks that the page nearest by URL doesn't share; of a main element all but the
+    shared ones at its ends; of an article all but the shared ones at its ends that most pages of the host confirm; white
+    space in a block is one space, blocks are joined by a newline; empty if none) and n_chars (its code points). Null html
+    is empty; a null url counts as the empty host. Repeated rows are returned each. A page without another page of its
+    host, or that would lose all its lines, keeps them. Other columns are ignored. An empty table gives an empty table. A
+    page is read once from front to back: its length bounds the time, broken markup or not.
     """
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    scan = materialize(pages.mapInArrow(by_batch(lambda: _scan), "page_id bigint, url string, zone int, lines array<bigint>, own array<string>"), "page-scan")
-    whole = scan.where(F.col("zone") == ARTICLE).select("page_id", "url", F.array_join("own", "\n").alias("text"))
-    keys = scan.select("page_id", "url", "zone", "lines")
-    near = settle(pages.sparkSession, lambda: nearest_pages(keys).select(F.col("page_id").alias("p"), F.col("url").alias("u"), "near"), "nearest-pages")
-    others = scan.where(F.col("zone") != ARTICLE).drop("lines")
-    others = others.join(near, others.page_id.eqNullSafe(near.p) & others.url.eqNullSafe(near.u)).select("page_id", "url", "zone", "own", "near")
-    texts = whole.unionByName(others.mapInArrow(by_batch(lambda: _differing), "page_id bigint, url string, text string"))
-    return texts.withColumn("n_chars", F.length("text").cast("long"))
+    layout = "page_id bigint, url string, zone int, lines array<bigint>, places array<int>, sizes array<int>, headings array<boolean>, own array<string>"
+    scan = materialize(pages.mapInArrow(by_batch(lambda: _scan), layout).withColumn("row", F.monotonically_increasing_id()), "page-scan")
+    gone = settle(pages.sparkSession, lambda: differences(scan.drop("own")), "page-losses")
+    # most pages of an article lose nothing: their texts aren't shuffled
+    found = join_few(scan.select("row", "page_id", "url", "own"), gone, "row")
+    left = F.size("own") - F.col("front") - F.col("back")
+    kept = F.when(F.col("keep").isNotNull(), F.filter("own", lambda x, i: F.get("keep", i))).when(left > 0, F.slice("own", F.col("front") + 1, left)).otherwise(F.col("own"))
+    return found.select("page_id", "url", F.array_join(kept, "\n").alias("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -848,6 +848,42 @@ def test_html_main_keeps_what_stands_between_its_own_lines(spark):
     assert got[3] == got[4] == ["Crumbs", "x a", "Shared inside", "x b", "Tell friends"]  # copies tell nothing apart
 
 
+def test_html_articles_are_differenced(spark):
+    """Lines at an article's ends go where most pages of the host share them with another article; nothing else does."""
+
+    def page(i, first="By our staff", last="Tell your friends"):
+        return f"<p>Out</p><article><p>{first}</p><h2>Weekly</h2><p>Own text {i}, long enough to outweigh what the pages share.</p><p>Shared inside</p><p>More of {i}</p><p>{last}</p><p>Follow us</p></article>"
+
+    body = lambda i: ["Weekly", f"Own text {i}, long enough to outweigh what the pages share.", "Shared inside", f"More of {i}"]
+    many = [(i, f"http://many.example/{i:03d}", page(i)) for i in range(40)]
+    few = [(100 + i, f"http://few.example/{i:03d}", page(i)) for i in range(9)]
+    some = [(200 + i, f"http://some.example/{i:03d}", page(i, *(["By our staff"] if 10 <= i < 22 else [f"By {i}"]), last=f"Bye {i}")) for i in range(40)]
+    copies = [(300 + i, f"http://copies.example/{i:03d}", page(7)) for i in range(40)]
+    copy = [(400, "http://many.example/039?print", page(39))]
+    sole = [(500, "http://many.example/zzz", "<article><p>By our staff</p><p>Follow us</p></article>")]
+    rows = many + few + some + copies + copy + sole
+    got = {r.page_id: r.text.split("\n") for r in html_extract.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    ends = lambda i: ["By our staff", *body(i), "Tell your friends", "Follow us"]
+    assert all(got[i] == body(i) for i in range(40)) and got[400] == body(39)
+    assert all(got[100 + i] == ends(i) for i in range(9))  # too few pages to tell
+    assert all(got[200 + i] == [f"By {i}" if not 10 <= i < 22 else "By our staff", *body(i), f"Bye {i}"] for i in range(40))  # not most pages
+    assert all(got[300 + i] == ends(7) for i in range(40))  # copies are no other articles
+    assert got[500] == ["By our staff", "Follow us"]
+
+
+def test_shared_lines_that_repeat_take_no_quadratic_time():
+    import time
+
+    rng = random.Random(3)
+    a, b = ([rng.randrange(2) for _ in range(1500)] for _ in range(2))
+    assert len(html_extract.shared_lines(a, b)) == _lcs(a, b)
+    a, b = ([rng.randrange(2) for _ in range(20_000)] for _ in range(2))
+    started = time.process_time()
+    at = html_extract.shared_lines(a, b)
+    rest = iter(b)
+    assert all(a[i] in rest for i in sorted(at)) and time.process_time() - started < 20  # pair by pair: minutes
+
+
 def test_html_edges(spark):
     layout = "page_id long, url string, html string, text int, n_chars string, near string, zone string, lines int, host int, path int, part int, run int, own int, at int"
     long = "<article><p>" + "<p>".join(f"paragraph {i} &amp; more" for i in range(60_000)) + "</article>"
